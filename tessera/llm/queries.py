@@ -19,8 +19,63 @@ def op8_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, format_turns
+
+    saying = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", saying), (-1, 1, "assistant", saying)], "conv_id long, turn long, role string, text string")
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return digests(format_turns(turns))
+
+
+def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import POLICIES, apply_policy, ledger
+
+    book = apply_policy(apply_policy(ledger(_read(spark, sf_dir, "documents")), POLICIES["web-1"]), POLICIES["base-1"], "base_kept")
+    return book.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "NOT base_kept AS base_failed", "kept", "fail_bits")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_typed_parts": op2_typed_parts,
+    "op5_rule_ledger": op5_rule_ledger,
     "op8_concat_and_cut": op8_concat_and_cut,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_typed_parts": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+shown AS (
+  SELECT *, 18 + length(replace(replace(role, '%', '%25'), '|', '%7C'))
+    + length(regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')) AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars, 0::BIGINT AS expanded_tokens
+FROM shown GROUP BY conv_id""",
+    "op5_rule_ledger": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3),
+h AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+c AS (SELECT DISTINCT rid, i + j AS at FROM h, (SELECT unnest([0, 1, 2]) AS j) WHERE n > 1),
+r AS (SELECT rid, count(*) AS n_repeat_words FROM c GROUP BY rid),
+l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+m AS (SELECT d.doc_id, len(w.w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^!]', '', 'g')) AS n_bangs,
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d JOIN w USING (rid) LEFT JOIN r USING (rid) LEFT JOIN l USING (rid)),
+b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * n_symbols > 8 * word_chars THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_bangs > 8 * word_chars THEN 8 ELSE 0 END)
+  + (CASE WHEN n_upper + n_lower > 100 AND 100 * n_upper > 60 * (n_upper + n_lower) THEN 16 ELSE 0 END)
+  + (CASE WHEN n_lines > 3 AND 100 * n_dup_lines > 50 * n_lines THEN 32 ELSE 0 END)
+  + (CASE WHEN n_words > 0 AND word_chars > 40 * n_words THEN 64 ELSE 0 END) AS fail_bits FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM b""",
+}
