@@ -24,47 +24,84 @@ from .shared import written
 
 WINDOW = 2048
 END_ID = 1
-#: Distinct words a task remembers with their ids, and the longest word it remembers; others are encoded anew.
-CACHE_WORDS, CACHE_BYTES = 1 << 19, 48
+#: Distinct words a worker process remembers with their ids from task to task, and the longest it remembers; others
+#: are encoded anew. New words are encoded many at a time.
+CACHE_WORDS, CACHE_BYTES, AT_ONCE = 1 << 20, 48, 400
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def word_ids(path: str):
-    """A function from a text to the little-endian uint32 ids of its tokens.
+class WordIds:
+    """The little-endian uint32 ids of texts, by a tokenizer file.
 
-    The tokenizer's pre-tokenizer never joins characters across white space and its normalizer maps white space to one
-    space, so a text's ids are its blank-separated words' ids in order, and each distinct word is encoded once.
+    The tokenizer's pre-tokenizer never joins characters across white space, its normalizer maps white space to one
+    space and lowers letters, and a run of ASCII letters ends before punctuation; so a text's ids are the ids of its
+    blank-separated lower-cased words in order, and each distinct word is encoded once.
     """
-    from tokenizers import Tokenizer
 
-    encode = Tokenizer.from_file(path).encode
-    known: dict[bytes, bytes] = {}
-
-    def one(word: bytes) -> bytes:
-        ids = np.array(encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHE_BYTES:
-            if len(known) >= CACHE_WORDS:
-                known.clear()
-            known[word] = ids
-        return ids
-
-    def of(text: str | None) -> bytes:
-        words = text.encode("utf-8").split() if text else []
-        get = known.get
-        return b"".join([get(w) or one(w) for w in words])
-
-    return of
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+
+    def _alone(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encodes some distinct words as one text and cuts its ids at the words' places."""
+        for at in range(0, len(new), AT_ONCE):
+            some = [w.decode() for w in new[at : at + AT_ONCE]]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            starts = np.cumsum([0] + [len(w) + 1 for w in some])
+            cuts = np.searchsorted(np.array([x for x, _ in found.offsets], np.int64), starts)
+            for word, i, j in zip(new[at : at + AT_ONCE], cuts[:-1].tolist(), cuts[1:].tolist()):
+                self.known[word] = ids[i:j].tobytes()
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        raw = [t.encode() if t else b"" for t in texts]
+        lists = [(x if b"<|" in x else x.lower()).split() for x in raw]  # special tokens are lower-case as they are
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        known = self.known
+        new = [w for w in set().union(*lists) if w not in known]
+        if new:
+            odd = [w for w in new if len(w) > CACHE_BYTES or b"<|" in w]
+            plain = set(new).difference(odd)
+            tailed = [w for w in plain if w[-1] in b".," and len(w) > 1 and 97 <= w[-2] <= 122]
+            plain.difference_update(tailed)
+            plain.update(c for w in tailed if (c := w[:-1]) not in known)
+            plain.update(c for c in (b".", b",") if c not in known)
+            self._learn(list(plain))
+            for w in tailed:
+                known[w] = known[w[:-1]] + known[w[-1:]]
+            for w in odd:
+                known[w] = self._alone(w)
+        out = [b"".join(map(known.__getitem__, words)) for words in lists]
+        if new:
+            for w in odd:
+                del known[w]
+        return out
+
+
+_word_ids: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _word_ids:
+        _word_ids[path] = WordIds(path)
+    return _word_ids[path]
 
 
 def _tokenized(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, before = word_ids(path), TaskContext.get().partitionId(), 0
+        words, part, before = word_ids(path), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                ids = [ids_of(t) + end for t in some.column(1).to_pylist()]
+                ids = [x + end for x in words.of(some.column(1).to_pylist())]
                 count = np.array([len(x) // 4 for x in ids], np.int64)
                 first = before + np.cumsum(count) - count
                 before += int(count.sum())
