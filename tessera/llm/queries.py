@@ -19,6 +19,12 @@ def op8_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import linked
+
+    return linked(_read(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, format_turns
 
@@ -36,6 +42,7 @@ def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_adaptive_prefix_join": op1_adaptive_prefix_join,
     "op2_typed_parts": op2_typed_parts,
     "op5_rule_ledger": op5_rule_ledger,
     "op8_concat_and_cut": op8_concat_and_cut,
