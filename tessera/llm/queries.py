@@ -41,11 +41,18 @@ def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "NOT base_kept AS base_failed", "kept", "fail_bits")
 
 
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import leaks
+
+    return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_prefix_join": op1_adaptive_prefix_join,
     "op2_typed_parts": op2_typed_parts,
     "op5_rule_ledger": op5_rule_ledger,
     "op8_concat_and_cut": op8_concat_and_cut,
+    "op10_spaced_seeds": op10_spaced_seeds,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -85,8 +85,13 @@ class Words:
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         power, inverse = _power_tables(n + 1)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(data.astype(np.uint64) * power[:n] + power[:n], out=total[1:])
-        self.hash = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+        self._total, self._inverse = total, inverse
+        self.hash = self.span_hash(start, end)
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of the bytes start:end of data, for many spans at once."""
+        return mix((self._total[end] - self._total[start]) * self._inverse[start] + (end - start).astype(np.uint64))
 
 
 def _columns(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
