@@ -34,6 +34,12 @@ def op2_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(turns))
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import scored
+
+    return scored(_read(spark, sf_dir, "documents"))
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import POLICIES, apply_policy, ledger
 
@@ -50,6 +56,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_prefix_join": op1_adaptive_prefix_join,
     "op2_typed_parts": op2_typed_parts,
+    "op3_suffix_tree": op3_suffix_tree,
     "op5_rule_ledger": op5_rule_ledger,
     "op8_concat_and_cut": op8_concat_and_cut,
     "op10_spaced_seeds": op10_spaced_seeds,
