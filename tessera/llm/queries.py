@@ -11,6 +11,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op6_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extracted
+
+    return extracted(_read(spark, sf_dir, "pages"))
+
+
 def op8_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_typed_parts": op2_typed_parts,
     "op3_suffix_tree": op3_suffix_tree,
     "op5_rule_ledger": op5_rule_ledger,
+    "op6_host_paths": op6_host_paths,
     "op8_concat_and_cut": op8_concat_and_cut,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
