@@ -46,6 +46,12 @@ def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_read(spark, sf_dir, "documents"))
 
 
+def op4_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import scored
+
+    return scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import POLICIES, apply_policy, ledger
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_prefix_join": op1_adaptive_prefix_join,
     "op2_typed_parts": op2_typed_parts,
     "op3_suffix_tree": op3_suffix_tree,
+    "op4_noisy_channel": op4_noisy_channel,
     "op5_rule_ledger": op5_rule_ledger,
     "op6_host_paths": op6_host_paths,
     "op8_concat_and_cut": op8_concat_and_cut,
