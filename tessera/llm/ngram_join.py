@@ -41,6 +41,8 @@ MAX_MATCHES = 6
 VERIFY_COST = 12.0
 #: Different orders in which posting lists link neighbours.
 ORDERS = 8
+#: Document ids that are broadcast at most.
+BROADCAST_IDS = 500_000
 
 
 def sets_of(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +170,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("xy") - F.col("i"))).select("u", "v")
 
 
+def _sharing(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The pairs that share as many prefix shingles as their l's ask for, by the nodes' shared prefix shingles."""
+    own = lists.groupBy("node").agg(F.collect_set("token").alias("tokens"), F.min("l").alias("l"))
+    side = lambda c: own.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}"), F.col("l").alias(f"l{c}"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(F.size(F.array_intersect("tu", "tv")) >= F.least("lu", "lv")).select("u", "v")
+
+
+def _sets_for(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of the nodes in the pairs, from one text of each. The ids are broadcast where a count shows
+    them to be few; otherwise the texts are joined with them."""
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node").select(F.col("least").alias("doc_id")).distinct()
+    wanted = written(wanted, "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").select("text")
+    return texts.mapInArrow(_sets(k), "node long, shingles array<long>").dropDuplicates(["node"])
+
+
 def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, node (the set's name), root (of its component), component_id, for each row of docs."""
     spark = docs.sparkSession
@@ -192,9 +211,8 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     near = f"100 * least(n, next_n) >= {percent} * greatest(n, next_n)"
     first = lists.where(f"next <> node AND {near}").select(F.least("node", "next").alias("u"), F.greatest("node", "next").alias("v")).distinct()
 
-    active = lists.select("node").distinct().join(nodes, "node").select(F.col("least").alias("doc_id"))
-    texts = rows.join(active, "doc_id", "left_semi").select("text")
-    sets = written(texts.mapInArrow(_sets(k), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    first = written(_sharing(first, lists), "first")
+    sets = written(_sets_for(first, nodes, rows, k), "sets")
     links = written(_verified(first, sets, percent), "links")
     roots = connected_components(links)
 
@@ -207,7 +225,9 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     right = some.selectExpr("token", "node AS y", "n AS ny", "l AS ly", "root AS ry", "root = largest AS inside")
     across = left.join(right, "token").where(f"rx <> ry AND (inside OR x < y) AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
     second = across.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.count("*").alias("shared"), F.min(F.least("lx", "ly")).alias("wanted")).where("shared >= wanted")
-    links = links.unionByName(_verified(second, sets, percent))
+    second = written(second.select("u", "v"), "second")
+    more = written(_sets_for(second, nodes, rows, k), "sets")
+    links = links.unionByName(_verified(second, more, percent))
     roots = written(connected_components(links), "roots")
 
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
