@@ -17,6 +17,15 @@ def op6_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(_read(spark, sf_dir, "pages"))
 
 
+def op7_site_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .site_quality import judged
+
+    found = judged(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return found.select("doc_id", F.col("host").alias("source"), F.col("path").alias("lang"), "evidence", "host_rate", "path_rate", "score", "kept")
+
+
 def op8_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +68,14 @@ def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "NOT base_kept AS base_failed", "kept", "fail_bits")
 
 
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .secrets import findings
+
+    return findings(_read(spark, sf_dir, "documents"), F.col("source"))
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import leaks
 
@@ -72,7 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_noisy_channel": op4_noisy_channel,
     "op5_rule_ledger": op5_rule_ledger,
     "op6_host_paths": op6_host_paths,
+    "op7_site_posteriors": op7_site_posteriors,
     "op8_concat_and_cut": op8_concat_and_cut,
+    "op9_secret_forest": op9_secret_forest,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
 
