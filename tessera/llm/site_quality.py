@@ -21,7 +21,8 @@ from .shared import written
 
 #: Labelled documents learnt from, at most: those with the least hash of the id.
 SAMPLE = 6000
-THRESHOLD = 0.5
+#: Documents go only where their posterior of good quality is below this: losing a clean one costs more than a bad one.
+THRESHOLD = 0.05
 #: Rejected documents whose keys are broadcast at most, when documents are filtered.
 BROADCAST_KEYS = 500_000
 
