@@ -4,7 +4,9 @@ A document is its set of distinct word shingles. Two sets of sizes x <= y with J
 many shingles that, in any one order of all shingles, the first x - ceil(t x) + l of the one and y - ceil(t y) + l of
 the other share l at least. Shingles are ordered from rare to common, and each document takes the l for which its
 estimated cost is least: longer prefixes list more postings but need more shared shingles before a verification. A
-pair is verified once it shares min(l, l') shingles of the two prefixes, on the whole sets.
+pair is verified once it shares min(l, l') shingles of the two prefixes, on the whole sets. What comes before the first
+shingle that a document's prefix shares with any other prefix can be in no linked document, and the parities of a set's
+hashes in 256 buckets differ in no more buckets than two sets differ in shingles; both bound a pair before it is made.
 
 Groups of near copies are never expanded into all pairs. Equal sets are one node. Each posting list first links
 neighbours only, in a few different orders; then only pairs across the components so found are looked at, and of those
@@ -32,10 +34,10 @@ from .shared import Words, mix, text_runs, windows, written
 
 #: Shingles whose frequency is told to all tasks: the most frequent ones found, 12 bytes each. Only the order of the
 #: others, and so only speed, depends on it.
-COMMON = 1 << 18
-#: A shingle is counted where a batch of documents holds it this often at least; so any shingle in more than one of
-#: some thousand documents is counted, up to an error of the number of batches.
-COUNTED_FROM = 3
+COMMON = 1 << 19
+#: A shingle is counted where this many different sets of a batch of documents hold it at least; so any shingle in more
+#: than a few of ten thousand documents is counted, up to an error of the number of batches.
+COUNTED_FROM = 2
 MAX_MATCHES = 6
 #: Cost of verifying a candidate, in posting rows read.
 VERIFY_COST = 12.0
@@ -65,13 +67,28 @@ def _signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix(a ^ (np.diff(first).astype(np.uint64) << np.uint64(40))), b
 
 
+PARITY = ("p0", "p1", "p2", "p3")
+
+
+def _parities(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """For each text 4 words of 64 bits: the parity of its set's hashes in each of 256 buckets."""
+    spot = mix(h * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(56)
+    bit, lane, full, out = np.uint64(1) << (spot & np.uint64(63)), spot >> np.uint64(6), np.flatnonzero(np.diff(first)), []
+    for k in range(4):
+        words = np.zeros(len(first) - 1, np.uint64)
+        if len(full):
+            words[full] = np.bitwise_xor.reduceat(np.where(lane == k, bit, np.uint64(0)), first[full])
+        out.append(words.view(np.int64))
+    return out
+
+
 def _survey(k: int):
     """Rows of kind 0, one per document: doc_id, size, two signatures; of kind 1: a shingle and how many documents of
     a batch hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_all, a_all, b_all, h_all = [], [], [], []
+            n_all, a_all, b_all, h_all, p_all = [], [], [], [], []
             for i, j, data, offsets in text_runs(batch):
                 h, first = sets_of(Words(data, offsets), k)
                 a, b = _signatures(h, first)
@@ -79,17 +96,22 @@ def _survey(k: int):
                 a_all.append(a)
                 b_all.append(b)
                 h_all.append(h)
+                p_all.append(_parities(h, first))
             if not n_all:
                 continue
             n, a, b = (np.concatenate(x) for x in (n_all, a_all, b_all))
-            yield pa.record_batch({"kind": np.zeros(len(n), np.int32), "doc_id": batch.column(0), "n": n.astype(np.int64), "a": a.view(np.int64), "b": b.view(np.int64)})
-            h = np.sort(np.concatenate(h_all))
+            yield pa.record_batch({"kind": np.zeros(len(n), np.int32), "doc_id": batch.column(0), "n": n.astype(np.int64), "a": a.view(np.int64), "b": b.view(np.int64), **{name: np.concatenate([x[i] for x in p_all]) for i, name in enumerate(PARITY)}})
+            # copies of a set count once
+            _, one = np.unique(a, return_index=True)
+            once = np.zeros(len(a), bool)
+            once[one] = True
+            h = np.sort(np.concatenate(h_all)[np.repeat(once, n)])
             at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
             count = np.diff(np.append(at, len(h)))
             often = count >= COUNTED_FROM
             if often.any():
                 h, count = h[at[often]], count[often]
-                yield pa.record_batch({"kind": np.ones(len(h), np.int32), "doc_id": pa.nulls(len(h), pa.int64()), "n": count.astype(np.int64), "a": h.view(np.int64), "b": np.zeros(len(h), np.int64)})
+                yield pa.record_batch({"kind": np.ones(len(h), np.int32), "doc_id": pa.nulls(len(h), pa.int64()), "n": count.astype(np.int64), "a": h.view(np.int64), "b": np.zeros(len(h), np.int64), **{name: np.zeros(len(h), np.int64) for name in PARITY}})
 
     return run
 
@@ -143,7 +165,7 @@ def _postings(k: int, percent: int, common):
                 if out:
                     reps = np.array([len(x[0]) for x in out])
                     spread = lambda k, t: np.repeat(np.array([x[k] for x in out], t), reps)
-                    yield pa.record_batch({"token": np.concatenate([x[0] for x in out]).view(np.int64), "node": spread(1, np.int64), "n": spread(2, np.int32), "l": spread(3, np.int32)})
+                    yield pa.record_batch({"token": np.concatenate([x[0] for x in out]).view(np.int64), "node": spread(1, np.int64), "n": spread(2, np.int32), "l": spread(3, np.int32), "place": np.concatenate([np.arange(r, dtype=np.int32) for r in reps])})
 
     return run
 
@@ -170,11 +192,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("xy") - F.col("i"))).select("u", "v")
 
 
-def _sharing(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+def _may_link(x: str, y: str, percent: int) -> str:
+    """Whether sets of sizes n that share nothing before their place free can still be similar enough."""
+    return f"100 * (n{x} - free{x}) >= {percent} * (n{y} + free{x}) AND 100 * (n{y} - free{y}) >= {percent} * (n{x} + free{y})"
+
+
+def _sharing(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """The pairs that share as many prefix shingles as their l's ask for, by the nodes' shared prefix shingles."""
-    own = lists.groupBy("node").agg(F.collect_set("token").alias("tokens"), F.min("l").alias("l"))
-    side = lambda c: own.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}"), F.col("l").alias(f"l{c}"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").where(F.size(F.array_intersect("tu", "tv")) >= F.least("lu", "lv")).select("u", "v")
+    own = lists.groupBy("node").agg(F.collect_set("token").alias("t"), F.min("l").alias("l"), F.min("n").alias("n"), F.min("place").alias("free"))
+    side = lambda c: own.select(F.col("node").alias(c), *(F.col(k).alias(f"{k}{c}") for k in ("t", "l", "n", "free")))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").where(_may_link("u", "v", percent))
+    return both.where(F.size(F.array_intersect("tu", "tv")) >= F.least("lu", "lv")).select("u", "v")
 
 
 def _sets_for(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -191,19 +219,19 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, node (the set's name), root (of its component), component_id, for each row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = written(rows.mapInArrow(_survey(k), "kind int, doc_id long, n long, a long, b long"), "survey")
-    ids = survey.where("kind = 0").select("doc_id", "n", F.col("a").alias("node"))
+    survey = written(rows.mapInArrow(_survey(k), "kind int, doc_id long, n long, a long, b long, " + ", ".join(f"{c} long" for c in PARITY)), "survey")
+    ids = survey.where("kind = 0").select("doc_id", "n", F.col("a").alias("node"), *PARITY)
     top = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(COMMON).toPandas()
     tokens = top["a"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     common = spark.sparkContext.broadcast((tokens[order], top["n"].to_numpy(np.int32)[order]))
 
-    nodes = ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    postings = rows.select("text").mapInArrow(_postings(k, percent, common), "token long, node long, n int, l int")
+    nodes = ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in PARITY))
+    postings = rows.select("text").mapInArrow(_postings(k, percent, common), "token long, node long, n int, l int, place int")
     ratio = -np.log(percent / 100.0)
     spot = f"floor(ln(n) / {ratio}), xxhash64(node, pmod(token, {ORDERS})), node"
     lists = postings.selectExpr(
-        "token", "node", "n", "l",
+        "token", "node", "n", "l", "place",
         f"lead(node) OVER (PARTITION BY token ORDER BY {spot}) AS next", f"lead(n) OVER (PARTITION BY token ORDER BY {spot}) AS next_n",
         "min(node) OVER (PARTITION BY token) AS lo", "max(node) OVER (PARTITION BY token) AS hi",
     ).where("lo <> hi").drop("lo", "hi")
@@ -211,19 +239,21 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     near = f"100 * least(n, next_n) >= {percent} * greatest(n, next_n)"
     first = lists.where(f"next <> node AND {near}").select(F.least("node", "next").alias("u"), F.greatest("node", "next").alias("v")).distinct()
 
-    first = written(_sharing(first, lists), "first")
+    first = written(_sharing(first, lists, percent), "first")
     sets = written(_sets_for(first, nodes, rows, k), "sets")
     links = written(_verified(first, sets, percent), "links")
     roots = connected_components(links)
 
     # what lies across components: only pairs with a member outside the list's largest component
-    member = lists.select("token", "node", "n", "l").distinct().join(roots, "node", "left").select("token", "node", "n", "l", F.coalesce("root", "node").alias("root"))
+    member = lists.groupBy("node", "token").agg(F.min("n").alias("n"), F.min("l").alias("l"), F.min("place").alias("place")).withColumn("free", F.expr("min(place) OVER (PARTITION BY node)"))
+    member = member.join(roots, "node", "left").join(nodes.drop("least"), "node").select("token", "node", "n", "l", "free", F.coalesce("root", "node").alias("root"), *PARITY)
     member = written(member, "members")
     parts = member.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     some = member.join(parts.select("token", "largest"), "token")
-    left = some.where("root <> largest").selectExpr("token", "node AS x", "n AS nx", "l AS lx", "root AS rx")
-    right = some.selectExpr("token", "node AS y", "n AS ny", "l AS ly", "root AS ry", "root = largest AS inside")
-    across = left.join(right, "token").where(f"rx <> ry AND (inside OR x < y) AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    left = some.where("root <> largest").selectExpr("token", "node AS x", "n AS nx", "l AS lx", "free AS freex", "root AS rx", *(f"{c} AS {c}x" for c in PARITY))
+    right = some.selectExpr("token", "node AS y", "n AS ny", "l AS ly", "free AS freey", "root AS ry", "root = largest AS inside", *(f"{c} AS {c}y" for c in PARITY))
+    apart = " + ".join(f"bit_count({c}x ^ {c}y)" for c in PARITY)
+    across = left.join(right, "token").where(f"rx <> ry AND (inside OR x < y) AND {_may_link('x', 'y', percent)} AND ({apart}) * {100 + percent} <= {100 - percent} * (nx + ny)")
     second = across.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.count("*").alias("shared"), F.min(F.least("lx", "ly")).alias("wanted")).where("shared >= wanted")
     second = written(second.select("u", "v"), "second")
     more = written(_sets_for(second, nodes, rows, k), "sets")
