@@ -34,7 +34,7 @@ from .shared import Words, mix, text_runs, windows, written
 
 #: Shingles whose frequency is told to all tasks: the most frequent ones found, 12 bytes each. Only the order of the
 #: others, and so only speed, depends on it.
-COMMON = 1 << 19
+COMMON = 1 << 18
 #: A shingle is counted where this many different sets of a batch of documents hold it at least; so any shingle in more
 #: than a few of ten thousand documents is counted, up to an error of the number of batches.
 COUNTED_FROM = 2
