@@ -136,7 +136,37 @@ CASES: dict[str, tuple[str, Parts | str]] = {
     "nested": ("group_rank(neg(ts_corr(cs_rank(x),cs_rank(y),6)),g)", (*XY, {"x1": "CASE WHEN ub IS NOT NULL THEN ua END", "y1": "CASE WHEN ua IS NOT NULL THEN ub END"}, {"n": "count(x1) OVER ts", "va": "min(x1) OVER ts < max(x1) OVER ts", "vb": "min(y1) OVER ts < max(y1) OVER ts", "c1": "covar_pop(x1, y1) OVER ts", "s1": "stddev_pop(x1) OVER ts", "s2": "stddev_pop(y1) OVER ts"}, {"q": "CASE WHEN x1 IS NOT NULL AND n >= 3 AND va AND vb THEN round(-c1 / (s1 * s2), 9) END"}, *rank("q", "di, g"), "u")),
 }
 
-WINDOWS = "WINDOW cs AS (PARTITION BY di), grp AS (PARTITION BY di, g), o AS (PARTITION BY sym ORDER BY di), ts AS (PARTITION BY sym ORDER BY di ROWS 5 PRECEDING), t12 AS (PARTITION BY sym ORDER BY di ROWS 11 PRECEDING)"
+AVG = ({"r": "rank() OVER (PARTITION BY di, x IS NULL ORDER BY x)", "k": "count(x) OVER (PARTITION BY di, x)", "n": "count(x) OVER cs"}, {"a": "CASE WHEN x IS NOT NULL THEN r + (k - 1) / 2.0 END"})
+P1 = "list({'x': x, 'd': di}) FILTER (x IS NOT NULL) OVER ts"
+HELD = "(PARTITION BY sym ORDER BY di ROWS UNBOUNDED PRECEDING)"
+CASES |= {
+    "RANK": ("RANK(x)", (*AVG, "a / n")), "dsl_cs_rank": ("dsl_cs_rank(w)", ({"xx": "x"}, {"r": "rank() OVER (PARTITION BY di, w IS NULL ORDER BY w)", "k": "count(w) OVER (PARTITION BY di, w)", "n": "count(w) OVER cs"}, "CASE WHEN w IS NOT NULL THEN CASE WHEN n = 1 THEN 0.5 ELSE (r + (k - 1) / 2.0 - 1) / (n - 1) END END")),
+    "dsl_group_rank": ("dsl_group_rank(w,g)", ({"r": "rank() OVER (PARTITION BY di, g, w IS NULL ORDER BY w)", "k": "count(w) OVER (PARTITION BY di, g, w)", "n": "count(w) OVER grp"}, "CASE WHEN w IS NOT NULL THEN CASE WHEN n = 1 THEN 0.5 ELSE (r + (k - 1) / 2.0 - 1) / (n - 1) END END")),
+    "MEAN": ("MEAN(x)", "avg(x) OVER cs"), "STD": ("STD(x)", "stddev_samp(x) OVER cs"), "SKEW": ("SKEW(w)", ({"m": "avg(w) OVER cs"}, {"s2": "avg(pow(w - m, 2)) OVER cs", "s3": "avg(pow(w - m, 3)) OVER cs"}, "CASE WHEN s2 > 0 THEN s3 / pow(s2, 1.5) END")), "KURT": ("KURT(w)", "CASE WHEN min(w) OVER cs < max(w) OVER cs THEN kurtosis_pop(w) OVER cs END"),
+    "MEDIAN": ("MEDIAN(x)", "median(x) OVER cs"), "cs_mean": ("cs_mean(x)", "avg(x) OVER cs"), "cs_std": ("cs_std(x)", "stddev_samp(x) OVER cs"), "cs_sum": ("cs_sum(x)", "sum(x) OVER cs"), "cs_median": ("cs_median(x)", "median(x) OVER cs"), "cs_max": ("cs_max(x)", "max(x) OVER cs"), "cs_min": ("cs_min(x)", "min(x) OVER cs"),
+    "ZSCORE": ("ZSCORE(x)", "CASE WHEN min(x) OVER cs < max(x) OVER cs THEN (x - avg(x) OVER cs) / stddev_samp(x) OVER cs END"), "SCALE": ("SCALE(x)", "x / nullif(sum(abs(x)) OVER cs, 0)"), "step": ("step(x)", (*rank("x"), "CASE WHEN u > 0.5 THEN 1.0 ELSE 0.0 END")),
+    "winsorize1": ("winsorize1(x,1)", "CASE WHEN x IS NOT NULL THEN greatest(least(x, avg(x) OVER cs + stddev_samp(x) OVER cs), avg(x) OVER cs - stddev_samp(x) OVER cs) END"), "winsorize2": ("winsorize2(x,0.05,0.95)", "CASE WHEN x IS NOT NULL THEN greatest(least(x, quantile_cont(x, 0.95) OVER cs), quantile_cont(x, 0.05) OVER cs) END"),
+    "group_mean": ("group_mean(x,g)", "avg(x) OVER grp"), "group_min": ("group_min(x,g)", "min(x) OVER grp"), "group_max": ("group_max(x,g)", "max(x) OVER grp"), "eqw": ("eqw(x,ts_delay(y,1))", ({"q": "lag(y) OVER o"}, {"a": z("x"), "b": z("q")}, "CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN (coalesce(a, 0) + coalesce(b, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT) END")),
+    "cs_pc1": ("cs_pc1(x,w)", (PAIR | {"b": "CASE WHEN x IS NOT NULL THEN w END", "a": "CASE WHEN w IS NOT NULL THEN x END"}, {"za": z("a"), "zb": z("b"), "c": "covar_pop(a, b) OVER cs", "n": "count(a) OVER cs"}, "CASE WHEN n >= 30 THEN (za + sign(c) * zb) / sqrt(2) END")),
+    "TS_MAX": ("TS_MAX(x,6)", "max(x) OVER ts"), "TS_MIN": ("TS_MIN(x,6)", "min(x) OVER ts"), "TS_MEAN": ("TS_MEAN(x,6)", "avg(x) OVER ts"), "TS_SUM": ("TS_SUM(x,6)", "sum(x) OVER ts"), "SUMAC": ("SUMAC(x,6)", "sum(x) OVER ts"), "PROD": ("PROD(cs_rank(x),6)", (*rank("x"), "product(u) OVER ts")), "TS_MEDIAN": ("TS_MEDIAN(x,6)", "median(x) OVER ts"),
+    "TS_STD": ("TS_STD(x,6)", "stddev_samp(x) OVER ts"), "TS_VAR": ("TS_VAR(w,6)", "var_samp(w) OVER ts"), "TS_ZSCORE": ("TS_ZSCORE(x,6)", "CASE WHEN min(x) OVER ts < max(x) OVER ts THEN (x - avg(x) OVER ts) / stddev_samp(x) OVER ts END"), "SMA": ("SMA(x,6)", "avg(x) OVER ts"),
+    "BB_MIDDLE": ("BB_MIDDLE(x,6)", "avg(x) OVER ts"), "BB_UPPER": ("BB_UPPER(x,6)", "avg(x) OVER ts + stddev_samp(x) OVER ts"), "BB_LOWER": ("BB_LOWER(x,6)", "avg(x) OVER ts - stddev_samp(x) OVER ts"), "TS_KURT": ("TS_KURT(x,6)", "CASE WHEN count(x) OVER ts >= 4 AND min(x) OVER ts < max(x) OVER ts THEN kurtosis_pop(x) OVER ts END"),
+    "TS_SKEW": ("TS_SKEW(x,6)", ({"a": "list(x) FILTER (x IS NOT NULL) OVER ts"}, {"m": "list_avg(a)"}, {"s2": "list_avg(list_transform(a, lambda v: pow(v - m, 2)))", "s3": "list_avg(list_transform(a, lambda v: pow(v - m, 3)))"}, "CASE WHEN len(a) >= 3 AND list_min(a) < list_max(a) THEN s3 / pow(s2, 1.5) END")),
+    "TS_QUANTILE": ("TS_QUANTILE(x,6,0.25)", "quantile_cont(x, 0.25) OVER ts"), "TS_MAD": ("TS_MAD(x,6)", ({"a": "list(x) FILTER (x IS NOT NULL) OVER ts"}, {"m": "list_median(a)"}, "list_median(list_transform(a, lambda v: abs(v - m)))")),
+    "TS_ARGMAX": ("TS_ARGMAX(w,6)", ({"a": "list({'x': w, 'd': -di}) FILTER (w IS NOT NULL) OVER ts"}, "di + list_max(a).d")), "TS_ARGMIN": ("TS_ARGMIN(w,6)", ({"a": "list({'x': -w, 'd': -di}) FILTER (w IS NOT NULL) OVER ts"}, "di + list_max(a).d")), "HIGHDAY": ("HIGHDAY(w,6)", ({"a": "list({'x': w, 'd': -di}) FILTER (w IS NOT NULL) OVER ts"}, "di + list_max(a).d + 1")), "LOWDAY": ("LOWDAY(w,6)", ({"a": "list({'x': -w, 'd': -di}) FILTER (w IS NOT NULL) OVER ts"}, "di + list_max(a).d + 1")),
+    "DELAY": ("DELAY(x,2)", "lag(x, 2) OVER o"), "DELTA": ("DELTA(x,2)", "x - lag(x, 2) OVER o"), "TS_PCTCHANGE": ("TS_PCTCHANGE(x,2)", "coalesce(x / nullif(lag(x, 2) OVER o, 0) - 1, 0)"), "TS_CORR": ("TS_CORR(x,y,6)", (PAIR, line("ts"), f"CASE WHEN va AND vb THEN {CORR} END")), "TS_COVARIANCE": ("TS_COVARIANCE(w,y,6)", "covar_samp(w, y) OVER ts"),
+    "REGBETA": ("REGBETA(y,x,6)", (PAIR, line("ts"), f"CASE WHEN n = 6 AND va THEN {SLOPE} END")), "REGRESI": ("REGRESI(y,x,6)", (PAIR, line("ts"), f"CASE WHEN n = 6 AND va THEN {RESID} END")), "ts_beta": ("ts_beta(y,x,6)", (PAIR, line("ts"), f"CASE WHEN n = 6 AND va THEN {SLOPE} END")),
+    "COUNT": ("COUNT(con,6)", "sum(CASE WHEN con THEN 1.0 ELSE 0.0 END) OVER ts"), "SUMIF": ("SUMIF(x,con,6)", "sum(CASE WHEN con THEN x WHEN NOT con THEN 0.0 END) OVER ts"), "FILTER": ("FILTER(x,con)", "CASE WHEN con THEN x WHEN NOT con THEN 0.0 END"), "WHERE": ("WHERE(con,x,y)", "CASE WHEN con THEN x WHEN NOT con THEN y END"),
+    "EXP": ("EXP(cs_rank(x))", (*rank("x"), "exp(u)")), "LOG": ("LOG(x)", "ln(1 + x)"), "INV": ("INV(x)", "1 / x"), "FLOOR": ("FLOOR(x)", "floor(x)"), "MAX": ("MAX(x,DELAY(y,1))", ({"q": "lag(y) OVER o"}, "CASE WHEN x IS NOT NULL AND q IS NOT NULL THEN greatest(x, q) END")), "MIN": ("MIN(x,DELAY(y,1))", ({"q": "lag(y) OVER o"}, "CASE WHEN x IS NOT NULL AND q IS NOT NULL THEN least(x, q) END")),
+    "GT": ("GT(x,y)", "(x > y)::INT"), "LT": ("LT(x,y)", "(x < y)::INT"), "NE": ("NE(w,y)", "(w <> y)::INT"),
+    "hold_when": ("hold_when(x,con)", f"last_value(CASE WHEN con THEN x END IGNORE NULLS) OVER {HELD}"),
+    "hold_until": ("hold_until(x,con,LT(y,DELAY(y,1)))", ({"q": "y < lag(y) OVER o"}, {"e": f"last_value(CASE WHEN q THEN struct_pack(v := NULL::DOUBLE) WHEN con AND x IS NOT NULL THEN struct_pack(v := x) END IGNORE NULLS) OVER {HELD}"}, "e.v")),
+    "anomaly_past": ("anomaly_past(x,12)", ({"c": "count(x) OVER b", "s": "stddev_pop(x) OVER b", "a": "avg(x) OVER b", "f": "min(x) OVER b < max(x) OVER b"}, "CASE WHEN x IS NOT NULL THEN CASE WHEN c >= 5 AND f THEN (x - a) / s ELSE 0 END END")),
+    "protected_div": ("protected_div(x,diff(w))", ({"q": "w - lag(w) OVER o"}, "CASE WHEN abs(q) > 0.001 THEN x / q WHEN q IS NOT NULL AND x IS NOT NULL THEN 1.0 END")), "protected_sqrt": ("protected_sqrt(diff(x))", ({"q": "x - lag(x) OVER o"}, "sqrt(abs(q))")), "protected_log": ("protected_log(diff(w))", ({"q": "w - lag(w) OVER o"}, "CASE WHEN abs(q) > 0.001 THEN ln(abs(q)) WHEN q IS NOT NULL THEN 0.0 END")),
+    "protected_inverse": ("protected_inverse(diff(w))", ({"q": "w - lag(w) OVER o"}, "CASE WHEN abs(q) > 0.001 THEN 1 / q WHEN q IS NOT NULL THEN 0.0 END")), "sigmoid": ("sigmoid(cs_zscore(x))", ({"q": z("x")}, "1 / (1 + exp(-q))")),
+}
+
+WINDOWS = "WINDOW cs AS (PARTITION BY di), grp AS (PARTITION BY di, g), o AS (PARTITION BY sym ORDER BY di), ts AS (PARTITION BY sym ORDER BY di ROWS 5 PRECEDING), t12 AS (PARTITION BY sym ORDER BY di ROWS 11 PRECEDING), b AS (PARTITION BY sym ORDER BY di ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)"
 
 
 def oracle(parts: Parts | str) -> str:
