@@ -165,7 +165,7 @@ def _postings(k: int, percent: int, common):
                 if out:
                     reps = np.array([len(x[0]) for x in out])
                     spread = lambda k, t: np.repeat(np.array([x[k] for x in out], t), reps)
-                    yield pa.record_batch({"token": np.concatenate([x[0] for x in out]).view(np.int64), "node": spread(1, np.int64), "n": spread(2, np.int32), "l": spread(3, np.int32), "place": np.concatenate([np.arange(r, dtype=np.int32) for r in reps])})
+                    yield pa.record_batch({"token": np.concatenate([x[0] for x in out]).view(np.int64), "node": spread(1, np.int64), "packed": (spread(2, np.int64) << 32) | (np.concatenate([np.arange(r) for r in reps]) << 3) | spread(3, np.int64)})
 
     return run
 
@@ -199,7 +199,7 @@ def _may_link(x: str, y: str, percent: int) -> str:
 
 def _sharing(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """The pairs that share as many prefix shingles as their l's ask for, by the nodes' shared prefix shingles."""
-    own = lists.groupBy("node").agg(F.collect_set("token").alias("t"), F.min("l").alias("l"), F.min("n").alias("n"), F.min("place").alias("free"))
+    own = lists.groupBy("node").agg(F.collect_set("token").alias("t"), F.min("l").alias("l"), F.min("n").alias("n"), F.min("free").alias("free"))
     side = lambda c: own.select(F.col("node").alias(c), *(F.col(k).alias(f"{k}{c}") for k in ("t", "l", "n", "free")))
     both = pairs.join(side("u"), "u").join(side("v"), "v").where(_may_link("u", "v", percent))
     return both.where(F.size(F.array_intersect("tu", "tv")) >= F.least("lu", "lv")).select("u", "v")
@@ -227,17 +227,20 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     common = spark.sparkContext.broadcast((tokens[order], top["n"].to_numpy(np.int32)[order]))
 
     nodes = ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in PARITY))
-    postings = rows.select("text").mapInArrow(_postings(k, percent, common), "token long, node long, n int, l int, place int")
+    postings = rows.select("text").mapInArrow(_postings(k, percent, common), "token long, node long, packed long")
+    over = "OVER (PARTITION BY token)"
+    lists = postings.selectExpr("token", "node", "packed", f"min(node) {over} AS lo", f"max(node) {over} AS hi", f"min(packed & 7) {over} AS least_l")
+    lists = written(lists.where("lo <> hi").drop("lo", "hi"), "lists")
+    # a linked pair shares min(l, l') shingles, so each of them is in a list whose least l its members' counts reach
+    each = lists.repartition("node").groupBy("node", "token").agg(F.min("packed").alias("packed"), F.min("least_l").alias("least_l"))
+    each = each.selectExpr("token", "node", "CAST(packed >> 32 AS INT) AS n", "CAST(packed & 7 AS INT) AS l", "least_l", "CAST(min((packed >> 3) & 536870911) OVER (PARTITION BY node) AS INT) AS free", "count(*) OVER (PARTITION BY node) AS listed")
+    lists = written(each.where("listed >= least_l").drop("least_l", "listed"), "lists")
+
     ratio = -np.log(percent / 100.0)
-    spot = f"floor(ln(n) / {ratio}), xxhash64(node, pmod(token, {ORDERS})), node"
-    lists = postings.selectExpr(
-        "token", "node", "n", "l", "place",
-        f"lead(node) OVER (PARTITION BY token ORDER BY {spot}) AS next", f"lead(n) OVER (PARTITION BY token ORDER BY {spot}) AS next_n",
-        "min(node) OVER (PARTITION BY token) AS lo", "max(node) OVER (PARTITION BY token) AS hi",
-    ).where("lo <> hi").drop("lo", "hi")
-    lists = written(lists, "lists")
+    spot = f"OVER (PARTITION BY token ORDER BY floor(ln(n) / {ratio}), xxhash64(node, pmod(token, {ORDERS})), node)"
+    chains = lists.selectExpr("node", "n", f"lead(node) {spot} AS next", f"lead(n) {spot} AS next_n")
     near = f"100 * least(n, next_n) >= {percent} * greatest(n, next_n)"
-    first = lists.where(f"next <> node AND {near}").select(F.least("node", "next").alias("u"), F.greatest("node", "next").alias("v")).distinct()
+    first = chains.where(f"next <> node AND {near}").select(F.least("node", "next").alias("u"), F.greatest("node", "next").alias("v")).distinct()
 
     first = written(_sharing(first, lists, percent), "first")
     sets = written(_sets_for(first, nodes, rows, k), "sets")
@@ -245,11 +248,9 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     roots = connected_components(links)
 
     # what lies across components: only pairs with a member outside the list's largest component
-    member = lists.groupBy("node", "token").agg(F.min("n").alias("n"), F.min("l").alias("l"), F.min("place").alias("place")).withColumn("free", F.expr("min(place) OVER (PARTITION BY node)"))
-    member = member.join(roots, "node", "left").join(nodes.drop("least"), "node").select("token", "node", "n", "l", "free", F.coalesce("root", "node").alias("root"), *PARITY)
-    member = written(member, "members")
+    member = written(lists.join(roots, "node", "left").select("token", "node", "n", "l", "free", F.coalesce("root", "node").alias("root")), "members")
     parts = member.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    some = member.join(parts.select("token", "largest"), "token")
+    some = written(member.join(parts.select("token", "largest"), "token").join(nodes.drop("least"), "node"), "some")
     left = some.where("root <> largest").selectExpr("token", "node AS x", "n AS nx", "l AS lx", "free AS freex", "root AS rx", *(f"{c} AS {c}x" for c in PARITY))
     right = some.selectExpr("token", "node AS y", "n AS ny", "l AS ly", "free AS freey", "root AS ry", "root = largest AS inside", *(f"{c} AS {c}y" for c in PARITY))
     apart = " + ".join(f"bit_count({c}x ^ {c}y)" for c in PARITY)
