@@ -1,0 +1,82 @@
+"""Intraday bars to daily values: reducers over a symbol's minutes, as grouped aggregates.
+
+All reducers of one call share a shuffle by (date, symbol); ordered ones work on the day's own minutes, at most one
+per minute of the day."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+DAY = ("date", "sym")
+
+
+def minutes(bars: DataFrame, start: int = 0, end: int = 1439) -> DataFrame:
+    return bars.where(F.col("minute").between(start, end))
+
+
+def _varied(x: Column) -> Column:
+    return F.min(x) < F.max(x)
+
+
+def _tail(x: Column, alpha: float) -> tuple[Column, Column]:
+    """The k smallest, k = ceil(alpha n)."""
+    a = F.array_sort(F.collect_list(x))
+    return a, F.ceil(F.size(a) * alpha).cast("int")
+
+
+def reducers(x: str = "close", v: str = "volume") -> dict[str, Column]:
+    """Name to aggregate over a day's minutes of x, weighted by v where it says so."""
+    c, w = F.col(x), F.col(v)
+    n = F.count(c)
+    ordered = F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("minute", c.alias("x")))))
+    var, k = _tail(c, 0.05)
+    mean_w = F.try_divide(F.sum(c * w), F.sum(F.when(c.isNotNull(), w)))
+    fold = F.aggregate(ordered, F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("dd")), lambda s, e: F.struct(F.greatest(s["top"], e["x"]).alias("top"), F.greatest(s["dd"], F.when(F.greatest(s["top"], e["x"]) > 0, 1 - e["x"] / F.greatest(s["top"], e["x"])).otherwise(0.0)).alias("dd")))
+    return {
+        "mean": F.avg(c), "wmean": mean_w, "std": F.when(n > 1, F.stddev_samp(c)), "sum": F.sum(c), "wsum": F.sum(c * w), "min": F.min(c), "max": F.max(c), "range": F.max(c) - F.min(c), "median": F.percentile(c, F.lit(0.5)),
+        "skew": F.when((n > 2) & _varied(c), F.sqrt(n * (n - 1)) / F.greatest(n - 2, F.lit(1)) * F.skewness(c)), "kurt": F.when((n > 3) & _varied(c), (n - 1) / F.greatest((n - 2) * (n - 3), F.lit(1)) * ((n + 1) * F.kurtosis(c) + 6)),
+        "first": F.min(F.when(c.isNotNull(), F.struct("minute", c.alias("x"))))["x"], "last": F.max(F.when(c.isNotNull(), F.struct("minute", c.alias("x"))))["x"],
+        "var": F.try_element_at(var, k), "cvar": F.when(k > 0, F.try_divide(F.aggregate(F.slice(var, 1, k), F.lit(0.0), lambda s, e: s + e), k.cast("double"))), "maxdd": fold["dd"], "vwap_ratio": F.try_divide(mean_w, F.avg(c)),
+    }
+
+
+def daily(bars: DataFrame, names: list[str] | None = None, x: str = "close", v: str = "volume") -> DataFrame:
+    found = reducers(x, v)
+    return bars.groupBy(*DAY).agg(*(found[k].alias(k) for k in names or found))
+
+
+def pair_reducers(a: str, b: str) -> dict[str, Column]:
+    """corr, slope, intercept, r2, cov and cosine of b on a over a day's minutes."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    ok = _varied(x)
+    slope = F.when(ok, F.try_divide(F.covar_samp(x, y), F.var_samp(x)))
+    corr = F.when(ok & _varied(y), F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)))
+    cosine = F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y)))
+    return {"corr": corr, "slope": slope, "intercept": F.avg(y) - slope * F.avg(x), "r2": corr * corr, "cov": F.when(F.count(x) > 1, F.covar_samp(x, y)), "cos_sim": cosine}
+
+
+def shifted(bars: DataFrame, column: str, lag: int, name: str) -> DataFrame:
+    return bars.withColumn(name, F.lag(column, lag).over(Window.partitionBy(*DAY).orderBy("minute")))
+
+
+def surge_returns(bars: DataFrame) -> DataFrame:
+    """Per day, over minutes whose volume rises by more than the rises' mean and deviation: how many, and the mean
+    return over the minute."""
+    w = Window.partitionBy(*DAY)
+    rise = bars.withColumn("rise", F.col("volume") - F.lag("volume").over(w.orderBy("minute"))).withColumn("ret", F.try_divide("close", "open") - 1)
+    hit = rise.withColumn("hit", F.col("rise") > F.avg("rise").over(w) + F.stddev_samp("rise").over(w))
+    return hit.groupBy(*DAY).agg(F.sum(F.when(F.col("hit"), 1).otherwise(0)).alias("surges"), F.avg(F.when(F.col("hit"), F.col("ret"))).alias("surge_ret"))
+
+
+def share_of_extremes(bars: DataFrame, k: int = 5, highest: bool = True) -> DataFrame:
+    """Volume share of a day's k minutes of highest (lowest) return, over k times the mean share."""
+    order = [F.desc("ret") if highest else F.asc("ret"), F.asc("minute")]
+    ranked = bars.withColumn("ret", F.try_divide("close", "open") - 1).where("ret IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy(*DAY).orderBy(*order)))
+    return ranked.groupBy(*DAY).agg((F.try_divide(F.sum(F.when(F.col("k") <= k, F.col("volume")).otherwise(0.0)), F.sum("volume")) * F.count("*") / F.least(F.count("*"), F.lit(k))).alias("share"))
+
+
+def entropy(bars: DataFrame) -> DataFrame:
+    """Entropy of the volume's distribution over the day's minutes."""
+    p = F.col("volume") / F.sum("volume").over(Window.partitionBy(*DAY))
+    return bars.where("volume > 0").withColumn("p", p).groupBy(*DAY).agg((-F.sum(F.col("p") * F.ln("p"))).alias("entropy"))
