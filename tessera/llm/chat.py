@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Control strings, with any number of backslashes after their first character when escaped.
 CONTROL = r"([<\[])(\\*)(\||/?s>|/?INST\])"
@@ -62,7 +62,9 @@ def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     """Per turn: conv_id, turn, formatted, in_loss, body_start and body_chars (the loss span's place in formatted, in
     code points), attachments (array of kind, uri, place, tokens), expanded_tokens."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    if "parts" in turns.columns:
+    kind = turns.schema["parts"].dataType if "parts" in turns.columns else None
+    # a column of that name and another type is not a part list
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and kind.elementType.names == [x.split(":")[0] for x in PART[7:-1].split(",")]:
         parts = F.col("parts").cast(f"array<{PART}>")
         body = F.coalesce(F.array_join(F.transform(parts, _shown), ""), escape(text))
         away = F.filter(F.transform(parts, lambda p, k: F.struct(p["kind"].alias("kind"), p["uri"].alias("uri"), k.alias("place"), _tokens(p).alias("tokens"))), lambda a: a["kind"] != "text")

@@ -118,11 +118,14 @@ def findings(docs: DataFrame, source: Column, model: RandomForestClassificationM
 def redacted(docs: DataFrame, source: Column, model: RandomForestClassificationModel | None = None, mark: str = "<secret>") -> DataFrame:
     """docs with every finding's value replaced in its text; no document goes. Columns as in docs, n_chars made anew
     where there is one. Only documents with findings are joined, by id and text hash."""
-    out = docs.withColumn("_key", F.xxhash64("text"))
-    found = findings(out.withColumn("doc_id", F.struct(F.col("doc_id").alias("i"), F.col("_key").alias("k"))), source, model)
-    values = found.groupBy(F.col("doc_id.i").alias("_i"), F.col("doc_id.k").alias("_k")).agg(F.collect_set("value").alias("_values"))
-    joined = out.join(values, out["doc_id"].eqNullSafe(values["_i"]) & (out["_key"] == values["_k"]), "left")
-    longest_first = F.array_sort("_values", lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
+    # names of its own, apart from any that docs may have
+    key, values = "__text_hash", "__secret_values"
+    out = docs.withColumn(key, F.xxhash64("text"))
+    named = out.select(F.struct(F.col("doc_id").alias("i"), F.col(key).alias("k")).alias("doc_id"), source.cast("string").alias("source"), "text")
+    found = findings(named, F.col("source"), model)
+    gathered = found.groupBy(F.col("doc_id.i").alias("__i"), F.col("doc_id.k").alias("__k")).agg(F.collect_set("value").alias(values))
+    joined = out.join(gathered, out["doc_id"].eqNullSafe(gathered["__i"]) & (out[key] == gathered["__k"]), "left")
+    longest_first = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
+    text = F.when(F.col(values).isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
     made = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.select(*(made.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return joined.select(*(made.get(c, out[c]).alias(c) for c in docs.columns))

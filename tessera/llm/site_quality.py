@@ -118,5 +118,5 @@ def kept_documents(docs: DataFrame, labels: DataFrame, host: Column, path: Colum
     """docs without those judged of bad quality; columns as in docs."""
     bad = written(judged(docs, labels, host, path).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "rejected")
     few = bad.count() <= BROADCAST_KEYS
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_key"))
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_key"])
     return docs.join(F.broadcast(bad) if few else bad, same, "left_anti")
