@@ -42,7 +42,7 @@ MAX_MATCHES = 6
 #: Cost of verifying a candidate, in posting rows read.
 VERIFY_COST = 12.0
 #: Different orders in which posting lists link neighbours.
-ORDERS = 8
+ORDERS = 3
 #: Document ids that are broadcast at most.
 BROADCAST_IDS = 500_000
 
@@ -82,13 +82,34 @@ def _parities(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+#: Words of 64 bits in the wider parities that candidate pairs are held to before their sets are fetched.
+WIDE = 32
+
+
+def _wide_parities(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The same over 64 * WIDE buckets, a row of WIDE words for each text."""
+    spot = mix(h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 6 - WIDE.bit_length() + 1)
+    out = np.zeros((len(first) - 1) * WIDE, np.uint64)
+    lane = np.repeat(np.arange(len(first) - 1), np.diff(first)) * WIDE + (spot >> np.uint64(6)).astype(np.int64)
+    order = np.argsort(lane, kind="stable")
+    lane, bit = lane[order], (np.uint64(1) << (spot & np.uint64(63)))[order]
+    if len(lane):
+        at = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
+        out[lane[at]] = np.bitwise_xor.reduceat(bit, at)
+    return out.view(np.int64).reshape(-1, WIDE)
+
+
+def _rows_of(words: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
+
+
 def _survey(k: int):
     """Rows of kind 0, one per document: doc_id, size, two signatures; of kind 1: a shingle and how many documents of
     a batch hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_all, a_all, b_all, h_all, p_all = [], [], [], [], []
+            n_all, a_all, b_all, h_all, p_all, w_all = [], [], [], [], [], []
             for i, j, data, offsets in text_runs(batch):
                 h, first = sets_of(Words(data, offsets), k)
                 a, b = _signatures(h, first)
@@ -97,10 +118,11 @@ def _survey(k: int):
                 b_all.append(b)
                 h_all.append(h)
                 p_all.append(_parities(h, first))
+                w_all.append(_wide_parities(h, first))
             if not n_all:
                 continue
             n, a, b = (np.concatenate(x) for x in (n_all, a_all, b_all))
-            yield pa.record_batch({"kind": np.zeros(len(n), np.int32), "doc_id": batch.column(0), "n": n.astype(np.int64), "a": a.view(np.int64), "b": b.view(np.int64), **{name: np.concatenate([x[i] for x in p_all]) for i, name in enumerate(PARITY)}})
+            yield pa.record_batch({"kind": np.zeros(len(n), np.int32), "doc_id": batch.column(0), "n": n.astype(np.int64), "a": a.view(np.int64), "b": b.view(np.int64), **{name: np.concatenate([x[i] for x in p_all]) for i, name in enumerate(PARITY)}, "wide": _rows_of(np.concatenate(w_all))})
             # copies of a set count once
             _, one = np.unique(a, return_index=True)
             once = np.zeros(len(a), bool)
@@ -111,7 +133,7 @@ def _survey(k: int):
             often = count >= COUNTED_FROM
             if often.any():
                 h, count = h[at[often]], count[often]
-                yield pa.record_batch({"kind": np.ones(len(h), np.int32), "doc_id": pa.nulls(len(h), pa.int64()), "n": count.astype(np.int64), "a": h.view(np.int64), "b": np.zeros(len(h), np.int64), **{name: np.zeros(len(h), np.int64) for name in PARITY}})
+                yield pa.record_batch({"kind": np.ones(len(h), np.int32), "doc_id": pa.nulls(len(h), pa.int64()), "n": count.astype(np.int64), "a": h.view(np.int64), "b": np.zeros(len(h), np.int64), **{name: np.zeros(len(h), np.int64) for name in PARITY}, "wide": _rows_of(np.zeros((len(h), 0), np.int64))})
 
     return run
 
@@ -205,22 +227,35 @@ def _sharing(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     return both.where(F.size(F.array_intersect("tu", "tv")) >= F.least("lu", "lv")).select("u", "v")
 
 
+def _close(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wider parities allow a link. wide: node, n, wide, once or more for each node."""
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    own = wide.join(ends, "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.first("wide").alias("w"))
+    side = lambda c: own.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("w").alias(f"w{c}"))
+    apart = F.aggregate(F.zip_with("wu", "wv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(apart * (100 + percent) <= F.lit(100 - percent) * (F.col("nu") + F.col("nv"))).select("u", "v")
+
+
 def _sets_for(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the nodes in the pairs, from one text of each. The ids are broadcast where a count shows
-    them to be few; otherwise the texts are joined with them."""
+    """(node, shingles) of the nodes in the pairs, written, from one text of each. The ids are broadcast where a count
+    shows them to be few; otherwise the texts are joined with them."""
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node").select(F.col("least").alias("doc_id")).distinct()
     wanted = written(wanted, "wanted")
     few = wanted.count() <= BROADCAST_IDS
     texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").select("text")
-    return texts.mapInArrow(_sets(k), "node long, shingles array<long>").dropDuplicates(["node"])
+    sets = written(texts.mapInArrow(_sets(k), "node long, shingles array<long>"), "sets")
+    # only rows that share a doc_id can give a node twice
+    repeated = sets.groupBy("node").count().where("count > 1")
+    return sets if repeated.isEmpty() else written(sets.dropDuplicates(["node"]), "sets")
 
 
 def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, node (the set's name), root (of its component), component_id, for each row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = written(rows.mapInArrow(_survey(k), "kind int, doc_id long, n long, a long, b long, " + ", ".join(f"{c} long" for c in PARITY)), "survey")
+    survey = written(rows.mapInArrow(_survey(k), "kind int, doc_id long, n long, a long, b long, " + ", ".join(f"{c} long" for c in PARITY) + ", wide array<long>"), "survey")
     ids = survey.where("kind = 0").select("doc_id", "n", F.col("a").alias("node"), *PARITY)
+    wide = survey.where("kind = 0 AND n > 0").select(F.col("a").alias("node"), "n", "wide")
     top = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(COMMON).toPandas()
     tokens = top["a"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -242,8 +277,8 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     near = f"100 * least(n, next_n) >= {percent} * greatest(n, next_n)"
     first = chains.where(f"next <> node AND {near}").select(F.least("node", "next").alias("u"), F.greatest("node", "next").alias("v")).distinct()
 
-    first = written(_sharing(first, lists, percent), "first")
-    sets = written(_sets_for(first, nodes, rows, k), "sets")
+    first = written(_close(_sharing(first, lists, percent), wide, percent), "first")
+    sets = _sets_for(first, nodes, rows, k)
     links = written(_verified(first, sets, percent), "links")
     roots = connected_components(links)
 
@@ -256,8 +291,8 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     apart = " + ".join(f"bit_count({c}x ^ {c}y)" for c in PARITY)
     across = left.join(right, "token").where(f"rx <> ry AND (inside OR x < y) AND {_may_link('x', 'y', percent)} AND ({apart}) * {100 + percent} <= {100 - percent} * (nx + ny)")
     second = across.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.count("*").alias("shared"), F.min(F.least("lx", "ly")).alias("wanted")).where("shared >= wanted")
-    second = written(second.select("u", "v"), "second")
-    more = written(_sets_for(second, nodes, rows, k), "sets")
+    second = written(_close(second.select("u", "v"), wide, percent), "second")
+    more = _sets_for(second, nodes, rows, k)
     links = links.unionByName(_verified(second, more, percent))
     roots = written(connected_components(links), "roots")
 
