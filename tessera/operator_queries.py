@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import asof, evaluation, minute, similarity, store
+from .operators import asof, evaluation, minute, similarity, store, styles
 from .plans.formula import evaluate
+from .plans.infix import parse_infix
+from .plans.splits import labelled_parts, walk_forward
 from .sources.panels import MINUTE_SQL, MONTHLY_SQL, minute_bars, monthly_panel, read
 from .streaming.bars import sessions
 
@@ -300,3 +302,52 @@ def minute_entropy(spark, sf_dir):
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, count(*) AS events FROM s GROUP BY user_id, k""")
 def event_sessions(spark, sf_dir):
     return sessions(read(spark, sf_dir, "events"))
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()}, a AS (SELECT *, lag(x) OVER o AS b FROM p {_W}), c AS (SELECT date, di, sym, CASE WHEN x > b AND y >= 200 THEN (x - b) / w WHEN NOT (x > b AND y >= 200) THEN -b END AS v FROM a)
+SELECT date, di, sym, round(v, 4) + 0.0 AS v FROM c""")
+def infix_formula(spark, sf_dir):
+    tree = parse_infix("($x - DELAY($x,1)) / $w if $x > DELAY($x,1) and con else -DELAY($x,1)")
+    return _rounded(evaluate(monthly_panel(spark, sf_dir), {"v": tree}), 4)
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()}, k AS (SELECT unnest(range(0, 6)) AS k), r AS (SELECT k AS fold, 'train' AS part, k * 6 AS a, k * 6 + 23 AS b FROM k UNION ALL SELECT k, 'validation', k * 6 + 25, k * 6 + 30 FROM k UNION ALL SELECT k, 'test', k * 6 + 32, k * 6 + 37 FROM k)
+SELECT CAST(fold AS INT) AS fold, part, count(x) AS cells, CAST(min(di) AS INT) AS first, CAST(max(di) AS INT) AS last FROM r JOIN p ON di BETWEEN a AND b WHERE di < 68 GROUP BY 1, 2""")
+def walk_forward_parts(spark, sf_dir):
+    parts = labelled_parts(monthly_panel(spark, sf_dir).where("di < 68"), walk_forward(spark, 68, 24, 6, 1, 6))
+    return parts.groupBy("fold", "part").agg(F.count("x").alias("cells"), F.min("di").alias("first"), F.max("di").alias("last"))
+
+
+_CLIP = "greatest(least({0}, quantile_cont({0}, 0.95) OVER (PARTITION BY di)), quantile_cont({0}, 0.05) OVER (PARTITION BY di))"
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()}, c AS (SELECT di, sym, w, CASE WHEN x IS NOT NULL THEN {_CLIP.format('x')} END AS a, CASE WHEN y IS NOT NULL THEN {_CLIP.format('y')} END AS b FROM p),
+z AS (SELECT di, sym, CASE WHEN min(a) OVER cs < max(a) OVER cs THEN (a - sum(a * w) OVER cs / sum(CASE WHEN a IS NOT NULL THEN w END) OVER cs) / stddev_samp(a) OVER cs END AS za, CASE WHEN min(b) OVER cs < max(b) OVER cs THEN (b - sum(b * w) OVER cs / sum(CASE WHEN b IS NOT NULL THEN w END) OVER cs) / stddev_samp(b) OVER cs END AS zb FROM c WINDOW cs AS (PARTITION BY di))
+SELECT di, sym, CASE WHEN za IS NOT NULL OR zb IS NOT NULL THEN round((coalesce(za, 0) + coalesce(zb, 0)) / ((za IS NOT NULL)::INT + (zb IS NOT NULL)::INT), 6) + 0.0 END AS style FROM z""")
+def style_field(spark, sf_dir):
+    return _rounded(styles.weighted_style(monthly_panel(spark, sf_dir), ["x", "y"], "w").select("di", "sym", "style"))
+
+
+@query(f"WITH {MONTHLY_SQL.strip()} SELECT di, {_CORR.format(a='x', b='y')} AS y0, {_CORR.format(a='x', b='w')} AS w0 FROM p GROUP BY di".replace(_CORR.format(a='x', b='y') + " AS y0", "round(" + _CORR.format(a='x', b='y') + ", 6) AS y").replace(_CORR.format(a='x', b='w') + " AS w0", "round(" + _CORR.format(a='x', b='w') + ", 6) AS w"))
+def style_exposures(spark, sf_dir):
+    return _rounded(styles.exposures(monthly_panel(spark, sf_dir).withColumn("v", F.col("x")), ["y", "w"]))
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()}, r AS (SELECT di, sym, w, x / nullif(lag(x) OVER o, 0) - 1 AS r FROM p {_W}), mk AS (SELECT *, sum(r * w) OVER (PARTITION BY di) / sum(CASE WHEN r IS NOT NULL THEN w END) OVER (PARTITION BY di) AS m FROM r), b AS (SELECT di, sym, CASE WHEN r IS NOT NULL THEN m END AS a, CASE WHEN m IS NOT NULL THEN r END AS b FROM mk)
+SELECT di, sym, CASE WHEN count(a) OVER t >= 6 AND min(a) OVER t < max(a) OVER t THEN round(covar_pop(a, b) OVER t / var_pop(a) OVER t, 5) + 0.0 END AS beta FROM b WINDOW t AS (PARTITION BY sym ORDER BY di ROWS 11 PRECEDING)""")
+def market_beta(spark, sf_dir):
+    p = monthly_panel(spark, sf_dir)
+    r = evaluate(p, {"r": "diff_q(x)", "w1": "ts_self(w)"})
+    return _rounded(styles.market_beta(r, "r", "w1", 12, 6).select("di", "sym", "beta"), 5)
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()}, u AS (SELECT di, sym, unnest(['x', 'y', 'w']) AS f, unnest([x, y * 1.0, w * 30.0]) AS v FROM p), n AS (SELECT *, rank() OVER (PARTITION BY di, sym, v IS NULL ORDER BY v) AS r, count(v) OVER (PARTITION BY di, sym) AS n, count(v) OVER (PARTITION BY di, sym, v) AS k FROM u), q AS (SELECT di, sym, f, CASE WHEN v IS NULL THEN 0.5 ELSE (r + (k - 1) / 2.0 - 0.5) / n END AS v FROM n)
+SELECT di, sym, round(max(v) FILTER (f = 'x'), 6) AS x_r, round(max(v) FILTER (f = 'y'), 6) AS y_r, round(max(v) FILTER (f = 'w'), 6) AS w_r FROM q GROUP BY di, sym""")
+def row_ranked_features(spark, sf_dir):
+    p = monthly_panel(spark, sf_dir).withColumn("w", F.col("w") * 30)
+    return _rounded(styles.row_ranked(p, ["x", "y", "w"]).select("di", "sym", "x_r", "y_r", "w_r"))
+
+
+@query()
+def buffered_book(spark, sf_dir):
+    return styles.buffered(styles.top_names(_values(spark, sf_dir), 8), 4, 8)

@@ -152,10 +152,10 @@ def _started(node: Node, column) -> tuple:
     return o.build(*args, **dict(node.named))
 
 
-def evaluate(panel: DataFrame, formulas: dict[str, str], kinds: dict[str, str] | None = None) -> DataFrame:
-    """panel(date, di, sym, fields) to (date, di, sym, one column per formula)."""
+def evaluate(panel: DataFrame, formulas: dict[str, str | Node], kinds: dict[str, str] | None = None) -> DataFrame:
+    """panel(date, di, sym, fields) to (date, di, sym, one column per formula). A formula is text or a tree."""
     kinds = kinds or {k: KINDS[t] for k, t in panel.dtypes if t in KINDS and k not in ("di",)}
-    roots = {name: parse(f) for name, f in formulas.items()}
+    roots = {name: f if isinstance(f, Node) else parse(f) for name, f in formulas.items()}
     nodes: dict[Node, int] = {}
 
     def visit(n: Node) -> None:

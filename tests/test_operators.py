@@ -3,7 +3,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from tessera.operators import asof, evaluation, similarity, store
+from tessera.operators import asof, evaluation, similarity, store, styles
+from tessera.plans.infix import parse_infix
 from tessera.streaming.bars import streaming_bars
 
 
@@ -76,3 +77,20 @@ def test_streaming_bars(spark):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(volume) FROM bars").first()[0] == 30
+
+
+def test_buffered_book_by_loop(spark):
+    ranks = {0: [3, 1, 4, 2, 5], 1: [1, 5, 2, 6, 3], 2: [5, 6, 4, 1, 2]}
+    df = spark.createDataFrame([(d, i, r + 1) for d, ids in ranks.items() for r, i in enumerate(ids)], "di int, id long, rank int")
+    held, want = [], set()
+    for d, ids in ranks.items():
+        near = ids[:4]
+        kept = [i for i in near if i in held]
+        held = (kept + [i for i in near if i not in kept])[:2]
+        want |= {(d, i) for i in held}
+    assert {tuple(r) for r in styles.buffered(df, 2, 4).collect()} == want
+
+
+def test_infix_text():
+    assert parse_infix("-a * (b + 2) >= RANK(c)").text() == "ge(mul(neg(a),add(b,2)),RANK(c))"
+    assert parse_infix("x ** 2 if a > b else $y").text() == "WHERE(GT(a,b),power(x,2),y)"
