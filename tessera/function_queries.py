@@ -163,7 +163,9 @@ CASES |= {
     "hold_until": ("hold_until(x,con,LT(y,DELAY(y,1)))", ({"q": "y < lag(y) OVER o"}, {"e": f"last_value(CASE WHEN q THEN struct_pack(v := NULL::DOUBLE) WHEN con AND x IS NOT NULL THEN struct_pack(v := x) END IGNORE NULLS) OVER {HELD}"}, "e.v")),
     "anomaly_past": ("anomaly_past(x,12)", ({"c": "count(x) OVER b", "s": "stddev_pop(x) OVER b", "a": "avg(x) OVER b", "f": "min(x) OVER b < max(x) OVER b"}, "CASE WHEN x IS NOT NULL THEN CASE WHEN c >= 5 AND f THEN (x - a) / s ELSE 0 END END")),
     "protected_div": ("protected_div(x,diff(w))", ({"q": "w - lag(w) OVER o"}, "CASE WHEN abs(q) > 0.001 THEN x / q WHEN q IS NOT NULL AND x IS NOT NULL THEN 1.0 END")), "protected_sqrt": ("protected_sqrt(diff(x))", ({"q": "x - lag(x) OVER o"}, "sqrt(abs(q))")), "protected_log": ("protected_log(diff(w))", ({"q": "w - lag(w) OVER o"}, "CASE WHEN abs(q) > 0.001 THEN ln(abs(q)) WHEN q IS NOT NULL THEN 0.0 END")),
-    "protected_inverse": ("protected_inverse(diff(w))", ({"q": "w - lag(w) OVER o"}, "CASE WHEN abs(q) > 0.001 THEN 1 / q WHEN q IS NOT NULL THEN 0.0 END")), "sigmoid": ("sigmoid(cs_zscore(x))", ({"q": z("x")}, "1 / (1 + exp(-q))")),
+    "protected_inverse": ("protected_inverse(diff(w))", ({"q": "w - lag(w) OVER o"}, "CASE WHEN abs(q) > 0.001 THEN 1 / q WHEN q IS NOT NULL THEN 0.0 END")), "safe_ratio": ("safe_ratio(x,diff(w),-100,100)", ({"q": "w - lag(w) OVER o"}, "CASE WHEN x IS NOT NULL AND abs(q) > 1e-12 THEN least(greatest(x / q, -100), 100) END")),
+    "safe_growth": ("safe_growth(diff(x),ts_delay(diff(x),1),-5,5,True)", ({"q": "x - lag(x) OVER o"}, {"b": "lag(q) OVER o"}, "CASE WHEN q IS NOT NULL AND abs(b) > 1e-12 THEN least(greatest((q - b) / abs(b), -5), 5) END")),
+    "stability": ("stability(x,6,3)", gated("CASE WHEN min(x) OVER ts < max(x) OVER ts THEN avg(x) OVER ts / stddev_samp(x) OVER ts END")), "sigmoid": ("sigmoid(cs_zscore(x))", ({"q": z("x")}, "1 / (1 + exp(-q))")),
 }
 
 WINDOWS = "WINDOW cs AS (PARTITION BY di), grp AS (PARTITION BY di, g), o AS (PARTITION BY sym ORDER BY di), ts AS (PARTITION BY sym ORDER BY di ROWS 5 PRECEDING), t12 AS (PARTITION BY sym ORDER BY di ROWS 11 PRECEDING), b AS (PARTITION BY sym ORDER BY di ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)"

@@ -343,3 +343,31 @@ def protected_inverse(x):
 @op("f")
 def sigmoid(x):
     return F.when(x.isNotNull(), 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(700.0)), F.lit(-700.0)))))
+
+
+# ratios of reported figures
+
+
+def _between(x: Column, lower, upper) -> Column:
+    x = x if lower is None else F.when(x.isNotNull(), F.greatest(x, F.lit(float(lower))))
+    return x if upper is None else F.when(x.isNotNull(), F.least(x, F.lit(float(upper))))
+
+
+@op("ff")
+def safe_ratio(x, y, lower=None, upper=None):
+    """x over y, missing where y is nearly nothing, clipped."""
+    return _between(F.when(F.abs(y) > 1e-12, x / F.when(F.abs(y) > 1e-12, y)), lower, upper)
+
+
+@op("ff")
+def safe_growth(x, y, lower=None, upper=None, absolute=False):
+    """Growth from y to x, over |y| if absolute, clipped."""
+    base = F.abs(y) if absolute else y
+    return _between(F.when(F.abs(y) > 1e-12, (x - y) / F.when(F.abs(y) > 1e-12, base)), lower, upper)
+
+
+@op("f")
+def stability(x, n=12, least=4):
+    """Mean over deviation of the last rows."""
+    w = rolling(n)
+    return F.when((F.count(x).over(w) >= int(least)) & (F.min(x).over(w) < F.max(x).over(w)), F.avg(x).over(w) / F.stddev_samp(x).over(w))

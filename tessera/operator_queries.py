@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import asof, evaluation, minute, similarity, store, styles
+from .operators import asof, evaluation, fitness, minute, similarity, store, styles
 from .plans.formula import evaluate
 from .plans.infix import parse_infix
 from .plans.splits import labelled_parts, walk_forward
@@ -351,3 +351,65 @@ def row_ranked_features(spark, sf_dir):
 @query()
 def buffered_book(spark, sf_dir):
     return styles.buffered(styles.top_names(_values(spark, sf_dir), 8), 4, 8)
+
+
+_MIN = "PARTITION BY date, minute"
+
+
+@query(f"""WITH {MINUTE_SQL.strip()}, r AS (SELECT *, dense_rank() OVER (PARTITION BY date, minute ORDER BY close) AS r FROM b)
+SELECT date, minute, sym, round(CASE WHEN max(r) OVER w = 1 THEN 0.5 ELSE (r - 1) / (max(r) OVER w - 1)::DOUBLE END, 6) AS rank, round(close - avg(close) OVER w, 6) + 0.0 AS neutral, round(CASE WHEN min(close) OVER w = max(close) OVER w THEN 0.5 ELSE (close - min(close) OVER w) / (max(close) OVER w - min(close) OVER w) END, 6) + 0.0 AS scaled,
+round(CASE WHEN volume > 0 THEN volume / sum(volume) FILTER (volume > 0) OVER w END, 6) + 0.0 AS weight FROM r WINDOW w AS ({_MIN})""")
+def minute_cross_section(spark, sf_dir):
+    b = minute_bars(spark, sf_dir).withColumns({"rank": F.col("close"), "neutral": F.col("close"), "scaled": F.col("close"), "weight": F.col("volume")})
+    for c, how in (("rank", "rank"), ("neutral", "neutralize"), ("scaled", "scale"), ("weight", "weight")):
+        b = minute.cross_section(b, c, how)
+    return _rounded(b.select("date", "minute", "sym", "rank", "neutral", "scaled", "weight"))
+
+
+@query(f"""WITH {MINUTE_SQL.strip()}, t AS (SELECT *, row_number() OVER (PARTITION BY date, sym ORDER BY minute DESC) AS k FROM b), l AS (SELECT *, first(close) OVER (PARTITION BY date, sym ORDER BY minute DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS own FROM t WHERE k <= 5)
+SELECT date, sym, round(sum(CASE WHEN close < own THEN 1.0 WHEN close = own THEN 0.5 ELSE 0.0 END) / count(close), 6) + 0.0 AS ts_rank, CASE WHEN min(close) < max(close) THEN round((min(own) - avg(close)) / stddev_pop(close), 6) + 0.0 END AS ts_zscore,
+CASE WHEN min(close) < max(close) AND min(open) < max(open) THEN round(corr(close, open), 6) + 0.0 END AS ts_corr, CASE WHEN min(open) < max(open) THEN round(covar_pop(close, open) / var_pop(open), 6) + 0.0 END AS ts_beta FROM l GROUP BY 1, 2""")
+def minute_last(spark, sf_dir):
+    return _rounded(minute.last_minutes(minute_bars(spark, sf_dir), "close", "open"))
+
+
+@query(f"""WITH {MINUTE_SQL.strip()}, k AS (SELECT date, sym, minute, close AS c, lag(close) OVER (PARTITION BY date, sym ORDER BY minute) AS x FROM b WHERE minute BETWEEN 360 AND 1200)
+SELECT date, sym, round(CASE WHEN count(x) < 5 THEN 0.0 ELSE coalesce(CASE WHEN min(x) < max(x) AND min(c) FILTER (x IS NOT NULL) < max(c) FILTER (x IS NOT NULL) THEN corr(x, c) END, 0.0) END, 6) + 0.0 AS value FROM k GROUP BY 1, 2""")
+def minute_autocorr(spark, sf_dir):
+    return _rounded(minute.parametric(minute_bars(spark, sf_dir), "close", "autocorr", start=360, end=1200))
+
+
+@query(f"""WITH {MINUTE_SQL.strip()}, w AS (SELECT *, min(close) OVER (PARTITION BY date, sym) AS lo, max(close) OVER (PARTITION BY date, sym) AS hi FROM b), n AS (SELECT date, sym, CASE WHEN hi > lo THEN least(floor((close - lo) / (hi - lo) * 10), 9) ELSE 0 END AS k, count(*) AS n FROM w GROUP BY 1, 2, 3), q AS (SELECT date, sym, n / sum(n) OVER (PARTITION BY date, sym) AS p FROM n)
+SELECT date, sym, round(-sum(p * ln(p)), 6) + 0.0 AS value FROM q GROUP BY 1, 2""")
+def minute_binned_entropy(spark, sf_dir):
+    return _rounded(minute.parametric(minute_bars(spark, sf_dir), "close", "entropy"))
+
+
+@query(f"""WITH {MINUTE_SQL.strip()}, f AS (SELECT *, lag(volume, 2) OVER (PARTITION BY date, sym ORDER BY minute) AS v2 FROM b), k AS (SELECT * FROM f WHERE v2 IS NOT NULL),
+r AS (SELECT date, sym, rank() OVER (PARTITION BY date, sym ORDER BY high) + (count(*) OVER (PARTITION BY date, sym, high) - 1) / 2.0 AS a, rank() OVER (PARTITION BY date, sym ORDER BY v2) + (count(*) OVER (PARTITION BY date, sym, v2) - 1) / 2.0 AS c FROM k)
+SELECT date, sym, CASE WHEN min(a) < max(a) AND min(c) < max(c) THEN round(corr(a, c), 6) + 0.0 END AS value FROM r GROUP BY 1, 2""")
+def minute_rank_corr(spark, sf_dir):
+    return _rounded(minute.parametric(minute_bars(spark, sf_dir), "high", "rank_corr", "volume", lag=2))
+
+
+_WC = "(sum(w * {0} * {1}) / sum(w) - sum(w * {0}) / sum(w) * sum(w * {1}) / sum(w)) / sqrt((sum(w * {0} * {0}) / sum(w) - pow(sum(w * {0}) / sum(w), 2)) * (sum(w * {1} * {1}) / sum(w) - pow(sum(w * {1}) / sum(w), 2)))"
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()}, k AS (SELECT di, w, x / 64 AS a, y / 64 AS b FROM p WHERE x IS NOT NULL), r AS (SELECT *, rank() OVER (PARTITION BY di ORDER BY a) + (count(*) OVER (PARTITION BY di, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY di ORDER BY b) + (count(*) OVER (PARTITION BY di, b) - 1) / 2.0 AS rb FROM k)
+SELECT di, round({_WC.format('a', 'b')}, 6) + 0.0 AS pearson, round({_WC.format('ra', 'rb')}, 6) + 0.0 AS spearman, round(sum(w * abs(a - b)) / sum(w), 6) AS mae, round(sum(w * pow(a - b, 2)) / sum(w), 6) AS mse, round(sqrt(sum(w * pow(a - b, 2)) / sum(w)), 6) AS rmse FROM r GROUP BY di HAVING count(*) > 20""")
+def fitness_scores(spark, sf_dir):
+    p = monthly_panel(spark, sf_dir).where("x IS NOT NULL").select("di", "w", (F.col("x") / 64).alias("a"), (F.col("y") / 64).alias("b"))
+    many = p.groupBy("di").count().where("count > 20").select("di")
+    return _rounded(fitness.scores(p.join(many, "di", "left_semi"), "di", "a", "b", "w"))
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()}, f AS (SELECT sum(w * -(CASE WHEN con THEN ln(q) ELSE ln(1 - q) END)) / sum(w) AS l FROM (SELECT *, 0.05 + 0.9 * (sym % 7) / 7.0 AS q FROM p WHERE w IS NOT NULL)) SELECT round(l, 6) AS log_loss FROM f""")
+def fitness_log_loss(spark, sf_dir):
+    p = monthly_panel(spark, sf_dir).withColumn("q", 0.05 + 0.9 * (F.col("sym") % 7) / F.lit(7.0))
+    return _rounded(p.agg(fitness.log_loss(F.col("con").cast("double"), F.col("q"), F.col("w")).alias("log_loss")))
+
+
+@query(f"""WITH {_VALUES}, b1 AS (SELECT di, ret, CAST(least(floor(rv * (10 - 1e-9)), 9) AS INT) AS bucket FROM ranked WHERE rv IS NOT NULL AND ret IS NOT NULL), g1 AS (SELECT di, bucket, avg(ret) AS ret FROM b1 GROUP BY 1, 2)
+SELECT di, CASE WHEN min(bucket) < max(bucket) AND min(ret) < max(ret) THEN round(corr(bucket, ret), 6) + 0.0 END AS monotonicity, arg_max(bucket, ret) AS best FROM g1 GROUP BY di""")
+def fitness_monotonicity(spark, sf_dir):
+    return _rounded(fitness.monotonicity(evaluation.group_returns(_values(spark, sf_dir)), "di", "bucket", "ret"))

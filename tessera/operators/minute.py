@@ -80,3 +80,84 @@ def entropy(bars: DataFrame) -> DataFrame:
     """Entropy of the volume's distribution over the day's minutes."""
     p = F.col("volume") / F.sum("volume").over(Window.partitionBy(*DAY))
     return bars.where("volume > 0").withColumn("p", p).groupBy(*DAY).agg((-F.sum(F.col("p") * F.ln("p"))).alias("entropy"))
+
+
+def cross_section(bars: DataFrame, column: str, how: str) -> DataFrame:
+    """bars with the column ranked (0..1, dense), neutralized, standardised, scaled or weighted within each minute."""
+    w, x = Window.partitionBy("date", "minute"), F.col(column)
+    flat = (F.count(x).over(w) == 1) | (F.min(x).over(w) == F.max(x).over(w))
+    if how == "rank":
+        bars = bars.withColumn("_r", F.when(x.isNotNull(), F.dense_rank().over(Window.partitionBy("date", "minute", x.isNull()).orderBy(x))))
+        most = F.max("_r").over(w)
+        return bars.withColumn(column, F.when(F.col("_r").isNotNull(), F.when(most == 1, 0.5).otherwise((F.col("_r") - 1) / (most - 1)))).drop("_r")
+    made = {
+        "neutralize": x - F.avg(x).over(w), "zscore": F.when(x.isNotNull(), F.when(flat, 0.0).otherwise((x - F.avg(x).over(w)) / F.stddev_samp(x).over(w))),
+        "scale": F.when(x.isNotNull(), F.when(flat, 0.5).otherwise((x - F.min(x).over(w)) / (F.max(x).over(w) - F.min(x).over(w)))), "weight": F.when(x > 0, x / F.sum(F.when(x > 0, x)).over(w)),
+    }
+    return bars.withColumn(column, made[how])
+
+
+def last_minutes(bars: DataFrame, x: str, y: str, n: int = 5) -> DataFrame:
+    """Per day, over its last n bars: the last x's rank and z-score among them (population), correlation and slope of x
+    and y."""
+    w = Window.partitionBy(*DAY).orderBy(F.desc("minute"))
+    tail = bars.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
+    own = F.first(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    tail = tail.withColumn("_own", own)
+    v = F.col(x)
+    rank = F.try_divide(F.sum(F.when(v < F.col("_own"), 1.0).when(v == F.col("_own"), 0.5).otherwise(0.0)), F.count(v))
+    z = F.when(_varied(v), (F.first("_own") - F.avg(v)) / F.stddev_pop(v))
+    pair = pair_reducers(y, x)
+    return tail.groupBy(*DAY).agg(rank.alias("ts_rank"), z.alias("ts_zscore"), pair["corr"].alias("ts_corr"), pair["slope"].alias("ts_beta"))
+
+
+def sequence_reducers(x: str) -> dict[str, Column]:
+    """Reducers that look at a day's minutes in order; add_neighbours gives the columns they read."""
+    c, before = F.col(x), F.col("_before")
+    both = c.isNotNull() & before.isNotNull()
+    a, b = F.when(both, before), F.when(both, c)
+    corr = F.when(_varied(a) & _varied(b), F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)))
+    return {
+        "autocorr": F.when(F.count(a) < 5, 0.0).otherwise(F.coalesce(corr, F.lit(0.0))),
+        "zero_cross": F.coalesce(F.try_divide(F.sum(F.when(both, F.when(F.signum(c) * F.signum(before) < 0, 1.0).otherwise(0.0))), F.count(a)), F.lit(0.0)),
+        "ret": F.try_divide(F.max(F.when(c.isNotNull(), F.struct("minute", c.alias("x"))))["x"], F.min(F.when(c.isNotNull(), F.struct("minute", c.alias("x"))))["x"]) - 1,
+    }
+
+
+def add_neighbours(bars: DataFrame, x: str) -> DataFrame:
+    return bars.withColumn("_before", F.lag(x).over(Window.partitionBy(*DAY).orderBy("minute")))
+
+
+def binned_entropy(bars: DataFrame, x: str, bins: int = 10) -> DataFrame:
+    """Entropy of a day's values in equal bins from their least to their greatest; 0 where all are equal."""
+    w, v = Window.partitionBy(*DAY), F.col(x)
+    lo, hi = F.min(v).over(w), F.max(v).over(w)
+    bin_of = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(0)
+    counts = bars.where(v.isNotNull()).withColumn("_b", bin_of).groupBy(*DAY, "_b").agg(F.count("*").alias("_n"))
+    p = F.col("_n") / F.sum("_n").over(w)
+    return counts.withColumn("_p", p).groupBy(*DAY).agg((-F.sum(F.col("_p") * F.ln("_p"))).alias("entropy"))
+
+
+def rank_corr(bars: DataFrame, x: str, y: str) -> DataFrame:
+    """Spearman's correlation of a day's minutes, with average ranks."""
+    known = bars.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    average = lambda c: F.rank().over(Window.partitionBy(*DAY).orderBy(c)) + (F.count("*").over(Window.partitionBy(*DAY, c)) - 1) / 2
+    ranked = known.withColumn("_rx", average(x)).withColumn("_ry", average(y))
+    return ranked.groupBy(*DAY).agg(pair_reducers("_rx", "_ry")["corr"].alias("rank_corr"))
+
+
+def parametric(bars: DataFrame, a: str, op: str, b: str | None = None, start: int = 0, end: int = 1439, lag: int = 0, mask: Column | None = None) -> DataFrame:
+    """One daily value from minute fields: op over a (and b, lag minutes earlier) within the minutes of a window where
+    the mask holds. Only the fields named are read."""
+    part = minutes(bars, start, end)
+    part = part.where(mask) if mask is not None else part
+    if b is None:
+        if op in ("autocorr", "zero_cross", "ret"):
+            return add_neighbours(part, a).groupBy(*DAY).agg(sequence_reducers(a)[op].alias("value"))
+        if op == "entropy":
+            return binned_entropy(part, a).withColumnRenamed("entropy", "value")
+        return part.groupBy(*DAY).agg(reducers(a, a)[op].alias("value"))
+    part = shifted(part, b, lag, "_b") if lag else part.withColumn("_b", F.col(b))
+    if op == "rank_corr":
+        return rank_corr(part, a, "_b").withColumnRenamed("rank_corr", "value")
+    return part.groupBy(*DAY).agg(pair_reducers("_b", a)[op].alias("value"))
