@@ -303,13 +303,22 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), ids["node"], named["root"], F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _held(ids: DataFrame) -> DataFrame:
+    """ids, written; broadcast where a count shows them to be few, else left to a shuffle."""
+    ids = written(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without near duplicates: of each component the document with the least id stays, once. Documents without
-    words are linked with nothing and stay. Columns as in docs."""
+    words and rows without id stay; rows that share an id stay or go together, equal ones become one. Columns as in
+    docs. Only ids are joined; texts are shuffled where these are too many to broadcast."""
     found = linked(docs, k, percent)
-    repeats = docs.groupBy("doc_id").count().where("count > 1")
-    stays = found.where("n_shingles = 0 OR doc_id IS NULL OR doc_id = component_id").select("doc_id", "node").distinct()
-    kept = docs.join(stays.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
-    again = kept.join(repeats.select("doc_id"), "doc_id", "left_semi")
-    once = kept.join(repeats.select("doc_id"), "doc_id", "left_anti")
-    return once.unionByName(again.select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    stays = F.when(F.expr("n_shingles = 0 OR doc_id = component_id"), 1).otherwise(0)
+    gone = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(stays).alias("stays")).where("stays = 0").select("doc_id")
+    kept = docs.join(_held(gone), "doc_id", "left_anti")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        repeated = _held(repeated)
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*docs.columns)
