@@ -249,6 +249,20 @@ def _sets_for(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int) -> Da
     return sets if repeated.isEmpty() else written(sets.dropDuplicates(["node"]), "sets")
 
 
+def _most_common(counts: DataFrame) -> DataFrame:
+    """The shingles from the least frequency on that COMMON of them reach at most: a histogram of some hundred rows
+    finds it, so the driver gets no more than it keeps."""
+    step = F.floor(F.log2("n") * 8)
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for row in sizes:
+        total += row.k
+        if total > COMMON:
+            break
+        least = row.step
+    return counts.where(step >= least) if least is not None else counts.where("false")
+
+
 def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, node (the set's name), root (of its component), component_id, for each row of docs."""
     spark = docs.sparkSession
@@ -256,7 +270,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     survey = written(rows.mapInArrow(_survey(k), "kind int, doc_id long, n long, a long, b long, " + ", ".join(f"{c} long" for c in PARITY) + ", wide array<long>"), "survey")
     ids = survey.where("kind = 0").select("doc_id", "n", F.col("a").alias("node"), *PARITY)
     wide = survey.where("kind = 0 AND n > 0").select(F.col("a").alias("node"), "n", "wide")
-    top = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(COMMON).toPandas()
+    top = _most_common(written(survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")), "counts")).toPandas()
     tokens = top["a"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     common = spark.sparkContext.broadcast((tokens[order], top["n"].to_numpy(np.int32)[order]))
