@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import written
+
 # Element kinds of HTML, and class or id words that name what isn't the article.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "head", "object", "canvas", "math"}
 CONTAINERS = {"body", "main", "article", "section", "div", "td", "th", "table", "tr", "tbody", "nav", "header", "footer", "aside", "form", "ul", "ol", "dl", "dialog", "menu", "fieldset", "figure", "details", "blockquote"}
@@ -35,6 +37,9 @@ NOISE_WORDS = {
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 MAIN_WORDS = {"article", "content", "post", "entry", "story", "main", "text", "body"}
 
+#: Hosts whose winning paths are broadcast at most; parts of a host's pages beyond that.
+BROADCAST_HOSTS, SALTS = 100_000, 64
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -164,5 +169,10 @@ def extracted(pages: DataFrame) -> DataFrame:
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[^:/?#]*:?//(?:[^@/?#]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     votes = rows.select("host", "html").mapInArrow(_votes, "host string, path string").where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
-    winners = votes.groupBy("host").agg(F.max_by("path", F.struct("n", "path")).alias("path"))
-    return rows.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    winners = written(votes.groupBy("host").agg(F.max_by("path", F.struct("n", "path")).alias("path")), "winners")
+    if winners.count() <= BROADCAST_HOSTS:
+        joined = rows.join(F.broadcast(winners), "host", "left")
+    else:  # a host may hold a third of all pages: its pages are dealt to SALTS parts, its one path to each of them
+        salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    return joined.select("page_id", "url", "html", "path").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

@@ -235,6 +235,13 @@ def test_html_keeps_the_article(spark):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
+def test_html_by_salted_join(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    one = sorted(map(tuple, html_text.extracted(pages).collect()))
+    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 0)
+    assert sorted(map(tuple, html_text.extracted(pages).collect())) == one
+
+
 def test_html_matches_a_plain_reading_of_the_pages(spark, duck):
     got = {r.page_id: r.text for r in queries.QUERIES["op6_host_paths"](spark, SF).collect()}
     for i, source in duck.execute("SELECT page_id, html FROM pages").fetchall():
