@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .operators import asof, evaluation, fitness, minute, similarity, store, styles
 from .plans.formula import evaluate
@@ -413,3 +413,24 @@ def fitness_log_loss(spark, sf_dir):
 SELECT di, CASE WHEN min(bucket) < max(bucket) AND min(ret) < max(ret) THEN round(corr(bucket, ret), 6) + 0.0 END AS monotonicity, arg_max(bucket, ret) AS best FROM g1 GROUP BY di""")
 def fitness_monotonicity(spark, sf_dir):
     return _rounded(fitness.monotonicity(evaluation.group_returns(_values(spark, sf_dir)), "di", "bucket", "ret"))
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()}, a AS (SELECT di, sym, CASE WHEN con THEN 1.0 ELSE 0.0 END AS h, coalesce(least(greatest(lead(x) OVER o / nullif(x, 0) - 1, -0.3), 0.3) * 0.1, 0) AS r, x IS NULL OR lead(x) OVER o IS NULL AS bad FROM p {_W}),
+b AS (SELECT di, sym, CASE WHEN bad THEN 0 ELSE r END AS r, coalesce(h / nullif(sum(h) OVER (PARTITION BY di), 0), 0) AS w FROM a), c AS (SELECT *, sum(w * r) OVER (PARTITION BY di) AS t FROM b),
+d AS (SELECT *, w - coalesce(lag(w * (1 + r) / (1 + t)) OVER (PARTITION BY sym ORDER BY di), 0) AS d FROM c), e AS (SELECT di, sum(w * r) AS gross, sum(CASE WHEN d > 0 THEN d * 0.0001 ELSE -d * 0.0006 END) AS cost, sum(abs(d)) AS turnover FROM d GROUP BY di)
+SELECT di, round(gross, 6) + 0.0 AS gross, round(gross - cost, 6) + 0.0 AS net, round(turnover, 6) + 0.0 AS turnover, round(exp(sum(ln(1 + gross)) OVER h), 6) AS gross_nav, round(exp(sum(ln(1 + gross - cost)) OVER h), 6) AS net_nav FROM e WINDOW h AS (ORDER BY di ROWS UNBOUNDED PRECEDING)""")
+def eval_nav(spark, sf_dir):
+    p = evaluate(monthly_panel(spark, sf_dir), {"h": "ts_self(y)", "c": "con_not(con_not(con))", "q": "ts_delay(diff_q(x),-1)"})
+    held = F.when(F.col("c"), 1.0).otherwise(0.0)
+    book = p.withColumn("h", held).withColumn("w", F.coalesce(F.try_divide("h", F.sum("h").over(Window.partitionBy("di"))), F.lit(0.0)))
+    r = F.when(F.col("q").isNotNull(), F.greatest(F.least("q", F.lit(0.3)), F.lit(-0.3)) * 0.1)
+    return _rounded(evaluation.nav(book.select("di", "sym", "w", r.alias("r"))))
+
+
+@query(f"""WITH {MINUTE_SQL.strip()}, e AS (SELECT date, sym, high AS a, minute::DOUBLE AS c FROM b), w AS (SELECT *, min(a) OVER k AS la, max(a) OVER k AS ha, min(c) OVER k AS lc, max(c) OVER k AS hc FROM e WINDOW k AS (PARTITION BY date, sym)),
+n AS (SELECT date, sym, CASE WHEN ha > la THEN least(floor((a - la) / (ha - la) * 5), 4) ELSE 0 END AS x, CASE WHEN hc > lc THEN least(floor((c - lc) / (hc - lc) * 5), 4) ELSE 0 END AS y, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2, 3, 4),
+q AS (SELECT date, sym, n, sum(n) OVER (PARTITION BY date, sym) AS t, sum(n) OVER (PARTITION BY date, sym, x) AS nx, sum(n) OVER (PARTITION BY date, sym, y) AS ny FROM n)
+SELECT date, sym, round(sum(n / t * ln(n * t / (nx * ny))), 6) + 0.0 AS mutual_info FROM q GROUP BY 1, 2""")
+def minute_mutual_information(spark, sf_dir):
+    bars = minute_bars(spark, sf_dir).withColumn("at", F.col("minute").cast("double"))
+    return _rounded(minute.mutual_information(bars, "high", "at"))

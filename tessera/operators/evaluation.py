@@ -102,3 +102,19 @@ def neutralized(values: DataFrame, least: int = 50, mult: float = 5 * 1.4826) ->
     df = df.withColumn("_b", beta).withColumn("_r", F.col("_y") - F.col("_b") * F.col("_x"))
     z = F.when((F.count("_r").over(w) >= least) & (F.min("_r").over(w) < F.max("_r").over(w)), (F.col("_r") - F.avg("_r").over(w)) / F.stddev_samp("_r").over(w))
     return df.select("di", "sym", z.alias("v"))
+
+
+def nav(book: DataFrame, buy: float = 0.0001, sell: float = 0.0006) -> DataFrame:
+    """book(di, sym, w, r): weights held over a date and the date's returns. Per date: gross and net return, turnover,
+    and both wealths. Trades go from the drifted weights of the date before to the new ones; buying and selling cost
+    their rates. Every name is taken to be tradable, so the dates couple through windows only."""
+    c = lambda k: F.coalesce(F.col(k), F.lit(0.0))
+    day = book.select("di", "sym", c("w").alias("w"), c("r").alias("r")).withColumn("whole", F.sum(F.col("w") * F.col("r")).over(cs()))
+    drifted = F.coalesce(F.lag(F.col("w") * (1 + F.col("r")) / (1 + F.col("whole"))).over(history()), F.lit(0.0))
+    moved = day.withColumn("d", F.col("w") - drifted)
+    cost = F.when(F.col("d") > 0, F.col("d") * buy).otherwise(-F.col("d") * sell)
+    daily = moved.groupBy("di").agg(F.sum(F.col("w") * F.col("r")).alias("gross"), F.sum(cost).alias("cost"), F.sum(F.abs("d")).alias("turnover"))
+    to_here = Window.orderBy("di").rowsBetween(Window.unboundedPreceding, 0)  # one row per date
+    wealth = lambda e: F.exp(F.sum(F.log1p(e)).over(to_here))
+    net = F.col("gross") - F.col("cost")
+    return daily.select("di", "gross", net.alias("net"), "turnover", wealth(F.col("gross")).alias("gross_nav"), wealth(net).alias("net_nav"))

@@ -161,3 +161,18 @@ def parametric(bars: DataFrame, a: str, op: str, b: str | None = None, start: in
     if op == "rank_corr":
         return rank_corr(part, a, "_b").withColumnRenamed("rank_corr", "value")
     return part.groupBy(*DAY).agg(pair_reducers("_b", a)[op].alias("value"))
+
+
+def mutual_information(bars: DataFrame, x: str, y: str, bins: int = 5) -> DataFrame:
+    """Per day the mutual information of two fields, each in equal bins from its least to its greatest."""
+    w = Window.partitionBy(*DAY)
+    known = bars.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+
+    def bin_of(c: str) -> Column:
+        lo, hi, v = F.min(c).over(w), F.max(c).over(w), F.col(c)
+        return F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(0)
+
+    cells = known.select(*DAY, bin_of(x).alias("_x"), bin_of(y).alias("_y")).groupBy(*DAY, "_x", "_y").agg(F.count("*").alias("_n"))
+    total, px, py = F.sum("_n").over(w), F.sum("_n").over(Window.partitionBy(*DAY, "_x")), F.sum("_n").over(Window.partitionBy(*DAY, "_y"))
+    part = F.col("_n") / total * F.ln(F.col("_n") * total / (px * py))
+    return cells.withColumn("_p", part).groupBy(*DAY).agg(F.sum("_p").alias("mutual_info"))
