@@ -1,14 +1,17 @@
 """Probabilistic suffix tree over words, learnt and applied in Spark.
 
-States are contexts of up to DEPTH words. A context is a candidate where it makes up LEAST_SHARE of the training tokens
-at least, so there are at most 1 / LEAST_SHARE for each depth whatever the corpus; it is retained where its
-next-symbol distribution diverges enough from that of its suffix. A retained state keeps the symbols that follow it in
-SYMBOL_SHARE of its occurrences at least, and leaves the rest of its mass, and a smoothing mass, to its suffix; the
-root is the smoothed unigram distribution over all words. So each state's distribution sums to one, and scoring uses
-the longest retained suffix of what precedes a token.
-
-The vocabulary is never on one machine: documents are scanned in blocks, each block asks for the counts of its own
-words, and a block's documents stream past its counts. Only the retained states, bounded as above, go to all tasks.
+States are contexts of up to DEPTH words, counted from the texts for each depth. A context is a candidate where it
+occurs LEAST_COUNT times at least, whether or not its shorter ones are states; it is retained where its next-symbol
+distribution diverges enough from what the tree without it would say there (its longest retained suffix). A retained
+state keeps the symbols that follow it LEAST_NEXT times at least, and leaves the rest of its mass, and a smoothing mass,
+to its suffix; the root is the smoothed unigram distribution over all words. So each state's distribution sums to one,
+and scoring uses the longest retained suffix of what precedes a token. All least counts are absolute: the tree grows
+with the corpus.
+
+Neither the vocabulary nor the tree is ever on one machine: documents are scanned in blocks, each block asks for the
+counts of its own words and for the states of its own contexts, and a block's documents stream past both. What goes to
+all tasks is sieves of bounded size; they only spare the shuffle keys that count for nothing, and where they are too
+full to, no result changes.
 
 Defined results: a null text is empty, so its end token alone is scored; a null doc_id is trained on and not held out;
 repeated rows count and are scored each on its own; an empty table gives no rows.
@@ -17,7 +20,7 @@ repeated rows count and are scored each on its own; an empty table gives no rows
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .shared import Words, mix, text_runs, written
 
 BLOCK_ROWS = 8192
-DEPTH = 2
-LEAST_SHARE, SYMBOL_SHARE, FREQUENT = 2e-5, 1e-3, 4e-6
+DEPTH = 3
+#: Occurrences from which a context is a candidate, and from which a symbol after it is kept.
+LEAST_COUNT, LEAST_NEXT = 8, 2
 #: Gain over the suffix, in nats for each occurrence and in all, from which a context is retained.
 LEAST_GAIN, LEAST_TOTAL_GAIN = 0.01, 12.0
-#: States' symbols that go to all tasks; were there more, SYMBOL_SHARE is doubled until there are not.
-MODEL_ROWS = 3_000_000
+#: Bits of a sieve for each key, as a power of two, and in all at most; pairs that a task gathers before it counts them.
+SIEVE_SPARE, SIEVE_BITS, GATHERED = 4, 27, 2_000_000
 END, START = np.uint64(0x7F4A7C15F39CC060), np.uint64(0x2545F4914F6CDD1D)
 _LINK = np.uint64(0xA0761D6478BD642F)
 
@@ -50,21 +54,22 @@ def tokens_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
 def contexts(h: np.ndarray, first: np.ndarray, depth: int) -> list[np.ndarray]:
     """For each depth from 1 the hash of the context before each token; 0 where the text has no such context. The
     text's start counts as a word."""
-    out, place = [], np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-    before = h
-    key = np.zeros(len(h), np.uint64)
-    for d in range(1, depth + 1):
+    place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+    back, before, out = [], h, []
+    for j in range(1, depth + 1):
         before = np.concatenate([[START], before[:-1]])
-        word = np.where(place == d - 1, START, before)
-        key = word if d == 1 else extend(word, key)
+        back.append(np.where(place < j, START, before))
+    for d in range(1, depth + 1):
+        key = back[d - 1]
+        for word in back[: d - 1][::-1]:
+            key = extend(key, word)
         out.append(np.where(place >= d - 1, key, np.uint64(0)))
-        before = np.where(place == d - 1, START, before)
     return out
 
 
-def extend(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """The hash of context with one more word before it."""
-    return mix(word * _LINK + context)
+def extend(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of context with one more word after it; a single word's is the word's own."""
+    return mix(context * _LINK + word)
 
 
 def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -105,7 +110,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Level:
-    """Retained states of one depth: their keys, sorted, with total and left mass; their symbols by pair hash."""
+    """Retained states that a block asks for: their keys, sorted, with total and left mass; their symbols by pair hash."""
 
     keys: np.ndarray
     total: np.ndarray
@@ -129,40 +134,75 @@ class Level:
 class Tree:
     tokens: int
     vocabulary: int
-    levels: list[Level] = field(default_factory=list)
 
     def root(self, c: np.ndarray) -> np.ndarray:
         return (c + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1))
 
 
-def _count_next(keys, symbols, depth: int):
-    """context, word, n over candidate contexts (sorted keys) and frequent words."""
+def sieve(keys: DataFrame) -> np.ndarray:
+    """A bit for each hash of keys(key), gathered in Spark."""
+    bits = min(SIEVE_BITS, max(10, int(keys.count()).bit_length() + SIEVE_SPARE))
+    found = keys.selectExpr(f"shiftright(key & {(1 << bits) - 1}L, 6) AS at", "shiftleft(1L, CAST(key & 63 AS int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[found["at"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
+    return out
+
+
+def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the keys may be among the sieve's."""
+    at = (key & np.uint64(64 * len(bits) - 1)) >> np.uint64(6)
+    return (bits[at] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _count_next(candidates, shorter, depth: int):
+    """context, word, n over contexts that pass candidates and whose suffix and word pass shorter."""
+
+    def counted(some: list) -> pa.RecordBatch:
+        context, word = (np.concatenate(x) for x in zip(*some))
+        both = pair(context, word)
+        order = np.argsort(both)
+        both = both[order]
+        at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        return pa.record_batch({"context": context[order[at]].view(np.int64), "word": word[order[at]].view(np.int64), "n": np.diff(np.append(at, len(both))).astype(np.int64)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want, often = keys.value, symbols.value
+        want, known = candidates.value, shorter.value
+        some, size = [], 0
         for batch in batches:
-            some = []
-            for i, j, data, offsets in text_runs(batch):
+            for _, _, data, offsets in text_runs(batch):
                 h, first = tokens_of(Words(data, offsets))
-                context = contexts(h, first, depth)[-1]
-                mine = np.flatnonzero((found_at(want, context) >= 0))
-                mine = mine[found_at(often, h[mine]) >= 0]
-                some.append((context[mine], h[mine]))
-            if not some:
-                continue
-            context, word = (np.concatenate(x) for x in zip(*some))
-            both = pair(context, word)
-            order = np.argsort(both)
-            both = both[order]
-            at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-            if len(at):
-                yield pa.record_batch({"context": context[order[at]].view(np.int64), "word": word[order[at]].view(np.int64), "n": np.diff(np.append(at, len(both))).astype(np.int64)})
+                before = contexts(h, first, depth)
+                context = before[-1]
+                mine = np.flatnonzero((context != 0) & passes(want, context))
+                mine = mine[passes(known, h[mine] if depth == 1 else pair(before[-2][mine], h[mine]))]
+                if len(mine):
+                    some.append((context[mine], h[mine]))
+                    size += len(mine)
+                if size >= GATHERED:
+                    yield counted(some)
+                    some, size = [], 0
+        if some:
+            yield counted(some)
 
     return run
 
 
-def _array(rows: list, k: str, kind=np.int64) -> np.ndarray:
-    return np.array([r[k] for r in rows], kind)
+def _longer(depth: int):
+    """context, suffix, c of the contexts one word longer: each pair (context, next word) is such a context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, suffix, word = (batch.column(k).to_numpy().view(np.uint64) for k in range(3))
+            short = word if depth == 1 else extend(suffix, word)
+            yield pa.record_batch({"context": extend(context, word).view(np.int64), "suffix": short.view(np.int64), "c": batch.column(3)})
+
+    return run
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        context, word = (batch.column(k).to_numpy().view(np.uint64) for k in range(2))
+        yield pa.record_batch({"key": pair(context, word).view(np.int64), "a": batch.column(2)})
 
 
 def held(doc_id: Column, part: int, of: int) -> Column:
@@ -170,63 +210,75 @@ def held(doc_id: Column, part: int, of: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == part, F.lit(False))
 
 
-def _grow(tree: Tree, train: DataFrame, seen: DataFrame, symbols: np.ndarray, symbol_counts: DataFrame, depth: int) -> None:
-    """Adds a level for each depth. seen(context, c): candidate contexts of depth 1 with their occurrences."""
+def _grow(tree: Tree, train: DataFrame, heads: DataFrame, depth: int) -> DataFrame:
+    """The retained states as a table kind, key, a, b: 1, context, total and left mass; 2, pair hash, n, 0.
+    heads(word, cw): the words with their counts."""
     spark = train.sparkSession
     send = spark.sparkContext.broadcast
-    often = send(symbols)
-    lower = None  # next-symbol counts of the level before, for the suffix's distribution
+    end, start = int(END.view(np.int64)), int(START.view(np.int64))
+    # as many texts start as end
+    seen = heads.where(F.col("cw") >= LEAST_COUNT).selectExpr(f"IF(word = {end}L, {start}L, word) AS context", "0L AS suffix", "cw AS c")
+    shorter = heads.where(F.col("cw") >= LEAST_NEXT).selectExpr("word AS key")
+    lower = heads.selectExpr("0L AS suffix", "word", f"(cw + 0.5D) / {tree.tokens + 0.5 * (tree.vocabulary + 1)}D AS q")
+    states = spark.createDataFrame([], "kind int, key long, a double, b double")
     for d in range(1, depth + 1):
-        rows = seen.collect()
-        if not rows:
-            return
-        total = {r["context"]: r["c"] for r in rows}
-        keys = np.sort(_array(rows, "context").view(np.uint64))
-        counts = train.select("text").mapInArrow(_count_next(send(keys), often, d), "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-        kept = counts.join(F.broadcast(seen), "context").where((F.col("n") >= 2) & (F.col("n") >= SYMBOL_SHARE * F.col("c")))
-        kept = written(kept, "symbols")
-        share = SYMBOL_SHARE
-        while kept.count() > MODEL_ROWS:
-            share *= 2
-            kept = kept.where(F.col("n") >= share * F.col("c"))
-        base = kept.join(F.broadcast(symbol_counts), "word").withColumn("q", F.col("cw") / F.lit(float(tree.tokens)))
-        if lower is not None:
-            # the suffix state's estimate where it kept the word
-            base = base.join(seen.select("context", "suffix"), "context").join(lower, ["suffix", "word"], "left").withColumn("q", F.greatest("q", F.coalesce("p", F.lit(0.0))))
-        gain = base.groupBy("context").agg(F.sum(F.col("n") * F.log((F.col("n") / F.col("c")) / F.col("q"))).alias("gain"), F.first("c").alias("c"))
-        good = gain.where((F.col("gain") >= LEAST_TOTAL_GAIN) & (F.col("gain") >= LEAST_GAIN * F.col("c"))).select("context")
-        kept = written(kept.join(good, "context", "left_semi"), "level")
-        table = kept.select("context", "word", "n").toPandas()
-        context, word, n = (table[k].to_numpy(np.int64) for k in ("context", "word", "n"))
-        states, inverse = np.unique(context.view(np.uint64), return_inverse=True)
-        c = np.array([total[k] for k in states.view(np.int64).tolist()], float)
-        inside, kinds = np.bincount(inverse, n, len(states)), np.bincount(inverse, minlength=len(states))
-        smooth = 1.0 + 0.5 * kinds
-        both = pair(context.view(np.uint64), word.view(np.uint64))
-        order = np.argsort(both)
-        tree.levels.append(Level(states, c + smooth, (c - inside + smooth) / (c + smooth), both[order], n[order].astype(float)))
-        if d == depth:
-            return
-        # contexts one word longer: each kept pair (context, next word) is such a context, one word on
-        lower = written(kept.select(F.col("context").alias("suffix"), "word", (F.col("n") / F.col("c")).alias("p")), "lower")
-        grown = counts_of_longer(table, d, float(LEAST_SHARE * tree.tokens))
-        seen = spark.createDataFrame(grown, "context long, suffix long, c long") if len(grown) else spark.createDataFrame([], "context long, suffix long, c long")
+        seen = written(seen, "contexts")
+        counts = train.select("text").mapInArrow(_count_next(send(sieve(seen.selectExpr("context AS key"))), send(sieve(shorter)), d), "context long, word long, n long")
+        kept = counts.groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_NEXT)
+        # what the tree without the state says of each symbol; the suffix is a candidate as well, and has all these
+        base = written(kept.join(seen, "context").join(lower, ["suffix", "word"]), "symbols")
+        told = base.groupBy("context").agg(F.first("c").alias("c"), F.sum("n").alias("inside"), F.count("*").alias("kinds"), F.sum("q").alias("share"), F.sum(F.col("n") * F.log(F.col("n") / F.col("c") / F.col("q"))).alias("gain"))
+        rest = F.col("c") - F.col("inside")
+        gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / F.col("c") / F.greatest(1 - F.col("share"), F.lit(1e-12)))).otherwise(0.0)
+        good = told.where((gain >= LEAST_TOTAL_GAIN) & (gain >= LEAST_GAIN * F.col("c")))
+        good = written(good.selectExpr("context", "c + 1 + 0.5D * kinds AS total", "(c - inside + 1 + 0.5D * kinds) / (c + 1 + 0.5D * kinds) AS left"), "retained")
+        level = written(base.join(good, "context", "left"), "level")
+        pairs = level.where("total IS NOT NULL").select("context", "word", F.col("n").cast("double")).mapInArrow(_paired, "key long, a double")
+        states = states.unionByName(good.selectExpr("1 AS kind", "context AS key", "total AS a", "left AS b")).unionByName(pairs.selectExpr("2 AS kind", "key", "a", "0D AS b"))
+        if d < depth:
+            shorter = written(level.select("context", "word", F.col("n").cast("double")).mapInArrow(_paired, "key long, a double").select("key"), "pairs")
+            lower = level.selectExpr("context AS suffix", "word", "coalesce(n / total + left * q, q) AS q")
+            seen = level.where(f"n >= {LEAST_COUNT} AND word <> {end}L").select("context", "suffix", "word", "n").mapInArrow(_longer(d), "context long, suffix long, c long")
+    return written(states, "states")
+
+
+def _ask(known, depth: int):
+    """block, key: the contexts of a batch's documents, and their pairs, that may be in the tree."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = known.value
+        for batch in batches:
+            block, parts = batch.column(1).to_numpy(), {}
+            for i, j, data, offsets in text_runs(batch):
+                h, first = tokens_of(Words(data, offsets))
+                of = np.repeat(block[i:j], np.diff(first))
+                for context in contexts(h, first, depth):
+                    at = np.flatnonzero((context != 0) & passes(bits, context))
+                    both = pair(context[at], h[at])
+                    found = passes(bits, both)
+                    for b in np.unique(of[at]):
+                        mine = of[at] == b
+                        parts.setdefault(int(b), []).append(_unique(np.concatenate([context[at[mine]], both[mine & found]]))[0])
+            for b, some in parts.items():
+                key = _unique(np.concatenate(some))[0]
+                yield pa.record_batch({"block": np.full(len(key), b, np.int64), "key": key.view(np.int64)})
 
-def counts_of_longer(table, d: int, least: float):
-    """From the kept pairs of depth 1, the contexts of depth 2: (context, suffix, c) of those frequent enough. Deeper
-    ones are not made from pairs alone, so DEPTH is 2 at most."""
-    import pandas as pd
+    return run
 
-    some = table[(table["n"] >= least) & (table["word"] != int(END.view(np.int64)))]
-    before, word = (some[k].to_numpy(np.int64).view(np.uint64) for k in ("context", "word"))
-    return pd.DataFrame({"context": extend(before, word).view(np.int64), "suffix": word.view(np.int64), "c": some["n"].to_numpy(np.int64)})
 
+def _score(tree, depth: int):
+    def gathered(parts: dict) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each kind the keys, sorted, with their two values."""
+        out = []
+        for kind in range(3):
+            key, a, b = (np.concatenate(x) for x in zip(*parts.get(kind, [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))])))
+            key, at = np.unique(key, return_index=True)
+            out.append((key, a[at], b[at]))
+        return out
 
-def _score(tree):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Tree = tree.value
-        block, word, count, sorted_yet = None, [], [], False
+        block, parts, tables = None, {}, None
         for batch in batches:
             b, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             edges = np.flatnonzero((np.diff(b) != 0) | (np.diff(kind) != 0)) + 1
@@ -234,27 +286,25 @@ def _score(tree):
                 if hi == lo:
                     continue
                 if b[lo] != block:
-                    block, word, count, sorted_yet = b[lo], [], [], False
+                    block, parts, tables = b[lo], {}, None
                 some = batch.slice(lo, hi - lo)
-                if kind[lo] == 0:
-                    word.append(some.column(2).to_numpy().view(np.uint64))
-                    count.append(some.column(3).to_numpy())
+                if kind[lo] < 3:
+                    parts.setdefault(int(kind[lo]), []).append((some.column(2).to_numpy().view(np.uint64), some.column(3).to_numpy(), some.column(4).to_numpy()))
                     continue
-                if not sorted_yet:
-                    keys, at = np.unique(np.concatenate(word), return_index=True)
-                    counts, sorted_yet = np.concatenate(count)[at].astype(float), True
-                    word, count = [keys], [counts]
+                if tables is None:
+                    (keys, counts, _), (states, total, left), (pairs, n, _) = gathered(parts)
+                    tables, parts = Level(states, total, left, pairs, n), {}
                 for i, j, data, offsets in text_runs(some):
                     h, first = tokens_of(Words(data, offsets))
                     c = counts[found_at(keys, h)]
                     p = base = model.root(c)
-                    for level, context in zip(model.levels, contexts(h, first, len(model.levels))):
-                        p = level.apply(context, h, p)
-                    total = lambda x: np.add.reduceat(x, first[:-1])
+                    for context in contexts(h, first, depth):
+                        p = tables.apply(context, h, p)
+                    total_of = lambda x: np.add.reduceat(x, first[:-1])
                     own = some.slice(i, j - i)
                     yield pa.record_batch({
-                        "doc_id": own.column(4), "held_out": own.column(5), "n_tokens": np.diff(first).astype(np.int64), "n_known": total((c > 0).astype(np.int64)),
-                        "train_tokens": np.full(j - i, model.tokens), "base_score": total(np.log10(base)), "score": total(np.log10(p)),
+                        "doc_id": own.column(5), "held_out": own.column(6), "n_tokens": np.diff(first).astype(np.int64), "n_known": total_of((c > 0).astype(np.int64)),
+                        "train_tokens": np.full(j - i, model.tokens), "base_score": total_of(np.log10(base)), "score": total_of(np.log10(p)),
                     })
 
     return run
@@ -272,15 +322,13 @@ def scored(docs: DataFrame, part: int = 1, of: int = 5, depth: int = DEPTH) -> D
     size = vocab.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("head") & (F.col("c") > 0), 1)).alias("v")).first()
     tree = Tree(size.n or 0, size.v or 0)
     heads = vocab.where("head").select(F.col("word"), F.col("c").alias("cw"))
-    often = heads.where(F.col("cw") >= F.greatest(F.lit(4.0), F.lit(FREQUENT * tree.tokens)))
-    symbols = _array(often.collect(), "word").view(np.uint64)
-    symbols.sort()
-    end = int(END.view(np.int64))
-    seen = heads.where((F.col("cw") >= F.greatest(F.lit(8.0), F.lit(LEAST_SHARE * tree.tokens))) & (F.col("word") != end)).selectExpr("word AS context", "cw AS c")
-    texts = heads.where(F.col("word") == end).selectExpr(f"{int(START.view(np.int64))}L AS context", "cw AS c")
-    _grow(tree, rows.where("NOT held_out"), written(seen.unionByName(texts), "contexts"), symbols, often, depth)
-
-    asked = vocab.selectExpr("block", "0 AS kind", "word", "c", "CAST(NULL AS long) AS doc_id", "false AS held_out", "'' AS text")
-    texts = rows.selectExpr("block", "1 AS kind", "0L AS word", "0L AS c", "doc_id", "held_out", "text")
+    states = _grow(tree, rows.where("NOT held_out"), heads.where("cw > 0"), depth)
+    # the same columns as above: fewer would deal the rows of a shuffled table to other blocks
+    wanted = rows.select("doc_id", "block", "held_out", "text").mapInArrow(_ask(spark.sparkContext.broadcast(sieve(states.select("key"))), depth), "block long, key long")
+
+    asked = vocab.selectExpr("block", "0 AS kind", "word", "CAST(c AS double) AS a", "0D AS b")
+    asked = asked.unionByName(wanted.join(states, "key").selectExpr("block", "kind", "key AS word", "a", "b"))
+    asked = asked.selectExpr("*", "CAST(NULL AS long) AS doc_id", "false AS held_out", "'' AS text")
+    texts = rows.selectExpr("block", "3 AS kind", "0L AS word", "0D AS a", "0D AS b", "doc_id", "held_out", "text")
     lined = asked.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
-    return lined.mapInArrow(_score(spark.sparkContext.broadcast(tree)), SCORES)
+    return lined.mapInArrow(_score(spark.sparkContext.broadcast(tree), depth), SCORES)

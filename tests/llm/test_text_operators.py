@@ -160,6 +160,27 @@ def test_suffix_tree(spark):
     assert suffix_tree.scored(docs(spark, []), 1, 5).count() == 0
 
 
+def test_suffix_tree_keeps_rare_and_deep_contexts(spark):
+    rng = random.Random(11)
+    word = lambda: f"v{rng.randrange(3000)}"
+    # a rare context in a large corpus; one that tells by two words, and one that tells by three, though no shorter one does
+    rows = [(k, " ".join(word() for _ in range(900))) for k in range(900)]
+    rows += [(5000 + k, "rarely seen") for k in range(30)]
+    ab = ["a", "b"]
+    rows += [(6000 + 4 * k + 2 * i + j, f"{ab[i]} {ab[j]} {ab[i ^ j]}2 end") for k in range(60) for i in range(2) for j in range(2)]
+    rows += [(7000 + 8 * k + 4 * i + 2 * j + l, f"{ab[i]}3 {ab[j]}3 {ab[l]}3 {ab[i ^ j ^ l]}4") for k in range(60) for i in range(2) for j in range(2) for l in range(2)]
+    got = {r.doc_id: r for r in suffix_tree.scored(docs(spark, rows)).collect()}
+    held = lambda lo, hi: [r for i, r in got.items() if lo <= i < hi and r.held_out]
+    assert held(5000, 5030) and all(r.score - r.base_score > 4.5 for r in held(5000, 5030))
+    # the first letter has its share of all starts, each other free one a half; what follows from them is all but certain
+    for lo, hi, halves, share in ((6000, 6240, 1, 240 / len(rows)), (7000, 7480, 2, 480 / len(rows))):
+        some = held(lo, hi)
+        assert some and all(r.score > math.log10(share * 0.5 ** (halves + 1)) - 0.25 for r in some)
+    # what one block asks for is what any block gets
+    few = {r.doc_id: r.score for r in suffix_tree.scored(docs(spark, rows).repartition(7)).collect()}
+    assert all(math.isclose(few[i], r.score, rel_tol=1e-9) for i, r in got.items())
+
+
 def test_suffix_states_sum_to_one():
     tree = suffix_tree.Tree(100, 4)
     c = np.array([40.0, 30.0, 20.0, 10.0, 0.0])  # the last: any unseen word
