@@ -2,7 +2,13 @@
 
 Fixed masks slide over the words of benchmark items and documents; a mask ignores some of its places, so a window with
 substituted words there still hashes alike. Hash hits are aligned to the item they came from, and the whole overlap
-around the hit is compared word by word; an item counts as leaked where enough of its words stand at their places.
+around the hit is compared word by word; an item counts as leaked where enough of its words, or RUN in a row, stand at
+their places.
+
+No such item is missed, wherever the other words were substituted: the masks are all those of 3 words within 5, and of
+4 within 6 for items of LONG words or more. Were there no 3 standing words in any 5 places, at most 2 * ceil(n / 5) of n
+words stood, fewer than max(LEAST, SHARE * n) for each n; without 4 in any 6, at most 3 * (n // 6) + min(n % 6, 3),
+fewer than SHARE * n for each n from 16. RUN words in a row hold 4 in a row.
 
 Words are [^\\x20\\x09-\\x0D]+ of the lower-cased text, ASCII punctuation stripped at both ends; words of nothing else are
 left out. The benchmark goes to the tasks in blocks of at most BLOCK_WORDS words, one pass over the documents for each
@@ -15,19 +21,28 @@ repeated items report each under its own item_id; a null doc_id or item_id is ke
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Words, mix, text_runs
+from .shared import Words, text_runs
 
-#: Masks by the least number of words of the items they serve; 1: the word counts, 0: any word may stand there.
-MASKS = {16: ("1110100110101111", "1101011001110111"), 8: ("11011011", "11101011"), 5: ("11111",)}
-#: An item of fewer words than the least mask is too short to tell a leak from chance.
+#: Items of so many words have masks of four words, shorter ones of three.
+LONG = 16
+#: Masks by the least number of words of the items they serve: the places of the words that count.
+MASKS = {LONG: [(0, *m) for m in combinations(range(1, 6), 3)], 1: [(0, *m) for m in combinations(range(1, 5), 2)]}
 BLOCK_WORDS = 2_000_000
 #: Share of an item's words, and their number, that must stand at their places.
 SHARE, LEAST = 0.6, 5
+#: Words in a row that are a leak whatever the item's length.
+RUN = 13
+#: Alignments shifted by SHIFT words at most complete each other, if each has LEAST standing words within NEAR places.
+SHIFT, NEAR = 8, 8
+#: Words compared at once.
+CELLS = 1 << 21
+_FACTORS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 MATCHES = "doc_id long, item_id long, item_words long, matched_words long, first_word long"
 
@@ -49,69 +64,105 @@ def bare(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return words.span_hash(start[keep], end[keep]), words.text[keep]
 
 
-def seeds(h: np.ndarray, text: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the mask at each place where it fits into one text, and these places."""
-    n = len(h) - len(mask) + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.flatnonzero(text[:n] == text[len(mask) - 1 :])
-    out = np.full(n, int(mask, 2), np.uint64)
-    factor = np.uint64(0x9FB21C651E98DF25)
-    for j, c in enumerate(mask):
-        if c == "1":
-            out += h[j : j + n] * factor
-            factor = np.uint64((int(factor) * 0xD6E8FEB86659FD93 + 2 * j) % (1 << 64) | 1)
-    return mix(out[at]), at
+def seeds(h: np.ndarray) -> Iterator[tuple[int, tuple[int, ...], np.ndarray]]:
+    """For each mask its least item length, itself, and its hash at each place where it fits into h."""
+    product = [h * f for f in _FACTORS]
+    for least, masks in MASKS.items():
+        for mask in masks:
+            n = max(len(h) - mask[-1], 0)
+            out = product[0][:n].copy()
+            for j, x in zip(mask[1:], product[1:]):
+                out += x[j : j + n]
+            yield least, mask, out
 
 
 class Index:
-    """The seeds of some benchmark items, sorted by hash: for each its item and place."""
+    """The seeds of some benchmark items, sorted by hash: for each its item and place; and a sieve of their first bits."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None]):
         batch = pa.record_batch({"text": pa.array([t or "" for t in texts], pa.string())})
-        self.ids, self.words, found = ids, [], {m: [] for masks in MASKS.values() for m in masks}
+        words, size = [], []
         for i, j, data, offsets in text_runs(batch):
             h, text = bare(Words(data, offsets))
-            cut = np.searchsorted(text, np.arange(j - i + 1))
-            self.words += [h[cut[t] : cut[t + 1]] for t in range(j - i)]
-        for item, h in enumerate(self.words):
-            longest = max((n for n in MASKS if n <= len(h)), default=None)
-            for mask in MASKS.get(longest, ()):
-                s, at = seeds(h, np.zeros(len(h), np.int64), mask)
-                found[mask].append((s, np.full(len(s), item), at))
+            words.append(h)
+            size.append(np.bincount(text, minlength=j - i))
+        self.ids, self.h = ids, np.concatenate([*words, np.zeros(0, np.uint64)])
+        self.size = np.concatenate([*size, np.zeros(0, np.int64)])
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        item = np.repeat(np.arange(len(self.size)), self.size)
+        place = np.arange(len(self.h)) - self.first[item]
+        length = self.size[item]
         self.by_mask = {}
-        for mask, parts in found.items():
-            if parts:
-                s, item, at = (np.concatenate(x) for x in zip(*parts))
-                order = np.argsort(s, kind="stable")
-                self.by_mask[mask] = (s[order], item[order], at[order])
+        for least, mask, s in seeds(self.h):
+            fits = (place + mask[-1] < length)[: len(s)]
+            serves = ((length >= LONG) if least == LONG else (length < LONG) & (length >= LEAST))[: len(s)]
+            at = np.flatnonzero(fits & serves)
+            if len(at):
+                at = at[np.argsort(s[at], kind="stable")]
+                shift = np.uint64(64 - min(26, len(at).bit_length() + 4))
+                sieve = np.zeros(1 << 64 - int(shift), bool)
+                sieve[s[at] >> shift] = True
+                self.by_mask[mask] = (s[at], item[at], place[at], sieve, shift)
+
+    def compared(self, h: np.ndarray, first: np.ndarray, t: np.ndarray, item: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each alignment 2 where it tells a leak, 1 where it may complete others, 0 otherwise; and the words that stand."""
+        told, standing = np.zeros(len(t), np.int8), np.zeros(len(t), np.int64)
+        order, i = np.argsort(self.size[item], kind="stable"), 0
+        while i < len(order):
+            # as many of like length as fit into CELLS
+            j = min(len(order), i + max(1, CELLS // int(self.size[item[order[i]]])))
+            j = min(j, i + max(1, CELLS // int(self.size[item[order[j - 1]]])))
+            some, i = order[i:j], j
+            same = self.same(h, first, t[some], item[some], begin[some])
+            n = same.sum(1)
+            total = np.zeros((len(some), same.shape[1] + NEAR + 1), np.int16 if same.shape[1] < 30_000 else np.int64)
+            np.cumsum(same, 1, out=total[:, 1 : same.shape[1] + 1], dtype=total.dtype)
+            total[:, same.shape[1] + 1 :] = total[:, same.shape[1], None]
+            near = (total[:, NEAR:] - total[:, :-NEAR]).max(1) >= LEAST
+            leak = n >= np.maximum(LEAST, SHARE * self.size[item[some]])
+            if same.shape[1] >= RUN:
+                leak |= (total[:, RUN:] - total[:, :-RUN]).max(1) >= RUN
+            told[some], standing[some] = np.where(leak, 2, near), n
+        return told, standing
+
+    def same(self, h: np.ndarray, first: np.ndarray, t: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Whether each word of the items stands at its place in the alignments."""
+        j = np.arange(int(self.size[item].max(initial=1)))
+        at = begin[:, None] + j
+        inside = (j < self.size[item][:, None]) & (at >= first[t][:, None]) & (at < first[t + 1][:, None])
+        return inside & (h[np.clip(at, 0, len(h) - 1)] == self.h[np.minimum(self.first[item][:, None] + j, len(self.h) - 1)])
 
     def matches(self, h: np.ndarray, text: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
         """(text, item) to (words matched, first word in the text), best alignment first."""
-        lines: set[tuple[int, int, int]] = set()
-        for mask, (s, item, place) in self.by_mask.items():
-            own, at = seeds(h, text, mask)
-            lo = np.searchsorted(s, own)
-            hit = np.flatnonzero((lo < len(s)) & (s[np.minimum(lo, len(s) - 1)] == own))
-            if not len(hit):
+        lines: set[tuple[int, int, int, int, int]] = set()
+        for _, mask, own in seeds(h):
+            if mask not in self.by_mask or not len(own):
                 continue
-            hi = np.searchsorted(s, own[hit], "right")
-            for p, a, b in zip(at[hit].tolist(), lo[hit].tolist(), hi.tolist()):
-                t = int(text[p])
-                lines.update((t, int(item[k]), p - int(place[k])) for k in range(a, b))
-        spots: dict[tuple[int, int], list[np.ndarray]] = {}
+            s, items, place, sieve, shift = self.by_mask[mask]
+            p = np.flatnonzero(sieve[own >> shift])
+            p = p[text[p] == text[p + mask[-1]]]
+            lo, hi = np.searchsorted(s, own[p]), np.searchsorted(s, own[p], "right")
+            p, lo, n = p[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            ends, i = np.cumsum(n), 0
+            while i < len(p):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CELLS // 8)))
+                many = n[i:j]
+                k = np.repeat(lo[i:j] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
+                at, i = np.repeat(p[i:j], many), j
+                t, item, begin = text[at], items[k], at - place[k]
+                told, standing = self.compared(h, first, t, item, begin)
+                good = np.flatnonzero(told)
+                lines.update(zip(t[good].tolist(), item[good].tolist(), begin[good].tolist(), told[good].tolist(), standing[good].tolist()))
+        spots: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for t, item, begin in sorted(lines):
-            own = self.words[item]
-            lo, hi = max(begin, int(first[t])), min(begin + len(own), int(first[t + 1]))
-            same = np.zeros(len(own), bool)
-            same[lo - begin : hi - begin] = h[lo:hi] == own[lo - begin : hi - begin]
+        for t, item, begin, told, n in sorted(lines):
+            own = self.same(h, first, np.array([t]), np.array([item]), np.array([begin]))[0]
             # alignments shifted by a few words (insertions, deletions) complete each other
-            near = [s for b, s in spots.get((t, item), []) if abs(b - begin) <= 8]
-            spots.setdefault((t, item), []).append((begin, same))
-            n = int(np.logical_or.reduce([same, *near]).sum())
-            if n >= max(LEAST, SHARE * len(own)) and n > best.get((t, item), (0, 0))[0]:
-                best[t, item] = (n, lo - int(first[t]))
+            near = [s for b, s in spots.get((t, item), []) if abs(b - begin) <= SHIFT]
+            spots.setdefault((t, item), []).append((begin, own))
+            n = int(np.logical_or.reduce([own, *near]).sum())
+            if (told == 2 or n >= max(LEAST, SHARE * len(own))) and n > best.get((t, item), (0, 0))[0]:
+                best[t, item] = (n, max(begin, int(first[t])) - int(first[t]))
         return best
 
 
@@ -124,7 +175,7 @@ def _scan(index):
                 h, text = bare(Words(data, offsets))
                 first = np.searchsorted(text, np.arange(j - i + 1))
                 for (t, item), (n, at) in found.matches(h, text, first).items():
-                    out.append((ids[i + t].as_py(), found.ids[item], len(found.words[item]), n, at))
+                    out.append((ids[i + t].as_py(), found.ids[item], int(found.size[item]), n, at))
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "item_words", "matched_words", "first_word"])
 

@@ -353,6 +353,36 @@ def test_decontamination(spark):
     assert decontamination.leaks(d, bench.limit(0)).count() == 0 and decontamination.leaks(d.limit(0), bench).count() == 0
 
 
+def test_decontamination_misses_nothing_within_its_share(spark):
+    rng = random.Random(6)
+    word = lambda k=3000: f"v{rng.randrange(k)}"
+    items = [[word() for _ in range(n)] for n in [*range(5, 60), *range(15, 60)]]
+    rows, want, at = [], set(), 0
+    def add(k, w, leak):  # noqa: E306
+        nonlocal at
+        at += 1
+        rows.append((at, " ".join(["u", *(word() for _ in range(20)), "u", *w, "u", *(word() for _ in range(20))])))
+        want.update([(at, k)] if leak else [])
+    for k, w in enumerate(items):
+        for every in range(2, 12):
+            for phase in range(every):
+                v = ["x" if j % every == phase else c for j, c in enumerate(w)]
+                n = sum(c != "x" for c in v)
+                add(k, v, n >= max(5, 0.6 * len(w)))
+        for rate in (0.1, 0.2, 0.3, 0.4):
+            for _ in range(3):
+                gone = set(rng.sample(range(len(w)), int(rate * len(w))))
+                v = ["x" if j in gone else c for j, c in enumerate(w)]
+                # the longest run counts whatever the share; within the share it plays no part
+                add(k, v, len(w) - len(gone) >= max(5, 0.6 * len(w)))
+        for n in (12, 13, 30):
+            if n < 0.6 * len(w):
+                add(k, w[len(w) - n :], n >= 13)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs(spark, rows, False), bench).collect()}
+    assert want and got == want
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     one = sorted(map(tuple, decontamination.leaks(d, b).collect()))
