@@ -23,9 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Labelled findings made by default, the forest's size, and the probability from which a finding is reported.
 FINDINGS, TREES, DEPTH, THRESHOLD = 4000, 24, 7, 0.5
 
-#: A candidate with up to two words before it and the rest of its own word after it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_.-]{0,200}[0-9])[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{14,}[A-Za-z0-9+/_-]={0,2}"
-WITH_CONTEXT = rf"(?:\S{{1,64}}[ \t]{{1,4}}){{0,2}}\S{{0,24}}?{CANDIDATE}[^\s]{{0,8}}"
+#: A candidate: a run of token characters with a digit or a change of case (a capital at its beginning is none).
+CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_.-]*(?:[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]))[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{14,}[A-Za-z0-9+/_-]={0,2}"
+#: Up to two words before a candidate and its own word's beginning; the rest of its own word.
+BEFORE, AFTER = r"(?:\S{1,64}[ \t]{1,4}){0,2}\S{0,24}$", r"^\S{0,8}"
+#: Characters that BEFORE looks at, and pieces that hold as many: every other one is a candidate of 16 at least.
+WINDOW, PIECES = 160, 20
+MARK, OTHER = "\u0001", "\u0002"
 
 # Words beside credentials, words beside look-alikes, and common word parts inside identifiers.
 CREDENTIAL = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private|signature|client.?id|apikey)"
@@ -37,11 +41,20 @@ FEATURES = ("chars", "digits", "uppers", "symbols", "distinct", "hex", "changes"
 
 def candidates(docs: DataFrame, source: Column) -> DataFrame:
     """doc_id, source, place (order in the text), value, before, after: one row for each candidate."""
-    hits = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WITH_CONTEXT), F.lit(0))
-    rows = docs.select("doc_id", source.cast("string").alias("source"), F.posexplode(hits).alias("place", "around"))
-    value = F.regexp_extract("around", CANDIDATE, 0)
-    at = F.instr("around", F.col("value"))
-    return rows.withColumn("value", value).where("value <> ''").select("doc_id", "source", "place", "value", F.substring("around", F.lit(1), at - 1).alias("before"), F.substring(F.col("around"), at + F.length("value"), F.lit(64)).alias("after"))
+    # pieces of the text: what lies between candidates, and the candidates, in turn; so none hides another
+    marked = F.regexp_replace(F.translate(F.coalesce(F.col("text"), F.lit("")), MARK, OTHER), F.lit(CANDIDATE), F.lit(f"{MARK}$0{MARK}"))
+    pieces = docs.select("doc_id", source.cast("string").alias("source"), F.split(marked, MARK).alias("pieces"))
+    p, n = F.col("pieces"), F.size("pieces")
+
+    def around(i: Column) -> Column:
+        """The candidate at place i with the text around it, which may hold other candidates."""
+        before = F.array_join(F.slice(p, F.greatest(i - PIECES, F.lit(1)), F.least(i - 1, F.lit(PIECES))), "")
+        return F.struct(F.element_at(p, i).alias("value"), F.substring(before, -WINDOW, WINDOW).alias("before"), F.array_join(F.slice(p, i + 1, F.lit(3)), "").substr(1, 64).alias("after"))
+
+    hits = F.when(n > 2, F.transform(F.sequence(F.lit(2), n, F.lit(2)), around))
+    # outer, as the inner one would work the pattern out twice, once for a filter
+    rows = pieces.select("doc_id", "source", F.posexplode_outer(hits).alias("place", "hit")).where("hit IS NOT NULL")
+    return rows.select("doc_id", "source", "place", "hit.value", F.regexp_extract("hit.before", BEFORE, 0).alias("before"), F.regexp_extract("hit.after", AFTER, 0).alias("after"))
 
 
 def described(found: DataFrame) -> DataFrame:
