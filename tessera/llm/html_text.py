@@ -5,7 +5,9 @@ host in Spark, and each page is extracted again at its host's winning path. A pa
 there, falls back to its own best container.
 
 Kept: the text of the container without navigation, headers, footers, sidebars, notices, adverts, forms, reader
-comments, scripts and styles. Character references are decoded, white space within a block becomes one space, and
+comments, scripts and styles. What a container's tag, names or role tell against it counts for all in it, unless it holds
+the page's article: a wrapper of most of the unlinked text, or of an article or main. Where nothing else is left, the best
+of the marked containers but menus is taken. Character references are decoded, white space within a block becomes one space, and
 blocks are joined in page order by a blank line.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; repeated rows are extracted
@@ -34,7 +36,13 @@ NOISE_WORDS = {
     "sidebar", "sidebars", "aside", "rail", "footer", "header", "masthead", "topbar", "comment", "comments", "discussion", "disqus", "respond", "reply", "replies", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "newsletter",
     "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "share", "sharing", "social", "related", "recommended", "recommendations", "widget", "toolbar", "pager", "pagination", "search", "form", "toc", "skip", "hidden",
 }
+COMMENTS = {"comment", "comments", "discussion", "disqus", "respond", "reply", "replies"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
+#: Tags and roles that may wrap a page as well.
+WRAPPERS = {"form", "fieldset", "header"}
+#: Share of the page's unlinked text from which a container keeps no mark: by a part of a name or a wrapper's tag (1), by a
+#: whole name, role or tag (2); never reader comments (3).
+CLEARED = {1: 0.5, 2: 0.9, 3: 1.0}
 MAIN_WORDS = {"article", "content", "post", "entry", "story", "main", "text", "body"}
 
 #: Hosts whose winning paths are broadcast at most; parts of a host's pages beyond that.
@@ -43,33 +51,40 @@ BROADCAST_HOSTS, SALTS = 100_000, 64
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+_HAVING = re.compile(r"(?:^|(?<=[-_]))(?:has|have|no|not|non|with|without)[-_]\S*")
 _DIGITS = re.compile(r"\d+")
 
 
 class Page:
-    """Containers (parent, path, tag, noise, hint) and blocks (container, text, linked characters) of one page."""
+    """Containers (parent, path, tag, mark, noise, hint) and blocks (container, text, linked characters) of one page."""
 
     def __init__(self, source: str):
-        self.parent, self.path, self.noise, self.tag, self.hint = [-1], [""], [False], ["#"], [False]
+        self.parent, self.path, self.mark, self.tag, self.hint = [-1], [""], [0], ["#"], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._read(source)
+        self.noise = self._noise()
 
     def _open(self, tag: str, attributes: str, above: int) -> int:
-        label, noise, hint = tag, self.noise[above], tag in ("article", "main")
+        label, hint = tag, tag in ("article", "main")
+        mark = 0 if tag not in NOISE_TAGS else 1 if tag in WRAPPERS else 2
         found = {a.group(1).lower(): a.group(2) or a.group(3) or a.group(4) or "" for a in _ATTR.finditer(attributes)} if attributes.strip() else {}
         if found:
             names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-            words = set(_WORD.findall(names))
+            # has-sidebar, with-header and no-search tell of the layout
+            told = [n for n in (_HAVING.sub("", n) for n in names.split()) if n]
+            words = {w for n in told for w in _WORD.findall(n)}
             hint = hint or bool(words & MAIN_WORDS)
             if tag not in ("article", "main", "body") or words & {"comment", "comments"}:
-                noise = noise or bool(words & NOISE_WORDS) or found.get("role", "").lower() in NOISE_ROLES
-            noise = noise or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+                role = found.get("role", "").lower()
+                mark = max(mark, 3 if words & COMMENTS else 2 if any(n in NOISE_WORDS for n in told) else 1 if words & NOISE_WORDS else 0, (1 if role in WRAPPERS else 2) if role in NOISE_ROLES else 0)
+            if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
+                mark = max(mark, 2)
             label = ".".join([tag, *sorted(_DIGITS.sub("#", c) for c in found.get("class", "").lower().split())])
             if not found.get("class") and found.get("id"):
                 label += "#" + _DIGITS.sub("#", found["id"].lower())
         self.parent.append(above)
         self.path.append(f"{self.path[above]}>{label}")
-        self.noise.append(noise or tag in NOISE_TAGS)
+        self.mark.append(mark)
         self.tag.append(tag)
         self.hint.append(hint)
         return len(self.parent) - 1
@@ -127,6 +142,37 @@ class Page:
             run.append(source[at:])
         flush()
 
+    def _noise(self) -> list[bool]:
+        """Whether each container is none of the article: by its own mark, or that of one around it."""
+        n = len(self.parent)
+        text, articles = [0] * n, [0] * n  # unlinked characters in all, and in an article or main
+        for c, t, linked in self.blocks:
+            text[c] += len(t) - linked
+        bare = lambda: sum(k for k, x in zip(text, noise) if not x)
+        noise = self._spread(self.mark)
+        unmarked = bare()
+        own = text[:]
+        for c in range(n - 1, 0, -1):
+            up = self.parent[c]
+            text[up] += text[c]
+            if self.tag[c] in ("article", "main") and not self.mark[c]:
+                articles[c] = text[c]
+            articles[up] += articles[c]
+        mark = self.mark[:]
+        for c in range(1, n):
+            if mark[c] and (text[c] > CLEARED[mark[c]] * text[0] or (2 * articles[c] > articles[0] and articles[c] > unmarked)):
+                mark[c] = 0
+        noise, text = self._spread(mark), own
+        if not bare() and sum(text):
+            noise = self._spread([int(t in ("nav", "menu")) for t in self.tag])
+        return noise
+
+    def _spread(self, mark: list[int]) -> list[bool]:
+        out = [False] * len(mark)
+        for c in range(1, len(mark)):
+            out[c] = bool(mark[c]) or out[self.parent[c]]
+        return out
+
     def best(self) -> int:
         """The container with the highest score, 0 (the page) if none has text."""
         own = [0.0] * len(self.parent)

@@ -256,6 +256,21 @@ def test_html_keeps_the_article(spark):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_articles_in_marked_wrappers(spark):
+    parts = [f"Sentence {k} of the article, with words enough to be told from a menu." for k in range(6)]
+    body, want = "".join(f"<p>{t}</p>" for t in parts), "\n\n".join(parts)
+    side, foot = '<div class="sidebar"><p>Some side text</p></div>', "<footer>Imprint</footer>"
+    talk = '<div class="comment-list">' + "<p>I have read it all and I like it, and I say so at great length here.</p>" * 20 + "</div>"
+    pages = [
+        f'<body><div class="layout has-sidebar">{body}{side}</div>{foot}', f'<body><div class="no-sidebar">{body}</div>{foot}', f'<body><div class="page-with-header">{body}</div>',
+        f'<body><div class="search-results"><div>{body}</div></div>{foot}', f'<body><form id="aspnetForm"><div class="c">{body}</div>{side}</form>{foot}', f'<body><form><article>{body}</article>{talk}</form>{foot}',
+        f'<body><div class="overlay">{body}{side}</div><p>Wait</p>{foot}', f'<body><div class="c">{body}</div>{talk}', f'<body><div class="modal">{body}</div>', f'<body><nav><a href="/">Home</a></nav>',
+    ]
+    rows = [(k, f"https://h{k}.example/{k}", p) for k, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(len(pages) - 1)] == [want] * (len(pages) - 1) and got[len(pages) - 1] == ""
+
+
 def test_html_by_salted_join(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     one = sorted(map(tuple, html_text.extracted(pages).collect()))
