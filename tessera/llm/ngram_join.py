@@ -278,18 +278,21 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     nodes = ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in PARITY))
     postings = rows.select("text").mapInArrow(_postings(k, percent, common), "token long, node long, packed long")
     over = "OVER (PARTITION BY token)"
-    lists = postings.selectExpr("token", "node", "packed", f"min(node) {over} AS lo", f"max(node) {over} AS hi", f"min(packed & 7) {over} AS least_l")
+    lists = postings.selectExpr("token", "node", "packed", f"min(node) {over} AS lo", f"max(node) {over} AS hi", f"min(packed & 7) {over} AS least_l", f"ln(count(*) {over}) AS spread")
     lists = written(lists.where("lo <> hi").drop("lo", "hi"), "lists")
     # a linked pair shares min(l, l') shingles, so each of them is in a list whose least l its members' counts reach
-    each = lists.repartition("node").groupBy("node", "token").agg(F.min("packed").alias("packed"), F.min("least_l").alias("least_l"))
-    each = each.selectExpr("token", "node", "CAST(packed >> 32 AS INT) AS n", "CAST(packed & 7 AS INT) AS l", "least_l", "CAST(min((packed >> 3) & 536870911) OVER (PARTITION BY node) AS INT) AS free", "count(*) OVER (PARTITION BY node) AS listed")
+    each = lists.repartition("node").groupBy("node", "token").agg(F.min("packed").alias("packed"), F.min("least_l").alias("least_l"), F.min("spread").alias("spread"))
+    each = each.selectExpr("token", "node", "CAST(packed >> 32 AS INT) AS n", "CAST(packed & 7 AS INT) AS l", "least_l", "CAST(min((packed >> 3) & 536870911) OVER (PARTITION BY node) AS INT) AS free", "count(*) OVER (PARTITION BY node) AS listed", "sum(spread) OVER (PARTITION BY node) AS spread")
     lists = written(each.where("listed >= least_l").drop("least_l", "listed"), "lists")
 
     ratio = -np.log(percent / 100.0)
-    spot = f"OVER (PARTITION BY token ORDER BY floor(ln(n) / {ratio}), xxhash64(node, pmod(token, {ORDERS})), node)"
-    chains = lists.selectExpr("node", "n", f"lead(node) {spot} AS next", f"lead(n) {spot} AS next_n")
-    near = f"100 * least(n, next_n) >= {percent} * greatest(n, next_n)"
-    first = chains.where(f"next <> node AND {near}").select(F.least("node", "next").alias("u"), F.greatest("node", "next").alias("v")).distinct()
+    lists = lists.withColumn("band", F.floor(F.log("n") / ratio))
+    spot, band = f"OVER (PARTITION BY token ORDER BY band, xxhash64(node, pmod(token, {ORDERS})), node)", "OVER (PARTITION BY token, band)"
+    # the hub of a list's sizes: the node whose prefix others share most, as of near copies the one with fewest changes
+    mates = lists.selectExpr("node AS x", "n AS nx", "free AS freex", f"lead(struct(node, n, free)) {spot} AS next", f"IF(count(*) {band} > 2, max(struct(spread / (n - ({percent} * n + 99) DIV 100 + l) AS typical, node, n, free)) {band}, NULL) AS hub")
+    mates = mates.select("x", "nx", "freex", F.explode(F.array(F.col("next"), F.struct("hub.node", "hub.n", "hub.free"))).alias("y")).selectExpr("x", "nx", "freex", "y.node AS y", "y.n AS ny", "y.free AS freey")
+    near = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND {_may_link('x', 'y', percent)}"
+    first = mates.where(f"x <> y AND {near}").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
     first = written(_close(_sharing(first, lists, percent), wide, percent), "first")
     sets = _sets_for(first, nodes, rows, k)
@@ -297,7 +300,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     roots = connected_components(links)
 
     # what lies across components: only pairs with a member outside the list's largest component
-    member = written(lists.join(roots, "node", "left").select("token", "node", "n", "l", "free", F.coalesce("root", "node").alias("root")), "members")
+    member = written(lists.drop("band", "spread").join(roots, "node", "left").select("token", "node", "n", "l", "free", F.coalesce("root", "node").alias("root")), "members")
     parts = member.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     some = written(member.join(parts.select("token", "largest"), "token").join(nodes.drop("least"), "node"), "some")
     left = some.where("root <> largest").selectExpr("token", "node AS x", "n AS nx", "l AS lx", "free AS freex", "root AS rx", *(f"{c} AS {c}x" for c in PARITY))
