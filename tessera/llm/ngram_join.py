@@ -35,9 +35,9 @@ from .shared import Words, mix, text_runs, windows, written
 #: Shingles whose frequency is told to all tasks: the most frequent ones found, 12 bytes each. Only the order of the
 #: others, and so only speed, depends on it.
 COMMON = 1 << 18
-#: A shingle is counted where this many different sets of a batch of documents hold it at least; so any shingle in more
-#: than a few of ten thousand documents is counted, up to an error of the number of batches.
-COUNTED_FROM = 2
+#: A shingle is counted where this many different sets hold it at least, of those that have GATHERED shingles together;
+#: so any shingle in more than a few of some thousand documents is counted, up to an error of the number of such parts.
+COUNTED_FROM, GATHERED = 2, 1 << 21
 MAX_MATCHES = 6
 #: Cost of verifying a candidate, in posting rows read.
 VERIFY_COST = 12.0
@@ -104,36 +104,38 @@ def _rows_of(words: np.ndarray) -> pa.ListArray:
 
 
 def _survey(k: int):
-    """Rows of kind 0, one per document: doc_id, size, two signatures; of kind 1: a shingle and how many documents of
-    a batch hold it."""
+    """Rows of kind 0, one per document: doc_id, size, two signatures; of kind 1: a shingle and how many of some
+    documents hold it."""
+
+    def counted(h: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h = np.sort(np.concatenate(h))
+        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        count = np.diff(np.append(at, len(h)))
+        often = count >= COUNTED_FROM
+        if often.any():
+            h, count = h[at[often]], count[often]
+            yield pa.record_batch({"kind": np.ones(len(h), np.int32), "doc_id": pa.nulls(len(h), pa.int64()), "key": pa.nulls(len(h), pa.int64()), "n": count.astype(np.int64), "a": h.view(np.int64), "b": np.zeros(len(h), np.int64), **{name: np.zeros(len(h), np.int64) for name in PARITY}, "wide": _rows_of(np.zeros((len(h), 0), np.int64))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, size, seen = [], 0, np.zeros(0, np.uint64)
         for batch in batches:
-            n_all, a_all, b_all, h_all, p_all, w_all = [], [], [], [], [], []
             for i, j, data, offsets in text_runs(batch):
                 h, first = sets_of(Words(data, offsets), k)
+                n = np.diff(first)
                 a, b = _signatures(h, first)
-                n_all.append(np.diff(first))
-                a_all.append(a)
-                b_all.append(b)
-                h_all.append(h)
-                p_all.append(_parities(h, first))
-                w_all.append(_wide_parities(h, first))
-            if not n_all:
-                continue
-            n, a, b = (np.concatenate(x) for x in (n_all, a_all, b_all))
-            yield pa.record_batch({"kind": np.zeros(len(n), np.int32), "doc_id": batch.column(0), "n": n.astype(np.int64), "a": a.view(np.int64), "b": b.view(np.int64), **{name: np.concatenate([x[i] for x in p_all]) for i, name in enumerate(PARITY)}, "wide": _rows_of(np.concatenate(w_all))})
-            # copies of a set count once
-            _, one = np.unique(a, return_index=True)
-            once = np.zeros(len(a), bool)
-            once[one] = True
-            h = np.sort(np.concatenate(h_all)[np.repeat(once, n)])
-            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            count = np.diff(np.append(at, len(h)))
-            often = count >= COUNTED_FROM
-            if often.any():
-                h, count = h[at[often]], count[often]
-                yield pa.record_batch({"kind": np.ones(len(h), np.int32), "doc_id": pa.nulls(len(h), pa.int64()), "n": count.astype(np.int64), "a": h.view(np.int64), "b": np.zeros(len(h), np.int64), **{name: np.zeros(len(h), np.int64) for name in PARITY}, "wide": _rows_of(np.zeros((len(h), 0), np.int64))})
+                yield pa.record_batch({"kind": np.zeros(len(n), np.int32), "doc_id": batch.column(0).slice(i, j - i), "key": batch.column(2).slice(i, j - i), "n": n.astype(np.int64), "a": a.view(np.int64), "b": b.view(np.int64), **dict(zip(PARITY, _parities(h, first))), "wide": _rows_of(_wide_parities(h, first))})
+                # copies of a set count once
+                once = np.zeros(len(a), bool)
+                once[np.unique(a, return_index=True)[1]] = True
+                once &= ~np.isin(a, seen)
+                seen = np.union1d(seen, a)
+                gathered.append(h[np.repeat(once, n)])
+                size += len(gathered[-1])
+                if size >= GATHERED:
+                    yield from counted(gathered)
+                    gathered, size, seen = [], 0, np.zeros(0, np.uint64)
+        if size:
+            yield from counted(gathered)
 
     return run
 
@@ -199,9 +201,12 @@ def _sets(k: int):
             for i, j, data, offsets in text_runs(batch):
                 h, first = sets_of(Words(data, offsets), k)
                 name = _signatures(h, first)[0].view(np.int64)
-                new = [d for d in range(j - i) if first[d + 1] > first[d] and not (int(name[d]) in seen or seen.add(int(name[d])))]
-                if new:
-                    yield pa.record_batch({"node": name[new], "shingles": pa.array([h[first[d] : first[d + 1]].view(np.int64) for d in new], pa.list_(pa.int64()))})
+                new = np.array([d for d in range(j - i) if first[d + 1] > first[d] and not (int(name[d]) in seen or seen.add(int(name[d])))], np.int64)
+                if len(new):
+                    own = np.zeros(j - i, bool)
+                    own[new] = True
+                    held, ends = h[np.repeat(own, np.diff(first))].view(np.int64), np.cumsum(np.diff(first)[new])
+                    yield pa.record_batch({"node": name[new], "shingles": pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(held))})
 
     return run
 
@@ -239,12 +244,12 @@ def _close(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
 def _sets_for(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of the nodes in the pairs, written, from one text of each. The ids are broadcast where a count
     shows them to be few; otherwise the texts are joined with them."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node").select(F.col("least").alias("doc_id")).distinct()
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node").select("key").distinct()
     wanted = written(wanted, "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").select("text")
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "key", "left_semi").select("text")
     sets = written(texts.mapInArrow(_sets(k), "node long, shingles array<long>"), "sets")
-    # only rows that share a doc_id can give a node twice
+    # only rows that share a key can give a node twice
     repeated = sets.groupBy("node").count().where("count > 1")
     return sets if repeated.isEmpty() else written(sets.dropDuplicates(["node"]), "sets")
 
@@ -267,15 +272,16 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, node (the set's name), root (of its component), component_id, for each row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = written(rows.mapInArrow(_survey(k), "kind int, doc_id long, n long, a long, b long, " + ", ".join(f"{c} long" for c in PARITY) + ", wide array<long>"), "survey")
-    ids = survey.where("kind = 0").select("doc_id", "n", F.col("a").alias("node"), *PARITY)
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))  # by which a text is found again
+    survey = written(rows.mapInArrow(_survey(k), "kind int, doc_id long, key long, n long, a long, b long, " + ", ".join(f"{c} long" for c in PARITY) + ", wide array<long>"), "survey")
+    ids = survey.where("kind = 0").select("doc_id", "key", "n", F.col("a").alias("node"), *PARITY)
     wide = survey.where("kind = 0 AND n > 0").select(F.col("a").alias("node"), "n", "wide")
     top = _most_common(written(survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")), "counts")).toPandas()
     tokens = top["a"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     common = spark.sparkContext.broadcast((tokens[order], top["n"].to_numpy(np.int32)[order]))
 
-    nodes = ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in PARITY))
+    nodes = ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), *(F.min(c).alias(c) for c in PARITY))
     postings = rows.select("text").mapInArrow(_postings(k, percent, common), "token long, node long, packed long")
     over = "OVER (PARTITION BY token)"
     lists = postings.selectExpr("token", "node", "packed", f"min(node) {over} AS lo", f"max(node) {over} AS hi", f"min(packed & 7) {over} AS least_l", f"ln(count(*) {over}) AS spread")
@@ -302,7 +308,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # what lies across components: only pairs with a member outside the list's largest component
     member = written(lists.drop("band", "spread").join(roots, "node", "left").select("token", "node", "n", "l", "free", F.coalesce("root", "node").alias("root")), "members")
     parts = member.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    some = written(member.join(parts.select("token", "largest"), "token").join(nodes.drop("least"), "node"), "some")
+    some = written(member.join(parts.select("token", "largest"), "token").join(nodes.drop("least", "key"), "node"), "some")
     left = some.where("root <> largest").selectExpr("token", "node AS x", "n AS nx", "l AS lx", "free AS freex", "root AS rx", *(f"{c} AS {c}x" for c in PARITY))
     right = some.selectExpr("token", "node AS y", "n AS ny", "l AS ly", "free AS freey", "root AS ry", "root = largest AS inside", *(f"{c} AS {c}y" for c in PARITY))
     apart = " + ".join(f"bit_count({c}x ^ {c}y)" for c in PARITY)

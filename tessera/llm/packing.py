@@ -26,7 +26,7 @@ WINDOW = 2048
 END_ID = 1
 #: Distinct words a worker process remembers with their ids from task to task, and the longest it remembers; others
 #: are encoded anew. New words are encoded many at a time.
-CACHE_WORDS, CACHE_BYTES, AT_ONCE = 1 << 20, 48, 400
+CACHE_WORDS, CACHE_BYTES, AT_ONCE = 1 << 18, 48, 400
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised pass holds; a longer single text makes a pass of its own.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _powers: list[np.ndarray] = []
