@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions.dialects import ALIASES
 from .plans.formula import evaluate
 from .sources.panels import MONTHLY_SQL, monthly_panel
 
@@ -168,6 +170,34 @@ CASES |= {
     "stability": ("stability(x,6,3)", gated("CASE WHEN min(x) OVER ts < max(x) OVER ts THEN avg(x) OVER ts / stddev_samp(x) OVER ts END")), "sigmoid": ("sigmoid(cs_zscore(x))", ({"q": z("x")}, "1 / (1 + exp(-q))")),
 }
 
+FULL = {"a": "list(x) OVER ts", "n": "count(*) OVER ts", "c": "count(x) OVER ts"}
+
+
+def ewm(c: str, beta: float) -> str:
+    """Closed form over the whole history, as list functions over the collected rows."""
+    return f"list_sum(list_transform({c}, lambda s: s.x * pow({beta!r}, di - s.d))) / list_sum(list_transform({c}, lambda s: pow({beta!r}, di - s.d)))"
+
+
+ALL_X = {"l": "list({'x': x, 'd': di}) FILTER (x IS NOT NULL) OVER (PARTITION BY sym ORDER BY di ROWS UNBOUNDED PRECEDING)"}
+CASES |= {
+    "EMA": ("EMA(x,6)", (ALL_X, ewm("l", 1 - 2 / 7))), "SMA_ewm": ("SMA(x,4,1)", (ALL_X, ewm("l", 0.75))), "MACD": ("MACD(x,3,6)", (ALL_X, {"s": ewm("l", 0.5), "e": ewm("l", 1 - 2 / 7)}, "s - e")),
+    "RSI": ("RSI(x,6)", ({"q": "x - lag(x) OVER o"}, {"u": "list({'x': greatest(q, 0), 'd': di}) FILTER (q IS NOT NULL) OVER " + HELD, "f": "list({'x': greatest(-q, 0), 'd': di}) FILTER (q IS NOT NULL) OVER " + HELD}, {"su": ewm("u", 1 - 2 / 7), "sf": ewm("f", 1 - 2 / 7)}, "CASE WHEN sf > 0 THEN 100 - 100 / (1 + su / sf) WHEN sf = 0 AND su > 0 THEN 100.0 END")),
+    "PERCENTILE": ("PERCENTILE(x,0.25,6)", "quantile_cont(x, 0.25) OVER ts"), "PERCENTILE_all": ("PERCENTILE(x,0.25)", "quantile_cont(x, 0.25) OVER (PARTITION BY sym)"), "SEQUENCE": ("REGBETA(x,SEQUENCE(6),6)", (PAIR | {"a": "CASE WHEN x IS NOT NULL THEN di::DOUBLE END", "b": "x"}, line("ts"), f"CASE WHEN n = 6 AND va THEN {SLOPE} END")),
+    "WMA": ("WMA(x,6)", (FULL, "CASE WHEN n = c THEN list_sum(list_transform(range(1, n + 1), lambda i: a[i] * pow(0.9, n - i))) / list_sum(list_transform(range(1, n + 1), lambda i: pow(0.9, n - i))) END")), "DECAYLINEAR": ("DECAYLINEAR(x,6)", (FULL, "CASE WHEN n = c THEN list_sum(list_transform(range(1, n + 1), lambda i: a[i] * i)) / 21 END")),
+    "TS_RANK": ("TS_RANK(w,6)", ({"a": "list(w) FILTER (w IS NOT NULL) OVER ts"}, "CASE WHEN w IS NOT NULL THEN (len(a) + len(list_filter(a, lambda v: v < w)) - len(list_filter(a, lambda v: v > w)) + 1) / 2.0 / len(a) END")),
+    "nozero_abs": ("nozero_abs(cs_neutralize(x))", "nullif(abs(x - avg(x) OVER cs), 0)"),
+    "ADX": ("ADX(add(x,y),sub(x,y),x,4)", ({"h": "x + y", "b": "x - y"}, {"ph": "lag(h) OVER o", "pb": "lag(b) OVER o", "px": "lag(x) OVER o"}, {"u": "coalesce(h - ph, 0)", "d": "coalesce(pb - b, 0)"},
+        {"mp": "CASE WHEN h IS NOT NULL THEN CASE WHEN u > d AND u > 0 THEN u ELSE 0 END END", "mm": "CASE WHEN h IS NOT NULL THEN CASE WHEN d > u AND d > 0 THEN d ELSE 0 END END", "mt": "CASE WHEN h IS NOT NULL THEN greatest(h - b, abs(h - px), abs(b - px)) END"},
+        *({f"s{k}": f"CASE WHEN m{k} IS NOT NULL THEN list_reduce(list(m{k}) FILTER (m{k} IS NOT NULL) OVER {HELD}, lambda a, v: a * 0.75 + v * 0.25) END"} for k in "pmt"), {"mx": "100 * abs(sp / nullif(st, 0) - sm / nullif(st, 0)) / nullif(sp / nullif(st, 0) + sm / nullif(st, 0), 0)"},
+        f"CASE WHEN mx IS NOT NULL THEN list_reduce(list(mx) FILTER (mx IS NOT NULL) OVER {HELD}, lambda a, v: a * 0.75 + v * 0.25) END")),
+    "pct": ("pct(x,y)", "x / nullif(y, 0) - 1"), "ts_regression2": ("ts_regression2(y,x,6,1)", (PAIR, line("ts"), f"CASE WHEN n = 6 AND va THEN {SLOPE} END")), "select_time_single": ("select_time_single(x,con)", f"last_value(CASE WHEN con THEN x END IGNORE NULLS) OVER {HELD}"),
+    "max_date": ("max(x)", "max(x) OVER cs"), "min_date": ("min(x)", "min(x) OVER cs"), "sumif_place": ("sumif(x,6,con)", "sum(CASE WHEN con THEN x WHEN NOT con THEN 0.0 END) OVER ts"),
+}
+# another name of a function: the same query under that name
+for _name, _of in ALIASES.items():
+    if _of in CASES and f"{_of}(" in CASES[_of][0]:
+        CASES[f"name_{_name}"] = (re.sub(rf"(?<!\w){_of}\(", f"{_name}(", CASES[_of][0]), CASES[_of][1])
+
 WINDOWS = "WINDOW cs AS (PARTITION BY di), grp AS (PARTITION BY di, g), o AS (PARTITION BY sym ORDER BY di), ts AS (PARTITION BY sym ORDER BY di ROWS 5 PRECEDING), t12 AS (PARTITION BY sym ORDER BY di ROWS 11 PRECEDING), b AS (PARTITION BY sym ORDER BY di ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)"
 
 

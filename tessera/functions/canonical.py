@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, Window, functions as F
 
-from .registry import clean, cs, gate, history, op, periods, rolling, within
+from .registry import Whole, clean, cs, decayed, gate, history, op, periods, rolling, within
 
 # conditions: nullable booleans, so AND, OR and NOT are three-valued as they are
 
@@ -66,10 +66,8 @@ def bucket(x, n):
 
 @op("gg", "g")
 def group_merge(a, b):
-    """a and b as one code; the code's base is the greatest b of the whole panel, one row."""
-    # partial maxima by date keep the single-partition step to one row per date
-    top = yield {"d": F.max(b).over(cs())}
-    whole = yield {"g": F.max(top["d"]).over(Window.partitionBy(F.lit(0)))}
+    """a and b as one code, whose base is the greatest b of the whole panel."""
+    whole = yield {"g": Whole(F.max(b))}
     return a * (whole["g"] + 1) + b
 
 
@@ -342,41 +340,27 @@ _place("ts_argmax", 1)
 _place("ts_argmin", -1)
 
 
-def _ema(x: Column, beta: float, least: int) -> Column:
-    """Adjusted exponential mean; weights are rebased to the row's own block of dates so that none overflows: history
-    older than some thousand half-lives weighs nothing."""
-    w = history().rowsBetween(Window.unboundedPreceding, 0)
-    t = F.col("di").cast("double")
-    # beta^-t stays below 1e280 for t up to this many rows
-    if beta <= 0:
-        return x
-    grow = F.pow(F.lit(1.0 / beta), t)
-    seen = F.when(x.isNotNull(), grow)
-    return F.when(F.count(x).over(w) >= least, F.sum(x * grow).over(w) / F.sum(seen).over(w))
-
-
-def ema_by_aggregate(x: Column, beta: float, least: int):
-    """The same for histories of any length, by folding the collected history."""
-    own = yield {"a": F.collect_list(F.struct(F.coalesce(x, F.lit(0.0)).alias("x"), x.isNotNull().alias("k"))).over(history().rowsBetween(Window.unboundedPreceding, 0))}
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"), F.lit(0).alias("n"))
-    step = lambda a, v: F.struct((a["s"] * beta + v["x"]).alias("s"), (a["w"] * beta + v["k"].cast("double")).alias("w"), (a["n"] + v["k"].cast("int")).alias("n"))
-    got = yield {"f": F.aggregate(own["a"], zero, step)}
-    return F.when(got["f"]["n"] >= least, F.try_divide(got["f"]["s"], got["f"]["w"]))
+def ema(x: Column, beta: float, least: int):
+    """Stages: adjusted exponential mean over all rows so far; a missing value leaves it as it is."""
+    sums = yield from decayed({"s": x, "w": F.when(x.isNotNull(), 1.0)}, beta, F.col("di"), "sym")
+    here = yield {"v": F.when(x.isNotNull(), sums["s"] / sums["w"])}
+    to_here = history().rowsBetween(Window.unboundedPreceding, 0)
+    return F.when(F.count(x).over(to_here) >= least, F.last(here["v"], ignorenulls=True).over(to_here))
 
 
 @op("f", window=0)
 def ema1(x, n, min_periods=None):
-    return _ema(x, 1 - 2 / (1 + n), periods(n, min_periods))
+    return (yield from ema(x, 1 - 2 / (1 + n), periods(n, min_periods)))
 
 
 @op("f", window=0)
 def ema2(x, n, min_periods=None):
-    return _ema(x, 1 - 1 / (1 + n), periods(n, min_periods))
+    return (yield from ema(x, 1 - 1 / (1 + n), periods(n, min_periods)))
 
 
 @op("f")
 def ema3(x, alpha, min_periods=None):
-    return _ema(x, 1 - alpha, 2 if min_periods is None else int(min_periods))
+    return (yield from ema(x, 1 - alpha, 2 if min_periods is None else int(min_periods)))
 
 
 @op("f")
@@ -443,10 +427,10 @@ def trade_when(x, con, q=0.2):
     starts = yield {"s": F.sum(F.when(ok & (con | (seen["c"] == 1)), 1).otherwise(0)).over(to_here)}
     piece = Window.partitionBy("sym", starts["s"]).orderBy("di").rowsBetween(Window.unboundedPreceding, 0)
     step = yield {"m": F.sum(F.when(ok, 1).otherwise(0)).over(piece) - 1}
-    m = step["m"].cast("double")
-    fade = F.pow(F.lit(1 - q), m)
-    grown = F.sum(F.when(ok, F.when(m == 0, v).otherwise(v * q) / fade)).over(piece)
-    return F.when(ok, fade * grown)
+    # rows that do not count add nothing and share the place of the one before
+    place = yield {"p": F.greatest(step["m"], F.lit(0)), "v": F.when(ok, F.when(step["m"] == 0, v).otherwise(v * q)), "s": starts["s"], "ok": ok}
+    moved = yield from decayed({"v": place["v"]}, 1 - q, place["p"], "sym", place["s"], place["ok"])
+    return F.when(ok, moved["v"])
 
 
 # two factors

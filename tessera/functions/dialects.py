@@ -7,8 +7,8 @@ import math
 
 from pyspark.sql import Column, Window, functions as F
 
-from .canonical import _zscore, dense, guarded_corr
-from .registry import cs, history, op, rolling, within
+from .canonical import _zscore, dense, ema, guarded_corr
+from .registry import OPS, alias, cs, decayed, history, op, rolling, within
 
 
 def average_rank(x: Column, *by):
@@ -59,7 +59,7 @@ def normal_quantile(p: Column) -> Column:
 @op("f")
 def gaussian_rank(x):
     r, n = yield from average_rank(x, "di")
-    return normal_quantile((r - 0.5) / n)
+    return normal_quantile(F.greatest(F.least(r / n, F.lit(1 - 1e-6)), F.lit(1e-6)))
 
 
 def _by_date(name: str, measure) -> None:
@@ -142,7 +142,6 @@ _rolled("TS_MEDIAN", lambda x, w: F.percentile(x, F.lit(0.5)).over(w))
 _rolled("TS_STD", lambda x, w: F.when(F.count(x).over(w) > 1, F.stddev_samp(x).over(w)), 20)
 _rolled("TS_VAR", lambda x, w: F.when(F.count(x).over(w) > 1, F.var_samp(x).over(w)))
 _rolled("TS_ZSCORE", lambda x, w: F.when(F.min(x).over(w) < F.max(x).over(w), (x - F.avg(x).over(w)) / F.stddev_samp(x).over(w)))
-_rolled("SMA", lambda x, w: F.avg(x).over(w))
 _rolled("BB_MIDDLE", lambda x, w: F.avg(x).over(w), 20)
 _rolled("BB_UPPER", lambda x, w: F.avg(x).over(w) + F.stddev_samp(x).over(w), 20)
 _rolled("BB_LOWER", lambda x, w: F.avg(x).over(w) - F.stddev_samp(x).over(w), 20)
@@ -282,14 +281,22 @@ def FLOOR(x):
     return F.floor(x).cast("double")
 
 
-@op("ff")
-def MAX(x, y):
-    return F.when(x.isNotNull() & y.isNotNull(), F.greatest(x, y))
+def _extreme(name: str, along_date, along_row) -> None:
+    """One argument: over its date; more: the row's, missing where one of them is."""
 
+    def build(*xs):
+        if len(xs) == 1:
+            return along_date(xs[0]).over(cs())
+        known = xs[0].isNotNull()
+        for x in xs[1:]:
+            known = known & x.isNotNull()
+        return F.when(known, along_row(*xs))
+
+    op("f*", "f", name)(build)
 
-@op("ff")
-def MIN(x, y):
-    return F.when(x.isNotNull() & y.isNotNull(), F.least(x, y))
+
+_extreme("MAX", F.max, F.greatest)
+_extreme("MIN", F.min, F.least)
 
 
 for _name, _test in (("GT", lambda x, y: x > y), ("LT", lambda x, y: x < y), ("NE", lambda x, y: x != y)):
@@ -371,3 +378,129 @@ def stability(x, n=12, least=4):
     """Mean over deviation of the last rows."""
     w = rolling(n)
     return F.when((F.count(x).over(w) >= int(least)) & (F.min(x).over(w) < F.max(x).over(w)), F.avg(x).over(w) / F.stddev_samp(x).over(w))
+
+
+# names of the dialect that are functions of their own, and names that only repeat others
+
+
+@op("f", window=0)
+def EMA(x, p):
+    return (yield from ema(x, 1 - 2 / (1 + int(p)), 1))
+
+
+@op("f", window=0)
+def SMA(x, m=5, n=None):
+    """Mean of the last m rows; with n, an exponential mean of which each row takes n / m."""
+    if n is None:
+        return F.avg(x).over(rolling(m))
+    return (yield from ema(x, 1 - n / m, 1))
+
+
+@op("f")
+def MACD(x, short_window=12, long_window=26):
+    """Short exponential mean less the long one."""
+    short = yield from ema(x, 1 - 2 / (1 + int(short_window)), 1)
+    both = yield {"a": short}
+    long = yield from ema(x, 1 - 2 / (1 + int(long_window)), 1)
+    return both["a"] - long
+
+
+@op("f")
+def RSI(x, window=14):
+    """Relative strength: 100 where nothing fell, missing where nothing moved."""
+    step = yield {"d": x - F.lag(x, 1).over(history())}
+    up = yield from ema(F.greatest(step["d"], F.lit(0.0)) + step["d"] * 0, 1 - 2 / (1 + int(window)), 1)
+    rise = yield {"u": up}
+    fall = yield {"f": (yield from ema(F.greatest(-step["d"], F.lit(0.0)) + step["d"] * 0, 1 - 2 / (1 + int(window)), 1))}
+    u, f = rise["u"], fall["f"]
+    return F.when(f > 0, 100 - 100 / (1 + u / F.when(f > 0, f))).when((f == 0) & (u > 0), 100.0)
+
+
+@op("f", window=1)
+def PERCENTILE(x, q, p=None):
+    """Quantile of a symbol's last p rows, or of its whole history."""
+    return F.percentile(x, F.lit(float(q))).over(rolling(p) if p is not None else Window.partitionBy("sym"))
+
+
+@op("")
+def SEQUENCE(n):
+    """1 to n as a regressor of windows of n rows; as such a line in the calendar is the same."""
+    return F.col("di").cast("double")
+
+
+def _folded(name: str, start, step, out) -> None:
+    """Over the last p rows, all of which must be there."""
+
+    def build(x, p=None):
+        p = int(p or start)
+        own = yield {"a": F.collect_list(x).over(rolling(p)), "n": F.count(F.lit(1)).over(rolling(p))}
+        return F.when(F.size(own["a"]) == own["n"], out(step(own["a"]), own["n"], p))
+
+    op("f", "f", name, window=0)(build)
+
+
+_folded("WMA", 20, lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s * 0.9 + v), lambda s, n, p: s * 0.1 / (1 - F.pow(F.lit(0.9), n)))
+# weights 1 to p from the oldest row on, over the sum of all p of them
+_folded("DECAYLINEAR", 5, lambda a: F.aggregate(F.transform(a, lambda v, k: v * (k + 1)), F.lit(0.0), lambda s, v: s + v), lambda s, n, p: s / (p * (p + 1) / 2))
+
+
+@op("f", window=0)
+def TS_RANK(x, p=5):
+    return (yield from OPS["ts_rank"].build(x, p, 1))
+
+
+@op("ff")
+def pct(x, y):
+    return F.try_divide(x, y) - 1
+
+
+@op("ff", window=0)
+def ts_regression2(y, x, p=5, rettype=0):
+    return (yield from OPS["REGBETA" if rettype == 1 else "REGRESI"].build(y, x, p))
+
+
+@op("fc")
+def select_time_single(x, con, d=0.2):
+    return OPS["hold_when"].build(x, con)
+
+
+@op("f")
+def nozero_abs(x):
+    return F.nullif(F.abs(x), F.lit(0.0))
+
+
+def _smoothed(x, alpha):
+    """Stages: y = (1 - alpha) y + alpha x from row to row where x is there; the first x begins it."""
+    place = yield {"p": F.count(x).over(history().rowsBetween(Window.unboundedPreceding, 0)) - 1, "k": x.isNotNull()}
+    moved = yield from decayed({"v": F.when(place["p"] == 0, x).otherwise(x * alpha)}, 1 - alpha, F.greatest(place["p"], F.lit(0)), "sym", place["k"])
+    return F.when(place["k"], moved["v"])
+
+
+@op("fff")
+def ADX(high, low, close, n=14):
+    """Average directional index, smoothed by one over n."""
+    prev = yield {k: F.lag(c, 1).over(history()) for k, c in (("h", high), ("l", low), ("c", close))}
+    up, down = F.coalesce(high - prev["h"], F.lit(0.0)), F.coalesce(prev["l"] - low, F.lit(0.0))
+    known = high.isNotNull() & low.isNotNull()
+    move = yield {
+        "p": F.when(known, F.when((up > down) & (up > 0), up).otherwise(0.0)), "m": F.when(known, F.when((down > up) & (down > 0), down).otherwise(0.0)),
+        "t": F.when(known, F.greatest(high - low, F.abs(high - prev["c"]), F.abs(low - prev["c"]))),
+    }
+    true_range = yield {"t": (yield from _smoothed(move["t"], 1 / n))}
+    plus = yield {"p": (yield from _smoothed(move["p"], 1 / n))}
+    minus = yield {"m": (yield from _smoothed(move["m"], 1 / n))}
+    a, b = F.try_divide(plus["p"], true_range["t"]), F.try_divide(minus["m"], true_range["t"])
+    index = yield {"x": 100 * F.try_divide(F.abs(a - b), a + b)}
+    return (yield from _smoothed(index["x"], 1 / n))
+
+
+#: Other names of functions.
+ALIASES = {
+    "ABS": "abs", "SIGN": "signal", "sign": "signal", "SQRT": "sqrt", "POW": "power", "exp": "EXP", "inv": "INV", "floor": "FLOOR", "ADD": "add", "SUBTRACT": "sub", "MULTIPLY": "mul", "DIVIDE": "div", "divide": "div",
+    "AND": "con_and", "OR": "con_or", "EQ": "eq", "GE": "ge", "LE": "le", "where": "WHERE", "IF_ELSE": "WHERE", "ifelse": "WHERE", "pos": "pos_part", "last": "math_self", "regime_switch": "math_self",
+    "mean": "cs_mean", "std": "cs_std", "skew": "SKEW", "kurt": "KURT", "median": "cs_median", "rank": "RANK", "max": "MAX", "min": "MIN", "delay": "DELAY", "delta": "DELTA", "ts_return": "ts_pct", "ts_cov": "TS_COVARIANCE",
+    "ts_corr1": "ts_corr", "ts_corr2": "ts_corr", "ts_mad": "TS_MAD", "ts_quantile": "TS_QUANTILE", "percentile": "PERCENTILE", "highday": "HIGHDAY", "lowday": "LOWDAY", "sumac": "SUMAC", "sma": "SMA", "count": "COUNT", "sumif": "SUMIF",
+    "filter": "FILTER", "sequence": "SEQUENCE", "regbeta": "REGBETA", "regresi": "REGRESI", "ts_regression": "REGBETA", "rsi": "RSI", "macd": "MACD", "bb_middle": "BB_MIDDLE", "bb_upper": "BB_UPPER", "bb_lower": "BB_LOWER",
+}
+for _name, _of in ALIASES.items():
+    alias(_name, _of)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, Window, functions as F
 
@@ -12,7 +13,8 @@ from pyspark.sql import Column, Window, functions as F
 class Op:
     """build(*columns, *parameters) yields dicts of columns to materialise, gets their columns back, and returns the
     result; a builder without stages just returns it. inputs: the kinds of its column arguments (f value, c condition,
-    g group); out: its result's kind; depth(parameters): rows of history it needs."""
+    g group), with * where all further arguments are columns of the last kind; out: its result's kind; window: the
+    place of its window length among the parameters."""
 
     name: str
     inputs: str
@@ -24,6 +26,13 @@ class Op:
 OPS: dict[str, Op] = {}
 
 
+@dataclass(frozen=True)
+class Whole:
+    """Yielded in place of a column: an aggregate over the whole panel, one row that is broadcast back to it."""
+
+    value: Column
+
+
 def op(inputs: str, out: str = "f", name: str | None = None, window: int | None = None):
     """Registers a builder; window is the place of its window-length parameter among the parameters, if it has one."""
 
@@ -34,6 +43,11 @@ def op(inputs: str, out: str = "f", name: str | None = None, window: int | None
     return register
 
 
+def alias(name: str, of: str) -> None:
+    """Another name for a registered function."""
+    OPS[name] = replace(OPS[of], name=name)
+
+
 def cs():
     """The rows of a date."""
     return Window.partitionBy("di")
@@ -63,6 +77,22 @@ def periods(n: int, given) -> int:
     return n // 2 if given is None else int(given)
 
 
+def decayed(values: dict[str, Column], beta: float, place: Column, *by):
+    """Stages: running sums of values in which each row counts beta times for each place it lies back, in the order of
+    place (whole numbers from 0) within by. Sums grow from block to block of places, so that no power overflows whatever
+    the length; what lies before the block before weighs less than 1e-240."""
+    if beta <= 0:
+        return {k: F.coalesce(v, F.lit(0.0)) for k, v in values.items()}
+    size = max(1, int(560 / -math.log(beta))) if beta < 1 else 1 << 31
+    block = F.floor(place / size)
+    at = (place - block * size).cast("double")
+    inside = Window.partitionBy(*by, block).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    own = yield {k: F.sum(F.coalesce(v, F.lit(0.0)) * F.pow(F.lit(1 / beta), at)).over(inside) for k, v in values.items()} | {"_block": block, "_at": at}
+    before = Window.partitionBy(*by).orderBy(own["_block"]).rangeBetween(-1, -1)
+    ends = yield {"_end": F.max(F.struct(place.alias("_place"), *(own[k].alias(k) for k in values))).over(before)}
+    return {k: (own[k] + F.coalesce(ends["_end"][k], F.lit(0.0)) * beta**size) * F.pow(F.lit(beta), own["_at"]) for k in values}
+
+
 def gate(x: Column, n: int, least, value: Column) -> Column:
     """value where the window holds enough rows with x; before the window's n-th-least row there is too little."""
     return F.when(F.count(x).over(rolling(n)) >= periods(n, least), value)

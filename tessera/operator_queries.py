@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .operators import asof, evaluation, fitness, minute, similarity, store, styles
+from .operators import asof, evaluation, fitness, minute, quality, similarity, store, styles, weights
 from .plans.formula import evaluate
 from .plans.infix import parse_infix
-from .plans.splits import labelled_parts, walk_forward
+from .plans.splits import fixed_dates, labelled_parts, rolling_ranges, walk_forward
 from .sources.panels import MINUTE_SQL, MONTHLY_SQL, minute_bars, monthly_panel, read
 from .streaming.bars import sessions
 
@@ -197,7 +197,10 @@ def store_worst_pairs(spark, sf_dir):
     return _rounded(store.worst_pairs(_pairs(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SERIES}, ids AS (SELECT id, row_number() OVER (ORDER BY (id * 7 % 11) DESC, id) AS n FROM (SELECT a AS id FROM k UNION SELECT b FROM k)),
+e AS (SELECT a, list(b) AS near FROM (SELECT a, b FROM k WHERE corr > 0.3 UNION ALL SELECT b, a FROM k WHERE corr > 0.3) GROUP BY a), o AS (SELECT id, n, coalesce(near, []) AS near FROM ids LEFT JOIN e ON a = id),
+r AS (SELECT 0::BIGINT AS n, [] :: BIGINT[] AS kept UNION ALL SELECT o.n, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, id) END FROM r JOIN o ON o.n = r.n + 1)
+SELECT CAST(unnest(kept) AS INT) AS id FROM r WHERE n = (SELECT max(n) FROM ids)""")
 def store_greedy_independent(spark, sf_dir):
     corrs = _pairs(spark, sf_dir)
     ranked = corrs.select(F.col("a").alias("id")).union(corrs.select("b")).distinct().withColumn("score", (F.col("id") * 7 % 11).cast("double"))
@@ -206,6 +209,7 @@ def store_greedy_independent(spark, sf_dir):
 
 @query()
 def store_sampled(spark, sf_dir):
+    """Its draws come from a hash that only Spark has; a test draws anew from the same hashes."""
     return store.sampled(read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("w")), "p_partkey", "w", 50)
 
 
@@ -214,7 +218,10 @@ def store_round_robin(spark, sf_dir):
     return store.round_robin(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice"), "p_brand", [F.desc("p_retailprice"), F.asc("p_partkey")], 60).select("p_partkey", "p_brand", "turn")
 
 
-@query()
+@query(f"""WITH RECURSIVE {MONTHLY_SQL.strip()}, s AS (SELECT di AS key, sym AS id, x AS w FROM p WHERE x IS NOT NULL), l AS (SELECT key, list(w ORDER BY w DESC) AS a, sum(w) AS t FROM s GROUP BY key),
+r AS (SELECT key, a, 0 AS k, t AS rest FROM l UNION ALL SELECT key, a, k + 1, rest - a[k + 1] FROM r WHERE k < len(a) AND a[k + 1] * greatest(1 - k * 0.05, 0) / rest >= 0.05), c AS (SELECT key, max(k) AS k, arg_max(rest, k) AS rest FROM r GROUP BY key),
+n AS (SELECT s.key, id, w, row_number() OVER (PARTITION BY s.key ORDER BY w DESC, id) AS i FROM s)
+SELECT key, id, round(CASE WHEN i <= k THEN 0.05 ELSE w * greatest(1 - k * 0.05, 0) / rest END, 6) + 0.0 AS w FROM n JOIN c USING (key)""")
 def store_capped_weights(spark, sf_dir):
     w = monthly_panel(spark, sf_dir).where("x IS NOT NULL").select(F.col("di").alias("key"), F.col("sym").alias("id"), F.col("x").alias("w"))
     return _rounded(store.capped_weights(w, "key", 0.05))
@@ -348,7 +355,10 @@ def row_ranked_features(spark, sf_dir):
     return _rounded(styles.row_ranked(p, ["x", "y", "w"]).select("di", "sym", "x_r", "y_r", "w_r"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_VALUES}, top AS (SELECT di, sym, row_number() OVER (PARTITION BY di ORDER BY v DESC, sym) AS rank FROM vals WHERE v IS NOT NULL), days AS (SELECT di, list(sym ORDER BY rank) AS ids, row_number() OVER (ORDER BY di) AS n FROM top WHERE rank <= 8 GROUP BY di),
+r AS (SELECT 0::BIGINT AS n, CAST(NULL AS INT) AS di, []::BIGINT[] AS held UNION ALL
+  SELECT d.n, d.di, list_concat(list_filter(ids, lambda i: list_contains(held, i)), list_filter(ids, lambda i: NOT list_contains(held, i)))[1:4] FROM r JOIN days d ON d.n = r.n + 1)
+SELECT di, unnest(held) AS id FROM r WHERE n > 0""")
 def buffered_book(spark, sf_dir):
     return styles.buffered(styles.top_names(_values(spark, sf_dir), 8), 4, 8)
 
@@ -434,3 +444,138 @@ SELECT date, sym, round(sum(n / t * ln(n * t / (nx * ny))), 6) + 0.0 AS mutual_i
 def minute_mutual_information(spark, sf_dir):
     bars = minute_bars(spark, sf_dir).withColumn("at", F.col("minute").cast("double"))
     return _rounded(minute.mutual_information(bars, "high", "at"))
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()}, v AS (SELECT date, sym, CASE WHEN y >= 400 THEN 'inf'::DOUBLE ELSE x END AS v FROM p), k AS (SELECT date, sym, count(*) AS n, count(*) FILTER (v IS NULL) AS missing, count(*) FILTER (isinf(v)) AS infinite FROM v GROUP BY 1, 2), g AS (SELECT *, date_diff('day', lag(date) OVER (PARTITION BY sym ORDER BY date), date) AS gap FROM k)
+SELECT sum(n)::BIGINT AS rows, count(DISTINCT date) AS dates, count(DISTINCT sym) AS symbols, sum(missing)::BIGINT AS missing, sum(infinite)::BIGINT AS infinite, sum(n - 1)::BIGINT AS repeated, min(gap)::INT AS least_gap FROM g""")
+def quality_profile(spark, sf_dir):
+    v = monthly_panel(spark, sf_dir).select("date", "sym", F.when(F.col("y") >= 400, float("inf")).otherwise(F.col("x")).alias("v"))
+    return quality.profile(v, "v")
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()}, a AS (SELECT date, sym, x AS v FROM p WHERE di % 7 <> 0), b AS (SELECT date, sym, CASE WHEN y < 100 THEN NULL WHEN w > 3 THEN x ELSE x * 2 END AS v FROM p WHERE di % 5 <> 0),
+j AS (SELECT a.v AS x, b.v AS y, a.sym IS NOT NULL AS ia, b.sym IS NOT NULL AS ib FROM a FULL JOIN b USING (date, sym)), n AS (SELECT count(*) FILTER (ia) AS ra, count(*) FILTER (ib) AS rb, count(*) FILTER (ia AND ib) AS c, count(*) AS t, count(*) FILTER (ia AND x IS NULL) AS ma, count(*) FILTER (ib AND y IS NULL) AS mb,
+avg(CASE WHEN abs(x - y) < 1e-6 THEN 1.0 ELSE 0.0 END) FILTER (x IS NOT NULL AND y IS NOT NULL) AS e, corr(x, y) AS r FROM j)
+SELECT ra AS rows_a, rb AS rows_b, round(least(ra, rb) / greatest(ra, rb)::DOUBLE, 6) AS row_ratio, round(c / t::DOUBLE, 6) AS overlap, ma = mb AS missing_equal, round(e, 6) AS equal_share, round(r, 6) AS corr FROM n""")
+def quality_compared(spark, sf_dir):
+    p = monthly_panel(spark, sf_dir)
+    other = F.when(F.col("y") < 100, None).when(F.col("w") > 3, F.col("x")).otherwise(F.col("x") * 2)
+    return _rounded(quality.compared(p.where("di % 7 <> 0").select("date", "sym", F.col("x").alias("v")), p.where("di % 5 <> 0").select("date", "sym", other.alias("v")), "v"))
+
+
+@query(f"WITH {_DAILY}, best AS (SELECT list(abs(rankic) ORDER BY abs(rankic) DESC) FILTER (rankic IS NOT NULL) AS a FROM daily) SELECT round(a[1] / list_sum(a), 6) AS top1, round(list_sum(a[1:5]) / list_sum(a), 6) AS top5 FROM best")
+def quality_concentration(spark, sf_dir):
+    return _rounded(quality.concentration(evaluation.daily_results(_values(spark, sf_dir)), "rankic"))
+
+
+@query(f"""WITH {_DAILY}, k AS (SELECT round(rankic, 9) AS x, row_number() OVER (ORDER BY round(rankic, 9)) - 1 AS place FROM daily WHERE rankic IS NOT NULL), n AS (SELECT count(*) AS n FROM k),
+e AS (SELECT draw, unnest(range(n)) AS i, n FROM range(5000) z(draw), n), f AS (SELECT draw, ('0x' || substr(md5('20260625:' || draw || ':' || i), 1, 8))::BIGINT % n AS place FROM e), g AS (SELECT draw, avg(x) AS m FROM f JOIN k USING (place) GROUP BY draw)
+SELECT round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0 AS high, round((SELECT avg(x) FROM k), 6) + 0.0 AS mean FROM g""")
+def quality_bootstrap(spark, sf_dir):
+    return _rounded(quality.bootstrap(evaluation.daily_results(_values(spark, sf_dir)).select(F.round("rankic", 9).alias("rankic")), "rankic"))
+
+
+@query(f"""WITH {_DAILY}, cut AS (SELECT di, rankic, ntile(5) OVER (ORDER BY di) AS block FROM daily WHERE rankic IS NOT NULL), g AS (SELECT block, min(di) AS first, max(di) AS last, avg(rankic) AS mean, count(*) FILTER (rankic > 0) AS k, count(*) AS n FROM cut GROUP BY block)
+SELECT block::INT AS block, first, last, round(mean, 6) + 0.0 AS mean, round(k / n::DOUBLE, 6) AS win_rate, round(least(1, 2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) - n * ln(2))))), 6) AS p FROM g""")
+def quality_blocks(spark, sf_dir):
+    return _rounded(quality.by_blocks(evaluation.daily_results(_values(spark, sf_dir)), "rankic"))
+
+
+@query("""SELECT s_suppkey, coalesce(s_acctbal >= 0 AND s_acctbal <= 5000 AND s_nationkey >= 3, false) AS ok FROM supplier""")
+def quality_rules_pass(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").select("s_suppkey", quality.passes(None, {"s_acctbal": (0, 5000), "s_nationkey": (3, None)}).alias("ok"))
+
+
+@query(f"""WITH RECURSIVE {MONTHLY_SQL.strip()}, q AS (SELECT di, sym, con, x / nullif(lag(x) OVER o, 0) - 1 AS r FROM p {_W}), v AS (SELECT di, sym, con, CASE WHEN count(r) OVER t >= 3 THEN stddev_samp(r) OVER t END AS v FROM q WINDOW t AS (PARTITION BY sym ORDER BY di ROWS 5 PRECEDING)),
+s AS (SELECT di AS key, sym AS id, 1 / v AS w FROM v WHERE con AND v > 0), l AS (SELECT key, list(w ORDER BY w DESC) AS a, sum(w) AS t FROM s GROUP BY key),
+r AS (SELECT key, a, 0 AS k, t AS rest FROM l UNION ALL SELECT key, a, k + 1, rest - a[k + 1] FROM r WHERE k < len(a) AND a[k + 1] * greatest(1 - k * 0.2, 0) / rest >= 0.2), c AS (SELECT key, max(k) AS k, arg_max(rest, k) AS rest FROM r GROUP BY key),
+n AS (SELECT s.key, id, w, row_number() OVER (PARTITION BY s.key ORDER BY w DESC, id) AS i FROM s), f AS (SELECT key, id, CASE WHEN i <= k THEN 0.2 ELSE w * greatest(1 - k * 0.2, 0) / rest END AS w FROM n JOIN c USING (key))
+SELECT p.di, p.sym, round(coalesce(lag(coalesce(f.w, 0)) OVER (PARTITION BY p.sym ORDER BY p.di), 0), 6) + 0.0 AS w FROM p LEFT JOIN f ON f.key = p.di AND f.id = p.sym""")
+def weights_inverse_volatility(spark, sf_dir):
+    r = evaluate(monthly_panel(spark, sf_dir), {"r": "diff_q(x)", "con": "con_and(con,con)"})
+    return _rounded(weights.next_day(weights.inverse_volatility(r, F.col("con"), F.col("r"), 6, 0.2)))
+
+
+@query(f"WITH {_SERIES}, c AS (SELECT quantile_cont(abs(corr), 0.7) AS cut FROM k) SELECT a, b, round(corr, 6) + 0.0 AS corr, coalesce(abs(corr) >= cut, false) AS near FROM k, c")
+def store_pairs_by_correlation(spark, sf_dir):
+    return _rounded(weights.split_by_correlation(_pairs(spark, sf_dir).drop("days"), 0.7))
+
+
+@query("SELECT x.p_brand, x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey WHERE x.p_size > 45 AND y.p_size > 45")
+def store_pairs_within(spark, sf_dir):
+    f = read(spark, sf_dir, "part").where("p_size > 45").select(F.col("p_partkey").alias("id"), "p_brand")
+    return weights.inner_pairs(f, "p_brand").select("p_brand", "a", "b")
+
+
+@query("SELECT x.p_brand, x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_brand = y.p_brand WHERE x.p_size > 47 AND y.p_size < 4")
+def store_pairs_across(spark, sf_dir):
+    f = lambda ok: read(spark, sf_dir, "part").where(ok).select(F.col("p_partkey").alias("id"), "p_brand")
+    return weights.cross_pairs(f("p_size > 47"), f("p_size < 4"), "p_brand").select("p_brand", "a", "b")
+
+
+@query("""WITH q AS (SELECT o_custkey, year(o_orderdate)::INT AS y, count(*) AS n FROM orders GROUP BY 1, 2), c AS (SELECT * FROM (SELECT DISTINCT o_custkey FROM q), (SELECT DISTINCT y FROM q)), d AS (SELECT o_custkey, y, coalesce(n, 0) AS n FROM c LEFT JOIN q USING (o_custkey, y))
+SELECT o_custkey, y, (y - coalesce(max(CASE WHEN n = 0 THEN y END) OVER (PARTITION BY o_custkey ORDER BY y ROWS UNBOUNDED PRECEDING), min(y) OVER (PARTITION BY o_custkey) - 1))::INT AS run FROM d""")
+def store_consecutive(spark, sf_dir):
+    q = read(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
+    whole = q.select("o_custkey").distinct().crossJoin(F.broadcast(q.select("y").distinct())).join(q, ["o_custkey", "y"], "left")
+    return weights.consecutive(whole, "o_custkey", "y", "n").select("o_custkey", "y", "run")
+
+
+@query(f"""WITH RECURSIVE {MONTHLY_SQL.strip()}, w AS (SELECT 0 AS fold, 37 AS s, least(37 + 9, 83) AS e UNION ALL SELECT fold + 1, e, least(e + 9, 83) FROM w WHERE e < 83),
+r AS (SELECT fold, 'train' AS part, greatest(0, s - 7 - 30) AS a, s - 8 AS b FROM w UNION ALL SELECT fold, 'validation', s - 7, s - 2 FROM w UNION ALL SELECT fold, 'test', s, e - 1 FROM w)
+SELECT CAST(fold AS INT) AS fold, part, count(x) AS cells, CAST(min(di) AS INT) AS first, CAST(max(di) AS INT) AS last FROM r JOIN p ON di BETWEEN a AND b GROUP BY 1, 2""")
+def rolling_parts(spark, sf_dir):
+    parts = labelled_parts(monthly_panel(spark, sf_dir), rolling_ranges(spark, 83, 30, 6, 1, 9))
+    return parts.groupBy("fold", "part").agg(F.count("x").alias("cells"), F.min("di").alias("first"), F.max("di").alias("last"))
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()}, r AS (SELECT *, CASE WHEN date BETWEEN DATE '1992-01-01' AND DATE '1994-12-31' THEN 'train' WHEN date BETWEEN DATE '1995-02-01' AND DATE '1995-12-31' THEN 'validation' WHEN date BETWEEN DATE '1996-02-01' AND DATE '1998-12-31' THEN 'test' END AS part FROM p)
+SELECT part, count(x) AS cells, CAST(min(di) AS INT) AS first, CAST(max(di) AS INT) AS last FROM r WHERE part IS NOT NULL GROUP BY 1""")
+def fixed_parts(spark, sf_dir):
+    parts = fixed_dates(monthly_panel(spark, sf_dir), ("1992-01-01", "1994-12-31"), ("1995-02-01", "1995-12-31"), ("1996-02-01", "1998-12-31"))
+    return parts.groupBy("part").agg(F.count("x").alias("cells"), F.min("di").alias("first"), F.max("di").alias("last"))
+
+
+@query(f"""WITH {MINUTE_SQL.strip()}, a AS (SELECT *, amount4 / 10000.0 AS amount FROM b), m AS (SELECT *, avg(close) OVER (PARTITION BY date, sym) AS m FROM a)
+SELECT date, sym, round(sum(ln(1 + abs(close / nullif(open, 0) - 1))) / nullif(sum(amount), 0), 6) + 0.0 AS path, round(sum(close * volume) / sum(volume) / nullif(avg(close), 0), 6) + 0.0 AS weighted_close,
+CASE WHEN count(*) > 1 THEN round(CASE WHEN var_pop(close) > 1e-8 THEN sum(volume * pow(close - m, 3)) / sum(volume) / pow(stddev_pop(close), 3) ELSE 0 END, 6) + 0.0 END AS weighted_skew FROM m GROUP BY 1, 2""")
+def minute_price_reducers(spark, sf_dir):
+    bars = minute_bars(spark, sf_dir).withColumn("amount", F.col("amount4") / 10000.0)
+    return _rounded(bars.groupBy("date", "sym").agg(*(c.alias(k) for k, c in minute.price_reducers().items())))
+
+
+@query(f"""WITH {MINUTE_SQL.strip()}, k AS (SELECT date, sym, high AS y, open AS x FROM b WHERE close >= open), f AS (SELECT date, sym, count(*) AS n, var_pop(y) AS vy, var_pop(x) AS vx, covar_pop(y, x) AS c FROM k GROUP BY 1, 2)
+SELECT b.date, b.sym, round(CASE WHEN n >= 5 THEN sqrt(greatest(vy - coalesce(c * c / nullif(vx, 0), 0), 0)) ELSE 0 END, 4) + 0.0 AS residual_std, round(CASE WHEN n >= 5 THEN sqrt(greatest(vy / (vy + 1e-12) + vx / (vx + 1e-12) - 2 * c / (sqrt(vy + 1e-12) * sqrt(vx + 1e-12)), 0)) ELSE 0 END, 4) + 0.0 AS distance
+FROM (SELECT DISTINCT date, sym FROM b) b LEFT JOIN f USING (date, sym)""")
+def minute_fits(spark, sf_dir):
+    found = minute.fit_reducers("high", "open", F.col("close") >= F.col("open"))
+    return _rounded(minute_bars(spark, sf_dir).groupBy("date", "sym").agg(*(c.alias(k) for k, c in found.items())), 4)
+
+
+def _before(order: str) -> str:
+    return f"""WITH {MINUTE_SQL.strip()}, a AS (SELECT date, minute, sym, close * volume AS a, coalesce(close / nullif(lag(close) OVER (PARTITION BY date, sym ORDER BY minute), 0) - 1, 0) AS r FROM b), s AS (SELECT *, a / nullif(sum(a) OVER (PARTITION BY date, minute), 0) AS s FROM a),
+t AS (SELECT *, lag(s) OVER w AS before, row_number() OVER w = 1 AS first, row_number() OVER (PARTITION BY date, sym ORDER BY r {order}, minute) AS k FROM s WINDOW w AS (PARTITION BY date, sym ORDER BY minute))
+SELECT date, sym, round(sum(coalesce(before, 0)) FILTER (k <= 30 AND NOT first) / nullif(count(*) FILTER (k <= 30 AND NOT first), 0) / nullif(avg(s), 0), 6) + 0.0 AS share FROM t GROUP BY 1, 2"""
+
+
+@query(_before("DESC"))
+def minute_share_before_highest(spark, sf_dir):
+    return _rounded(minute.share_before(minute_bars(spark, sf_dir)))
+
+
+@query(_before("ASC"))
+def minute_share_before_lowest(spark, sf_dir):
+    return _rounded(minute.share_before(minute_bars(spark, sf_dir), highest=False))
+
+
+@query(f"""WITH {MINUTE_SQL.strip()}, m AS (SELECT date, sym, avg(close) AS m FROM b GROUP BY 1, 2), k AS (SELECT *, dense_rank() OVER (PARTITION BY date ORDER BY m) AS k FROM m), n AS (SELECT *, max(k) OVER (PARTITION BY date) AS n FROM k)
+SELECT date, sym, count(*) AS minutes, round(max(high), 6) AS high FROM b JOIN n USING (date, sym) WHERE CASE WHEN n = 1 THEN 0.5 ELSE (k - 1) / (n - 1)::DOUBLE END BETWEEN 0.25 AND 0.75 GROUP BY 1, 2""")
+def minute_state_mask(spark, sf_dir):
+    return _rounded(minute.state_mask(minute_bars(spark, sf_dir), "close", 0.25, 0.75).groupBy("date", "sym").agg(F.count("*").alias("minutes"), F.max("high").alias("high")))
+
+
+@query(f"""WITH {MINUTE_SQL.strip()}, a AS (SELECT *, amount4 / 10000.0 AS amount FROM b)
+SELECT date, minute, sym, {', '.join(f"round({e}, 6) + 0.0 AS {k}" for k, e in {"spread": "high - low", "mid_price": "(high + low) / 2", "typical_price": "(high + low + close) / 3", "money_flow": "(high + low + close) / 3 * volume", "return_abs": "abs(close / nullif(open, 0) - 1)", "log_volume": "ln(1 + volume)", "log_amount": "ln(1 + greatest(amount, 0))", "price_range_pct": "(high - low) / nullif(close, 0)", "upper_shadow": "high - greatest(open, close)", "lower_shadow": "least(open, close) - low", "body": "abs(close - open)", "vwap_deviation": "(close - amount / volume) / nullif(amount / volume, 0)", "amihud": "abs(close / nullif(open, 0) - 1) / nullif(amount, 0)", "signed_volume": "sign(close - open) * volume"}.items())} FROM a""")
+def minute_indicators(spark, sf_dir):
+    bars = minute_bars(spark, sf_dir).withColumn("amount", F.col("amount4") / 10000.0)
+    return _rounded(bars.select("date", "minute", "sym", *(c.alias(k) for k, c in minute.indicators().items())))

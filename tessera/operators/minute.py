@@ -176,3 +176,62 @@ def mutual_information(bars: DataFrame, x: str, y: str, bins: int = 5) -> DataFr
     total, px, py = F.sum("_n").over(w), F.sum("_n").over(Window.partitionBy(*DAY, "_x")), F.sum("_n").over(Window.partitionBy(*DAY, "_y"))
     part = F.col("_n") / total * F.ln(F.col("_n") * total / (px * py))
     return cells.withColumn("_p", part).groupBy(*DAY).agg(F.sum("_p").alias("mutual_info"))
+
+
+def price_reducers(o: str = "open", c: str = "close", v: str = "volume", amount: str = "amount") -> dict[str, Column]:
+    """path: length of the price's path over the amount traded; weighted_close: volume-weighted over plain mean close;
+    weighted_skew: volume-weighted third moment over the deviation's third power, 0 for a flat price."""
+    x, w = F.col(c), F.col(v)
+    known = x.isNotNull() & w.isNotNull()
+    cx, cw = F.when(known, x), F.when(known, w)
+    n, mean, total = F.count(cx), F.avg(cx), F.sum(cw)
+    cube = F.sum(cw * cx * cx * cx) - 3 * mean * F.sum(cw * cx * cx) + 3 * mean * mean * F.sum(cw * cx) - mean * mean * mean * total
+    return {
+        "path": F.try_divide(F.sum(F.ln(1 + F.abs(F.try_divide(x, F.col(o)) - 1))), F.sum(amount)), "weighted_close": F.try_divide(F.try_divide(F.sum(cx * cw), total), mean),
+        "weighted_skew": F.when((n > 1) & (total != 0), F.when(F.var_pop(cx) > 1e-8, cube / total / F.pow(F.stddev_pop(cx), F.lit(3.0))).otherwise(0.0)),
+    }
+
+
+def fit_reducers(y: str, x: str, mask: Column | None = None, least: int = 5) -> dict[str, Column]:
+    """Over a day's minutes where both are known and the mask holds: residual_std of y on x, and distance, the root mean
+    square of the difference of their z-scores; 0 where there are too few."""
+    ok = F.col(x).isNotNull() & F.col(y).isNotNull()
+    ok = ok if mask is None else ok & F.coalesce(mask, F.lit(False))
+    a, b = F.when(ok, F.col(y)), F.when(ok, F.col(x))
+    va, vb, cov, enough = F.var_pop(a), F.var_pop(b), F.covar_pop(a, b), F.count(a) >= least
+    rest = F.greatest(va - F.coalesce(F.try_divide(cov * cov, vb), F.lit(0.0)), F.lit(0.0))
+    z = lambda u: u / (u + 1e-12)
+    apart = z(va) + z(vb) - 2 * cov / (F.sqrt(va + 1e-12) * F.sqrt(vb + 1e-12))
+    return {"residual_std": F.when(enough, F.sqrt(rest)).otherwise(0.0), "distance": F.when(enough, F.sqrt(F.greatest(apart, F.lit(0.0)))).otherwise(0.0)}
+
+
+def share_before(bars: DataFrame, k: int = 30, highest: bool = True) -> DataFrame:
+    """Per day: a symbol's share of each minute's market amount, in the minute before its k minutes of highest (lowest)
+    return, over its mean share of the day. A day's first minute has return 0 and none before it; ties by minute."""
+    w = Window.partitionBy(*DAY).orderBy("minute")
+    amount = F.coalesce(F.col("close") * F.col("volume"), F.lit(0.0))
+    df = bars.select(*DAY, "minute", amount.alias("_a"), F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0)).alias("_r"))
+    df = df.withColumn("_share", F.try_divide("_a", F.sum("_a").over(Window.partitionBy("date", "minute"))))
+    df = df.withColumns({"_before": F.lag("_share").over(w), "_first": F.row_number().over(w) == 1})
+    df = df.withColumn("_k", F.row_number().over(Window.partitionBy(*DAY).orderBy(F.desc("_r") if highest else F.asc("_r"), "minute")))
+    taken = (F.col("_k") <= k) & ~F.col("_first")
+    return df.groupBy(*DAY).agg(F.try_divide(F.try_divide(F.sum(F.when(taken, F.coalesce("_before", F.lit(0.0)))), F.count(F.when(taken, 1))), F.avg("_share")).alias("share"))
+
+
+def state_mask(bars: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    """bars of the symbols whose rank (0 to 1, dense) of the day's mean of the column lies within low and high."""
+    mean = bars.groupBy(*DAY).agg(F.avg(column).alias("_m")).where("_m IS NOT NULL")
+    place = F.dense_rank().over(Window.partitionBy("date").orderBy("_m"))
+    ranked = mean.withColumn("_k", place).withColumn("_n", F.max("_k").over(Window.partitionBy("date")))
+    unit = F.when(F.col("_n") == 1, 0.5).otherwise((F.col("_k") - 1) / (F.col("_n") - 1))
+    return bars.join(ranked.where(unit.between(low, high)).select(*DAY), list(DAY), "left_semi")
+
+
+def indicators() -> dict[str, Column]:
+    """Indicators of a minute's own bar: open, high, low, close, volume, amount."""
+    o, h, l, c, v, a = (F.col(x) for x in ("open", "high", "low", "close", "volume", "amount"))
+    ret, vwap = F.try_divide(c, o) - 1, F.try_divide(a, v)
+    return {
+        "spread": h - l, "mid_price": (h + l) / 2, "typical_price": (h + l + c) / 3, "money_flow": (h + l + c) / 3 * v, "return_abs": F.abs(ret), "log_volume": F.log1p(v), "log_amount": F.log1p(F.greatest(a, F.lit(0.0))), "price_range_pct": F.try_divide(h - l, c),
+        "upper_shadow": h - F.greatest(o, c), "lower_shadow": F.least(o, c) - l, "body": F.abs(c - o), "vwap_deviation": F.try_divide(c - vwap, vwap), "amihud": F.try_divide(F.abs(ret), a), "signed_volume": F.signum(c - o) * v,
+    }

@@ -2,25 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+#: Queries compared with a batch at a time.
+AT_ONCE = 512
+
+
+def _near(queries, k: int, least: float):
+    """qid, id, similarity: of each batch what may be among a query's k best, ties for the last place included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q = queries.value
+        for batch in batches:
+            ids, v = batch.column(0).to_numpy(), batch.column(1)
+            m = v.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            norm = np.sqrt((m * m).sum(1))
+            m, ids = m[norm > 0] / norm[norm > 0, None], ids[norm > 0]
+            for at in range(0, len(qid) if len(ids) else 0, AT_ONCE):
+                some = qid[at : at + AT_ONCE]
+                s = np.round(q[at : at + AT_ONCE] @ m.T, 12)  # so that equal vectors are ties whatever their place in a batch
+                s[(some[:, None] == ids) | ~(s > least)] = -np.inf
+                last = np.partition(s, -k, axis=1)[:, -k, None] if s.shape[1] > k else np.full((len(some), 1), -np.inf)
+                row, column = np.nonzero((s >= last) & (s > -np.inf))
+                if len(row):
+                    yield pa.record_batch({"qid": some[row], "id": ids[column], "similarity": s[row, column]})
+
+    return run
 
 
 def top_k(queries: DataFrame, base: DataFrame, k: int = 5, least: float = 0.0, queries_bytes: int = 64 << 20) -> DataFrame:
     """queries(qid, v), base(id, v): per query the k most similar base rows by cosine above least: qid, id, similarity,
-    rank. The stated query set is broadcast where its counted size is bounded, else split into blocks."""
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    q = queries.select("qid", F.col("v").alias("_q")).withColumn("_qn", norm("_q")).where("_qn > 0")
-    b = base.select("id", "v").withColumn("_n", norm("v")).where("_n > 0")
-    size = queries.agg(F.sum(F.size("v") * 8 + 32)).first()[0] or 0
-    blocks, out = max(1, -(-size // queries_bytes)), None
-    for i in range(blocks):
-        some = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        near = b.crossJoin(F.broadcast(some)).where("id <> qid").select("qid", "id", (dot(F.col("v"), F.col("_q")) / (F.col("_n") * F.col("_qn"))).alias("similarity")).where(F.col("similarity") > least)
-        out = near if out is None else out.unionByName(near)
+    rank; vectors of other lengths, without length or with missing values are near to none. The stated query set goes to
+    the tasks in blocks of bounded bytes; each batch of the base sends on only what may be among a query's best, so what
+    is shuffled does not grow with the product of both sides."""
+    spark = queries.sparkSession
+    vector = lambda c: F.col(c).cast("array<double>")
+    whole = lambda c: (F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+    q = queries.select(F.col("qid").cast("long"), vector("v").alias("v")).where(whole("v"))
+    b = base.select(F.col("id").cast("long"), vector("v").alias("v")).where(whole("v"))
+    sizes = q.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
+    out = spark.createDataFrame([], "qid long, id long, similarity double")
+    for d, n in sizes:
+        blocks = -(-n * (8 * d + 8) // queries_bytes)
+        for i in range(blocks):
+            some = q.where((F.size("v") == d) & (F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).toArrow()
+            m = some["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
+            norm = np.sqrt((m * m).sum(1))
+            sent = spark.sparkContext.broadcast((some["qid"].to_numpy()[norm > 0], m[norm > 0] / norm[norm > 0, None]))
+            out = out.unionByName(b.where(F.size("v") == d).mapInArrow(_near(sent, k, least), "qid long, id long, similarity double"))
     w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.registry import cs, rolling
@@ -59,22 +61,42 @@ def row_ranked(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.withColumns({f"{f}_r": rank(F.col(f).cast("double")) for f in fields})
 
 
-def buffered(ranked: DataFrame, n1: int, n2: int) -> DataFrame:
-    """ranked(di, id, rank): held (di, id) of a book of n1 names that keeps a name while its rank is within n2. Only
-    ranks within n2 matter, so a date is one row of at most n2 names; the book is folded over the dates in order."""
-    day = ranked.where(F.col("rank") <= n2).groupBy("di").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("names"))
-    days = day.groupBy().agg(F.array_sort(F.collect_list(F.struct("di", "names"))).alias("days"))
-    kind = "struct<held:array<bigint>,out:array<struct<di:int,held:array<bigint>>>>"
-    empty = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<struct<di:int,held:array<bigint>>>").alias("out")).cast(kind)
-
-    def step(acc: Column, d: Column) -> Column:
-        ids = F.transform(d["names"], lambda s: s["id"].cast("bigint"))
-        kept = F.filter(ids, lambda i: F.array_contains(acc["held"], i))
-        new = F.slice(F.concat(kept, F.array_except(ids, kept)), 1, n1)
-        return F.struct(new.alias("held"), F.concat(acc["out"], F.array(F.struct(d["di"].cast("int").alias("di"), new.alias("held")))).alias("out")).cast(kind)
-
-    book = days.select(F.explode(F.aggregate("days", empty, step)["out"]).alias("d"))
-    return book.select("d.di", F.explode("d.held").alias("id"))
+def _booked(n1: int):
+    """Streams names in order of book, date and rank; what stays is the names held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, day, held, today = object(), None, set(), []
+
+        def closed() -> list[int]:
+            kept = [i for i in today if i in held]
+            return (kept + [i for i in today if i not in held])[:n1]
+
+        for batch in batches:
+            out: list[tuple] = []
+            for b, d, i in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if (b, d) != (book, day):
+                    if today:
+                        held = set(names := closed())
+                        out += [(book, day, x) for x in names]
+                    held, today = (held if b == book else set()), []
+                    book, day = b, d
+                today.append(i)
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64()))], names=["book", "di", "id"])
+        if today:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*((book, day, x) for x in closed())), (pa.int64(), pa.int32(), pa.int64()))], names=["book", "di", "id"])
+
+    return run
+
+
+def buffered(ranked: DataFrame, n1: int, n2: int, book: Column | None = None) -> DataFrame:
+    """ranked(di, id, rank): held (di, id) of a book of n1 names that keeps a name while its rank is within n2; a date
+    without names changes nothing. Only ranks within n2 matter. Dates of one book depend on each other, so they stream
+    through one task in order, which holds one date's names; books (a column of whole numbers) run side by side and come
+    first in the result."""
+    rows = ranked.where(F.col("rank") <= n2).select((F.lit(0) if book is None else book).cast("long").alias("book"), F.col("di").cast("int").alias("di"), F.col("id").cast("long").alias("id"), "rank")
+    held = rows.repartition("book").sortWithinPartitions("book", "di", "rank", "id").select("book", "di", "id").mapInArrow(_booked(n1), "book long, di int, id long")
+    return held.drop("book") if book is None else held
 
 
 def top_names(values: DataFrame, n: int) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.registry import OPS
+from ..functions.registry import OPS, Whole
 
 _TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|([A-Za-z_]\w*)|('[^']*'|\"[^\"]*\")|(.))")
 
@@ -44,7 +44,7 @@ class Node:
         own = 0
         if self.kind == "call":
             o = OPS[self.value]
-            rest = [a.value for a in self.args[len(o.inputs) :]]
+            rest = [a.value for a in self.args[columns_of(o, self.args) :]]
             if o.window is not None and len(rest) > o.window and isinstance(rest[o.window], (int, float)):
                 own = int(abs(rest[o.window]))
             elif self.value in ("diff", "diff_q"):
@@ -55,6 +55,20 @@ class Node:
         return {str(self.value)} if self.kind == "field" else set().union(*(a.fields() for a in self.args))
 
 
+def columns_of(o, args: tuple[Node, ...]) -> int:
+    """How many of a call's first arguments are columns."""
+    return max(len(args), len(o.inputs) - 1) if o.inputs.endswith("*") else len(o.inputs)
+
+
+def call(name: str, args: list[Node], named: list[tuple[str, object]]) -> Node:
+    """A call; where constants stand between the columns that a function takes, the columns come first."""
+    if name in OPS:
+        n, columns = columns_of(OPS[name], tuple(args)), [a for a in args if a.kind != "const"]
+        if len(columns) >= n and any(a.kind == "const" for a in args[:n]):
+            args = [*columns, *(a for a in args if a.kind == "const")]
+    return Node("call", name, tuple(args), tuple(sorted(named)))
+
+
 def parse(text: str) -> Node:
     """Nested calls, field names, numbers, strings and name=value parameters; operators are functions too."""
     tokens = [m.groups() for m in _TOKEN.finditer(text.strip())]
@@ -108,7 +122,7 @@ def parse(text: str) -> Node:
             elif peek() != ")":
                 raise FormulaError(f"expected , or ) in {text!r}")
         take(")")
-        return Node("call", name, tuple(args), tuple(sorted(named)))
+        return call(name, args, named)
 
     out = expression()
     if at != len(tokens):
@@ -127,13 +141,14 @@ def check(node: Node, kinds: dict[str, str]) -> str:
     if node.value not in OPS:
         raise FormulaError(f"unknown function {node.value}")
     o = OPS[str(node.value)]
-    if len(node.args) < len(o.inputs):
-        raise FormulaError(f"{node.value} takes {len(o.inputs)} columns")
-    for want, arg in zip(o.inputs, node.args):
+    n = columns_of(o, node.args)
+    if len(node.args) < n:
+        raise FormulaError(f"{node.value} takes {n} columns")
+    for want, arg in zip(o.inputs.rstrip("*").ljust(n, o.inputs.rstrip("*")[-1:] or "f"), node.args):
         got = check(arg, kinds)
         if got != want:
             raise FormulaError(f"{node.value} takes {want}, not {got}: {arg.text()}")
-    rest = node.args[len(o.inputs) :]
+    rest = node.args[n:]
     if any(a.kind != "const" for a in rest):
         raise FormulaError(f"parameters of {node.value} are constants")
     try:
@@ -148,7 +163,8 @@ KINDS = {"double": "f", "float": "f", "boolean": "c", "int": "g"}
 
 def _started(node: Node, column) -> tuple:
     o = OPS[node.value]
-    args = [column(a) for a in node.args[: len(o.inputs)]] + [a.value for a in node.args[len(o.inputs) :]]
+    n = columns_of(o, node.args)
+    args = [column(a) for a in node.args[:n]] + [a.value for a in node.args[n:]]
     return o.build(*args, **dict(node.named))
 
 
@@ -186,12 +202,13 @@ def evaluate(panel: DataFrame, formulas: dict[str, str | Node], kinds: dict[str,
                 name_of[n] = next(fresh)
                 done[name_of[n]] = made
         while running:
-            stage, waiting = {}, []
+            stage, whole, waiting = {}, {}, []
             for n, gen, sent in running:
                 try:
                     asked = gen.send(sent)
                     names = {k: next(fresh) for k in asked}
-                    stage |= {names[k]: c for k, c in asked.items()}
+                    stage |= {names[k]: c for k, c in asked.items() if not isinstance(c, Whole)}
+                    whole |= {names[k]: c.value for k, c in asked.items() if isinstance(c, Whole)}
                     waiting.append((n, gen, {k: F.col(v) for k, v in names.items()}))
                 except StopIteration as e:
                     name_of[n] = next(fresh)
@@ -199,6 +216,8 @@ def evaluate(panel: DataFrame, formulas: dict[str, str | Node], kinds: dict[str,
             if stage or done:
                 df = df.withColumns(stage | done)
                 done = {}
+            if whole:
+                df = df.crossJoin(F.broadcast(df.agg(*(c.alias(k) for k, c in whole.items()))))
             running = waiting
         if done:
             df = df.withColumns(done)

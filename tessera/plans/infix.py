@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 
-from .formula import FormulaError, Node
+from .formula import FormulaError, Node, call as made
 
 _BINARY = {ast.Add: "add", ast.Sub: "sub", ast.Mult: "mul", ast.Div: "div", ast.BitAnd: "con_and", ast.BitOr: "con_or"}
 _COMPARE = {ast.Gt: "GT", ast.Lt: "LT", ast.GtE: "ge", ast.LtE: "le", ast.Eq: "eq", ast.NotEq: "NE"}
@@ -52,7 +52,7 @@ def parse_infix(text: str) -> Node:
             case ast.IfExp(test=c, body=a, orelse=b):
                 return call("WHERE", convert(c), convert(a), convert(b))
             case ast.Call(func=ast.Name(id=name), args=args, keywords=named):
-                return Node("call", name, tuple(convert(a) for a in args), tuple(sorted((k.arg, value(k.value)) for k in named)))
+                return made(name, [convert(a) for a in args], [(k.arg, value(k.value)) for k in named])
         raise FormulaError(f"{ast.dump(n)} has no meaning in {text!r}")
 
     return convert(tree)

@@ -1,4 +1,6 @@
 import datetime
+import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,5 +78,45 @@ def test_trade_when_by_recurrence(spark):
             assert abs(got[i, s] - last) < 1e-12
 
 
+def test_long_histories_by_recurrence(spark):
+    n = 5000
+    xs = {1: [None if i % 11 == 3 or 1500 < i < 4200 else math.sin(i) + i / 1000 for i in range(n)], 2: [float(i % 17) for i in range(n)]}
+    con = {1: [True] + [False] * (n - 1), 2: [i % 4000 == 7 for i in range(n)]}
+    p = panel(spark, xs, con=con)
+    got = {(r.di, r.sym): r for r in evaluate(p, {"a": "ema1(x,5)", "b": "ema1(x,2)", "c": "ema3(x,0.01)", "t": "trade_when(x,con)", "r": "cs_rank(x)"}).collect()}
+    for s, series in xs.items():
+        for name, beta, least in (("a", 1 - 2 / 6, 2), ("b", 1 - 2 / 3, 1), ("c", 0.99, 2)):
+            top = low = seen = 0
+            for i, v in enumerate(series):
+                top, low = top * beta + (v or 0.0), low * beta + (v is not None)
+                seen += v is not None
+                if top and abs(low) < 1e-200:
+                    top, low = top * 1e200, low * 1e200
+                have = got[i, s][name]
+                assert (have is None) == (seen < least) and (have is None or math.isclose(have, top / low, rel_tol=1e-7, abs_tol=1e-9)), (name, s, i)
+        last = None
+        for i in range(n):
+            v, c = got[i, s].r, con[s][i]
+            if v is not None:
+                last = v if c or last is None else 0.8 * last + 0.2 * v
+                assert abs(got[i, s].t - last) < 1e-9
+            else:
+                assert got[i, s].t is None
+
+
+def test_whole_panel_maximum_is_no_single_partition(spark):
+    p = panel(spark, {1: [1.0, 2.0], 2: [3.0, 4.0]}, g={1: 3, 2: 5})
+    df = evaluate(p, {"m": "group_merge(g,g)"})
+    assert {(r.sym, r.m) for r in df.collect()} == {(1, 3 * 6 + 3), (2, 5 * 6 + 5)}
+    assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gaussian_rank(spark):
+    p = panel(spark, {s: [float(s)] for s in range(1, 11)})
+    got = {r.sym: r.v for r in evaluate(p, {"v": "gaussian_rank(x)"}).collect()}
+    normal = statistics.NormalDist()
+    assert all(math.isclose(v, normal.inv_cdf(min(s / 10, 1 - 1e-6)), rel_tol=1e-7, abs_tol=1e-9) for s, v in got.items())
+
+
 def test_empty_panel(spark):
     assert evaluate(panel(spark, {}), {"r": "ts_rank(cs_zscore(x),5)"}).count() == 0

@@ -1,9 +1,10 @@
 import datetime
+import math
 import tempfile
 
 from pyspark.sql import functions as F
 
-from tessera.operators import asof, evaluation, similarity, store, styles
+from tessera.operators import asof, evaluation, quality, similarity, store, styles, weights
 from tessera.plans.infix import parse_infix
 from tessera.streaming.bars import streaming_bars
 
@@ -28,6 +29,40 @@ def test_capped_weights(spark):
     assert got[0] == 0.3 and abs(got[2] - got[3]) < 1e-12
 
 
+def test_greedy_decides_long_chains(spark, monkeypatch):
+    monkeypatch.setattr(store, "LAST_PAIRS", 60)  # so that rounds and the last pairs both take part
+    corrs = spark.createDataFrame([(i, i + 1, 0.9) for i in range(200)], "a int, b int, corr double")
+    ranked = spark.createDataFrame([(i, float(-i)) for i in range(201)] + [(500, 1.0)], "id int, score double")
+    assert sorted(r.id for r in store.greedy_independent(ranked, corrs, 0.6).collect()) == [*range(0, 201, 2), 500]
+
+
+def test_caps_by_rounds(spark):
+    rows = [(k, i, float((i * 37 + k * 11) % 101 + (i < 40) * 5000 / (i + 1))) for k in range(3) for i in range(60)] + [(3, 0, 0.0), (3, 1, 0.0), (4, 0, 5.0), (4, 1, 1.0)]
+    got = {(r.key, r.id): r.w for r in store.capped_weights(spark.createDataFrame(rows, "key int, id int, w double"), "key", 0.03).collect()}
+    for key in range(5):
+        w = {i: v for k, i, v in rows if k == key}
+        total = sum(w.values())
+        now, fixed = {i: v / total if total else 0.0 for i, v in w.items()}, set()
+        while over := {i for i, v in now.items() if i not in fixed and v >= 0.03}:
+            fixed |= over
+            free = sum(w[i] for i in w if i not in fixed)
+            now = {i: 0.03 if i in fixed else w[i] * max(0.0, 1 - 0.03 * len(fixed)) / free for i in w}
+        assert all(abs(got[key, i] - v) < 1e-9 for i, v in now.items())
+
+
+def test_sign_test_is_exact(spark):
+    df = spark.createDataFrame([(0, 0), (0, 1), (3, 10), (5, 10), (9, 10), (40, 100)], "k int, n int")
+    got = {(r.k, r.n): r.p for r in df.select("k", "n", quality.sign_test(F.col("k"), F.col("n")).alias("p")).collect()}
+    assert got.pop((0, 0)) is None
+    for (k, n), p in got.items():
+        assert abs(p - min(1.0, 2 * sum(math.comb(n, j) for j in range(min(k, n - k) + 1)) / 2**n)) < 1e-9
+
+
+def test_runs_of_periods(spark):
+    df = spark.createDataFrame([("a", y, v) for y, v in enumerate([1, 1, 0, None, 2, 3])], "k string, y int, v int")
+    assert [r.run for r in weights.consecutive(df, "k", "y", "v").orderBy("y").collect()] == [1, 2, 0, 0, 1, 2]
+
+
 def test_holdings_by_loop(spark):
     rows = [(1, i, t, b, s) for i, (t, b, s) in enumerate([(True, False, True), (True, True, True), (False, True, False), (False, True, True), (True, True, False), (False, False, False)])]
     df = spark.createDataFrame(rows, "sym int, di int, target boolean, buyable boolean, sellable boolean")
@@ -66,6 +101,18 @@ def test_top_k_in_blocks(spark):
     assert one == similarity.top_k(q, v, queries_bytes=64).orderBy("qid", "rank").collect()
 
 
+def test_top_k_matches_all_pairs(spark):
+    v = {i: [math.sin(i * (k + 1)) for k in range(4)] for i in range(60)} | {60: [0.0] * 4, 61: [1.0], 62: None, 63: [math.sin(k + 1) for k in range(4)]}
+    base = spark.createDataFrame(list(v.items()), "id long, v array<double>").repartition(3)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    got = {}
+    for r in similarity.top_k(base.where("id % 5 = 0 OR id > 60").select(F.col("id").alias("qid"), "v"), base, 3).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    for q in [i for i in v if (i % 5 == 0 or i > 60) and v[i] and len(v[i]) == 4 and any(v[i])]:
+        near = sorted((-round(cos(v[q], v[i]), 12), i) for i in v if i != q and v[i] and len(v[i]) == 4 and any(v[i]) and cos(v[q], v[i]) > 0)
+        assert got.get(q, []) == [i for _, i in near[:3]]
+
+
 def test_streaming_bars(spark):
     top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     t = datetime.datetime(2024, 1, 1, 9, 30)
