@@ -8,10 +8,13 @@ to its suffix; the root is the smoothed unigram distribution over all words. So
 and scoring uses the longest retained suffix of what precedes a token. All least counts are absolute: the tree grows
 with the corpus.
 
-Neither the vocabulary nor the tree is ever on one machine: documents are scanned in blocks, each block asks for the
-counts of its own words and for the states of its own contexts, and a block's documents stream past both. What goes to
-all tasks is sieves of bounded size; they only spare the shuffle keys that count for nothing, and where they are too
-full to, no result changes.
+Neither the vocabulary nor the tree is ever on one machine: documents are written once with their block, each block
+asks for the counts of its own words and for the states of its own contexts, and a block's documents stream past both.
+What goes to all tasks is sieves of bounded size; they only spare the shuffle keys that count for nothing, and where they
+are too full to, no result changes.
+
+A sequence of words has one hash of 64 bits, made from those of its words without the last and without the first; so a
+context followed by a symbol has the hash of the longer context that it may be.
 
 Defined results: a null text is empty, so its end token alone is scored; a null doc_id is trained on and not held out;
 repeated rows count and are scored each on its own; an empty table gives no rows.
@@ -35,7 +38,7 @@ LEAST_COUNT, LEAST_NEXT = 8, 2
 #: Gain over the suffix, in nats for each occurrence and in all, from which a context is retained.
 LEAST_GAIN, LEAST_TOTAL_GAIN = 0.01, 12.0
 #: Bits of a sieve for each key, as a power of two, and in all at most; pairs that a task gathers before it counts them.
-SIEVE_SPARE, SIEVE_BITS, GATHERED = 4, 27, 2_000_000
+SIEVE_SPARE, SIEVE_BITS, GATHERED = 4, 27, 1_500_000
 END, START = np.uint64(0x7F4A7C15F39CC060), np.uint64(0x2545F4914F6CDD1D)
 _LINK = np.uint64(0xA0761D6478BD642F)
 
@@ -51,29 +54,21 @@ def tokens_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return h, first
 
 
-def contexts(h: np.ndarray, first: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each depth from 1 the hash of the context before each token; 0 where the text has no such context. The
-    text's start counts as a word."""
-    place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-    back, before, out = [], h, []
-    for j in range(1, depth + 1):
-        before = np.concatenate([[START], before[:-1]])
-        back.append(np.where(place < j, START, before))
-    for d in range(1, depth + 1):
-        key = back[d - 1]
-        for word in back[: d - 1][::-1]:
-            key = extend(key, word)
-        out.append(np.where(place >= d - 1, key, np.uint64(0)))
-    return out
-
+def joined(without_last: np.ndarray, without_first: np.ndarray) -> np.ndarray:
+    """The hash of a sequence of two words or more, by those of its words without the last and without the first."""
+    return mix(without_last * _LINK + without_first)
 
-def extend(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The hash of context with one more word after it; a single word's is the word's own."""
-    return mix(context * _LINK + word)
 
-
-def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(context * np.uint64(0xE7037ED1A0B428DB) ^ mix(word))
+def contexts(h: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth from 1 the tokens that have a context of so many words, a text's start being one; the hashes of
+    these contexts, and of the sequences of so many words that end with the tokens."""
+    place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+    before, here = np.where(place == 0, START, np.concatenate([[START], h[:-1]])), h
+    for d in range(1, depth + 1):
+        at = np.flatnonzero(place >= d - 1)
+        yield at, before[at], here[at]
+        here = joined(before, here)
+        before = np.concatenate([[START], here[:-1]])
 
 
 def found_at(keys: np.ndarray, want: np.ndarray) -> np.ndarray:
@@ -110,7 +105,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Level:
-    """Retained states that a block asks for: their keys, sorted, with total and left mass; their symbols by pair hash."""
+    """Retained states that a block asks for: their keys, sorted, with total and left mass; their symbols by the hash of both."""
 
     keys: np.ndarray
     total: np.ndarray
@@ -118,12 +113,13 @@ class Level:
     pairs: np.ndarray
     n: np.ndarray
 
-    def apply(self, context: np.ndarray, h: np.ndarray, p: np.ndarray) -> np.ndarray:
+    def apply(self, context: np.ndarray, both: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """p after the states of these contexts; both are the hashes of the contexts with their symbols."""
         s = found_at(self.keys, context)
         known = np.flatnonzero(s >= 0)
         if not len(known):
             return p
-        s, w = s[known], found_at(self.pairs, pair(context[known], h[known]))
+        s, w = s[known], found_at(self.pairs, both[known])
         n = np.where(w >= 0, self.n[np.maximum(w, 0)], 0) if len(self.n) else np.zeros(len(w))
         p = p.copy()
         p[known] = n / self.total[s] + self.left[s] * p[known]
@@ -140,9 +136,10 @@ class Tree:
 
 
 def sieve(keys: DataFrame) -> np.ndarray:
-    """A bit for each hash of keys(key), gathered in Spark."""
+    """Two bits for each hash of keys(key), gathered in Spark."""
     bits = min(SIEVE_BITS, max(10, int(keys.count()).bit_length() + SIEVE_SPARE))
-    found = keys.selectExpr(f"shiftright(key & {(1 << bits) - 1}L, 6) AS at", "shiftleft(1L, CAST(key & 63 AS int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    low, high = f"key & {(1 << bits) - 1}L", f"shiftrightunsigned(key, 32) & {(1 << bits) - 1}L"
+    found = keys.selectExpr(f"explode(array({low}, {high})) AS spot").selectExpr("shiftright(spot, 6) AS at", "shiftleft(1L, CAST(spot & 63 AS int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << bits - 6, np.uint64)
     out[found["at"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
     return out
@@ -150,59 +147,51 @@ def sieve(keys: DataFrame) -> np.ndarray:
 
 def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether the keys may be among the sieve's."""
-    at = (key & np.uint64(64 * len(bits) - 1)) >> np.uint64(6)
-    return (bits[at] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)
+    size, out = np.uint64(64 * len(bits) - 1), np.ones(len(key), bool)
+    for spot in (key & size, key >> np.uint64(32) & size):
+        out &= (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
 
 
 def _count_next(candidates, shorter, depth: int):
-    """context, word, n over contexts that pass candidates and whose suffix and word pass shorter."""
+    """context, low (the sequence without the context's first word), n over contexts that pass candidates where low
+    passes shorter."""
 
     def counted(some: list) -> pa.RecordBatch:
-        context, word = (np.concatenate(x) for x in zip(*some))
-        both = pair(context, word)
-        order = np.argsort(both)
-        both = both[order]
-        at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-        return pa.record_batch({"context": context[order[at]].view(np.int64), "word": word[order[at]].view(np.int64), "n": np.diff(np.append(at, len(both))).astype(np.int64)})
+        context, low = (np.concatenate(x) for x in zip(*some))
+        some.clear()
+        order = np.argsort(joined(context, low))
+        context, low = context[order], low[order]
+        new = np.ones(len(low), bool)
+        new[1:] = (low[1:] != low[:-1]) | (context[1:] != context[:-1])
+        at = np.flatnonzero(new)
+        return pa.record_batch({"context": context[at].view(np.int64), "low": low[at].view(np.int64), "n": np.diff(np.append(at, len(low))).astype(np.int64)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want, known = candidates.value, shorter.value
         some, size = [], 0
         for batch in batches:
             for _, _, data, offsets in text_runs(batch):
-                h, first = tokens_of(Words(data, offsets))
-                before = contexts(h, first, depth)
-                context = before[-1]
-                mine = np.flatnonzero((context != 0) & passes(want, context))
-                mine = mine[passes(known, h[mine] if depth == 1 else pair(before[-2][mine], h[mine]))]
+                *_, (_, context, low) = contexts(*tokens_of(Words(data, offsets)), depth)
+                mine = np.flatnonzero(passes(want, context))
+                mine = mine[passes(known, low[mine])]
                 if len(mine):
-                    some.append((context[mine], h[mine]))
+                    some.append((context[mine], low[mine]))
                     size += len(mine)
                 if size >= GATHERED:
                     yield counted(some)
-                    some, size = [], 0
+                    size = 0
         if some:
             yield counted(some)
 
     return run
 
 
-def _longer(depth: int):
-    """context, suffix, c of the contexts one word longer: each pair (context, next word) is such a context."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            context, suffix, word = (batch.column(k).to_numpy().view(np.uint64) for k in range(3))
-            short = word if depth == 1 else extend(suffix, word)
-            yield pa.record_batch({"context": extend(context, word).view(np.int64), "suffix": short.view(np.int64), "c": batch.column(3)})
-
-    return run
-
-
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of context and symbol in place of context and low; the other columns stay."""
     for batch in batches:
-        context, word = (batch.column(k).to_numpy().view(np.uint64) for k in range(2))
-        yield pa.record_batch({"key": pair(context, word).view(np.int64), "a": batch.column(2)})
+        context, low = (batch.column(k).to_numpy().view(np.uint64) for k in range(2))
+        yield pa.record_batch([pa.array(joined(context, low).view(np.int64)), *batch.columns[2:]], names=["key", *batch.schema.names[2:]])
 
 
 def held(doc_id: Column, part: int, of: int) -> Column:
@@ -211,39 +200,37 @@ def held(doc_id: Column, part: int, of: int) -> Column:
 
 
 def _grow(tree: Tree, train: DataFrame, heads: DataFrame, depth: int) -> DataFrame:
-    """The retained states as a table kind, key, a, b: 1, context, total and left mass; 2, pair hash, n, 0.
+    """The retained states as a table kind, key, a, b: 1, context, total and left mass; 2, context with symbol, n, 0.
     heads(word, cw): the words with their counts."""
     spark = train.sparkSession
     send = spark.sparkContext.broadcast
     end, start = int(END.view(np.int64)), int(START.view(np.int64))
     # as many texts start as end
-    seen = heads.where(F.col("cw") >= LEAST_COUNT).selectExpr(f"IF(word = {end}L, {start}L, word) AS context", "0L AS suffix", "cw AS c")
-    shorter = heads.where(F.col("cw") >= LEAST_NEXT).selectExpr("word AS key")
-    lower = heads.selectExpr("0L AS suffix", "word", f"(cw + 0.5D) / {tree.tokens + 0.5 * (tree.vocabulary + 1)}D AS q")
+    seen = heads.where(F.col("cw") >= LEAST_COUNT).selectExpr(f"IF(word = {end}L, {start}L, word) AS context", "cw AS c")
+    lower = heads.where(F.col("cw") >= LEAST_NEXT).selectExpr("word AS low", f"(cw + 0.5D) / {tree.tokens + 0.5 * (tree.vocabulary + 1)}D AS q")
     states = spark.createDataFrame([], "kind int, key long, a double, b double")
     for d in range(1, depth + 1):
-        seen = written(seen, "contexts")
-        counts = train.select("text").mapInArrow(_count_next(send(sieve(seen.selectExpr("context AS key"))), send(sieve(shorter)), d), "context long, word long, n long")
-        kept = counts.groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_NEXT)
-        # what the tree without the state says of each symbol; the suffix is a candidate as well, and has all these
-        base = written(kept.join(seen, "context").join(lower, ["suffix", "word"]), "symbols")
-        told = base.groupBy("context").agg(F.first("c").alias("c"), F.sum("n").alias("inside"), F.count("*").alias("kinds"), F.sum("q").alias("share"), F.sum(F.col("n") * F.log(F.col("n") / F.col("c") / F.col("q"))).alias("gain"))
+        counts = train.select("text").mapInArrow(_count_next(send(sieve(seen.selectExpr("context AS key"))), send(sieve(lower.selectExpr("low AS key"))), d), "context long, low long, n long")
+        kept = counts.groupBy("context", "low").agg(F.sum("n").cast("int").alias("n")).where(F.col("n") >= LEAST_NEXT)
+        # what the tree without the state says of each symbol; low's own context is a candidate as well, and has all these
+        base = written(kept.join(lower, "low").select("context", "low", "n", "q"), "symbols")
+        told = base.groupBy("context").agg(F.sum("n").alias("inside"), F.count("*").alias("kinds"), F.sum("q").alias("share"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("gain")).join(seen, "context")
         rest = F.col("c") - F.col("inside")
-        gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / F.col("c") / F.greatest(1 - F.col("share"), F.lit(1e-12)))).otherwise(0.0)
+        gain = F.col("gain") - F.col("inside") * F.log("c") + F.when(rest > 0, rest * F.log(rest / F.col("c") / F.greatest(1 - F.col("share"), F.lit(1e-12)))).otherwise(0.0)
         good = told.where((gain >= LEAST_TOTAL_GAIN) & (gain >= LEAST_GAIN * F.col("c")))
         good = written(good.selectExpr("context", "c + 1 + 0.5D * kinds AS total", "(c - inside + 1 + 0.5D * kinds) / (c + 1 + 0.5D * kinds) AS left"), "retained")
-        level = written(base.join(good, "context", "left"), "level")
-        pairs = level.where("total IS NOT NULL").select("context", "word", F.col("n").cast("double")).mapInArrow(_paired, "key long, a double")
-        states = states.unionByName(good.selectExpr("1 AS kind", "context AS key", "total AS a", "left AS b")).unionByName(pairs.selectExpr("2 AS kind", "key", "a", "0D AS b"))
-        if d < depth:
-            shorter = written(level.select("context", "word", F.col("n").cast("double")).mapInArrow(_paired, "key long, a double").select("key"), "pairs")
-            lower = level.selectExpr("context AS suffix", "word", "coalesce(n / total + left * q, q) AS q")
-            seen = level.where(f"n >= {LEAST_COUNT} AND word <> {end}L").select("context", "suffix", "word", "n").mapInArrow(_longer(d), "context long, suffix long, c long")
-    return written(states, "states")
+        level = base.join(good, "context", "left").selectExpr("context", "low", "n", "coalesce(n / total + left * q, q) AS q", "total IS NOT NULL AS kept")
+        if d == depth:
+            level = level.where("kept")
+        level = written(level.mapInArrow(_keyed, "key long, n int, q double, kept boolean"), "level")
+        states = states.unionByName(good.selectExpr("1 AS kind", "context AS key", "total AS a", "left AS b")).unionByName(level.where("kept").selectExpr("2 AS kind", "key", "CAST(n AS double) AS a", "0D AS b"))
+        seen = level.where(F.col("n") >= LEAST_COUNT).selectExpr("key AS context", "CAST(n AS long) AS c")
+        lower = level.selectExpr("key AS low", "q")
+    return states
 
 
 def _ask(known, depth: int):
-    """block, key: the contexts of a batch's documents, and their pairs, that may be in the tree."""
+    """block, key: the contexts of a batch's documents, alone and with their next tokens, that may be in the tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = known.value
@@ -252,13 +239,13 @@ def _ask(known, depth: int):
             for i, j, data, offsets in text_runs(batch):
                 h, first = tokens_of(Words(data, offsets))
                 of = np.repeat(block[i:j], np.diff(first))
-                for context in contexts(h, first, depth):
-                    at = np.flatnonzero((context != 0) & passes(bits, context))
-                    both = pair(context[at], h[at])
+                for at, context, low in contexts(h, first, depth):
+                    some = np.flatnonzero(passes(bits, context))
+                    at, context, both = at[some], context[some], joined(context[some], low[some])
                     found = passes(bits, both)
                     for b in np.unique(of[at]):
                         mine = of[at] == b
-                        parts.setdefault(int(b), []).append(_unique(np.concatenate([context[at[mine]], both[mine & found]]))[0])
+                        parts.setdefault(int(b), []).append(_unique(np.concatenate([context[mine], both[mine & found]]))[0])
             for b, some in parts.items():
                 key = _unique(np.concatenate(some))[0]
                 yield pa.record_batch({"block": np.full(len(key), b, np.int64), "key": key.view(np.int64)})
@@ -296,10 +283,14 @@ def _score(tree, depth: int):
                     tables, parts = Level(states, total, left, pairs, n), {}
                 for i, j, data, offsets in text_runs(some):
                     h, first = tokens_of(Words(data, offsets))
-                    c = counts[found_at(keys, h)]
-                    p = base = model.root(c)
-                    for context in contexts(h, first, depth):
-                        p = tables.apply(context, h, p)
+                    at = found_at(keys, h)
+                    if at.min(initial=0) < 0:
+                        raise RuntimeError("a block lacks a word of its own")
+                    c = counts[at]
+                    base = model.root(c)
+                    p = base.copy()
+                    for at, context, low in contexts(h, first, depth):
+                        p[at] = tables.apply(context, joined(context, low), p[at])
                     total_of = lambda x: np.add.reduceat(x, first[:-1])
                     own = some.slice(i, j - i)
                     yield pa.record_batch({
@@ -317,14 +308,14 @@ def scored(docs: DataFrame, part: int = 1, of: int = 5, depth: int = DEPTH) -> D
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).alias("block"), held(F.col("doc_id"), part, of).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    rows = written(rows, "rows")  # so a row keeps its block, whatever order its input comes in
     words = rows.select("doc_id", "block", "held_out", "text").mapInArrow(_count_words, "block long, word long, n long")
     vocab = written(words.selectExpr("block", "word", "sum(n) OVER (PARTITION BY word) AS c", "n", "row_number() OVER (PARTITION BY word ORDER BY block) = 1 AS head"), "vocabulary")
     size = vocab.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("head") & (F.col("c") > 0), 1)).alias("v")).first()
     tree = Tree(size.n or 0, size.v or 0)
     heads = vocab.where("head").select(F.col("word"), F.col("c").alias("cw"))
     states = _grow(tree, rows.where("NOT held_out"), heads.where("cw > 0"), depth)
-    # the same columns as above: fewer would deal the rows of a shuffled table to other blocks
-    wanted = rows.select("doc_id", "block", "held_out", "text").mapInArrow(_ask(spark.sparkContext.broadcast(sieve(states.select("key"))), depth), "block long, key long")
+    wanted = rows.select("doc_id", "block", "text").mapInArrow(_ask(spark.sparkContext.broadcast(sieve(states.select("key"))), depth), "block long, key long")
 
     asked = vocab.selectExpr("block", "0 AS kind", "word", "CAST(c AS double) AS a", "0D AS b")
     asked = asked.unionByName(wanted.join(states, "key").selectExpr("block", "kind", "key AS word", "a", "b"))

@@ -186,10 +186,10 @@ def test_suffix_states_sum_to_one():
     c = np.array([40.0, 30.0, 20.0, 10.0, 0.0])  # the last: any unseen word
     words = np.arange(1, 6, dtype=np.uint64)
     state = np.full(5, 77, np.uint64)
-    both = suffix_tree.pair(state, words)[:2]
+    both = suffix_tree.joined(state, words)[:2]
     order = np.argsort(both)
     level = suffix_tree.Level(np.array([77], np.uint64), np.array([32.0]), np.array([(30 - 25 + 2) / 32]), both[order], np.array([20.0, 5.0])[order])
-    assert math.isclose(tree.root(c).sum(), 1) and math.isclose(level.apply(state, words, tree.root(c)).sum(), 1)
+    assert math.isclose(tree.root(c).sum(), 1) and math.isclose(level.apply(state, suffix_tree.joined(state, words), tree.root(c)).sum(), 1)
 
 
 def test_toxicity_decodes_and_learns(spark):
