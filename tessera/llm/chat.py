@@ -1,8 +1,9 @@
 """Chat formatting with typed content parts.
 
-A visitor flattens each turn's parts (text, image, audio, document) into one text with ordered placeholders, and
-records the attachments and the tokens they will expand to. Turns are marked by control strings; the same strings
-inside a text are escaped by one more backslash, which unescaping takes away again, so every text reads back exactly.
+A visitor folds each turn's parts (text, image, audio, document) into one text with ordered placeholders, and records
+the attachments and the tokens they will expand to; a turn without parts is one text part. Turns are marked by control
+strings; the same strings inside a text are escaped by one more backslash, which unescaping takes away again, so every
+text reads back exactly. Text parts side by side are escaped as one, so no control string can come about at a seam.
 Formatting is per turn with built-in functions; only the order of turns needs a shuffle, by conversation.
 
 Defined results: null texts and roles are empty; a null part list means the turn's text alone; unknown part kinds
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 #: Control strings, with any number of backslashes after their first character when escaped.
 CONTROL = r"([<\[])(\\*)(\||/?s>|/?INST\])"
 _ESCAPED = re.compile(r"([<\[])\\(\\*)(\||/?s>|/?INST\])")
-_TURN = re.compile(r"<\|turn:([^|]*)\|>\n(.*)<\|end\|>\n", re.S)
+_TURN = re.compile(r"<\|turn:([^|]*)\|>\n(.*?)<\|end\|>\n", re.S)
 #: Tokens: an image costs IMAGE_TOKENS per tile of TILE pixels, audio per second, a document per page.
 TILE, IMAGE_TOKENS, AUDIO_TOKENS, PAGE_TOKENS = 512, 170, 25, 1024
 PART = "struct<kind:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
@@ -52,25 +54,33 @@ def _tokens(p: Column) -> Column:
     )
 
 
-def _shown(p: Column, k: Column) -> Column:
-    """The visitor's text of one part: escaped text, or a placeholder with the part's place in the turn."""
-    kind = F.coalesce(F.regexp_replace(p["kind"], r"[^a-z]", ""), F.lit("unknown"))
-    return F.when(p["kind"] == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind, F.lit(":"), k.cast("string"), F.lit("|>")))
+def _visited(parts: Column) -> Column:
+    """The visitor's text: escaped text, and a placeholder with its place in the turn for each other part."""
+
+    def visit(seen: Column, p: Column) -> Column:
+        kind = F.coalesce(F.regexp_replace(p["kind"], r"[^a-z]", ""), F.lit("unknown"))
+        placeholder = F.concat(seen["done"], escape(seen["open"]), F.lit("<|"), kind, F.lit(":"), seen["k"].cast("string"), F.lit("|>"))
+        is_text, text = F.coalesce(p["kind"] == "text", F.lit(False)), F.concat(seen["open"], F.coalesce(p["text"], F.lit("")))
+        return F.struct(F.when(is_text, seen["done"]).otherwise(placeholder).alias("done"), F.when(is_text, text).otherwise(F.lit("")).alias("open"), (seen["k"] + 1).alias("k"))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"), F.lit(0).alias("k"))
+    return F.aggregate(parts, start, visit, lambda seen: F.concat(seen["done"], escape(seen["open"])))
 
 
 def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Per turn: conv_id, turn, formatted, in_loss, body_start and body_chars (the loss span's place in formatted, in
     code points), attachments (array of kind, uri, place, tokens), expanded_tokens."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    alone = F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), *(F.lit(None).alias(x.split(":")[0]) for x in PART[7:-1].split(",")[2:]))).cast(f"array<{PART}>")
     kind = turns.schema["parts"].dataType if "parts" in turns.columns else None
     # a column of that name and another type is not a part list
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and kind.elementType.names == [x.split(":")[0] for x in PART[7:-1].split(",")]:
-        parts = F.col("parts").cast(f"array<{PART}>")
-        body = F.coalesce(F.array_join(F.transform(parts, _shown), ""), escape(text))
-        away = F.filter(F.transform(parts, lambda p, k: F.struct(p["kind"].alias("kind"), p["uri"].alias("uri"), k.alias("place"), _tokens(p).alias("tokens"))), lambda a: a["kind"] != "text")
+        parts = F.coalesce(F.col("parts").cast(f"array<{PART}>"), alone)
     else:
-        body, away = escape(text), F.array()
-    away = F.coalesce(away, F.array()).cast("array<struct<kind:string,uri:string,place:int,tokens:long>>")
+        parts = alone
+    body = _visited(parts)
+    away = F.filter(F.transform(parts, lambda p, k: F.struct(p["kind"].alias("kind"), p["uri"].alias("uri"), k.alias("place"), _tokens(p).alias("tokens"))), lambda a: ~F.coalesce(a["kind"] == "text", F.lit(False)))
+    away = away.cast("array<struct<kind:string,uri:string,place:int,tokens:long>>")
     head = F.concat(F.lit("<|turn:"), _role(F.col("role")), F.lit("|>\n"))
     shaped = turns.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), text.alias("text"), head.alias("head"), body.alias("body"), away.alias("attachments"))
     return shaped.select(
@@ -82,7 +92,11 @@ def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
 
 def parse_turn(formatted: str) -> tuple[str, str]:
     """Role and unescaped text of one formatted turn."""
-    role, body = _TURN.fullmatch(formatted).groups()
+    return _parsed(_TURN.fullmatch(formatted))
+
+
+def _parsed(turn: re.Match) -> tuple[str, str]:
+    role, body = turn.groups()
     return role.replace("%7C", "|").replace("%25", "%"), unescape(body)
 
 
@@ -98,20 +112,32 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         done: list[tuple] = []
-        for conv, formatted, in_loss, start, chars, more in zip(*(batch.column(k).to_pylist() for k in range(6))):
+        rows = zip(*(batch.column(k).to_pylist() for k in range(6)))
+        for conv, some in groupby(rows, lambda r: r[0]):
             if now is None or now[0] != conv:
                 if now is not None:
                     done.append(closed(now))
                 now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-            role, text = parse_turn(formatted)
-            now[1] += 1
-            now[2].update(f"{role}\n{text}\n".encode())
-            if in_loss:
-                masked = unescape(formatted[start : start + chars])
-                now[3] += len(masked)
-                now[4].update(masked.encode())
-            now[5] += len(formatted)
-            now[6] += more
+            some = list(some)
+            whole, at, begin = "".join(r[1] for r in some), 0, 0
+            # turns are told by their marks in the conversation's text alone
+            for m in _TURN.finditer(whole):
+                if m.start() != at:
+                    raise ValueError("text between turns")
+                role, text = _parsed(m)
+                at = m.end()
+                now[1] += 1
+                now[2].update(f"{role}\n{text}\n".encode())
+            if at != len(whole):
+                raise ValueError("text after the last turn")
+            for _, formatted, in_loss, start, chars, more in some:
+                if in_loss:
+                    masked = unescape(whole[begin + start : begin + start + chars])
+                    now[3] += len(masked)
+                    now[4].update(masked.encode())
+                begin += len(formatted)
+                now[6] += more
+            now[5] += len(whole)
         if done:
             yield _rows(done)
     if now is not None:
