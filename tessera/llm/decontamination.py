@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Words, text_runs
+from .shared import Words, text_runs, written
 
 #: Items of so many words have masks of four words, shorter ones of three.
 LONG = 16
@@ -44,7 +44,9 @@ SHIFT, NEAR = 8, 8
 CELLS = 1 << 21
 _FACTORS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
-MATCHES = "doc_id long, item_id long, item_words long, matched_words long, first_word long"
+MATCHES = "doc_id long, item_id long, item_words long, matched_words long, first_word long, key long"
+#: Leaking documents whose keys are broadcast at most, when documents are filtered.
+BROADCAST_KEYS = 500_000
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -170,14 +172,14 @@ def _scan(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Index = index.value
         for batch in batches:
-            ids, out = batch.column(0), []
+            ids, keys, out = batch.column(0), batch.column(2), []
             for i, j, data, offsets in text_runs(batch):
                 h, text = bare(Words(data, offsets))
                 first = np.searchsorted(text, np.arange(j - i + 1))
                 for (t, item), (n, at) in found.matches(h, text, first).items():
-                    out.append((ids[i + t].as_py(), found.ids[item], int(found.size[item]), n, at))
+                    out.append((ids[i + t].as_py(), found.ids[item], int(found.size[item]), n, at, keys[i + t].as_py()))
             if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "item_words", "matched_words", "first_word"])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=[x.split()[0] for x in MATCHES.split(", ")])
 
     return run
 
@@ -185,8 +187,13 @@ def _scan(index):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document row and benchmark item it holds: doc_id, item_id, item_words, matched_words,
     first_word (the place in the document, in words, where the overlap begins)."""
+    return _leaks(docs, benchmark).drop("key")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The same with key, a hash of the document's text."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks, out = max(1, -(-size // (5 * BLOCK_WORDS))), None
@@ -199,6 +206,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark item; columns as in docs."""
-    found = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """docs without the documents that hold a benchmark item; columns as in docs. Rows go by id and text, so of rows that
+    share an id, or have none, only those go that hold an item."""
+    found = written(_leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "leaks")
+    same = docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"].cast("string")) == found["_key"])
+    return docs.join(F.broadcast(found) if found.count() <= BROADCAST_KEYS else found, same, "left_anti")

@@ -25,6 +25,8 @@ SAMPLE = 6000
 THRESHOLD = 0.05
 #: Rejected documents whose keys are broadcast at most, when documents are filtered.
 BROADCAST_KEYS = 500_000
+#: Sites whose rates are broadcast at most; parts of a site's documents beyond that.
+BROADCAST_SITES, SALTS = 200_000, 64
 
 # name: expression over the measurements
 FEATURES = {
@@ -66,7 +68,9 @@ def evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     rows = measured(shaped, ("doc_id", "key", "host", "path")).select("doc_id", "key", "host", "path", *(F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()))
     rows = written(rows, "measured")
     sample = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE)
-    told = rows.join(F.broadcast(sample), "doc_id").select("y", *FEATURES).toPandas().sort_values(["y", *FEATURES])
+    # one row for each label, so that rows which repeat an id leave the sample's bound
+    told = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min_by(F.struct(*FEATURES), F.struct("key", "host", "path")).alias("x"))
+    told = told.select("y", "x.*").toPandas().sort_values(["y", *FEATURES])
     y = (told["y"].to_numpy() > 0).astype(float)
     if 0 < y.sum() < len(y):
         x = told[list(FEATURES)].to_numpy(float)
@@ -109,7 +113,13 @@ def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> Da
     sites, base = site_rates(found)
     # the path's rate without the document itself
     rate = (F.col("s") - F.col("p") + F.col("strength") * F.col("host_rate")) / (F.col("n") - 1 + F.col("strength"))
-    out = found.join(sites, ["host", "path"]).withColumn("path_rate", rate)
+    sites = written(sites, "sites")
+    if sites.count() <= BROADCAST_SITES:
+        out = found.join(F.broadcast(sites), ["host", "path"])
+    else:  # a site may hold a third of all documents: they are dealt to SALTS parts, its one row to each of them
+        salted = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"])
+    out = out.withColumn("path_rate", rate)
     posterior = 1 / (1 + F.exp(-(_logit(F.col("p")) - _logit(F.lit(base)) + _logit(F.col("path_rate")))))
     return out.select("doc_id", "key", "host", "path", F.col("p").alias("evidence"), "host_rate", "path_rate", posterior.alias("score"), (posterior >= THRESHOLD).alias("kept"))
 
