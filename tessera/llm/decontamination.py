@@ -27,13 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Words, text_runs, written
+from .shared import Words, passes, sieve, text_runs, written
 
 #: Items of so many words have masks of four words, shorter ones of three.
 LONG = 16
 #: Masks by the least number of words of the items they serve: the places of the words that count.
 MASKS = {LONG: [(0, *m) for m in combinations(range(1, 6), 3)], 1: [(0, *m) for m in combinations(range(1, 5), 2)]}
-BLOCK_WORDS = 2_000_000
 #: Share of an item's words, and their number, that must stand at their places.
 SHARE, LEAST = 0.6, 5
 #: Words in a row that are a leak whatever the item's length.
@@ -44,9 +43,9 @@ SHIFT, NEAR = 8, 8
 CELLS = 1 << 21
 _FACTORS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
-MATCHES = "doc_id long, item_id long, item_words long, matched_words long, first_word long, key long"
-#: Leaking documents whose keys are broadcast at most, when documents are filtered.
-BROADCAST_KEYS = 500_000
+MATCHES = "doc_id long, key long, item long, item_words long, matched_words long, first_word long"
+#: Leaking documents whose keys are broadcast at most, when documents are filtered; bytes of alignments, likewise.
+BROADCAST_KEYS, BROADCAST_BYTES = 500_000, 64 << 20
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -66,45 +65,66 @@ def bare(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return words.span_hash(start[keep], end[keep]), words.text[keep]
 
 
-def seeds(h: np.ndarray) -> Iterator[tuple[int, tuple[int, ...], np.ndarray]]:
-    """For each mask its least item length, itself, and its hash at each place where it fits into h."""
+def seeds(h: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each mask the least length of the items it serves, the place of its last word, and its hash at each place
+    where it fits into h; hashes of different masks differ."""
     product = [h * f for f in _FACTORS]
-    for least, masks in MASKS.items():
-        for mask in masks:
-            n = max(len(h) - mask[-1], 0)
-            out = product[0][:n].copy()
-            for j, x in zip(mask[1:], product[1:]):
-                out += x[j : j + n]
-            yield least, mask, out
+    for k, (least, mask) in enumerate((least, mask) for least, masks in MASKS.items() for mask in masks):
+        n = max(len(h) - mask[-1], 0)
+        out = product[0][:n] + np.uint64((k + 1) * 0xA0761D6478BD642F % (1 << 64))
+        for j, x in zip(mask[1:], product[1:]):
+            out += x[j : j + n]
+        yield least, mask[-1], out
 
 
-class Index:
-    """The seeds of some benchmark items, sorted by hash: for each its item and place; and a sieve of their first bits."""
-
-    def __init__(self, ids: list[int | None], texts: list[str | None]):
-        batch = pa.record_batch({"text": pa.array([t or "" for t in texts], pa.string())})
-        words, size = [], []
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item, words: the word hashes of texts."""
+    for batch in batches:
         for i, j, data, offsets in text_runs(batch):
             h, text = bare(Words(data, offsets))
-            words.append(h)
-            size.append(np.bincount(text, minlength=j - i))
-        self.ids, self.h = ids, np.concatenate([*words, np.zeros(0, np.uint64)])
-        self.size = np.concatenate([*size, np.zeros(0, np.int64)])
-        self.first = np.concatenate([[0], np.cumsum(self.size)])
-        item = np.repeat(np.arange(len(self.size)), self.size)
-        place = np.arange(len(self.h)) - self.first[item]
-        length = self.size[item]
-        self.by_mask = {}
-        for least, mask, s in seeds(self.h):
-            fits = (place + mask[-1] < length)[: len(s)]
-            serves = ((length >= LONG) if least == LONG else (length < LONG) & (length >= LEAST))[: len(s)]
-            at = np.flatnonzero(fits & serves)
+            first = np.searchsorted(text, np.arange(j - i + 1))
+            yield pa.record_batch({"item": batch.column(0).slice(i, j - i), "words": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))})
+
+
+def _seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """seed, item, place of the items' words."""
+    for batch in batches:
+        size = batch.column(1).value_lengths().to_numpy().astype(np.int64)
+        h, own, names = batch.column(1).flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(size)), size), batch.column(0).to_numpy()
+        place = np.arange(len(h)) - (np.cumsum(size) - size)[own]
+        length = size[own]
+        for least, last, s in seeds(h):
+            serves = (length >= LONG) if least == LONG else (length < LONG) & (length >= LEAST)
+            at = np.flatnonzero(((place + last < length) & serves)[: len(s)])
             if len(at):
-                at = at[np.argsort(s[at], kind="stable")]
-                shift = np.uint64(64 - min(26, len(at).bit_length() + 4))
-                sieve = np.zeros(1 << 64 - int(shift), bool)
-                sieve[s[at] >> shift] = True
-                self.by_mask[mask] = (s[at], item[at], place[at], sieve, shift)
+                yield pa.record_batch({"seed": s[at].view(np.int64), "item": names[own[at]], "place": place[at].astype(np.int32)})
+
+
+def _hits(known):
+    """key, seed, at: where windows of the texts may meet an item's seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = known.value
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for i, j, data, offsets in text_runs(batch):
+                h, text = bare(Words(data, offsets))
+                first = np.searchsorted(text, np.arange(j - i + 1))
+                for _, last, s in seeds(h):
+                    p = np.flatnonzero(passes(bits, s))
+                    p = p[text[p] == text[p + last]]
+                    if len(p):
+                        yield pa.record_batch({"key": keys[i + text[p]], "seed": s[p].view(np.int64), "at": (p - first[text[p]]).astype(np.int32)})
+
+    return run
+
+
+class Items:
+    """Some items' words, one after the other, and how they compare with the words h of texts that begin at first."""
+
+    def __init__(self, h: np.ndarray, size: np.ndarray):
+        self.h, self.size = h, size
+        self.first = np.concatenate([[0], np.cumsum(size)])
 
     def compared(self, h: np.ndarray, first: np.ndarray, t: np.ndarray, item: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each alignment 2 where it tells a leak, 1 where it may complete others, 0 otherwise; and the words that stand."""
@@ -134,54 +154,41 @@ class Index:
         inside = (j < self.size[item][:, None]) & (at >= first[t][:, None]) & (at < first[t + 1][:, None])
         return inside & (h[np.clip(at, 0, len(h) - 1)] == self.h[np.minimum(self.first[item][:, None] + j, len(self.h) - 1)])
 
-    def matches(self, h: np.ndarray, text: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
-        """(text, item) to (words matched, first word in the text), best alignment first."""
-        lines: set[tuple[int, int, int, int, int]] = set()
-        for _, mask, own in seeds(h):
-            if mask not in self.by_mask or not len(own):
-                continue
-            s, items, place, sieve, shift = self.by_mask[mask]
-            p = np.flatnonzero(sieve[own >> shift])
-            p = p[text[p] == text[p + mask[-1]]]
-            lo, hi = np.searchsorted(s, own[p]), np.searchsorted(s, own[p], "right")
-            p, lo, n = p[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            ends, i = np.cumsum(n), 0
-            while i < len(p):
-                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CELLS // 8)))
-                many = n[i:j]
-                k = np.repeat(lo[i:j] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
-                at, i = np.repeat(p[i:j], many), j
-                t, item, begin = text[at], items[k], at - place[k]
-                told, standing = self.compared(h, first, t, item, begin)
-                good = np.flatnonzero(told)
-                lines.update(zip(t[good].tolist(), item[good].tolist(), begin[good].tolist(), told[good].tolist(), standing[good].tolist()))
-        spots: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for t, item, begin, told, n in sorted(lines):
-            own = self.same(h, first, np.array([t]), np.array([item]), np.array([begin]))[0]
+    def matches(self, h: np.ndarray, first: np.ndarray, t: np.ndarray, item: np.ndarray, begin: np.ndarray) -> dict[int, tuple[int, int]]:
+        """item to (words matched, first word in its text), the best of its alignments first."""
+        told, standing = self.compared(h, first, t, item, begin)
+        good = np.flatnonzero(told)
+        spots: dict[int, list[tuple[int, np.ndarray]]] = {}
+        best: dict[int, tuple[int, int]] = {}
+        for k, start, text, leak in sorted(zip(item[good].tolist(), begin[good].tolist(), t[good].tolist(), told[good].tolist())):
+            own = self.same(h, first, np.array([text]), np.array([k]), np.array([start]))[0]
             # alignments shifted by a few words (insertions, deletions) complete each other
-            near = [s for b, s in spots.get((t, item), []) if abs(b - begin) <= SHIFT]
-            spots.setdefault((t, item), []).append((begin, own))
+            near = [s for b, s in spots.get(k, []) if abs(b - start) <= SHIFT]
+            spots.setdefault(k, []).append((start, own))
             n = int(np.logical_or.reduce([own, *near]).sum())
-            if (told == 2 or n >= max(LEAST, SHARE * len(own))) and n > best.get((t, item), (0, 0))[0]:
-                best[t, item] = (n, max(begin, int(first[t])) - int(first[t]))
+            if (leak == 2 or n >= max(LEAST, SHARE * len(own))) and n > best.get(k, (0, 0))[0]:
+                best[k] = (n, max(start - int(first[text]), 0))
         return best
 
 
-def _scan(index):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Index = index.value
-        for batch in batches:
-            ids, keys, out = batch.column(0), batch.column(2), []
-            for i, j, data, offsets in text_runs(batch):
-                h, text = bare(Words(data, offsets))
-                first = np.searchsorted(text, np.arange(j - i + 1))
-                for (t, item), (n, at) in found.matches(h, text, first).items():
-                    out.append((ids[i + t].as_py(), found.ids[item], int(found.size[item]), n, at, keys[i + t].as_py()))
-            if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=[x.split()[0] for x in MATCHES.split(", ")])
-
-    return run
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, key, item, item_words, matched_words, first_word, from rows of doc_id, key, text, found."""
+    for batch in batches:
+        out = []
+        for i, j, data, offsets in text_runs(batch):
+            h, text = bare(Words(data, offsets))
+            first = np.searchsorted(text, np.arange(j - i + 1))
+            found = batch.column(3).slice(i, j - i)
+            row = np.repeat(np.arange(j - i), found.value_lengths().to_numpy())
+            names, words, begins = found.flatten().flatten()
+            items = Items(words.flatten().to_numpy().view(np.uint64), words.value_lengths().to_numpy().astype(np.int64))
+            item = np.repeat(np.arange(len(names)), begins.value_lengths().to_numpy())
+            begin = begins.flatten().to_numpy().astype(np.int64) + first[row[item]]
+            for k, (n, at) in items.matches(h, first, row[item], item, begin).items():
+                r = i + int(row[k])
+                out.append((batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), names[k].as_py(), int(items.size[k]), n, at))
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=[x.split()[0] for x in MATCHES.split(", ")])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -193,16 +200,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The same with key, a hash of the document's text."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks, out = max(1, -(-size // (5 * BLOCK_WORDS))), None
-    for b in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Index([r.item_id for r in some], [r.text for r in some]))
-        found = rows.mapInArrow(_scan(index), MATCHES)
-        out = found if out is None else out.unionByName(found)
-    return out
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.lower(F.col("text").cast("string")).alias("text"))
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    named = named.withColumn("item", F.xxhash64("text"))
+    items = written(named.select("item", "text").dropDuplicates(["item"]).mapInArrow(_words_of, "item long, words array<long>"), "items")
+    known = written(items.mapInArrow(_seeds_of, "seed long, item long, place int"), "seeds")
+    bits = spark.sparkContext.broadcast(sieve(known.select(F.col("seed").alias("key"))))
+
+    hits = rows.select("key", "text").mapInArrow(_hits(bits), "key long, seed long, at int").distinct()
+    lines = hits.join(known, "seed").groupBy("key", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("begins"))
+    found = lines.join(items, "item").groupBy("key").agg(F.collect_list(F.struct("item", "words", "begins")).alias("found"))
+    found = written(found, "alignments")
+    size = found.agg(F.sum(F.aggregate("found", F.lit(64), lambda n, x: n + 8 * F.size(x["words"]) + 4 * F.size(x["begins"]) + 48))).first()[0] or 0
+    texts = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "key").select("doc_id", "key", "text", "found")
+    matches = texts.mapInArrow(_verified, MATCHES)
+    return matches.join(named.select("item_id", "item"), "item").select("doc_id", "item_id", "item_words", "matched_words", "first_word", "key")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one vectorised pass holds; a longer single text makes a pass of its own.
 PASS_BYTES = 1 << 19
+#: Bits of a sieve for each key, as a power of two, and in all at most.
+SIEVE_SPARE, SIEVE_BITS = 4, 27
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _powers: list[np.ndarray] = []
@@ -131,3 +133,23 @@ def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         out[inside] += words.hash[at[inside] + j] * factor
     out = mix(out + count[words.text[at]].clip(max=k).astype(np.uint64))
     return out, words.text[at]
+
+
+def sieve(keys: DataFrame) -> np.ndarray:
+    """Two bits for each hash of keys(key), gathered in Spark."""
+    bits = min(SIEVE_BITS, max(10, int(keys.count()).bit_length() + SIEVE_SPARE))
+    low, high = f"key & {(1 << bits) - 1}L", f"shiftrightunsigned(key, 32) & {(1 << bits) - 1}L"
+    found = keys.selectExpr(f"explode(array({low}, {high})) AS spot").selectExpr("shiftright(spot, 6) AS at", "shiftleft(1L, CAST(spot & 63 AS int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[found["at"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
+    return out
+
+
+def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the keys may be among the sieve's."""
+    size = np.uint64(64 * len(bits) - 1)
+    held = lambda spot: (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+    out = held(key & size)
+    some = np.flatnonzero(out)
+    out[some] = held(key[some] >> np.uint64(32) & size)
+    return out

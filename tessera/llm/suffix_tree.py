@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import Words, mix, text_runs, written
+from .shared import Words, mix, passes, sieve, text_runs, written
 
 BLOCK_ROWS = 8192
 DEPTH = 3
@@ -37,8 +37,8 @@ DEPTH = 3
 LEAST_COUNT, LEAST_NEXT = 8, 2
 #: Gain over the suffix, in nats for each occurrence and in all, from which a context is retained.
 LEAST_GAIN, LEAST_TOTAL_GAIN = 0.01, 12.0
-#: Bits of a sieve for each key, as a power of two, and in all at most; pairs that a task gathers before it counts them.
-SIEVE_SPARE, SIEVE_BITS, GATHERED = 4, 27, 1_500_000
+#: Pairs that a task gathers before it counts them.
+GATHERED = 1_500_000
 END, START = np.uint64(0x7F4A7C15F39CC060), np.uint64(0x2545F4914F6CDD1D)
 _LINK = np.uint64(0xA0761D6478BD642F)
 
@@ -135,24 +135,6 @@ class Tree:
         return (c + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1))
 
 
-def sieve(keys: DataFrame) -> np.ndarray:
-    """Two bits for each hash of keys(key), gathered in Spark."""
-    bits = min(SIEVE_BITS, max(10, int(keys.count()).bit_length() + SIEVE_SPARE))
-    low, high = f"key & {(1 << bits) - 1}L", f"shiftrightunsigned(key, 32) & {(1 << bits) - 1}L"
-    found = keys.selectExpr(f"explode(array({low}, {high})) AS spot").selectExpr("shiftright(spot, 6) AS at", "shiftleft(1L, CAST(spot & 63 AS int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(1 << bits - 6, np.uint64)
-    out[found["at"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
-    return out
-
-
-def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether the keys may be among the sieve's."""
-    size, out = np.uint64(64 * len(bits) - 1), np.ones(len(key), bool)
-    for spot in (key & size, key >> np.uint64(32) & size):
-        out &= (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return out
-
-
 def _count_next(candidates, shorter, depth: int):
     """context, low (the sequence without the context's first word), n over contexts that pass candidates where low
     passes shorter."""

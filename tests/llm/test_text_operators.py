@@ -416,8 +416,10 @@ def test_decontamination_misses_nothing_within_its_share(spark):
     assert want and got == want
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
+def test_decontamination_without_broadcast(spark, monkeypatch):
     d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     one = sorted(map(tuple, decontamination.leaks(d, b).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 300)
-    assert one and sorted(map(tuple, decontamination.leaks(d, b).collect())) == one
+    twice = b.unionByName(b.withColumn("item_id", F.col("item_id") + 1000))
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    got = sorted(map(tuple, decontamination.leaks(d.repartition(3), twice).collect()))
+    assert one and got == sorted([*one, *((r[0], r[1] + 1000, *r[2:]) for r in one)])
