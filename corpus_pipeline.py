@@ -19,28 +19,34 @@ from tessera.llm.site_quality import kept_documents
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the site-aware quality classifier keeps."""
+    """Documents that the site-aware quality classifier keeps: null texts count as empty, null sources and languages as
+    sites of their own, equal rows are judged alike; without labels of both kinds all stay; an empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return kept_documents(docs, labels, F.col("source"), F.col("lang"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are linked at a Jaccard similarity of 0.8."""
+    """One document of each group whose five-word shingles are linked at a Jaccard similarity of 0.8: that with the least id.
+    Documents without words or text stay, and so do rows without id; rows that share an id stay or go together, of equal
+    ones one stays; an empty table stays empty."""
     return one_of_each(docs, 5, 80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Each row goes by its own text, also among rows that share an id or have none;
+    null texts hold nothing; without items, or documents, the table stays as it is."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with likely secrets replaced in their texts."""
+    """All documents, with likely secrets replaced in their texts; n_chars follows. Null texts stay null, each row is read
+    for itself, and an empty table stays empty."""
     return redacted(docs, F.col("source"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens. A null text is its end token alone; equal rows are packed
+    each; a null id is kept; an empty table gives no pieces."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
