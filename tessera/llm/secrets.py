@@ -20,6 +20,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .shared import written
+
 #: Labelled findings made by default, the forest's size, and the probability from which a finding is reported.
 FINDINGS, TREES, DEPTH, THRESHOLD = 4000, 24, 7, 0.5
 
@@ -29,6 +31,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_.-]*(?:[0-9]|[a-z][A-Z]|[A-Z]
 BEFORE, AFTER = r"(?:\S{1,64}[ \t]{1,4}){0,2}\S{0,24}$", r"^\S{0,8}"
 #: Characters that BEFORE looks at, and pieces that hold as many: every other one is a candidate of 16 at least.
 WINDOW, PIECES = 160, 20
+#: Bytes of findings that are broadcast at most, when texts are redacted.
+BROADCAST_BYTES = 64 << 20
 MARK, OTHER = "\u0001", "\u0002"
 
 # Words beside credentials, words beside look-alikes, and common word parts inside identifiers.
@@ -137,7 +141,10 @@ def redacted(docs: DataFrame, source: Column, model: RandomForestClassificationM
     named = out.select(F.struct(F.col("doc_id").alias("i"), F.col(key).alias("k")).alias("doc_id"), source.cast("string").alias("source"), "text")
     found = findings(named, F.col("source"), model)
     gathered = found.groupBy(F.col("doc_id.i").alias("__i"), F.col("doc_id.k").alias("__k")).agg(F.collect_set("value").alias(values))
-    joined = out.join(gathered, out["doc_id"].eqNullSafe(gathered["__i"]) & (out[key] == gathered["__k"]), "left")
+    # texts stay where they are while the findings' measured size lets them go to all tasks
+    gathered = written(gathered, "secrets")
+    size = gathered.agg(F.sum(F.aggregate(values, F.lit(64).cast("long"), lambda n, v: n + F.length(v) * 2 + 32))).first()[0] or 0
+    joined = out.join(F.broadcast(gathered) if size <= BROADCAST_BYTES else gathered, out["doc_id"].eqNullSafe(gathered["__i"]) & (out[key] == gathered["__k"]), "left")
     longest_first = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
     text = F.when(F.col(values).isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
     made = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
