@@ -39,6 +39,8 @@ LEAST_COUNT, LEAST_NEXT = 8, 2
 LEAST_GAIN, LEAST_TOTAL_GAIN = 0.01, 12.0
 #: Pairs that a task gathers before it counts them.
 GATHERED = 1_500_000
+#: Documents that are shuffled as one.
+TEXTS = 256
 END, START = np.uint64(0x7F4A7C15F39CC060), np.uint64(0x2545F4914F6CDD1D)
 _LINK = np.uint64(0xA0761D6478BD642F)
 
@@ -104,25 +106,25 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @dataclass
-class Level:
-    """Retained states that a block asks for: their keys, sorted, with total and left mass; their symbols by the hash of both."""
+class States:
+    """What a block asks for, by the hash of a context or of a context with its symbol, sorted: what the state leaves to
+    its suffix, and the symbol's share in its state; not a number where there is no such state, or symbol."""
 
     keys: np.ndarray
-    total: np.ndarray
     left: np.ndarray
-    pairs: np.ndarray
-    n: np.ndarray
+    share: np.ndarray
 
     def apply(self, context: np.ndarray, both: np.ndarray, p: np.ndarray) -> np.ndarray:
         """p after the states of these contexts; both are the hashes of the contexts with their symbols."""
         s = found_at(self.keys, context)
-        known = np.flatnonzero(s >= 0)
+        left = np.where(s >= 0, self.left[s], np.nan) if len(self.keys) else np.full(len(context), np.nan)
+        known = np.flatnonzero(~np.isnan(left))
         if not len(known):
             return p
-        s, w = s[known], found_at(self.pairs, both[known])
-        n = np.where(w >= 0, self.n[np.maximum(w, 0)], 0) if len(self.n) else np.zeros(len(w))
+        w = found_at(self.keys, both[known])
+        share = np.where(w >= 0, self.share[w], np.nan)
         p = p.copy()
-        p[known] = n / self.total[s] + self.left[s] * p[known]
+        p[known] = np.nan_to_num(share) + left[known] * p[known]
         return p
 
 
@@ -182,15 +184,15 @@ def held(doc_id: Column, part: int, of: int) -> Column:
 
 
 def _grow(tree: Tree, train: DataFrame, heads: DataFrame, depth: int) -> DataFrame:
-    """The retained states as a table kind, key, a, b: 1, context, total and left mass; 2, context with symbol, n, 0.
-    heads(word, cw): the words with their counts."""
+    """The retained states as a table key, left, share: what a context leaves to its suffix, what a symbol after a context
+    has of it; null for what the key is not. heads(word, cw): the words with their counts."""
     spark = train.sparkSession
     send = spark.sparkContext.broadcast
     end, start = int(END.view(np.int64)), int(START.view(np.int64))
     # as many texts start as end
     seen = heads.where(F.col("cw") >= LEAST_COUNT).selectExpr(f"IF(word = {end}L, {start}L, word) AS context", "cw AS c")
     lower = heads.where(F.col("cw") >= LEAST_NEXT).selectExpr("word AS low", f"(cw + 0.5D) / {tree.tokens + 0.5 * (tree.vocabulary + 1)}D AS q")
-    states = spark.createDataFrame([], "kind int, key long, a double, b double")
+    states = spark.createDataFrame([], "key long, left double, share double")
     for d in range(1, depth + 1):
         counts = train.select("text").mapInArrow(_count_next(send(sieve(seen.selectExpr("context AS key"))), send(sieve(lower.selectExpr("low AS key"))), d), "context long, low long, n long")
         kept = counts.groupBy("context", "low").agg(F.sum("n").cast("int").alias("n")).where(F.col("n") >= LEAST_NEXT)
@@ -201,11 +203,11 @@ def _grow(tree: Tree, train: DataFrame, heads: DataFrame, depth: int) -> DataFra
         gain = F.col("gain") - F.col("inside") * F.log("c") + F.when(rest > 0, rest * F.log(rest / F.col("c") / F.greatest(1 - F.col("share"), F.lit(1e-12)))).otherwise(0.0)
         good = told.where((gain >= LEAST_TOTAL_GAIN) & (gain >= LEAST_GAIN * F.col("c")))
         good = written(good.selectExpr("context", "c + 1 + 0.5D * kinds AS total", "(c - inside + 1 + 0.5D * kinds) / (c + 1 + 0.5D * kinds) AS left"), "retained")
-        level = base.join(good, "context", "left").selectExpr("context", "low", "n", "coalesce(n / total + left * q, q) AS q", "total IS NOT NULL AS kept")
+        level = base.join(good, "context", "left").selectExpr("context", "low", "n", "coalesce(n / total + left * q, q) AS q", "n / total AS share")
         if d == depth:
-            level = level.where("kept")
-        level = written(level.mapInArrow(_keyed, "key long, n int, q double, kept boolean"), "level")
-        states = states.unionByName(good.selectExpr("1 AS kind", "context AS key", "total AS a", "left AS b")).unionByName(level.where("kept").selectExpr("2 AS kind", "key", "CAST(n AS double) AS a", "0D AS b"))
+            level = level.where("share IS NOT NULL")
+        level = written(level.mapInArrow(_keyed, "key long, n int, q double, share double"), "level")
+        states = states.unionByName(good.selectExpr("context AS key", "left", "CAST(NULL AS double) AS share")).unionByName(level.where("share IS NOT NULL").selectExpr("key", "CAST(NULL AS double) AS left", "share"))
         seen = level.where(F.col("n") >= LEAST_COUNT).selectExpr("key AS context", "CAST(n AS long) AS c")
         lower = level.selectExpr("key AS low", "q")
     return states
@@ -235,19 +237,52 @@ def _ask(known, depth: int):
     return run
 
 
-def _score(tree, depth: int):
-    def gathered(parts: dict) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each kind the keys, sorted, with their two values."""
-        out = []
-        for kind in range(3):
-            key, a, b = (np.concatenate(x) for x in zip(*parts.get(kind, [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))])))
-            key, at = np.unique(key, return_index=True)
-            out.append((key, a[at], b[at]))
-        return out
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, kind, answer: of each block the keys of a kind with their values, as bytes of their columns."""
+    for batch in batches:
+        block, kind, columns = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
+        order = np.lexsort((columns[0].view(np.uint64), kind, block))
+        block, kind, columns = block[order], kind[order], [c[order] for c in columns]
+        at = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])])) if len(block) else np.zeros(0, np.int64)
+        answers = []
+        for i, j in zip(at, np.append(at[1:], len(block))):
+            values = [c[i:j].astype("<f4") for c in columns[1:]] if kind[i] else [columns[1][i:j]]
+            answers.append(b"".join(c.tobytes() for c in [columns[0][i:j], *values]))
+        if len(at):
+            yield pa.record_batch({"block": block[at], "kind": kind[at], "answer": pa.array(answers, pa.binary())})
+
+
+def _unpacked(answers: list[bytes], columns: int, value: str) -> list[np.ndarray]:
+    """Keys, sorted, each once, and their values; of a key's values those that are numbers."""
+    wide = 8 + np.dtype(value).itemsize * columns
+    parts = []
+    for x in answers:
+        n = len(x) // wide
+        parts.append([np.frombuffer(x, np.uint64, n), *np.frombuffer(x, value, n * columns, 8 * n).reshape(columns, n)])
+    out = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.uint64)] + [np.zeros(0)] * columns
+    order = np.argsort(out[0], kind="stable")
+    out = [c[order] for c in out]
+    at = np.flatnonzero(np.concatenate([[True], out[0][1:] != out[0][:-1]])) if len(order) else np.zeros(0, np.int64)
+    return [out[0][at], *(np.fmax.reduceat(c, at).astype(float) if len(at) else c for c in out[1:])]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, kind (2), answer: some documents of a block as a compressed Arrow stream, which halves what is shuffled."""
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        edges = np.flatnonzero(np.diff(block)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(block)]):
+            for at in range(lo, hi, TEXTS):
+                some, sink = batch.slice(at, min(TEXTS, hi - at)).select([1, 2, 3]), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(some)
+                yield pa.record_batch({"block": np.array([block[at]]), "kind": np.array([2], np.int32), "answer": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
+
+def _score(tree, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Tree = tree.value
-        block, parts, tables = None, {}, None
+        block, answers, known = None, {0: [], 1: []}, None
         for batch in batches:
             b, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             edges = np.flatnonzero((np.diff(b) != 0) | (np.diff(kind) != 0)) + 1
@@ -255,30 +290,32 @@ def _score(tree, depth: int):
                 if hi == lo:
                     continue
                 if b[lo] != block:
-                    block, parts, tables = b[lo], {}, None
+                    block, answers, known = b[lo], {0: [], 1: []}, None
                 some = batch.slice(lo, hi - lo)
-                if kind[lo] < 3:
-                    parts.setdefault(int(kind[lo]), []).append((some.column(2).to_numpy().view(np.uint64), some.column(3).to_numpy(), some.column(4).to_numpy()))
+                if kind[lo] < 2:
+                    answers[int(kind[lo])] += some.column(2).to_pylist()
                     continue
-                if tables is None:
-                    (keys, counts, _), (states, total, left), (pairs, n, _) = gathered(parts)
-                    tables, parts = Level(states, total, left, pairs, n), {}
-                for i, j, data, offsets in text_runs(some):
-                    h, first = tokens_of(Words(data, offsets))
-                    at = found_at(keys, h)
-                    if at.min(initial=0) < 0:
-                        raise RuntimeError("a block lacks a word of its own")
-                    c = counts[at]
-                    base = model.root(c)
-                    p = base.copy()
-                    for at, context, low in contexts(h, first, depth):
-                        p[at] = tables.apply(context, joined(context, low), p[at])
-                    total_of = lambda x: np.add.reduceat(x, first[:-1])
-                    own = some.slice(i, j - i)
-                    yield pa.record_batch({
-                        "doc_id": own.column(5), "held_out": own.column(6), "n_tokens": np.diff(first).astype(np.int64), "n_known": total_of((c > 0).astype(np.int64)),
-                        "train_tokens": np.full(j - i, model.tokens), "base_score": total_of(np.log10(base)), "score": total_of(np.log10(p)),
-                    })
+                if known is None:
+                    known = (*_unpacked(answers[0], 1, "<f8"), States(*_unpacked(answers[1], 2, "<f4")))
+                    answers = {0: [], 1: []}
+                keys, counts, states = known
+                for texts in (part for x in some.column(2).to_pylist() for part in pa.ipc.open_stream(x)):
+                    for i, j, data, offsets in text_runs(texts):
+                        h, first = tokens_of(Words(data, offsets))
+                        at = found_at(keys, h)
+                        if at.min(initial=0) < 0:
+                            raise RuntimeError("a block lacks a word of its own")
+                        c = counts[at]
+                        base = model.root(c)
+                        p = base.copy()
+                        for at, context, low in contexts(h, first, depth):
+                            p[at] = states.apply(context, joined(context, low), p[at])
+                        total_of = lambda x: np.add.reduceat(x, first[:-1])
+                        own = texts.slice(i, j - i)
+                        yield pa.record_batch({
+                            "doc_id": own.column(0), "held_out": own.column(1), "n_tokens": np.diff(first).astype(np.int64), "n_known": total_of((c > 0).astype(np.int64)),
+                            "train_tokens": np.full(j - i, model.tokens), "base_score": total_of(np.log10(base)), "score": total_of(np.log10(p)),
+                        })
 
     return run
 
@@ -299,9 +336,10 @@ def scored(docs: DataFrame, part: int = 1, of: int = 5, depth: int = DEPTH) -> D
     states = _grow(tree, rows.where("NOT held_out"), heads.where("cw > 0"), depth)
     wanted = rows.select("doc_id", "block", "text").mapInArrow(_ask(spark.sparkContext.broadcast(sieve(states.select("key"))), depth), "block long, key long")
 
-    asked = vocab.selectExpr("block", "0 AS kind", "word", "CAST(c AS double) AS a", "0D AS b")
-    asked = asked.unionByName(wanted.join(states, "key").selectExpr("block", "kind", "key AS word", "a", "b"))
-    asked = asked.selectExpr("*", "CAST(NULL AS long) AS doc_id", "false AS held_out", "'' AS text")
-    texts = rows.selectExpr("block", "3 AS kind", "0L AS word", "0D AS a", "0D AS b", "doc_id", "held_out", "text")
-    lined = asked.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+    words = vocab.selectExpr("block", "0 AS kind", "word AS key", "CAST(c AS double) AS a", "0D AS b")
+    replies = wanted.join(states, "key").selectExpr("block", "1 AS kind", "key", "coalesce(left, double('nan')) AS a", "coalesce(share, double('nan')) AS b")
+    # one row for what a task has for a block, so that little but keys and values is shuffled
+    answers = words.unionByName(replies).mapInArrow(_packed, "block long, kind int, answer binary")
+    texts = rows.select("block", "doc_id", "held_out", "text").mapInArrow(_texts, "block long, kind int, answer binary")
+    lined = answers.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
     return lined.mapInArrow(_score(spark.sparkContext.broadcast(tree), depth), SCORES)

@@ -187,8 +187,9 @@ def test_suffix_states_sum_to_one():
     words = np.arange(1, 6, dtype=np.uint64)
     state = np.full(5, 77, np.uint64)
     both = suffix_tree.joined(state, words)[:2]
-    order = np.argsort(both)
-    level = suffix_tree.Level(np.array([77], np.uint64), np.array([32.0]), np.array([(30 - 25 + 2) / 32]), both[order], np.array([20.0, 5.0])[order])
+    keys = np.concatenate([[np.uint64(77)], both])
+    order = np.argsort(keys)
+    level = suffix_tree.States(keys[order], np.array([(30 - 25 + 2) / 32, np.nan, np.nan])[order], np.array([np.nan, 20 / 32, 5 / 32])[order])
     assert math.isclose(tree.root(c).sum(), 1) and math.isclose(level.apply(state, suffix_tree.joined(state, words), tree.root(c)).sum(), 1)
 
 
