@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Words, passes, sieve, text_runs, written
+from .shared import Words, arrow_rows, passes, sieve, text_runs, written
 
 #: Items of so many words have masks of four words, shorter ones of three.
 LONG = 16
@@ -200,6 +200,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The same with key, a hash of the document's text."""
     spark = docs.sparkSession
+    arrow_rows(spark, 1000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.lower(F.col("text").cast("string")).alias("text"))
     named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     named = named.withColumn("item", F.xxhash64("text"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .shared import Words, mix, text_runs, windows, written
+from .shared import Words, arrow_rows, mix, text_runs, windows, written
 
 #: Shingles whose frequency is told to all tasks: the most frequent ones found, 12 bytes each. Only the order of the
 #: others, and so only speed, depends on it.
@@ -271,6 +271,7 @@ def _most_common(counts: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, node (the set's name), root (of its component), component_id, for each row of docs."""
     spark = docs.sparkSession
+    arrow_rows(spark, 1000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))  # by which a text is found again
     survey = written(rows.mapInArrow(_survey(k), "kind int, doc_id long, key long, n long, a long, b long, " + ", ".join(f"{c} long" for c in PARITY) + ", wide array<long>"), "survey")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import written
+from .shared import arrow_rows, written
 
 WINDOW = 2048
 END_ID = 1
@@ -142,6 +142,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     What the driver holds is one total per partition of the scan, not per document."""
+    arrow_rows(docs.sparkSession, 1000)
     tokens = tokenized(docs, tokenizer)
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     base, before = {}, 0

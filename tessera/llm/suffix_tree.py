@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import Words, mix, passes, sieve, text_runs, written
+from .shared import Words, arrow_rows, mix, passes, sieve, text_runs, written
 
 BLOCK_ROWS = 8192
 DEPTH = 3
@@ -327,6 +327,7 @@ def scored(docs: DataFrame, part: int = 1, of: int = 5, depth: int = DEPTH) -> D
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).alias("block"), held(F.col("doc_id"), part, of).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    arrow_rows(spark, 10_000)  # a batch's words are counted together
     rows = written(rows, "rows")  # so a row keeps its block, whatever order its input comes in
     words = rows.select("doc_id", "block", "held_out", "text").mapInArrow(_count_words, "block long, word long, n long")
     vocab = written(words.selectExpr("block", "word", "sum(n) OVER (PARTITION BY word) AS c", "n", "row_number() OVER (PARTITION BY word ORDER BY block) = 1 AS head"), "vocabulary")
