@@ -37,12 +37,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows of an Arrow batch in what the session plans from here on. Whole texts in batches of ten thousand take an
-    executor some hundred MB beside its heap; operators that gain nothing from large batches ask for small ones."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and shift rounds)."""
     h = (h ^ (h >> np.uint64(30))) * _MIX1
