@@ -140,6 +140,13 @@ CASES: dict[str, tuple[str, Parts | str]] = {
 
 AVG = ({"r": "rank() OVER (PARTITION BY di, x IS NULL ORDER BY x)", "k": "count(x) OVER (PARTITION BY di, x)", "n": "count(x) OVER cs"}, {"a": "CASE WHEN x IS NOT NULL THEN r + (k - 1) / 2.0 END"})
 P1 = "list({'x': x, 'd': di}) FILTER (x IS NOT NULL) OVER ts"
+# the inverse of the normal distribution at p: a rough start, then Newton's steps on the series of the distribution
+_SERIES = "list_sum(list_transform(range(0, 100), lambda k: sign({0}) * exp((2 * k + 1) * ln(abs({0})) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2)))"
+_STEP = "CASE WHEN p = 0.5 THEN 0.0 ELSE {0} - (0.5 - p) * sqrt(2 * pi()) * exp({0} * {0} / 2) - " + _SERIES + " END"
+QUANTILE = (
+    {"t": "sqrt(-2 * ln(least(p, 1 - p)))"}, {"z0": "sign(p - 0.5) * (t - (2.30753 + 0.27061 * t) / (1 + 0.99229 * t + 0.04481 * t * t))"},
+    *({f"z{k + 1}": _STEP.format(f"z{k}")} for k in range(3)), "z3",
+)
 HELD = "(PARTITION BY sym ORDER BY di ROWS UNBOUNDED PRECEDING)"
 CASES |= {
     "RANK": ("RANK(x)", (*AVG, "a / n")), "dsl_cs_rank": ("dsl_cs_rank(w)", ({"xx": "x"}, {"r": "rank() OVER (PARTITION BY di, w IS NULL ORDER BY w)", "k": "count(w) OVER (PARTITION BY di, w)", "n": "count(w) OVER cs"}, "CASE WHEN w IS NOT NULL THEN CASE WHEN n = 1 THEN 0.5 ELSE (r + (k - 1) / 2.0 - 1) / (n - 1) END END")),
@@ -182,7 +189,7 @@ ALL_X = {"l": "list({'x': x, 'd': di}) FILTER (x IS NOT NULL) OVER (PARTITION BY
 CASES |= {
     "EMA": ("EMA(x,6)", (ALL_X, ewm("l", 1 - 2 / 7))), "SMA_ewm": ("SMA(x,4,1)", (ALL_X, ewm("l", 0.75))), "MACD": ("MACD(x,3,6)", (ALL_X, {"s": ewm("l", 0.5), "e": ewm("l", 1 - 2 / 7)}, "s - e")),
     "RSI": ("RSI(x,6)", ({"q": "x - lag(x) OVER o"}, {"u": "list({'x': greatest(q, 0), 'd': di}) FILTER (q IS NOT NULL) OVER " + HELD, "f": "list({'x': greatest(-q, 0), 'd': di}) FILTER (q IS NOT NULL) OVER " + HELD}, {"su": ewm("u", 1 - 2 / 7), "sf": ewm("f", 1 - 2 / 7)}, "CASE WHEN sf > 0 THEN 100 - 100 / (1 + su / sf) WHEN sf = 0 AND su > 0 THEN 100.0 END")),
-    "PERCENTILE": ("PERCENTILE(x,0.25,6)", "quantile_cont(x, 0.25) OVER ts"), "PERCENTILE_all": ("PERCENTILE(x,0.25)", "quantile_cont(x, 0.25) OVER (PARTITION BY sym)"), "SEQUENCE": ("REGBETA(x,SEQUENCE(6),6)", (PAIR | {"a": "CASE WHEN x IS NOT NULL THEN di::DOUBLE END", "b": "x"}, line("ts"), f"CASE WHEN n = 6 AND va THEN {SLOPE} END")),
+    "PERCENTILE": ("PERCENTILE(x,0.25,6)", "quantile_cont(x, 0.25) OVER ts"), "PERCENTILE_all": ("PERCENTILE(x,0.25)", "quantile_cont(x, 0.25) OVER (PARTITION BY sym)"), "SEQUENCE": ("REGBETA(sqrt(x),SEQUENCE(6),6)", (PAIR | {"a": "CASE WHEN x IS NOT NULL THEN di::DOUBLE END", "b": "sqrt(x)"}, line("ts"), f"CASE WHEN n = 6 AND va THEN {SLOPE} END")),
     "WMA": ("WMA(x,6)", (FULL, "CASE WHEN n = c THEN list_sum(list_transform(range(1, n + 1), lambda i: a[i] * pow(0.9, n - i))) / list_sum(list_transform(range(1, n + 1), lambda i: pow(0.9, n - i))) END")), "DECAYLINEAR": ("DECAYLINEAR(x,6)", (FULL, "CASE WHEN n = c THEN list_sum(list_transform(range(1, n + 1), lambda i: a[i] * i)) / 21 END")),
     "TS_RANK": ("TS_RANK(w,6)", ({"a": "list(w) FILTER (w IS NOT NULL) OVER ts"}, "CASE WHEN w IS NOT NULL THEN (len(a) + len(list_filter(a, lambda v: v < w)) - len(list_filter(a, lambda v: v > w)) + 1) / 2.0 / len(a) END")),
     "nozero_abs": ("nozero_abs(cs_neutralize(x))", "nullif(abs(x - avg(x) OVER cs), 0)"),
@@ -193,6 +200,17 @@ CASES |= {
     "pct": ("pct(x,y)", "x / nullif(y, 0) - 1"), "ts_regression2": ("ts_regression2(y,x,6,1)", (PAIR, line("ts"), f"CASE WHEN n = 6 AND va THEN {SLOPE} END")), "select_time_single": ("select_time_single(x,con)", f"last_value(CASE WHEN con THEN x END IGNORE NULLS) OVER {HELD}"),
     "max_date": ("max(x)", "max(x) OVER cs"), "min_date": ("min(x)", "min(x) OVER cs"), "sumif_place": ("sumif(x,6,con)", "sum(CASE WHEN con THEN x WHEN NOT con THEN 0.0 END) OVER ts"),
 }
+# names of the matrix dialect that are functions of their own
+_HALF = "CASE WHEN n >= 3 THEN {} END"
+CASES |= {
+    "name_ts_cov": ("ts_cov(x,y,6)", (PAIR, line("ts"), _HALF.format("sab * n / (n - 1.0)"))),
+    "name_ts_corr1": ("ts_corr1(x,y,6)", (PAIR, line("ts"), _HALF.format(f"CASE WHEN va AND vb THEN {CORR} END"))), "name_ts_corr2": ("ts_corr2(x,y,6)", (PAIR, line("ts"), _HALF.format(f"CASE WHEN va AND vb THEN {CORR} END"))),
+    "matrix_ts_regression": ("matrix_ts_regression(x,y,6)", (PAIR | {"rows": "count(*) OVER ts"}, line("ts"), f"CASE WHEN rows = 6 AND va THEN {SLOPE} END")),
+    "matrix_ts_regression_level": ("matrix_ts_regression(x,y,6,1)", (PAIR | {"rows": "count(*) OVER ts"}, line("ts"), f"CASE WHEN rows = 6 AND va THEN mb - ({SLOPE}) * ma END")),
+    "matrix_ts_regression_spread": ("matrix_ts_regression(x,y,6,2)", (PAIR | {"rows": "count(*) OVER ts"}, line("ts"), f"CASE WHEN rows = 6 AND va THEN sqrt(greatest(sbb - ({SLOPE}) * sab, 0)) END")),
+    "gaussian_rank": ("gaussian_rank(x)", (*AVG, {"p": "CASE WHEN a IS NOT NULL THEN least(greatest(a / n, 1e-6), 1 - 1e-6) END"}, *QUANTILE)),
+    "matrix_gaussian_rank": ("matrix_gaussian_rank(x)", (*AVG, {"p": "(a - 0.5) / n"}, *QUANTILE)),
+}
 # another name of a function: the same query under that name
 for _name, _of in ALIASES.items():
     if _of in CASES and f"{_of}(" in CASES[_of][0]:

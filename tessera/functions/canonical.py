@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, Window, functions as F
 
-from .registry import Whole, clean, cs, decayed, gate, history, op, periods, rolling, within
+from .registry import Whole, all_before, clean, cs, decayed, everything, gate, history, moved_by, op, periods, rolling, within
 
 # conditions: nullable booleans, so AND, OR and NOT are three-valued as they are
 
@@ -64,7 +64,7 @@ def bucket(x, n):
     return F.when(r.isNotNull(), F.when(m == 1, 0).otherwise(F.least(F.floor((r - 1) / (m - 1) * (n - 1e-9)), F.lit(int(n) - 1)))).cast("int")
 
 
-@op("gg", "g")
+@op("gg", "g", reach=everything)
 def group_merge(a, b):
     """a and b as one code, whose base is the greatest b of the whole panel."""
     whole = yield {"g": Whole(F.max(b))}
@@ -121,12 +121,12 @@ def log(x):
     return F.when(x > 0, F.ln(x))
 
 
-@op("f")
+@op("f", reach=lambda given: (1, 0))
 def diff(x):
     return x - F.lag(x, 1).over(history())
 
 
-@op("f")
+@op("f", reach=lambda given: (1, 0))
 def diff_q(x):
     return F.try_divide(x, F.lag(x, 1).over(history())) - 1
 
@@ -251,17 +251,17 @@ def shifted(x: Column, n) -> Column:
     return F.lag(x, n).over(history()) if n >= 0 else F.lead(x, -n).over(history())
 
 
-@op("f", window=0)
+@op("f", window=0, reach=moved_by("n"))
 def ts_delay(x, n):
     return shifted(x, n)
 
 
-@op("f", window=0)
+@op("f", window=0, reach=moved_by("n"))
 def ts_delta(x, n):
     return x - shifted(x, n)
 
 
-@op("f", window=0)
+@op("f", window=0, reach=moved_by("n"))
 def ts_pct(x, n):
     return F.try_divide(x, shifted(x, n)) - 1
 
@@ -348,22 +348,22 @@ def ema(x: Column, beta: float, least: int):
     return F.when(F.count(x).over(to_here) >= least, F.last(here["v"], ignorenulls=True).over(to_here))
 
 
-@op("f", window=0)
+@op("f", window=0, reach=all_before)
 def ema1(x, n, min_periods=None):
     return (yield from ema(x, 1 - 2 / (1 + n), periods(n, min_periods)))
 
 
-@op("f", window=0)
+@op("f", window=0, reach=all_before)
 def ema2(x, n, min_periods=None):
     return (yield from ema(x, 1 - 1 / (1 + n), periods(n, min_periods)))
 
 
-@op("f")
+@op("f", reach=all_before)
 def ema3(x, alpha, min_periods=None):
     return (yield from ema(x, 1 - alpha, 2 if min_periods is None else int(min_periods)))
 
 
-@op("f")
+@op("f", reach=lambda given: (len(given["weights"]), 0))
 def wma(x, *weights):
     """Weights from the oldest row to the newest."""
     shifts = yield {f"s{k}": F.lag(x, k).over(history()) for k in range(len(weights))}
@@ -415,7 +415,7 @@ def reverse_rank_by(x, con):
     return F.when(con.isNotNull(), F.coalesce(F.when(con, u["u"]).otherwise(1 - u["u"]), F.lit(0.0)))
 
 
-@op("fc")
+@op("fc", reach=all_before)
 def trade_when(x, con, q=0.2):
     """Rank held where the condition is false, moving by q; set anew where it is true. Each stretch from one setting to
     the next is a geometric sum of its own."""

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, Window, functions as F
 
 from .canonical import _zscore, dense, ema, guarded_corr
-from .registry import OPS, alias, cs, decayed, history, op, rolling, within
+from .registry import ALL, OPS, alias, all_before, cs, decayed, history, moved_by, op, rolling, rows_of, within
 
 
 def average_rank(x: Column, *by):
@@ -56,10 +56,17 @@ def normal_quantile(p: Column) -> Column:
     return F.when(p < 0.02425, low(p)).when(p > 1 - 0.02425, -low(1 - p)).otherwise(mid * _poly(_A, mid * mid) / _poly(_B, mid * mid))
 
 
+@op("f")
+def matrix_gaussian_rank(x):
+    """As the matrix library has it: the middle of the rank's step."""
+    r, n = yield from average_rank(x, "di")
+    return normal_quantile((r - 0.5) / n)
+
+
 @op("f")
 def gaussian_rank(x):
     r, n = yield from average_rank(x, "di")
-    return normal_quantile(F.greatest(F.least(r / n, F.lit(1 - 1e-6)), F.lit(1e-6)))
+    return F.when(r.isNotNull(), normal_quantile(F.greatest(F.least(r / n, F.lit(1 - 1e-6)), F.lit(1e-6))))
 
 
 def _by_date(name: str, measure) -> None:
@@ -191,19 +198,19 @@ _days_since("HIGHDAY", 1, 1)
 _days_since("LOWDAY", -1, 1)
 
 
-@op("f", window=0)
+@op("f", window=0, reach=moved_by("p"))
 def DELAY(x, p=1):
     if p < 0:
         raise ValueError("DELAY never looks ahead")
     return F.lag(x, int(p)).over(history())
 
 
-@op("f", window=0)
+@op("f", window=0, reach=moved_by("p"))
 def DELTA(x, p=1):
     return x - F.lag(x, int(p)).over(history())
 
 
-@op("f", window=0)
+@op("f", window=0, reach=moved_by("p"))
 def TS_PCTCHANGE(x, p=1):
     return F.coalesce(F.try_divide(x, F.lag(x, int(p)).over(history())) - 1, F.lit(0.0))
 
@@ -215,6 +222,21 @@ def TS_CORR(x, y, p=5):
     return guarded_corr(s["a"], s["b"], rolling(p))
 
 
+@op("ff", window=0)
+def ts_cov(x, y, p=5):
+    """Of the rows with both, half a window of them at least, whatever today's row holds."""
+    both = x.isNotNull() & y.isNotNull()
+    s = yield {"a": F.when(both, x), "b": F.when(both, y)}
+    enough = F.count(s["a"]).over(rolling(p)) >= max(2, int(p) // 2)
+    return F.when(enough, F.covar_samp(s["a"], s["b"]).over(rolling(p)))
+
+
+@op("ff", window=0)
+def ts_corr1(x, y, p=5):
+    """Of the rows with both, half a window of them at least, whatever today's row holds."""
+    return (yield from OPS["ts_corr"].build(x, y, p, max(1, int(p) // 2), False))
+
+
 @op("ff", window=0)
 def TS_COVARIANCE(x, y, p=5):
     both = x.isNotNull() & y.isNotNull()
@@ -235,6 +257,18 @@ def _whole_window(name: str, out) -> None:
     op("ff", "f", name, window=0)(build)
 
 
+@op("ff", window=0)
+def matrix_ts_regression(x, y, n, rettype=0):
+    """As the matrix library has it, y on x over n rows of the calendar, two with both at least: slope (0), intercept (1)
+    or the population deviation of the residuals (2)."""
+    both = x.isNotNull() & y.isNotNull()
+    s = yield {"a": F.when(both, x), "b": F.when(both, y), "n": F.count(F.lit(1)).over(rolling(n))}
+    w = rolling(n)
+    beta = F.try_divide(F.covar_pop(s["a"], s["b"]).over(w), F.nullif(F.var_pop(s["a"]).over(w), F.lit(0.0)))
+    out = {1: F.avg(s["b"]).over(w) - beta * F.avg(s["a"]).over(w), 2: F.sqrt(F.greatest(F.var_pop(s["b"]).over(w) - beta * F.covar_pop(s["a"], s["b"]).over(w), F.lit(0.0)))}.get(int(rettype), beta)
+    return F.when((s["n"] == int(n)) & (F.min(s["a"]).over(w) < F.max(s["a"]).over(w)), out)
+
+
 _whole_window("REGBETA", lambda k, a, b, w: k)
 _whole_window("REGRESI", lambda k, a, b, w: b - F.avg(b).over(w) - k * (a - F.avg(a).over(w)))
 _whole_window("ts_beta", lambda k, a, b, w: k)
@@ -303,13 +337,13 @@ for _name, _test in (("GT", lambda x, y: x > y), ("LT", lambda x, y: x < y), ("N
     op("ff", "c", _name)(_test)
 
 
-@op("fc")
+@op("fc", reach=all_before)
 def hold_when(x, con):
     """The value where the condition holds, kept until it holds again."""
     return F.last(F.when(con & x.isNotNull(), x), ignorenulls=True).over(history().rowsBetween(Window.unboundedPreceding, 0))
 
 
-@op("fcc")
+@op("fcc", reach=all_before)
 def hold_until(x, enter, leave):
     """The value taken on entry, kept until the leaving condition holds."""
     event = F.when(F.coalesce(leave, F.lit(False)), F.struct(F.lit(None).cast("double").alias("v"))).when(enter & x.isNotNull(), F.struct(x.alias("v")))
@@ -373,7 +407,7 @@ def safe_growth(x, y, lower=None, upper=None, absolute=False):
     return _between(F.when(F.abs(y) > 1e-12, (x - y) / F.when(F.abs(y) > 1e-12, base)), lower, upper)
 
 
-@op("f")
+@op("f", reach=rows_of("n"))
 def stability(x, n=12, least=4):
     """Mean over deviation of the last rows."""
     w = rolling(n)
@@ -383,12 +417,12 @@ def stability(x, n=12, least=4):
 # names of the dialect that are functions of their own, and names that only repeat others
 
 
-@op("f", window=0)
+@op("f", window=0, reach=all_before)
 def EMA(x, p):
     return (yield from ema(x, 1 - 2 / (1 + int(p)), 1))
 
 
-@op("f", window=0)
+@op("f", window=0, reach=lambda given: (int(given["m"]) if given["n"] is None else ALL, 0))
 def SMA(x, m=5, n=None):
     """Mean of the last m rows; with n, an exponential mean of which each row takes n / m."""
     if n is None:
@@ -396,7 +430,7 @@ def SMA(x, m=5, n=None):
     return (yield from ema(x, 1 - n / m, 1))
 
 
-@op("f")
+@op("f", reach=all_before)
 def MACD(x, short_window=12, long_window=26):
     """Short exponential mean less the long one."""
     short = yield from ema(x, 1 - 2 / (1 + int(short_window)), 1)
@@ -405,7 +439,7 @@ def MACD(x, short_window=12, long_window=26):
     return both["a"] - long
 
 
-@op("f")
+@op("f", reach=all_before)
 def RSI(x, window=14):
     """Relative strength: 100 where nothing fell, missing where nothing moved."""
     step = yield {"d": x - F.lag(x, 1).over(history())}
@@ -416,7 +450,7 @@ def RSI(x, window=14):
     return F.when(f > 0, 100 - 100 / (1 + u / F.when(f > 0, f))).when((f == 0) & (u > 0), 100.0)
 
 
-@op("f", window=1)
+@op("f", window=1, reach=lambda given: (ALL, ALL) if given["p"] is None else (int(given["p"]), 0))
 def PERCENTILE(x, q, p=None):
     """Quantile of a symbol's last p rows, or of its whole history."""
     return F.percentile(x, F.lit(float(q))).over(rolling(p) if p is not None else Window.partitionBy("sym"))
@@ -436,7 +470,7 @@ def _folded(name: str, start, step, out) -> None:
         own = yield {"a": F.collect_list(x).over(rolling(p)), "n": F.count(F.lit(1)).over(rolling(p))}
         return F.when(F.size(own["a"]) == own["n"], out(step(own["a"]), own["n"], p))
 
-    op("f", "f", name, window=0)(build)
+    op("f", "f", name, window=0, reach=rows_of("p", start))(build)
 
 
 _folded("WMA", 20, lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s * 0.9 + v), lambda s, n, p: s * 0.1 / (1 - F.pow(F.lit(0.9), n)))
@@ -459,7 +493,7 @@ def ts_regression2(y, x, p=5, rettype=0):
     return (yield from OPS["REGBETA" if rettype == 1 else "REGRESI"].build(y, x, p))
 
 
-@op("fc")
+@op("fc", reach=all_before)
 def select_time_single(x, con, d=0.2):
     return OPS["hold_when"].build(x, con)
 
@@ -476,7 +510,7 @@ def _smoothed(x, alpha):
     return F.when(place["k"], moved["v"])
 
 
-@op("fff")
+@op("fff", reach=all_before)
 def ADX(high, low, close, n=14):
     """Average directional index, smoothed by one over n."""
     prev = yield {k: F.lag(c, 1).over(history()) for k, c in (("h", high), ("l", low), ("c", close))}
@@ -498,8 +532,8 @@ def ADX(high, low, close, n=14):
 ALIASES = {
     "ABS": "abs", "SIGN": "signal", "sign": "signal", "SQRT": "sqrt", "POW": "power", "exp": "EXP", "inv": "INV", "floor": "FLOOR", "ADD": "add", "SUBTRACT": "sub", "MULTIPLY": "mul", "DIVIDE": "div", "divide": "div",
     "AND": "con_and", "OR": "con_or", "EQ": "eq", "GE": "ge", "LE": "le", "where": "WHERE", "IF_ELSE": "WHERE", "ifelse": "WHERE", "pos": "pos_part", "last": "math_self", "regime_switch": "math_self",
-    "mean": "cs_mean", "std": "cs_std", "skew": "SKEW", "kurt": "KURT", "median": "cs_median", "rank": "RANK", "max": "MAX", "min": "MIN", "delay": "DELAY", "delta": "DELTA", "ts_return": "ts_pct", "ts_cov": "TS_COVARIANCE",
-    "ts_corr1": "ts_corr", "ts_corr2": "ts_corr", "ts_mad": "TS_MAD", "ts_quantile": "TS_QUANTILE", "percentile": "PERCENTILE", "highday": "HIGHDAY", "lowday": "LOWDAY", "sumac": "SUMAC", "sma": "SMA", "count": "COUNT", "sumif": "SUMIF",
+    "mean": "cs_mean", "std": "cs_std", "skew": "SKEW", "kurt": "KURT", "median": "cs_median", "rank": "dsl_cs_rank", "max": "MAX", "min": "MIN", "delay": "DELAY", "delta": "DELTA", "ts_return": "ts_pct",
+    "ts_corr2": "ts_corr1", "ts_mad": "TS_MAD", "ts_quantile": "TS_QUANTILE", "percentile": "PERCENTILE", "highday": "HIGHDAY", "lowday": "LOWDAY", "sumac": "SUMAC", "sma": "SMA", "count": "COUNT", "sumif": "SUMIF",
     "filter": "FILTER", "sequence": "SEQUENCE", "regbeta": "REGBETA", "regresi": "REGRESI", "ts_regression": "REGBETA", "rsi": "RSI", "macd": "MACD", "bb_middle": "BB_MIDDLE", "bb_upper": "BB_UPPER", "bb_lower": "BB_LOWER",
 }
 for _name, _of in ALIASES.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -14,17 +15,50 @@ class Op:
     """build(*columns, *parameters) yields dicts of columns to materialise, gets their columns back, and returns the
     result; a builder without stages just returns it. inputs: the kinds of its column arguments (f value, c condition,
     g group), with * where all further arguments are columns of the last kind; out: its result's kind; window: the
-    place of its window length among the parameters."""
+    place of its window length among the parameters; reach: the rows before and after its own that a value depends on,
+    from its arguments by name, where that isn't the window alone."""
 
     name: str
     inputs: str
     out: str
     build: Callable
     window: int | None
+    reach: Callable[[dict], tuple[float, float]] | None = None
+
+    def span(self, columns: int, parameters: list, named: dict) -> tuple[float, float]:
+        """Rows before and after, given its constants."""
+        bound = inspect.signature(self.build).bind(*[None] * columns, *parameters, **named)
+        bound.apply_defaults()
+        if self.reach is not None:
+            return self.reach(bound.arguments)
+        if self.window is None:
+            return 0, 0
+        given = list(bound.arguments.values())[columns + self.window]
+        return (ALL, 0) if given is None else (abs(int(given)), 0)
 
 
 OPS: dict[str, Op] = {}
 
+#: The reach of what depends on every row before (or after).
+ALL = math.inf
+
+
+def all_before(given: dict) -> tuple[float, float]:
+    return ALL, 0
+
+
+def everything(given: dict) -> tuple[float, float]:
+    return ALL, ALL
+
+
+def moved_by(name: str) -> Callable[[dict], tuple[float, float]]:
+    """So many rows back, or ahead where the parameter is below nought."""
+    return lambda given: (max(int(given[name]), 0), max(-int(given[name]), 0))
+
+
+def rows_of(name: str, default: int = 0) -> Callable[[dict], tuple[float, float]]:
+    return lambda given: (int(given[name] or default), 0)
+
 
 @dataclass(frozen=True)
 class Whole:
@@ -33,11 +67,12 @@ class Whole:
     value: Column
 
 
-def op(inputs: str, out: str = "f", name: str | None = None, window: int | None = None):
-    """Registers a builder; window is the place of its window-length parameter among the parameters, if it has one."""
+def op(inputs: str, out: str = "f", name: str | None = None, window: int | None = None, reach: Callable[[dict], tuple[float, float]] | None = None):
+    """Registers a builder; window is the place of its window-length parameter among the parameters, if it has one;
+    reach tells the rows it depends on where that isn't the window."""
 
     def register(build):
-        OPS[name or build.__name__.rstrip("_")] = Op(name or build.__name__.rstrip("_"), inputs, out, build, window)
+        OPS[name or build.__name__.rstrip("_")] = Op(name or build.__name__.rstrip("_"), inputs, out, build, window, reach)
         return build
 
     return register

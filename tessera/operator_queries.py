@@ -475,10 +475,10 @@ def quality_bootstrap(spark, sf_dir):
     return _rounded(quality.bootstrap(evaluation.daily_results(_values(spark, sf_dir)).select(F.round("rankic", 9).alias("rankic")), "rankic"))
 
 
-@query(f"""WITH {_DAILY}, cut AS (SELECT di, rankic, ntile(5) OVER (ORDER BY di) AS block FROM daily WHERE rankic IS NOT NULL), g AS (SELECT block, min(di) AS first, max(di) AS last, avg(rankic) AS mean, count(*) FILTER (rankic > 0) AS k, count(*) AS n FROM cut GROUP BY block)
+@query(f"""WITH {_DAILY}, cut AS (SELECT di, rankic, ntile(5) OVER (ORDER BY di) AS block FROM (SELECT di, round(rankic, 9) AS rankic FROM daily) WHERE rankic IS NOT NULL), g AS (SELECT block, min(di) AS first, max(di) AS last, avg(rankic) AS mean, count(*) FILTER (rankic > 0) AS k, count(*) AS n FROM cut GROUP BY block)
 SELECT block::INT AS block, first, last, round(mean, 6) + 0.0 AS mean, round(k / n::DOUBLE, 6) AS win_rate, round(least(1, 2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) - n * ln(2))))), 6) AS p FROM g""")
 def quality_blocks(spark, sf_dir):
-    return _rounded(quality.by_blocks(evaluation.daily_results(_values(spark, sf_dir)), "rankic"))
+    return _rounded(quality.by_blocks(evaluation.daily_results(_values(spark, sf_dir)).select("di", F.round("rankic", 9).alias("rankic")), "rankic"))
 
 
 @query("""SELECT s_suppkey, coalesce(s_acctbal >= 0 AND s_acctbal <= 5000 AND s_nationkey >= 3, false) AS ok FROM supplier""")

@@ -39,17 +39,19 @@ class Node:
     def depth(self) -> int:
         return 1 + max((a.depth() for a in self.args), default=0) if self.kind == "call" else 0
 
-    def history(self) -> int:
-        """Rows before a date that its value can depend on: the warm-up a date filter must leave."""
-        own = 0
+    def span(self) -> tuple[float, float]:
+        """Rows before and after a date that its value can depend on; infinite where all of them count."""
+        back = ahead = 0.0
         if self.kind == "call":
             o = OPS[self.value]
-            rest = [a.value for a in self.args[columns_of(o, self.args) :]]
-            if o.window is not None and len(rest) > o.window and isinstance(rest[o.window], (int, float)):
-                own = int(abs(rest[o.window]))
-            elif self.value in ("diff", "diff_q"):
-                own = 1
-        return own + max((a.history() for a in self.args), default=0)
+            n = columns_of(o, self.args)
+            back, ahead = o.span(n, [a.value for a in self.args[n:]], dict(self.named))
+        spans = [a.span() for a in self.args]
+        return back + max((b for b, _ in spans), default=0), ahead + max((a for _, a in spans), default=0)
+
+    def history(self) -> float:
+        """Rows before a date that its value can depend on: the warm-up a date filter must leave."""
+        return self.span()[0]
 
     def fields(self) -> set[str]:
         return {str(self.value)} if self.kind == "field" else set().union(*(a.fields() for a in self.args))

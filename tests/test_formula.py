@@ -5,6 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.registry import ALL
 from tessera.plans.formula import FormulaError, check, evaluate, parse
 
 KINDS = {"x": "f", "y": "f", "g": "g", "con": "c"}
@@ -35,6 +36,9 @@ def test_bad_meaning(text):
 
 def test_history_adds_up():
     assert parse("ts_mean(ts_delta(x,3),10)").history() == 13
+    spans = {"trade_when(x,con)": (ALL, 0), "EMA(x,6)": (ALL, 0), "ema1(x,20)": (ALL, 0), "ADX(x,y,w)": (ALL, 0), "wma(x,1,2,3)": (3, 0), "stability(x)": (12, 0), "TS_SKEW(x)": (5, 0), "SMA(x,4)": (4, 0), "SMA(x,4,1)": (ALL, 0)}
+    spans |= {"PERCENTILE(x,0.25)": (ALL, ALL), "PERCENTILE(x,0.25,6)": (6, 0), "ts_delay(x,-2)": (0, 2), "ts_mean(ts_delay(x,-2),5)": (5, 2), "add(ts_delay(x,-2),ts_delay(x,3))": (3, 2), "cs_rank(x)": (0, 0), "DECAYLINEAR(x)": (5, 0), "WMA(x)": (20, 0), "diff_q(diff(x))": (2, 0)}
+    assert {f: parse(f).span() for f in spans} == spans
 
 
 def test_equal_subtrees_share_one_column(spark):
@@ -120,3 +124,27 @@ def test_gaussian_rank(spark):
 
 def test_empty_panel(spark):
     assert evaluate(panel(spark, {}), {"r": "ts_rank(cs_zscore(x),5)"}).count() == 0
+
+
+def test_truncated_panels_give_the_same_values(spark):
+    """Every function that states a finite reach, over its last dates with no more history than that."""
+    from conftest import SF
+
+    from tessera.function_queries import CASES
+    from tessera.sources.panels import monthly_panel
+
+    panel = monthly_panel(spark, SF).cache()
+    last = panel.agg(F.max("di")).first()[0]
+    spans = {name: parse(formula).span() for name, (formula, _) in CASES.items()}
+    assert sum(b < ALL for b, _ in spans.values()) > 200 and {"EMA", "MACD", "RSI", "ADX", "trade_when"} <= {n for n, (b, _) in spans.items() if b == ALL}
+    by_reach = {}
+    for name, (back, ahead) in spans.items():
+        if back < ALL and ahead < ALL:
+            by_reach.setdefault(int(back), []).append(name)
+    shown = lambda df, names: {(r.di, r.sym): tuple(None if v is None else round(float(v), 7) for v in r[3:]) for r in df.where(f"di BETWEEN {last - 20} AND {last - 10}").collect()}
+    for back, names in sorted(by_reach.items()):
+        formulas = {f"v{k}": CASES[n][0] for k, n in enumerate(names)}
+        whole, part = (shown(evaluate(p, formulas), names) for p in (panel, panel.where(f"di >= {last - 20 - back}")))
+        assert len(whole) == len(part)
+        wrong = {names[k] for key in whole for k in range(len(names)) if (whole[key][k] is None) != (part[key][k] is None) or (whole[key][k] is not None and abs(whole[key][k] - part[key][k]) > 1e-6 * max(1, abs(whole[key][k])))}
+        assert not wrong, (back, wrong)
