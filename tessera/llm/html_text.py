@@ -11,8 +11,10 @@ of the marked containers but menus is taken. Character references are decoded, w
 blocks are joined in page order by a blank line.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; repeated rows are extracted
-each on its own; broken markup is read as far as it goes (open elements end with the page); an empty table gives no
-rows; further columns are left out.
+each on its own; broken markup is read as far as it goes (open elements end with the page, an open script or style takes
+the rest of it, another element without markup that has no end tag is passed over); what a script holds is no markup, so
+only its end tag ends it; an empty table gives no rows; further columns are left out, also where they are called host or
+path.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -48,13 +51,22 @@ MAIN_WORDS = {"article", "content", "post", "entry", "story", "main", "text", "b
 #: Hosts whose winning paths are broadcast at most; parts of a host's pages beyond that.
 BROADCAST_HOSTS, SALTS = 100_000, 64
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+_NAME = "[a-zA-Z][a-zA-Z0-9:-]*+"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)({_NAME})((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)({_NAME})([^>]*)(?:>|\Z)", re.S)
+#: An end slash closes an element where it isn't the end of an unquoted value.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HAVING = re.compile(r"(?:^|(?<=[-_]))(?:has|have|no|not|non|with|without)[-_]\S*")
 _DIGITS = re.compile(r"\d+")
 
 
+@lru_cache
+def _end_of(tag: str) -> re.Pattern[str]:
+    """The end tag of an element whose content is not markup."""
+    return re.compile(rf"</{re.escape(tag)}(?![a-zA-Z0-9:-])[^>]*(?:>|\Z)", re.I)
+
+
 class Page:
     """Containers (parent, path, tag, mark, noise, hint) and blocks (container, text, linked characters) of one page."""
 
@@ -92,7 +104,7 @@ class Page:
     def _read(self, source: str) -> None:
         open_now = [0]
         run: list[str] = []
-        linked, in_link, skipping, at = 0, False, "", 0
+        linked, in_link, at = 0, False, 0
         unescape = _html.unescape
 
         def flush() -> None:
@@ -104,8 +116,8 @@ class Page:
                 run.clear()
             linked = 0
 
-        for m in _TAG.finditer(source):
-            if m.start() > at and not skipping:
+        while m := _TAG.search(source, at):
+            if m.start() > at:
                 piece = source[at : m.start()]
                 run.append(piece)
                 if in_link:
@@ -115,14 +127,12 @@ class Page:
             if not tag:
                 continue
             closing = bool(m.group(1) or m.group(4))
-            if skipping:
-                if closing and tag == skipping:
-                    skipping = ""
-                continue
             attributes = m.group(3) or m.group(6) or ""
-            if tag in RAW:
-                if not closing and not attributes.endswith("/") and tag != "head":
-                    skipping = tag
+            if tag in RAW or tag == "button":
+                if not closing and not _CLOSED.search(attributes) and tag != "head":
+                    # only its own end tag ends it, whatever looks like markup inside
+                    end = _end_of(tag).search(source, at)
+                    at = end.end() if end else len(source) if tag in ("script", "style") else at
                 continue
             if tag == "br":
                 run.append(" ")
@@ -136,9 +146,7 @@ class Page:
                     elif tag in (self.tag[c] for c in open_now[1:]):
                         while self.tag[open_now.pop()] != tag:
                             pass
-            elif not closing and tag == "button":
-                skipping = tag
-        if not skipping and at < len(source):
+        if at < len(source):
             run.append(source[at:])
         flush()
 

@@ -272,6 +272,44 @@ def test_html_keeps_articles_in_marked_wrappers(spark):
     assert [got[k] for k in range(len(pages) - 1)] == [want] * (len(pages) - 1) and got[len(pages) - 1] == ""
 
 
+SCRIPTS = [
+    "<script>for(i=0;i<n;i++){f(i)}</script>", "<script>if(a<b)c()</script>", '<script>var x="<!--";</script>', "<script src=/js/>var x=1;</script>", '<script src="x.js" />', "<SCRIPT>a<b;'</p>'</SCRIPT >",
+    "<style>a>b{content:'<p'}</style>", "<script>x='</scripts><div>';</script>", "<noscript><p>turn it on</p></noscript>", "<svg><title>t</title><path d='<'/></svg>", "<button>Click <b>me</b></button>", "<!-- a <script> b -->", "<iframe src=x>",
+]
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_html_ends_scripts_at_their_own_end(script):
+    parts = [f"Sentence {k} of the article, where a < b and so on." for k in range(4)]
+    p = [f"<p>{t.replace('<', '&lt;')}</p>" for t in parts]
+    menu = '<nav><a href="/">Home</a></nav>'
+    for page in (f"<body>{script}{menu}<article>{''.join(p)}</article>", f"<body>{menu}<article>{p[0]}{script}{''.join(p[1:])}</article><footer>f</footer>", f"<body><article>{''.join(p)}</article>{script}{menu}"):
+        read = html_text.Page(page)
+        assert read.text({read.best()}) == "\n\n".join(parts), page
+
+
+def test_html_open_scripts_take_the_rest():
+    for page, want in (("<p>a word</p><script>if (x<y) {", "a word"), ("<p>a word</p><textarea>b", "a word\n\nb"), ("<p>a &lt; b<c:d>e</c:d>", "a < be")):
+        read = html_text.Page(page)
+        assert read.text({read.best()}) == want
+
+
+def test_html_text_by_the_hosts_vote_alone(spark):
+    story = lambda k, n: '<div class="story c%d">' % k + "".join(f"<p>Line {j} of story {k} with some words to it.</p>" for j in range(n)) + "</div>"
+    terms = '<div class="terms">' + "".join(f"<p>Clause {j} of the terms of use that nobody reads to the end.</p>" for j in range(9)) + "</div>"
+    pages = [f"<body>{story(k, 12)}{terms}</body>" for k in range(6)] + [f"<body>{story(7, 2)}{terms}</body>"]
+    alone = html_text.Page(pages[-1])
+    assert "Clause" in alone.text({alone.best()})
+    rows = [(k, f"https://one.example/{k}", p, "clash", 5) for k, p in enumerate(pages)]
+    rows += [(6, "https://one.example/6", pages[6], "clash", 5), (8, "https://other.example/", pages[-1], None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, host string, path int")
+    got = sorted((r.page_id, r.url, r.text) for r in html_text.extracted(table).collect())
+    short = "Line 0 of story 7 with some words to it.\n\nLine 1 of story 7 with some words to it."
+    assert [t for i, _, t in got if i == 6] == [short, short]
+    assert all(t.startswith(f"Line 0 of story {i} ") and "Clause" not in t for i, _, t in got if i < 6)
+    assert "Clause" in got[-1][2]
+
+
 def test_html_by_salted_join(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     one = sorted(map(tuple, html_text.extracted(pages).collect()))
