@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .operator_queries import ORACLES, QUERIES, _rounded, query  # noqa: F401  the queries below go there
-from .operators import bitemporal
-from .sources.panels import read
+from .operators import bitemporal, incremental
+from .sources import tables
+from .sources.panels import MONTHLY_SQL, monthly_panel, read
 
 # Filings of 50 firms made from orders: totals of the year so far and stocks a quarter, each known some weeks after it,
 # a quarter of them restated months later.
@@ -89,3 +90,54 @@ def bitemporal_panel(spark, sf_dir):
     firms = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("firm")).distinct()
     days = firms.crossJoin(calendar.select(F.last_day("date").alias("date")).distinct())
     return _rounded(bitemporal.panel(events, days, "firm", "known", calendar, _KEPT))
+
+
+# the panel's dates are partitions; the last few were other values when the first run saw them
+_CUT, _RESTATED = 70, 64
+_GROWING = {"v": "ts_mean(x,6)", "r": "ts_delay(diff_q(x),-2)", "z": "cs_zscore(ts_delta(x,3))"}
+
+
+def _source(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A table of the monthly panel as it was at the cut, and the panel as it is."""
+    whole = monthly_panel(spark, sf_dir).select("date", "di", "sym", "x", "y", "w")
+    path = tables.fresh_path(spark, "panel")
+    early = F.when(F.col("di") >= _RESTATED, F.col("x") * 2).otherwise(F.col("x"))
+    tables.replace_partitions(whole.where(F.col("di") < _CUT).withColumn("x", early), path, ["date"])
+    return path, whole
+
+
+_CS = "CASE WHEN {0} IS NOT NULL THEN CASE WHEN count({0}) OVER cs = 1 OR min({0}) OVER cs = max({0}) OVER cs THEN 0.0 ELSE ({0} - avg({0}) OVER cs) / stddev_samp({0}) OVER cs END END"
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()}, a AS (SELECT *, CASE WHEN count(x) OVER t >= 3 THEN avg(x) OVER t END AS v, x / nullif(lag(x) OVER o, 0) - 1 AS q, x - lag(x, 3) OVER o AS e FROM p WINDOW o AS (PARTITION BY sym ORDER BY di), t AS (PARTITION BY sym ORDER BY di ROWS 5 PRECEDING))
+SELECT date, di, sym, round(v, 5) + 0.0 AS v, round(lead(q, 2) OVER (PARTITION BY sym ORDER BY di), 5) + 0.0 AS r, round({_CS.format('e')}, 5) + 0.0 AS z FROM a WINDOW cs AS (PARTITION BY di)""")
+def incremental_values(spark, sf_dir):
+    """A first run at the cut, then one more over the restated and the new dates."""
+    source, whole = _source(spark, sf_dir)
+    target = tables.fresh_path(spark, "values")
+    incremental.refresh_formulas(spark, source, target, _GROWING)
+    tables.replace_partitions(whole.where(F.col("di") >= _RESTATED), source, ["date"])
+    since = whole.where(F.col("di") == _RESTATED).agg(F.min("date")).first()[0]
+    incremental.refresh_formulas(spark, source, target, _GROWING, since)
+    return _rounded(spark.read.parquet(target), 5)
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()} SELECT date, di, sym, CASE WHEN count(x) OVER t >= 3 THEN round(avg(x) OVER t, 5) + 0.0 END AS v, CASE WHEN di >= {_RESTATED} THEN 2 ELSE 1 END::INT AS run FROM p WINDOW t AS (PARTITION BY sym ORDER BY di ROWS 5 PRECEDING)""")
+def stored_results(spark, sf_dir):
+    """Run 1 at the cut, run 2 over all dates: it computes those from the first restated one on, the rest is reused."""
+    source, whole = _source(spark, sf_dir)
+    store = incremental.ResultStore(tables.fresh_path(spark, "results"))
+    store.run(spark.read.parquet(source), "ts_mean(x,6)", run=1)
+    tables.replace_partitions(whole.where(F.col("di") >= _RESTATED), source, ["date"])
+    return _rounded(store.run(spark.read.parquet(source), "ts_mean(x,6)", run=2)[0], 5)
+
+
+@query("""SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN round(c_acctbal + 1, 2) ELSE c_acctbal END AS balance, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END::INT AS version FROM customer WHERE c_nationkey <> 7 AND c_custkey % 10 <> 4""")
+def store_written(spark, sf_dir):
+    """A table by nation: written, a third of it merged anew, rows and a whole nation deleted, read back."""
+    path = tables.fresh_path(spark, "customers")
+    first = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").alias("balance"), F.lit(1).alias("version"))
+    tables.replace_partitions(first, path, ["c_nationkey"])
+    tables.merge(spark, path, first.where("c_custkey % 3 = 0").withColumns({"balance": F.round(F.col("balance") + 1, 2), "version": F.lit(2)}), ["c_custkey"], "version", ["c_nationkey"])
+    tables.delete(spark, path, (F.col("c_nationkey") == 7) | (F.col("c_custkey") % 10 == 4), ["c_nationkey"])
+    return spark.read.schema(first.schema).parquet(path)

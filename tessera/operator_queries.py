@@ -207,9 +207,8 @@ def store_greedy_independent(spark, sf_dir):
     return store.greedy_independent(ranked, corrs, 0.3)
 
 
-@query()
+@query("""SELECT p_partkey, p_size::DOUBLE AS w FROM part ORDER BY -ln((('0x' || substr(md5('42:' || p_partkey), 1, 12))::BIGINT + 1) / 281474976710657.0::DOUBLE) / p_size::DOUBLE, p_partkey LIMIT 50""")
 def store_sampled(spark, sf_dir):
-    """Its draws come from a hash that only Spark has; a test draws anew from the same hashes."""
     return store.sampled(read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("w")), "p_partkey", "w", 50)
 
 

@@ -89,3 +89,10 @@ def panel(events: DataFrame, days: DataFrame, key: str, known: str, calendar: Da
     timed = next_date(events, known, calendar).where("effective IS NOT NULL")
     last = timed.groupBy(key, F.col("effective").alias("date")).agg(F.max_by(F.struct(known, *values), known).alias("_e")).select(key, "date", "_e.*")
     return backward(days, last, key, "date", [known, *values])
+
+
+def condensed(filings: DataFrame, keys: list[str], period: str, known: str, values: list[str], day) -> DataFrame:
+    """What an update from `day` on needs of the filings: those known from then on, and of each period the last one known
+    before. Figures as known on `day` or later come out the same as from all filings."""
+    old = filings.where(F.col(known) < F.lit(day)).groupBy(*keys, period).agg(F.max(F.struct(known, *values)).alias("_v"))
+    return old.select(*keys, period, f"_v.{known}", *(f"_v.{v}" for v in values)).unionByName(filings.where(F.col(known) >= F.lit(day)).select(*keys, period, known, *values))

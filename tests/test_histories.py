@@ -7,7 +7,9 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from tessera.operators import bitemporal
+from tessera.operators import bitemporal, incremental
+from tessera.plans.formula import evaluate
+from tessera.sources import tables
 
 FIELDS = bitemporal.FLOWS + bitemporal.STOCKS
 
@@ -102,3 +104,89 @@ def test_panel_shows_nothing_before_it_is_known(spark):
         seen = [(known, roe) for f, known, roe in ((p[0], p[1], p[11]) for p in plain) if f == firm and known < day]
         want = max(seen, key=lambda s: s[0]) if seen else (None, None)
         assert got[firm, day][0] == want[0] and close(got[firm, day][1], want[1])
+
+
+def test_an_update_needs_the_last_filings_only(spark):
+    rows = filings(3)
+    day = dt.date(2007, 6, 1)
+    whole = table(spark, rows)
+    part = bitemporal.condensed(whole, ["firm"], "period", "known", FIELDS, day)
+    assert part.count() < whole.count()
+    shown = lambda df: sorted(map(tuple, bitemporal.fundamentals(df, ["firm"]).where(F.col("known") >= F.lit(day)).collect()))
+    assert str(shown(part)) == str(shown(whole))
+
+
+GROWING = {
+    "a": "ts_mean(x,6)", "b": "ts_delay(diff_q(x),-2)", "c": "cs_zscore(ts_delta(x,3))", "d": "group_rank(neg(ts_corr(x,y,5)),g)", "e": "wma(x,1,2,3)", "f": "TS_SKEW(x,7)", "g": "DECAYLINEAR(x,6)", "h": "ts_cut(x,y,8)", "i": "stability(x,6,3)",
+}
+ENDLESS = {"a": "EMA(x,6)", "b": "trade_when(x,con)", "c": "hold_when(x,con)", "d": "RSI(x,6)", "e": "ADX(add(x,y),sub(x,y),x,4)", "f": "PERCENTILE(x,0.25)", "g": "MACD(x,3,6)"}
+
+
+def _panel(spark, dates=60, syms=9):
+    rng = random.Random(3)
+    start = dt.date(2020, 1, 1)
+    rows = [(start + dt.timedelta(days=k), k, s, *(None if rng.random() < 0.1 else rng.uniform(1, 9) for _ in range(2)), s % 3, rng.random() < 0.4) for k in range(dates) for s in range(syms)]
+    return spark.createDataFrame(rows, "date date, di int, sym long, x double, y double, g int, con boolean")
+
+
+def _same(a, b):
+    shown = lambda df: {tuple(r[:3]): tuple(r[3:]) for r in df.collect()}
+    a, b = shown(a), shown(b)
+    assert a.keys() == b.keys()
+    for k in a:
+        assert all(close(None if x is None else float(x), None if y is None else float(y)) for x, y in zip(a[k], b[k])), (k, a[k], b[k])
+
+
+def test_incremental_tables_equal_full_ones(spark):
+    panel = _panel(spark).cache()
+    for formulas, finite in ((GROWING, True), (ENDLESS, False)):
+        source, target = tables.fresh_path(spark, "panel"), tables.fresh_path(spark, "values")
+        doubled = panel.withColumn("x", F.when(F.col("di") >= 40, F.col("x") * 2).otherwise(F.col("x")))
+        tables.replace_partitions(doubled.where("di < 45"), source, ["date"])
+        first = incremental.refresh_formulas(spark, source, target, formulas)
+        assert first.dates_read == 45
+        tables.replace_partitions(panel.where("di >= 40"), source, ["date"])
+        run = incremental.refresh_formulas(spark, source, target, formulas, dt.date(2020, 2, 10))
+        assert run.dates_read == (60 - 38 + 8 if finite else 60) and run.merged_from == (dt.date(2020, 2, 8) if finite else dt.date(2020, 1, 1) if "PERCENTILE" in str(formulas) else dt.date(2020, 2, 10))
+        _same(spark.read.parquet(target).select("date", "di", "sym", *formulas), evaluate(panel, formulas))
+        assert incremental.refresh_formulas(spark, source, target, formulas) == incremental.Refreshed()
+        if finite:
+            read = spark.read.parquet(source).where(F.col("date") >= F.lit(run.read_from))
+            plan = read._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters: [isnotnull(date" in plan and "DataFilters: []" in plan, plan
+
+
+def test_result_store_computes_what_is_new_or_changed(spark):
+    panel = _panel(spark)
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(days=k)
+    store = incremental.ResultStore(tables.fresh_path(spark, "results"))
+    formula = "ts_mean(ts_delay(x,-1),4)"
+    got, todo = store.run(panel.where("di < 50"), formula)
+    assert todo == [day(k) for k in range(50)]
+    _same(got.drop("run"), evaluate(panel.where("di < 50"), {"v": formula}))
+    got, todo = store.run(panel, formula)  # the last date looked ahead at nothing before
+    assert todo == [day(k) for k in range(49, 60)]
+    _same(got.drop("run"), evaluate(panel, {"v": formula}))
+    assert store.run(panel.orderBy(F.rand(1)), formula)[1] == []
+    changed = panel.withColumn("x", F.when((F.col("di") == 20) & (F.col("sym") == 3), 100.0).otherwise(F.col("x"))).withColumn("y", F.col("y") + 1)
+    got, todo = store.run(changed, formula)  # y is no input of it
+    assert todo == [day(k) for k in range(19, 25)]
+    _same(got.drop("run"), evaluate(changed, {"v": formula}))
+    assert len(store.run(changed, formula, version="2")[1]) == 60
+    assert len(store.run(changed, "ema1(x,5)")[1]) == 60 and store.run(panel.where("di <> 20 OR sym <> 3"), "ema1(x,5)")[1] == [day(k) for k in range(20, 60)]
+
+
+def test_tables_are_written_merged_and_deleted(spark):
+    path = tables.fresh_path(spark, "rows")
+    rows = [(k, k % 4 if k % 5 else None, f"t{k}", 1) for k in range(40)]
+    schema = "id long, part int, text string, version int"
+    tables.replace_partitions(spark.createDataFrame(rows, schema), path, ["part"])
+    files = lambda: {r[0] for r in spark.read.schema(schema).parquet(path).where("part = 1").select(F.input_file_name()).collect()}
+    before = files()
+    tables.merge(spark, path, spark.createDataFrame([(2, 2, "new", 2), (100, 2, "more", 2), (6, 2, "old", 0)], schema), ["id"], "version", ["part"])
+    want = {r[0]: r[:3] for r in rows} | {2: (2, 2, "new"), 100: (100, 2, "more")}
+    shown = lambda: {r.id: (r.id, r.part, r.text) for r in spark.read.schema(schema).parquet(path).collect()}
+    assert shown() == want and files() == before
+    tables.delete(spark, path, F.col("part").isNull() | (F.col("part") == 3) | (F.col("id") == 2), ["part"])
+    assert shown() == {k: v for k, v in want.items() if v[1] not in (None, 3) and k != 2}
+    assert files() == before
