@@ -9,6 +9,7 @@ from .operator_queries import ORACLES, QUERIES, _rounded, query  # noqa: F401  t
 from .operators import bitemporal, incremental
 from .sources import tables
 from .sources.panels import MONTHLY_SQL, monthly_panel, read
+from .streaming import bars, recurrence
 
 # Filings of 50 firms made from orders: totals of the year so far and stocks a quarter, each known some weeks after it,
 # a quarter of them restated months later.
@@ -141,3 +142,45 @@ def store_written(spark, sf_dir):
     tables.merge(spark, path, first.where("c_custkey % 3 = 0").withColumns({"balance": F.round(F.col("balance") + 1, 2), "version": F.lit(2)}), ["c_custkey"], "version", ["c_nationkey"])
     tables.delete(spark, path, (F.col("c_nationkey") == 7) | (F.col("c_custkey") % 10 == 4), ["c_nationkey"])
     return spark.read.schema(first.schema).parquet(path)
+
+
+# recurrences, windows and late duplicates of events, in the batch form of the streams
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    con = F.when(F.col("event_type") == "purchase", True).when(F.col("event_type").isin("view", "error"), False)
+    return read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), "ts", F.when(F.col("event_type") != "error", F.col("value")).alias("x"), con.alias("con"))
+
+
+_IDLE = 1.5
+_SIGNALS = f"""s AS (SELECT user_id, event_id AS id, ts, CASE WHEN event_type <> 'error' THEN value END AS x, CASE WHEN event_type = 'purchase' THEN true WHEN event_type IN ('view', 'error') THEN false END AS con FROM events),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS stretch FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, id)) > {int(_IDLE * 86_400_000_000)} THEN 1 ELSE 0 END AS new FROM s))"""
+
+
+@query(f"""WITH {_SIGNALS}, k AS (SELECT user_id, stretch, id, ts, x, con, row_number() OVER (PARTITION BY user_id, stretch ORDER BY ts, id) AS n FROM b WHERE x IS NOT NULL AND con IS NOT NULL),
+r AS (SELECT *, sum(CASE WHEN con OR n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, stretch ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM k), o AS (SELECT id, list_reduce(list(x) OVER (PARTITION BY user_id, stretch, run ORDER BY n ROWS UNBOUNDED PRECEDING), lambda a, v: a * 0.8 + v * 0.2) AS out FROM r)
+SELECT b.user_id, b.id, b.ts, round(o.out, 6) + 0.0 AS out FROM b LEFT JOIN o USING (id)""")
+def event_blend(spark, sf_dir):
+    return _rounded(recurrence.blended(_signals(spark, sf_dir), 0.2, idle_days=_IDLE))
+
+
+@query(f"WITH {_SIGNALS} SELECT user_id, id, ts, coalesce(last_value(con::INT IGNORE NULLS) OVER (PARTITION BY user_id, stretch ORDER BY ts, id ROWS UNBOUNDED PRECEDING), 0)::DOUBLE AS out FROM b")
+def event_holdings(spark, sf_dir):
+    return recurrence.held(_signals(spark, sf_dir), idle_days=_IDLE)
+
+
+@query("""WITH w AS (SELECT unnest(generate_series(date_trunc('day', ts) - INTERVAL 4 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS start, event_type, value FROM events)
+SELECT start, start + INTERVAL 5 DAY AS "end", event_type, count(*) AS events, round(sum(value), 4) + 0.0 AS total, max(value) AS most FROM w GROUP BY start, event_type""")
+def event_windows(spark, sf_dir):
+    return bars.sliding(read(spark, sf_dir, "events")).withColumn("total", F.round("total", 4) + 0.0)
+
+
+@query("SELECT date_trunc('minute', ts) AS minute, user_id AS sym, count(*) AS volume, min(value) AS low, max(value) AS high FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def event_bars(spark, sf_dir):
+    return bars.streaming_bars(read(spark, sf_dir, "events"))
+
+
+@query("SELECT event_id, user_id, event_type, ts, value FROM events")
+def event_first_of_each(spark, sf_dir):
+    """Events delivered once, and every third of them again up to forty minutes later with another value."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    again = e.where("event_id % 3 = 0").withColumns({"ts": F.expr("ts + make_dt_interval(0, 0, CAST(event_id % 40 + 1 AS INT))"), "value": F.col("value") + 1})
+    return bars.first_of_each(again.unionByName(e), ["event_id", "user_id", "event_type"])

@@ -10,7 +10,7 @@ from ..functions.canonical import unit_rank
 from ..functions.registry import cs, history
 
 
-def _run(df: DataFrame, stages) -> tuple[DataFrame, Column]:
+def run_stages(df: DataFrame, stages) -> tuple[DataFrame, Column]:
     """Materialises a function builder's stages on df; returns the frame and the result."""
     sent, k = None, len(df.columns)
     try:
@@ -34,9 +34,9 @@ def safe_corr(a: Column, b: Column) -> Column:
 
 def daily_results(values: DataFrame, top: float = 0.8) -> DataFrame:
     """values(di, sym, v, ret): per date ic, rankic, longret (mean return of ranks from top up), coverage, n."""
-    df, rank = _run(values, unit_rank(F.col("v"), "di"))
+    df, rank = run_stages(values, unit_rank(F.col("v"), "di"))
     df = df.withColumn("rv", rank)
-    df, rank = _run(df, unit_rank(F.col("ret"), "di"))
+    df, rank = run_stages(df, unit_rank(F.col("ret"), "di"))
     df = df.withColumn("rr", rank)
     return df.groupBy("di").agg(
         safe_corr(F.col("v"), F.col("ret")).alias("ic"), safe_corr(F.col("rv"), F.col("rr")).alias("rankic"),
@@ -46,7 +46,7 @@ def daily_results(values: DataFrame, top: float = 0.8) -> DataFrame:
 
 def turnover(values: DataFrame, top: float = 0.8) -> DataFrame:
     """Per date the sum of absolute changes of equal weights on the ranks from top up."""
-    df, rank = _run(values.select("di", "sym", "v"), unit_rank(F.col("v"), "di"))
+    df, rank = run_stages(values.select("di", "sym", "v"), unit_rank(F.col("v"), "di"))
     held = df.withColumn("h", F.when(rank >= top, 1.0).otherwise(0.0))
     weight = F.coalesce(F.try_divide(F.col("h"), F.sum("h").over(cs())), F.lit(0.0))
     moved = held.withColumn("w", weight).withColumn("d", F.abs(F.col("w") - F.lag("w", 1, 0.0).over(history())))
@@ -61,7 +61,7 @@ def summary(daily: DataFrame, year: float = 243.0) -> DataFrame:
 
 def group_returns(values: DataFrame, n: int = 10) -> DataFrame:
     """Per date and rank bucket: mean return and members."""
-    df, rank = _run(values, unit_rank(F.col("v"), "di"))
+    df, rank = run_stages(values, unit_rank(F.col("v"), "di"))
     bucket = F.when(rank.isNotNull(), F.least(F.floor(rank * (n - 1e-9)), F.lit(n - 1))).cast("int")
     return df.withColumn("bucket", bucket).where("bucket IS NOT NULL AND ret IS NOT NULL").groupBy("di", "bucket").agg(F.avg("ret").alias("ret"), F.count("*").alias("members"))
 
