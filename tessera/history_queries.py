@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .operator_queries import ORACLES, QUERIES, _rounded, query  # noqa: F401  the queries below go there
-from .operators import bitemporal, incremental
+from .operators import bitemporal, crossday, incremental, minute, portfolios, similarity, store, universes
 from .sources import tables
-from .sources.panels import MONTHLY_SQL, monthly_panel, read
+from .sources.panels import MINUTE_SQL, MONTHLY_SQL, minute_bars, monthly_panel, read
 from .streaming import bars, recurrence
 
 # Filings of 50 firms made from orders: totals of the year so far and stocks a quarter, each known some weeks after it,
@@ -184,3 +184,151 @@ def event_first_of_each(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", "value")
     again = e.where("event_id % 3 = 0").withColumns({"ts": F.expr("ts + make_dt_interval(0, 0, CAST(event_id % 40 + 1 AS INT))"), "value": F.col("value") + 1})
     return bars.first_of_each(again.unionByName(e), ["event_id", "user_id", "event_type"])
+
+
+# selections over a grid of thresholds: suppliers' monthly quantities against the month's mean
+_LEAST, _LEAST_IR, _MOST = [-2.0, 0.0, 0.25], [None, -0.02, 0.05], [0.0, 0.1, 0.2]
+_SWEPT = f"""{MONTHLY_SQL.strip()}, v AS (SELECT sym AS id, di, (y - avg(y) OVER (PARTITION BY di)) / 64 AS v FROM p), st AS (SELECT id, avg(v) AS rankic, avg(v) / stddev_samp(v) AS rankicir FROM v WHERE v IS NOT NULL GROUP BY id),
+co AS (SELECT a.id AS a, b.id AS b, corr(a.v, b.v) AS corr FROM v a JOIN v b ON a.di = b.di AND a.id < b.id WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY 1, 2 HAVING min(a.v) < max(a.v) AND min(b.v) < max(b.v)),
+gr1 AS (SELECT * FROM (SELECT unnest({[-9e9 if x is None else x for x in _LEAST_IR]}) AS ir), (SELECT unnest({_MOST}) AS c)),
+n AS (SELECT ir, c, id, row_number() OVER (PARTITION BY ir, c ORDER BY rankic DESC, id) AS n FROM st, gr1 WHERE rankic >= {min(_LEAST)} AND (ir < -1e9 OR rankicir >= ir)),
+u AS (SELECT a, b, corr FROM co UNION ALL SELECT b, a, corr FROM co), e AS (SELECT c, a, list(b) AS near FROM u JOIN (SELECT DISTINCT c FROM gr1) ON corr > c GROUP BY c, a), o AS (SELECT n.*, coalesce(near, []) AS near FROM n LEFT JOIN e ON e.c = n.c AND e.a = n.id),
+r AS (SELECT ir, c, 0::BIGINT AS n, []::BIGINT[] AS kept FROM gr1 UNION ALL SELECT r.ir, r.c, o.n, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, id) END FROM r JOIN o ON o.ir = r.ir AND o.c = r.c AND o.n = r.n + 1),
+k AS (SELECT ir, c, arg_max(kept, n) AS kept FROM r GROUP BY ir, c), picks AS (SELECT least, ir, c, id, rankic, rankicir FROM (SELECT ir, c, unnest(kept) AS id FROM k) JOIN st USING (id), (SELECT unnest({_LEAST}) AS least) WHERE rankic >= least)"""
+
+
+def _swept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = monthly_panel(spark, sf_dir).select(F.col("sym").alias("id"), "di", ((F.col("y") - F.avg("y").over(Window.partitionBy("di"))) / 64).alias("v"))
+    v = tables_written(v, "series")
+    stats = v.where("v IS NOT NULL").groupBy("id").agg(F.avg("v").alias("rankic"), (F.avg("v") / F.stddev_samp("v")).alias("rankicir"))
+    return store.threshold_sweep(tables_written(stats, "stats"), tables_written(store.pair_correlations(v), "pairs"), _LEAST, _LEAST_IR, _MOST)
+
+
+def tables_written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, reread: what several steps start from is computed once."""
+    path = tables.fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@query(f"""WITH RECURSIVE {_SWEPT}, s AS (SELECT least, ir, c, count(*) AS count, avg(rankic) AS avg_rankic, min(rankic) AS min_rankic, avg(rankicir) AS avg_rankicir FROM picks GROUP BY 1, 2, 3),
+w AS (SELECT x.least, x.ir, x.c, max(corr) AS mx, avg(corr) AS av FROM picks x JOIN co ON co.a = x.id JOIN picks z ON z.id = co.b AND z.least = x.least AND z.ir = x.ir AND z.c = x.c WHERE corr IS NOT NULL GROUP BY 1, 2, 3)
+SELECT l.least, CASE WHEN g.ir > -1e9 THEN g.ir END::DOUBLE AS least_ir, g.c::DOUBLE AS most_corr, coalesce(count, 0) AS count, round(avg_rankic, 6) AS avg_rankic, round(min_rankic, 6) AS min_rankic, round(avg_rankicir, 6) AS avg_rankicir, round(mx, 6) AS max_pair_corr, round(av, 6) AS avg_pair_corr
+FROM gr1 g CROSS JOIN (SELECT unnest({_LEAST})::DOUBLE AS least) l LEFT JOIN s ON s.least = l.least AND s.ir = g.ir AND s.c = g.c LEFT JOIN w ON w.least = l.least AND w.ir = g.ir AND w.c = g.c""")
+def store_sweep(spark, sf_dir):
+    return _rounded(_swept(spark, sf_dir)[0])
+
+
+@query(f"WITH RECURSIVE {_SWEPT} SELECT least::DOUBLE AS least, CASE WHEN ir > -1e9 THEN ir END::DOUBLE AS least_ir, c::DOUBLE AS most_corr, id FROM picks")
+def store_sweep_picks(spark, sf_dir):
+    return _swept(spark, sf_dir)[1]
+
+
+# five rounds of spherical k-means, each written out
+_K, _ROUNDS = 20, 5
+
+
+def _kmeans_sql() -> str:
+    ctes = ["v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / coalesce(nullif(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 0), 1)) AS v FROM embeddings WHERE embedding IS NOT NULL)", f"c0 AS (SELECT row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS c, v AS m FROM v ORDER BY md5('42:' || id), id LIMIT {_K})"]
+    dot = "round(list_sum(list_transform(list_zip(v, m), lambda z: z[1] * z[2])), 12)"
+    for k in range(_ROUNDS + 1):
+        ctes.append(f"a{k} AS (SELECT id, any_value(v) AS v, arg_max(c, {{'s': {dot}, 'c': -c}}) AS c, max({dot}) AS s FROM v, c{k} GROUP BY id)")
+        if k < _ROUNDS:
+            ctes.append(f"s{k} AS (SELECT c, i, sum(x) AS x FROM (SELECT c, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{k}) GROUP BY c, i)")
+            ctes.append(f"u{k} AS (SELECT c, list(x ORDER BY i) AS l, sqrt(sum(x * x)) AS n FROM s{k} GROUP BY c)")
+            ctes.append(f"c{k + 1} AS (SELECT c{k}.c, CASE WHEN n > 0 THEN list_transform(l, lambda x: x / n) ELSE m END AS m FROM c{k} LEFT JOIN u{k} USING (c))")
+    return f"WITH {', '.join(ctes)} SELECT id, c::INT AS cluster, round(s, 6) + 0.0 AS similarity FROM a{_ROUNDS}"
+
+
+@query(_kmeans_sql())
+def vector_clusters(spark, sf_dir):
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return _rounded(similarity.spherical_kmeans(v, _K, _ROUNDS))
+
+
+# yearly portfolios of suppliers, held over the year's months
+_SORTS = {"smb": portfolios.Sort("x", 0.5, 0.5, -1), "hml": portfolios.Sort("bp"), "cma": portfolios.Sort("growth", sign=-1), "hml2": portfolios.Sort("bp", within="half")}
+_BUILT = f"""{MONTHLY_SQL.strip()}, a AS (SELECT *, y / w / 64 AS bp, x - lag(x, 3) OVER o AS growth, x / nullif(lag(x) OVER o, 0) - 1 AS r, year(date) AS period FROM p {"WINDOW o AS (PARTITION BY sym ORDER BY di)"}),
+f AS (SELECT period, min(di) - 1 AS di FROM a GROUP BY period), s0 AS (SELECT f.period, a.sym, x, bp, growth FROM a JOIN f USING (di) WHERE w >= 1), s AS (SELECT *, CASE WHEN x IS NOT NULL THEN (x > median(x) OVER (PARTITION BY period))::INT END AS half FROM s0),
+c1 AS (SELECT period, sym, 'smb' AS factor, -1 AS cell, x AS s, 0.5 AS lo, 0.5 AS hi FROM s UNION ALL SELECT period, sym, 'hml', -1, bp, 0.3, 0.7 FROM s UNION ALL SELECT period, sym, 'cma', -1, growth, 0.3, 0.7 FROM s UNION ALL SELECT period, sym, 'hml2', half, bp, 0.3, 0.7 FROM s WHERE half IS NOT NULL),
+q AS (SELECT period, factor, cell, quantile_cont(s, 0.5) AS q5, quantile_cont(s, 0.3) AS q3, quantile_cont(s, 0.7) AS q7 FROM c1 WHERE s IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 4),
+mb AS (SELECT c1.period, sym, factor, cell, CASE WHEN s <= CASE WHEN factor = 'smb' THEN q5 ELSE q3 END THEN -1 WHEN CASE WHEN factor = 'smb' THEN s > q5 ELSE s >= q7 END THEN 1 END AS part FROM c1 JOIN q USING (period, factor, cell) WHERE s IS NOT NULL),
+d AS (SELECT date, factor, cell, avg(r) FILTER (part = 1) - avg(r) FILTER (part = -1) AS d FROM a JOIN mb USING (period, sym) WHERE part IS NOT NULL GROUP BY 1, 2, 3), g AS (SELECT date, factor, avg(d) AS d FROM d GROUP BY 1, 2),
+w AS (SELECT a.date, a.di, {', '.join(f"CASE WHEN count(*) FILTER (factor = '{n}') = 0 THEN 0.0 ELSE {'-' if n in ('smb', 'cma') else ''}max(d) FILTER (factor = '{n}') END AS {n}" for n in ('smb', 'hml', 'cma', 'hml2'))} FROM (SELECT DISTINCT date, di FROM a) a LEFT JOIN g USING (date) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_BUILT} SELECT date, di, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _SORTS)}, {', '.join(f'CASE WHEN count({c}) OVER t{n} = {n} THEN round(sum({c}) OVER t{n}, 6) + 0.0 END AS {c}_{n}' for c in ('smb', 'hml') for n in (3, 12))}
+FROM w WINDOW t3 AS (ORDER BY di ROWS 2 PRECEDING), t12 AS (ORDER BY di ROWS 11 PRECEDING)""")
+def portfolio_factors(spark, sf_dir):
+    o = Window.partitionBy("sym").orderBy("di")
+    p = monthly_panel(spark, sf_dir).withColumns({"bp": F.col("y") / F.col("w") / 64, "growth": F.col("x") - F.lag("x", 3).over(o), "r": F.try_divide("x", F.lag("x").over(o)) - 1})
+    signals = portfolios.halves(portfolios.signal_rows(p, F.year("date"), F.col("w") >= 1), "x", "half")
+    held = portfolios.members(signals, _SORTS, least=4)
+    return _rounded(portfolios.rolled(portfolios.factor_returns(p, F.year("date"), "r", held, _SORTS), ["smb", "hml"], (3, 12)))
+
+
+# bars of three groups of users, so that a day has enough of them
+_BUSY = f"""{MINUTE_SQL.strip()}, bb AS (SELECT date, minute, sym % 3 AS sym, min(open) AS open, max(close) AS close, max(high) AS high, min(low) AS low, sum(volume) AS volume, sum(amount4)::DOUBLE / 10000 AS amount FROM b GROUP BY 1, 2, 3)"""
+
+
+def _busy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = minute_bars(spark, sf_dir).groupBy("date", "minute", (F.col("sym") % 3).alias("sym"))
+    return b.agg(F.min("open").alias("open"), F.max("close").alias("close"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"), (F.sum("amount4").cast("double") / 10000).alias("amount"))
+
+
+@query(f"""WITH {_BUSY}, r AS (SELECT *, close / nullif(open, 0) - 1 AS r, abs(close - lag(close) OVER (PARTITION BY date, sym ORDER BY minute)) AS d FROM bb),
+f AS (SELECT date, sym, avg(abs(r) / (amount + 1e-8)) AS amihud, coalesce(sum(volume) FILTER (minute >= 1410), 0) / (sum(volume) + 1e-8) AS tail_vol_share, (max(high) - arg_max(close, minute)) / (abs(max(high) - arg_min(open, minute)) + 1e-8) AS high_to_close,
+  coalesce(sum(sign(r) * volume), 0) / (sum(volume) + 1e-8) AS order_imbalance, abs(arg_max(close, minute) - arg_min(open, minute)) / (coalesce(sum(d), 0) + 1e-8) AS path_efficiency FROM r GROUP BY 1, 2),
+c AS (SELECT date, row_number() OVER (ORDER BY date)::INT - 1 AS di FROM (SELECT DISTINCT date FROM f)), g AS (SELECT c.date, c.di, s.sym, f.* EXCLUDE (date, sym) FROM c CROSS JOIN (SELECT DISTINCT sym FROM f) s LEFT JOIN f ON f.date = c.date AND f.sym = s.sym)
+SELECT date, di::INT AS di, sym, {', '.join(f"round(CASE WHEN {c} IS NOT NULL AND count({c}) OVER t >= 5 THEN ({c} - avg({c}) OVER t) / sqrt(greatest(var_pop({c}) OVER t, 1e-8)) ELSE 0 END, 4) + 0.0 AS anom_{c}_z20" for c in crossday.FEATURES)} FROM g WINDOW t AS (PARTITION BY sym ORDER BY di ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
+def minute_anomalies(spark, sf_dir):
+    return _rounded(crossday.anomaly_panels(_busy(spark, sf_dir)), 4)
+
+
+def _corr(a: str, b: str, over: str = "{0}") -> str:
+    both = f"FILTER ({a} IS NOT NULL AND {b} IS NOT NULL)"
+    return f"CASE WHEN min({a}) {both} < max({a}) {both} AND min({b}) {both} < max({b}) {both} THEN corr({a}, {b}) END"
+
+
+_LAGS = {k: f"corr_{'m' if k < 0 else 'p'}{abs(k)}" for k in range(-3, 4)}
+
+
+@query(f"""WITH {_BUSY}, l AS (SELECT date, sym, close AS y, {', '.join(f'lag(volume, {k}) OVER o AS x{n}' for k, n in _LAGS.items())} FROM bb WINDOW o AS (PARTITION BY date, sym ORDER BY minute)), c AS (SELECT date, sym, {', '.join(f"{_corr('x' + n, 'y')} AS {n}" for n in _LAGS.values())} FROM l GROUP BY 1, 2),
+u AS (SELECT date, sym, arg_max(k, {{'r': round(abs(c), 9), 'k': -k}}) AS best_lag, max(round(abs(c), 9)) AS best_corr FROM (SELECT date, sym, unnest([{', '.join(map(str, _LAGS))}]) AS k, unnest([{', '.join(_LAGS.values())}]) AS c FROM c) WHERE c IS NOT NULL GROUP BY 1, 2)
+SELECT c.date, c.sym, {', '.join(f'round({n}, 6) + 0.0 AS {n}' for n in _LAGS.values())}, best_lag::INT AS best_lag, round(best_corr, 6) + 0.0 AS best_corr FROM c LEFT JOIN u USING (date, sym)""")
+def minute_lag_correlations(spark, sf_dir):
+    return _rounded(minute.lag_correlations(_busy(spark, sf_dir), "volume", "close"))
+
+
+@query(f"""WITH {_BUSY}, k AS (SELECT date, sym, (minute - 60) // 440 AS part, {_corr('close', 'high')} AS c FROM bb WHERE minute BETWEEN 60 AND 1380 GROUP BY 1, 2, 3), m AS (SELECT date, sym, CASE WHEN count(c) FILTER (part < 3) = 3 THEN max(abs(c)) FILTER (part < 3) END AS max_corr FROM k GROUP BY 1, 2),
+q AS (SELECT date, sym, quantile_cont(close, 0.3) AS lo, quantile_cont(close, 0.7) AS hi FROM bb GROUP BY 1, 2), t AS (SELECT date, sym, CASE WHEN close <= lo OR close >= hi THEN close END AS a, CASE WHEN close <= lo OR close >= hi THEN volume + low END AS b FROM bb JOIN q USING (date, sym)), n AS (SELECT date, sym, {_corr('a', 'b')} AS tail_corr FROM t GROUP BY 1, 2)
+SELECT date, sym, round(max_corr, 6) + 0.0 AS max_corr, round(tail_corr, 6) + 0.0 AS tail_corr FROM m FULL JOIN n USING (date, sym)""")
+def minute_tail_correlations(spark, sf_dir):
+    b = _busy(spark, sf_dir).withColumn("u", F.col("volume") + F.col("low"))
+    parts = minute.part_correlation(b, "close", "high", 60, 1380)
+    return _rounded(parts.join(minute.tail_correlation(b, "close", "u"), ["date", "sym"], "full"))
+
+
+# universes of suppliers by month
+_FLAGS = {"hs300s": "w >= 9", "zz500s": "w BETWEEN 7 AND 8", "zz1000s": "w BETWEEN 5 AND 6", "zzhls": "y > 260", "stables": "sym % 7 <> 3", "liquid": "x >= 40", "liq_div3y": "x >= 60 AND y >= 150"}
+_IN = {n: f"coalesce({e}, false)" for n, e in _FLAGS.items()}
+_IN |= {"standards": f"({_IN['stables']} AND {_IN['liquid']})", "top1800s": f"({_IN['zz1000s']} OR {_IN['zz500s']} OR {_IN['hs300s']})"}
+_IN |= {"universe_A1800_zzhls": f"({_IN['top1800s']} OR {_IN['zzhls']})", "universe_liq_div3y_A1800": f"({_IN['liq_div3y']} OR {_IN['top1800s']} OR {_IN['zzhls']})", "smalls": f"({_IN['standards']} AND NOT {_IN['hs300s']} AND NOT {_IN['zz500s']})"}
+
+
+def _universes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = monthly_panel(spark, sf_dir)
+    made = universes.DAILY.made(p, {n: F.expr(e) for n, e in _FLAGS.items()})
+    return universes.DAILY.derive(made, universes.RULES)
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()} SELECT date, sym, ({' + '.join(f'(CASE WHEN {_IN[n]} THEN {1 << k} ELSE 0 END)' for k, n in enumerate(universes.DAILY.names))})::BIGINT AS bits, CASE WHEN {_IN['smalls']} THEN round(x, 6) END AS small_x, {_IN['smalls']} OR {_IN['zzhls']} AS either FROM p""")
+def universe_bits(spark, sf_dir):
+    u = universes.DAILY
+    return _rounded(_universes(spark, sf_dir).select("date", "sym", "bits", u.within(F.col("x"), "smalls", F.col("bits")).alias("small_x"), u.has(F.col("bits"), any_of=("smalls", "zzhls")).alias("either")))
+
+
+@query(f"""WITH {MONTHLY_SQL.strip()} SELECT date, {', '.join(f'count(*) FILTER ({_IN[n]}) AS {n}' for n in universes.DAILY.names)}, ({' + '.join(f'(CASE WHEN bool_or({_IN[n]}) THEN {1 << k} ELSE 0 END)' for k, n in enumerate(universes.DAILY.names))})::BIGINT AS some,
+({' + '.join(f'(CASE WHEN bool_and({_IN[n]}) THEN {1 << k} ELSE 0 END)' for k, n in enumerate(universes.DAILY.names))})::BIGINT AS every FROM p GROUP BY date""")
+def universe_sizes(spark, sf_dir):
+    return universes.DAILY.sizes(_universes(spark, sf_dir), ["date"])

@@ -235,3 +235,42 @@ def indicators() -> dict[str, Column]:
         "spread": h - l, "mid_price": (h + l) / 2, "typical_price": (h + l + c) / 3, "money_flow": (h + l + c) / 3 * v, "return_abs": F.abs(ret), "log_volume": F.log1p(v), "log_amount": F.log1p(F.greatest(a, F.lit(0.0))), "price_range_pct": F.try_divide(h - l, c),
         "upper_shadow": h - F.greatest(o, c), "lower_shadow": F.least(o, c) - l, "body": F.abs(c - o), "vwap_deviation": F.try_divide(c - vwap, vwap), "amihud": F.try_divide(F.abs(ret), a), "signed_volume": F.signum(c - o) * v,
     }
+
+
+def _pair_corr(x: Column, y: Column) -> Column:
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.when(_varied(a) & _varied(b), F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)))
+
+
+def lag_correlations(bars: DataFrame, x: str, y: str, lags: range = range(-3, 4)) -> DataFrame:
+    """Per day, for each lag k: the correlation of y with x of k bars before (after, below nought); and the lag whose
+    correlation is furthest from 0 (the least lag among equals). All lags read one sort of a day's bars and leave it in
+    one aggregation over the same shuffle."""
+    w = Window.partitionBy(*DAY).orderBy("minute")
+    name = lambda k: f"corr_{'m' if k < 0 else 'p'}{abs(k)}"
+    near = bars.select(*DAY, F.col(y).alias("_y"), *(F.lag(x, k).over(w).alias(f"_{name(k)}") for k in lags))
+    out = near.groupBy(*DAY).agg(*(_pair_corr(F.col(f"_{name(k)}"), F.col("_y")).alias(name(k)) for k in lags))
+    best = F.array_max(F.array(*(F.when(F.col(name(k)).isNotNull(), F.struct(F.round(F.abs(name(k)), 9).alias("r"), F.lit(-k).alias("k"))) for k in lags)))
+    return out.withColumns({"best_lag": -best["k"], "best_corr": best["r"]})
+
+
+def part_correlation(bars: DataFrame, x: str, y: str, start: int = 0, end: int = 1439, parts: int = 3) -> DataFrame:
+    """Per day the greatest absolute correlation of x and y within one of the equal parts of a window of minutes (what is
+    over at its end counts nowhere); NULL where a part has none."""
+    size = max((end - start + 1) // parts, 5)
+    part = F.floor((F.col("minute") - start) / size).cast("int")
+    count = (end - start + 1) // size
+    own = minutes(bars, start, end).withColumn("_part", part).groupBy(*DAY, "_part").agg(_pair_corr(F.col(x), F.col(y)).alias("_c"))
+    whole = F.count(F.when(F.col("_part") < count, F.col("_c"))) == count
+    return own.groupBy(*DAY).agg(F.when(whole, F.max(F.when(F.col("_part") < count, F.abs("_c")))).alias("max_corr"))
+
+
+def tail_correlation(bars: DataFrame, x: str, y: str, low: float = 0.3, high: float = 0.7) -> DataFrame:
+    """Per day the correlation of x and y over the minutes where x lies at or beyond its own quantiles of the day. The
+    quantiles and the sums share one shuffle by day and symbol."""
+    w, both = Window.partitionBy(*DAY), F.col(x).isNotNull() & F.col(y).isNotNull()
+    known = bars.withColumn("_x", F.when(both, F.col(x)))
+    cut = known.withColumns({"_lo": F.percentile("_x", F.lit(low)).over(w), "_hi": F.percentile("_x", F.lit(high)).over(w)})
+    tail = (F.col("_x") <= F.col("_lo")) | (F.col("_x") >= F.col("_hi"))
+    return cut.groupBy(*DAY).agg(_pair_corr(F.when(tail, F.col("_x")), F.when(tail, F.col(y))).alias("tail_corr"))

@@ -69,3 +69,68 @@ def within_steps(edges: DataFrame, start: DataFrame, steps: int) -> DataFrame:
         front = reached.join(seen, "node", "left_anti").withColumn("steps", F.lit(k))
         seen = seen.unionByName(front)
     return seen
+
+
+def _unit(column: pa.ListArray) -> np.ndarray:
+    m = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    norm = np.sqrt((m * m).sum(1))
+    return m / np.where(norm > 0, norm, 1.0)[:, None]
+
+
+def _nearest(m: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the most similar centres, and how similar; so rounded that equal vectors are alike in any batch."""
+    s = np.round(m @ centres.T, 12)
+    best = s.argmax(1)
+    return best, s[np.arange(len(m)), best]
+
+
+def spherical_kmeans(vectors: DataFrame, k: int = 20, rounds: int = 100, seed: int = 42) -> DataFrame:
+    """vectors(id, v) to id, cluster, similarity: k-means by the cosine. The first centres are the k vectors whose ids come
+    first by md5 of seed and id; a round assigns each vector to the most similar centre (the lower number among equals)
+    and takes the unit mean of each cluster; an empty cluster keeps its centre; it ends when no centre moves, or after so
+    many rounds. Rows without a vector are left out; a vector of zeros is as near to all, so it goes to cluster 0.
+
+    The centres, k rows, are all that goes to the tasks and all that comes back: sums are made within each partition and
+    then added by cluster and place."""
+    spark = vectors.sparkSession
+    rows = vectors.where("v IS NOT NULL").select("id", "v")
+    first = rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id").limit(k).select("v").toArrow()
+    if not len(first):
+        return rows.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("similarity"))
+    centres = _unit(first.column(0).combine_chunks())
+
+    def sums(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = shared.value
+            total, n = np.zeros(now.shape), np.zeros(len(now), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    m = _unit(batch.column(0))
+                    best, _ = _nearest(m, now)
+                    np.add.at(total, best, m)
+                    n += np.bincount(best, minlength=len(now))
+            c, d = np.indices(now.shape)
+            some = n[c.ravel()] > 0
+            yield pa.record_batch({"c": pa.array(c.ravel()[some], pa.int32()), "d": pa.array(d.ravel()[some], pa.int32()), "s": pa.array(total.ravel()[some])})
+
+        return run
+
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(centres)
+        found = rows.select("v").mapInArrow(sums(shared), "c int, d int, s double").groupBy("c", "d").agg(F.sum("s").alias("s")).toArrow()
+        total = np.zeros(centres.shape)
+        c = found["c"].to_numpy()
+        total[c, found["d"].to_numpy()] = found["s"].to_numpy()
+        norm = np.sqrt((total * total).sum(1))
+        moved = np.where((norm > 0)[:, None], total / np.where(norm > 0, norm, 1.0)[:, None], centres)
+        shared.destroy()
+        if np.allclose(centres, moved):
+            break
+        centres = moved
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, near = _nearest(_unit(batch.column(1)), centres) if batch.num_rows else (np.zeros(0, np.int64), np.zeros(0))
+            yield pa.record_batch({"id": batch.column(0), "cluster": pa.array(best, pa.int32()), "similarity": pa.array(near)})
+
+    return rows.mapInArrow(assigned, f"id {rows.schema['id'].dataType.simpleString()}, cluster int, similarity double")

@@ -5,9 +5,11 @@ import math
 import random
 import statistics
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import bitemporal, incremental
+from tessera.operators import bitemporal, crossday, incremental, minute, portfolios, similarity, store, universes
 from tessera.plans.formula import evaluate
 from tessera.sources import tables
 
@@ -190,3 +192,201 @@ def test_tables_are_written_merged_and_deleted(spark):
     tables.delete(spark, path, F.col("part").isNull() | (F.col("part") == 3) | (F.col("id") == 2), ["part"])
     assert shown() == {k: v for k, v in want.items() if v[1] not in (None, 3) and k != 2}
     assert files() == before
+
+
+def _greedy(ids, near):
+    kept = []
+    for i in ids:
+        if not near.get(i, set()) & set(kept):
+            kept.append(i)
+    return kept
+
+
+def _graph(seed, n=160):
+    rng = random.Random(seed)
+    stats = [(i, round(rng.uniform(-1, 1), 2) if rng.random() < 0.9 else 0.5, None if rng.random() < 0.05 else round(rng.uniform(-1, 1), 3)) for i in range(n)]
+    corrs = [(a, b, None if rng.random() < 0.05 else round(rng.uniform(-1, 1), 3)) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.12 or b == a + 1]
+    return stats, corrs
+
+
+@pytest.mark.parametrize("last_pairs", [0, 40, 100_000])
+def test_sweep_equals_one_selection_for_each_combination(spark, monkeypatch, last_pairs):
+    monkeypatch.setattr(store, "LAST_PAIRS", last_pairs)
+    stats, corrs = _graph(last_pairs)
+    least, least_ir, most = [-0.8, 0.0, 0.6], [None, -0.3, 0.4], [-0.5, 0.2, 0.9]
+    s, c = spark.createDataFrame(stats, "id long, rankic double, rankicir double"), spark.createDataFrame(corrs, "a long, b long, corr double").repartition(3)
+    summary, picks = store.threshold_sweep(s, c, least, least_ir, most)
+    got = {}
+    for r in picks.collect():
+        got.setdefault((r.least, r.least_ir, r.most_corr), set()).add(r.id)
+    shown = {(r.least, r.least_ir, r.most_corr): r for r in summary.collect()}
+    assert len(shown) == 27
+    for t in least:
+        for ir in least_ir:
+            for m in most:
+                near = {}
+                for a, b, x in corrs:
+                    if x is not None and x > m:
+                        near.setdefault(a, set()).add(b)
+                        near.setdefault(b, set()).add(a)
+                ids = [i for i, r, q in sorted(stats, key=lambda x: (-x[1], x[0])) if r >= t and (ir is None or (q is not None and q >= ir))]
+                want = _greedy(ids, near)
+                assert got.get((t, ir, m), set()) == set(want), (t, ir, m)
+                apart = [x for a, b, x in corrs if x is not None and a in want and b in want]
+                row = shown[t, ir, m]
+                assert row["count"] == len(want) and close(row.max_pair_corr, max(apart) if apart else None) and (not apart or close(row.avg_pair_corr, sum(apart) / len(apart)))
+
+
+def test_greedy_selection_of_dense_graphs(spark, monkeypatch):
+    for last_pairs in (0, 100_000):
+        monkeypatch.setattr(store, "LAST_PAIRS", last_pairs)
+        stats, corrs = _graph(9, 90)
+        near = {}
+        for a, b, x in corrs:
+            if x is not None and x > -0.2:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        kept = store.greedy_independent(spark.createDataFrame([(i, r) for i, r, _ in stats], "id long, score double"), spark.createDataFrame(corrs, "a long, b long, corr double"), -0.2)
+        assert sorted(r.id for r in kept.collect()) == sorted(_greedy([i for i, r, _ in sorted(stats, key=lambda x: (-x[1], x[0]))], near))
+
+
+def test_sweep_takes_no_more_jobs_for_more_combinations(spark):
+    stats, corrs = _graph(3, 60)
+    s, c = spark.createDataFrame(stats, "id long, rankic double, rankicir double"), spark.createDataFrame(corrs, "a long, b long, corr double")
+    jobs = []
+    for least_ir, most in (([None], [0.5]), ([None, -0.5, 0.0, 0.2], [0.1, 0.3, 0.5, 0.7])):
+        spark.sparkContext.setJobGroup(f"sweep{len(most)}", "")
+        store.threshold_sweep(s, c, [-0.5, 0.0], least_ir, most)[0].collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sweep{len(most)}")))
+    assert jobs[1] < 2 * jobs[0], jobs
+
+
+def test_clusters_equal_a_plain_run(spark):
+    import hashlib
+
+    rng = np.random.default_rng(4)
+    m = np.concatenate([rng.normal(size=(6, 8))[rng.integers(0, 6, 150)] + rng.normal(size=(150, 8)) * 0.4, np.zeros((2, 8))])
+    m = np.concatenate([m, m[:5]]).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(900, None)]
+    for k, rounds in ((6, 100), (9, 3), (400, 2)):
+        u = m.astype(np.float64)
+        norm = np.sqrt((u * u).sum(1))
+        u = u / np.where(norm > 0, norm, 1)[:, None]
+        first = sorted(range(len(u)), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))[:k]
+        centres = u[first]
+        for _ in range(rounds):
+            best = np.round(u @ centres.T, 12).argmax(1)
+            moved = centres.copy()
+            for c in range(len(centres)):
+                total = u[best == c].sum(0)
+                if np.sqrt((total * total).sum()) > 0:
+                    moved[c] = total / np.sqrt((total * total).sum())
+            if np.allclose(centres, moved):
+                break
+            centres = moved
+        s = np.round(u @ centres.T, 12)
+        got = sorted(map(tuple, similarity.spherical_kmeans(spark.createDataFrame(rows, "id long, v array<float>").repartition(4), k, rounds).collect()))
+        assert [g[0] for g in got] == list(range(len(m))) and [g[1] for g in got] == s.argmax(1).tolist()
+        assert np.allclose([g[2] for g in got], s.max(1))
+    assert similarity.spherical_kmeans(spark.createDataFrame([], "id long, v array<float>"), 3).count() == 0
+
+
+def test_portfolios_by_plain_loop(spark):
+    rng = random.Random(12)
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=15 * d), d, s, None if rng.random() < 0.1 else float(rng.randrange(1, 30)), None if rng.random() < 0.2 else rng.uniform(0, 1), None if rng.random() < 0.1 else rng.gauss(0, 1)) for d in range(40) for s in range(30 if d % 9 else 4)]
+    p = spark.createDataFrame(rows, "date date, di int, sym long, size double, bp double, r double")
+    sorts = {"smb": portfolios.Sort("size", 0.5, 0.5, -1), "hml": portfolios.Sort("bp"), "in2": portfolios.Sort("bp", within="half")}
+    month = F.trunc("date", "month")
+    signals = portfolios.halves(portfolios.signal_rows(p, month, F.col("size").isNotNull()), "size", "half")
+    got = {r.di: r for r in portfolios.factor_returns(p, month, "r", portfolios.members(signals, sorts, 9), sorts).collect()}
+    by_day = {}
+    for r in rows:
+        by_day.setdefault(r[1], []).append(r)
+    mean = lambda a: statistics.fmean(a) if a else None
+    quantile = lambda a, q: float(np.quantile(a, q))
+    held, last = {}, None
+    for d in range(40):
+        now = by_day[d][0][0].replace(day=1)
+        if now != last:
+            last, held = now, {}
+            known = [r for r in by_day.get(d - 1, []) if r[3] is not None]
+            if len(known) >= 9:
+                m = quantile([r[3] for r in known], 0.5)
+                held["smb"] = [({r[2] for r in known if r[3] > m}, {r[2] for r in known if r[3] <= m})]
+                valued = [r for r in known if r[4] is not None]
+
+                def cut(part):
+                    lo, hi = quantile([r[4] for r in part], 0.3), quantile([r[4] for r in part], 0.7)
+                    return {r[2] for r in part if r[4] >= hi}, {r[2] for r in part if r[4] <= lo}
+
+                held["hml"] = [cut(valued)] if len(valued) >= 9 else []
+                halves = [[r for r in valued if (r[3] > m) == up] for up in (False, True)]
+                held["in2"] = [cut(h) for h in halves if len(h) >= 9]
+        for name, sign in (("smb", -1), ("hml", 1), ("in2", 1)):
+            parts = []
+            for up, down in held.get(name) or []:
+                a, b = (mean([r[5] for r in by_day[d] if r[2] in side and r[5] is not None]) for side in (up, down))
+                parts.append(None if a is None or b is None else sign * (a - b))
+            want = 0.0 if not parts else mean([x for x in parts if x is not None])
+            assert close(got[d][name], want), (d, name, got[d][name], want)
+    series = [(dt.date(2020, 1, 1) + dt.timedelta(days=k), k, None if k == 5 else float(k)) for k in range(12)]
+    roll = portfolios.rolled(spark.createDataFrame(series, "date date, di int, a double"), ["a"], (3,)).orderBy("di").collect()
+    assert [r.a_3 for r in roll] == [None, None, 3.0, 6.0, 9.0, None, None, None, 21.0, 24.0, 27.0, 30.0]
+
+
+def test_crossday_and_minute_correlations_by_plain_loop(spark):
+    rng = random.Random(21)
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    rows = [(day(d), s, m, rng.uniform(9, 11), rng.uniform(11, 12), rng.uniform(9, 11), float(rng.randrange(1, 9)), rng.uniform(50, 99)) for d in range(12) for s in range(3) for m in sorted(rng.sample(range(1440), 40)) if (d + s) % 7]
+    bars = spark.createDataFrame(rows, "date date, sym long, minute int, open double, high double, close double, volume double, amount double").repartition(4)
+    got = {(r.date, r.sym): r for r in crossday.anomaly_panels(bars, 6, 3).collect()}
+    lags = {(r.date, r.sym): r for r in minute.lag_correlations(bars, "volume", "close", range(-2, 3)).collect()}
+    parts = {(r.date, r.sym): r.max_corr for r in minute.part_correlation(bars, "close", "volume", 100, 1300).collect()}
+    tails = {(r.date, r.sym): r.tail_corr for r in minute.tail_correlation(bars, "close", "volume").collect()}
+    by, features = {}, {}
+    for r in rows:
+        by.setdefault((r[0], r[1]), []).append(r)
+    corr = lambda a, b: float(np.corrcoef(a, b)[0, 1]) if len(a) > 1 and len(set(a)) > 1 and len(set(b)) > 1 else None
+    for key, bs in by.items():
+        bs.sort(key=lambda r: r[2])
+        ret, vol, close_ = [b[5] / b[3] - 1 for b in bs], [b[6] for b in bs], [b[5] for b in bs]
+        top, path = max(b[4] for b in bs), sum(abs(x - y) for x, y in zip(close_[1:], close_))
+        features[key] = (statistics.fmean(abs(r) / (b[7] + 1e-8) for r, b in zip(ret, bs)), sum(v for v, b in zip(vol, bs) if b[2] >= 1410) / (sum(vol) + 1e-8), (top - close_[-1]) / (abs(top - bs[0][3]) + 1e-8), sum(math.copysign(1, r) * v for r, v in zip(ret, vol)) / (sum(vol) + 1e-8), abs(close_[-1] - bs[0][3]) / (path + 1e-8))
+        each = {k: corr(vol[: len(vol) - k] if k >= 0 else vol[-k:], close_[k:] if k >= 0 else close_[:k]) for k in range(-2, 3)}
+        for k, x in each.items():
+            assert close(lags[key][f"corr_{'m' if k < 0 else 'p'}{abs(k)}"], x)
+        assert lags[key].best_lag == max(each, key=lambda k: (round(abs(each[k]), 9), -k))
+        cut = [[(c, v) for c, v, b in zip(close_, vol, bs) if 100 <= b[2] <= 1300 and (b[2] - 100) // 400 == k] for k in range(3)]
+        found = [corr(*zip(*c)) if c else None for c in cut]
+        assert close(parts[key], None if None in found else max(map(abs, found)))
+        lo, hi = np.quantile(close_, 0.3), np.quantile(close_, 0.7)
+        tail = [(c, v) for c, v in zip(close_, vol) if c <= lo or c >= hi]
+        assert close(tails[key], corr(*zip(*tail)))
+    for d in range(12):
+        for s in range(3):
+            for k, name in enumerate(crossday.FEATURES):
+                past = [features[day(j), s][k] for j in range(max(0, d - 6), d) if (day(j), s) in features]
+                today = features.get((day(d), s))
+                want = 0.0 if today is None or len(past) < 3 else (today[k] - statistics.fmean(past)) / math.sqrt(max(statistics.pvariance(past), 1e-8))
+                assert close(got[day(d), s][f"anom_{name}_z6"], want)
+
+
+def test_universes_are_sets(spark):
+    rng = random.Random(6)
+    names = universes.DAILY.names[:7]
+    rows = [(d, s, *(rng.choice([True, False, False, None]) for _ in names)) for d in range(6) for s in range(40)]
+    df = spark.createDataFrame(rows, "date int, sym long, " + ", ".join(f"f_{n} boolean" for n in names))
+    u = universes.DAILY
+    out = u.derive(u.made(df, {n: F.col(f"f_{n}") for n in names}), universes.RULES)
+    sets = {n: {r[:2] for r in rows if r[2 + k]} for k, n in enumerate(names)}
+    sets["standards"] = sets["stables"] & sets["liquid"]
+    sets["top1800s"] = sets["zz1000s"] | sets["zz500s"] | sets["hs300s"]
+    sets["universe_A1800_zzhls"] = sets["top1800s"] | sets["zzhls"]
+    sets["universe_liq_div3y_A1800"] = sets["liq_div3y"] | sets["universe_A1800_zzhls"]
+    sets["smalls"] = sets["standards"] - sets["hs300s"] - sets["zz500s"]
+    for n in u.names:
+        assert {(r.date, r.sym) for r in out.where(u.has(F.col("bits"), all_of=(n,))).collect()} == sets[n], n
+    for r in u.sizes(out, ["date"]).collect():
+        assert all(r[n] == sum(d == r.date for d, _ in sets[n]) for n in u.names)
+        assert r.some == sum(1 << k for k, n in enumerate(u.names) if r[n]) and r.every == sum(1 << k for k, n in enumerate(u.names) if r[n] == 40)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
