@@ -103,3 +103,22 @@ def top_names(values: DataFrame, n: int) -> DataFrame:
     """values(di, sym, v): (di, id, rank) of each date's n best, ties by id."""
     w = Window.partitionBy("di").orderBy(F.desc("v"), "sym")
     return values.where("v IS NOT NULL").select("di", F.col("sym").alias("id"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= n)
+
+
+def filled_in(panel: DataFrame, column: str, standard: Column, *others: Column) -> DataFrame:
+    """panel with the column, missing values inside the standard universe taken from the first of the others that has one
+    (windows that need less history, say)."""
+    x = F.col(column)
+    return panel.withColumn(column, F.when(x.isNull() & F.coalesce(standard, F.lit(False)), F.coalesce(*others)).otherwise(x))
+
+
+def adjusted(panel: DataFrame, factor: str, columns: list[str]) -> DataFrame:
+    """panel with prices times the adjustment factor of the date, as adj_<column>."""
+    return panel.withColumns({f"adj_{c}": F.col(c) * F.col(factor) for c in columns})
+
+
+#: Fields made of price c, volume v, amount a and return r (formulas).
+PRICE_VOLUME = {
+    "pvc5": "ts_corr(c,v,5)", "pvc20": "ts_corr(c,v,20)", "ema5": "ema1(c,5)", "ema20": "ema1(c,20)", "adv5": "ts_mean(v,5)", "adv20": "ts_mean(v,20)", "vol5": "ts_std(r,5)", "vol20": "ts_std(r,20)",
+    "rvc5": "ts_corr(r,diff(log(v)),5)", "rvc20": "ts_corr(r,diff(log(v)),20)", "te": "div(abs(r),a)",
+}

@@ -4,10 +4,10 @@ import pytest
 from conftest import SF
 from same import assert_same
 
-from tessera import function_queries, history_queries
+from tessera import function_queries, history_queries, market_queries
 
-QUERIES = history_queries.QUERIES | function_queries.QUERIES
-ORACLES = history_queries.ORACLES | function_queries.ORACLES
+QUERIES = history_queries.QUERIES | market_queries.QUERIES | function_queries.QUERIES
+ORACLES = history_queries.ORACLES | market_queries.ORACLES | function_queries.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
