@@ -28,9 +28,10 @@ FINDINGS, TREES, DEPTH, THRESHOLD = 4000, 24, 7, 0.5
 
 #: Names that a credential is assigned to (fixed values).
 NAMES = "token|secret|password|passwd|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credential"
-#: A candidate by its place: the password of a URL's user part; what follows a name and a sign of assignment.
-IN_URL = r"(?<=://[^\s/:@]{1,64}:)[^\s/@]{3,128}(?=@)"
-ASSIGNED = rf"(?<=(?i:{NAMES})[A-Za-z0-9_]{{0,12}}[\"'`]?[ \t]{{0,3}}[=:]>?[ \t]{{0,3}}[\"'`]?)[^\s\"'`<>;,=:&(){{}}\[\]][^\s\"'`<>;,&(){{}}\[\]]{{4,255}}[^\s\"'`<>;,&(){{}}\[\].:!?]={{0,2}}"
+#: A candidate by its place: the password of a URL's user part; what follows a name and a sign of assignment. Short looks
+#: back come first, so that the long ones are tried at few places.
+IN_URL = r"(?<=:)(?<=://[^\s/:@]{1,64}:)[^\s/@]{3,128}(?=@)"
+ASSIGNED = rf"(?<=[=:>\"'` \t])(?<=[=:]>?[ \t]{{0,3}}[\"'`]?)(?<=(?i:{NAMES})[A-Za-z0-9_]{{0,12}}[\"'`]?[ \t]{{0,3}}[=:]>?[ \t]{{0,3}}[\"'`]?)[^\s\"'`<>;,=:&(){{}}\[\]][^\s\"'`<>;,&(){{}}\[\]]{{4,255}}[^\s\"'`<>;,&(){{}}\[\].:!?]={{0,2}}"
 #: A candidate by itself: a run of token characters with a digit or a change of case (a capital at its beginning is none);
 #: marks may stand inside, but not those of a mail address.
 RUN = r"(?<![A-Za-z0-9+/_.-])(?<![A-Za-z0-9+/_-][@!#$%^*~])(?![^\s@]*@[^\s@]*\.[A-Za-z]{2})(?=[A-Za-z0-9+/_.@!#$%^*~-]*(?:[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]|A[KS]IA))[A-Za-z0-9+/_-][A-Za-z0-9+/_.@!#$%^*~-]{14,}[A-Za-z0-9+/_-]={0,2}"
