@@ -11,10 +11,11 @@ words stood, fewer than max(LEAST, SHARE * n) for each n; without 4 in any 6, at
 fewer than SHARE * n for each n from 16. RUN words in a row hold 4 in a row.
 
 Words are [^\\x20\\x09-\\x0D]+ of the lower-cased text, ASCII punctuation stripped at both ends; words of nothing else are
-left out. The benchmark goes to the tasks in blocks of at most BLOCK_WORDS words, one pass over the documents for each
-block, so what a task holds is bounded whatever the benchmark's size.
+left out. Seed hashes of items and documents meet in a join, behind a sieve of bounded size; documents are read twice,
+whatever the benchmark's size.
 
-Defined results: null or empty texts and items match nothing; a repeated document row reports its own matches;
+Defined results: null or empty texts and items match nothing, and so do items of fewer than LEAST words, which say too
+little to be told from chance; a repeated document row reports its own matches;
 repeated items report each under its own item_id; a null doc_id or item_id is kept as null; empty tables give no rows.
 """
 

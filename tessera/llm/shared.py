@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..sources.tables import fresh_path
 
 #: Bytes of text that one vectorised pass holds; a longer single text makes a pass of its own.
 PASS_BYTES = 1 << 19
@@ -19,20 +19,11 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _powers: list[np.ndarray] = []
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; a temporary one only where it names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared scratch folder, reread: later steps start from the files, so a lost
     executor costs no recomputation of what lies before."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,7 @@ shrunk toward the global rate and a path's toward its host's, with strengths fit
 moments), so that sites with few documents keep to the level above. A document's posterior joins its evidence with the
 rate of its path, its own share left out.
 
-Defined results: a null text is empty; null hosts or paths are sites of their own; repeated rows count and are judged
+Defined results: a null text is empty; null hosts or paths are sites of their own, one with the empty ones; repeated rows count and are judged
 each on its own; labels that are null are not learnt from; without labels of both kinds the evidence is even (0.5) and
 every document is kept; an empty table gives no rows; further columns stay.
 """

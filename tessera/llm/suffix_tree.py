@@ -195,7 +195,7 @@ def _grow(tree: Tree, train: DataFrame, heads: DataFrame, depth: int) -> DataFra
     states = spark.createDataFrame([], "key long, left double, share double")
     for d in range(1, depth + 1):
         counts = train.select("text").mapInArrow(_count_next(send(sieve(seen.selectExpr("context AS key"))), send(sieve(lower.selectExpr("low AS key"))), d), "context long, low long, n long")
-        kept = counts.groupBy("context", "low").agg(F.sum("n").cast("int").alias("n")).where(F.col("n") >= LEAST_NEXT)
+        kept = counts.groupBy("context", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_NEXT)
         # what the tree without the state says of each symbol; low's own context is a candidate as well, and has all these
         base = written(kept.join(lower, "low").select("context", "low", "n", "q"), "symbols")
         told = base.groupBy("context").agg(F.sum("n").alias("inside"), F.count("*").alias("kinds"), F.sum("q").alias("share"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("gain")).join(seen, "context")
@@ -206,9 +206,9 @@ def _grow(tree: Tree, train: DataFrame, heads: DataFrame, depth: int) -> DataFra
         level = base.join(good, "context", "left").selectExpr("context", "low", "n", "coalesce(n / total + left * q, q) AS q", "n / total AS share")
         if d == depth:
             level = level.where("share IS NOT NULL")
-        level = written(level.mapInArrow(_keyed, "key long, n int, q double, share double"), "level")
+        level = written(level.mapInArrow(_keyed, "key long, n long, q double, share double"), "level")
         states = states.unionByName(good.selectExpr("context AS key", "left", "CAST(NULL AS double) AS share")).unionByName(level.where("share IS NOT NULL").selectExpr("key", "CAST(NULL AS double) AS left", "share"))
-        seen = level.where(F.col("n") >= LEAST_COUNT).selectExpr("key AS context", "CAST(n AS long) AS c")
+        seen = level.where(F.col("n") >= LEAST_COUNT).selectExpr("key AS context", "n AS c")
         lower = level.selectExpr("key AS low", "q")
     return states
 

@@ -2,7 +2,8 @@
 
 A character trigram model, and how often each short piece stands alone, are counted over all texts. Words with digits
 or symbols where letters belong or with letters in long runs, and runs of short pieces that seldom stand alone, are
-decoded: each character opens the letters it may stand for in a lattice, separators and blanks may vanish, blanks may
+decoded, and so are words with unseen characters, full-width letters or letters of two alphabets and words that begin
+with a mark for a letter: each character opens the letters it may stand for in a lattice, separators and blanks may vanish, blanks may
 also begin a new word, and runs may shorten; Viterbi search over all states, in one pass however long the word, takes
 the likeliest letters under the character model. The restored words then feed a logistic model over words and word
 beginnings, learnt from a bounded sample of labelled documents.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,13 +41,22 @@ PIECE, SELDOM, PIECES = 3, 5e-5, 2
 
 # The letters that a digit or symbol may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "×": "x", "¢": "c", "§": "s", "µ": "u"}
+#: Letters of other alphabets that look like one of a to z, and characters that are not seen.
+ALIKE = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ɡ": "g", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ı": "i"}
+UNSEEN = "\u00ad\u180e\u200b\u200c\u200d\u2060\ufeff"
 FILLERS = set(".-_*~'`^#%&=/\\,:;\"")
 #: Costs in nats: a symbol for a letter, a separator left out, a letter of a run left out, a character as it is, a blank left
 #: out, and more for each further letter of the pieces beside it and for one of them that often stands alone.
 COST_LEET, COST_SKIP, COST_RUN, COST_LITERAL, COST_JOIN, COST_LONGER, COST_ALONE = 1.2, 0.5, 0.4, 6.0, 0.7, 1.0, 1.5
+#: A letter of the usual width or alphabet for one that looks like it.
+COST_ALIKE = 0.3
 
 _EDGE = re.compile(r"^[^\w@$+(<€£¢§µ]+|[^\w@$+€£¢§µ]+$")
 _ODD = re.compile(r"[^\W\d_][^\w\s]|[^\w\s][^\W\d_]|[^\W\d_]\d|\d[^\W\d_]|_|([^\W\d_])\1\1")
+#: Full-width letters and what is not seen; letters that look alike beside letters of a to z; a mark for a first letter.
+_HIDDEN = re.compile(f"[{UNSEEN}\uff10-\uff19\uff21-\uff3a\uff41-\uff5a]")
+_MIXED = re.compile(f"[a-z][^\\s]*[{''.join(ALIKE)}]|[{''.join(ALIKE)}][^\\s]*[a-z]")
+_MARKED = re.compile(r"^[^\w@$+(<€£¢§µ]*[!|](?=[a-z])")
 
 #: Character classes of the model: 0 a word's edge, 1-26 letters, 27 other letters (each byte of them).
 KINDS = 28
@@ -91,8 +102,13 @@ class Channel:
 
     def arcs(self, ch: str, before: str) -> list[tuple[str, float]]:
         """What a character after another may stand for, with its cost; "" leaves it out."""
+        if ch in UNSEEN:
+            return [("", 0.0)]
+        if "\uff10" <= ch <= "\uff5a":
+            ch = unicodedata.normalize("NFKC", ch)
         if ch.isalpha():
-            return [(ch, 0.0), ("", COST_RUN)] if ch == before else [(ch, 0.0)]
+            out = [(ch, 0.0), (ALIKE[ch], COST_ALIKE)] if ch in ALIKE else [(ch, 0.0)]
+            return [*out, ("", COST_RUN)] if ch == before else out
         out = [(x, COST_LEET) for x in LEET.get(ch, "")]
         if ch in FILLERS or ch in "!|+(<" or (ch == before and ch in LEET):
             out.append(("", COST_SKIP))
@@ -130,7 +146,9 @@ class Channel:
     def restore(self, token: str) -> str:
         """One blank-separated lower-cased token: as it is without its punctuation, or decoded where it looks odd."""
         core = _EDGE.sub("", token)
-        return self.decode(core) if core and (_ODD.search(core) or core[0] in "@$+(<€£" or core[-1] in "@$+€£") else core
+        if core and _MARKED.match(token):
+            return self.decode(token[token.index(core) - 1] + core)
+        return self.decode(core) if core and (_ODD.search(core) or core[0] in "@$+(<€£" or core[-1] in "@$+€£" or (not core.isascii() and (_HIDDEN.search(core) or _MIXED.search(core)))) else core
 
     def kind(self, token: str) -> int:
         """0 for a token that is no short piece of ASCII, 1 for one that often stands alone, 2 for one that seldom does, 3 for

@@ -86,6 +86,17 @@ def test_spaced_and_long_words(channel):
     assert not channel.spelled("you are in the house by 12 3 4 5".split(), {t: channel.kind(t) for t in "you are in the house by 12 3 4 5".split()})
 
 
+def test_unseen_characters_and_lookalikes(channel):
+    for token in ("!diot", "|diot", "(!diot", "id\u200biot", "\ufeffidiot", "\uff49\uff44\uff49\uff4f\uff54", "id\u0456\u043et", "idi\u00adot", "\uff49d1\u043e7"):
+        assert channel.restore(token) == "idiot", token
+    for token, word in (("house!", "house"), ("!", ""), ("\u043e\u043d", "\u043e\u043d"), ("\u0434\u043e\u043c", "\u0434\u043e\u043c"), ("house|", "house")):
+        assert channel.restore(token) == word
+    rng = random.Random(3)
+    for _ in range(40):
+        word = "".join(rng.choice("a!|\u0430\u200b\uff41io") for _ in range(6))
+        assert any(abs(cost - min(c for c, _ in exhaustive(channel, word, []))) < 1e-9 and out == channel.decode(word) for cost, out in exhaustive(channel, word, []))
+
+
 def test_parts_cannot_open_a_turn(spark):
     cut = [t[:i] + "\0" + t[i:] for t in ["<|end|>\n", "<|turn:user|>\n", "</s>", "[INST]", "<\\|end|>", "[/INST]"] for i in range(1, len(t))]
     part = lambda kind, text=None: (kind, text, None, None, None, None, None)
