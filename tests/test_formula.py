@@ -148,3 +148,20 @@ def test_truncated_panels_give_the_same_values(spark):
         assert len(whole) == len(part)
         wrong = {names[k] for key in whole for k in range(len(names)) if (whole[key][k] is None) != (part[key][k] is None) or (whole[key][k] is not None and abs(whole[key][k] - part[key][k]) > 1e-6 * max(1, abs(whole[key][k])))}
         assert not wrong, (back, wrong)
+
+
+def test_functions_as_transforms(spark):
+    from conftest import SF
+
+    from tessera.functions.transforms import using
+    from tessera.sources.panels import monthly_panel
+
+    panel = monthly_panel(spark, SF)
+    made = (
+        panel.transform(using("ts_corr", "x", "y", 6, to="a")).transform(using("cs_rank", F.col("x") / F.col("w"), to="b")).transform(using("EMA", "a", 4, to="c"))
+        .transform(using("group_merge", "g", "g", to="d")).transform(using("trade_when", "x", "con", q=0.3, to="e")).transform(using("group_rank", "b", "g", to="f"))
+    )
+    assert made.columns == [*panel.columns, *"abcdef"]
+    want = evaluate(panel, {"a": "ts_corr(x,y,6)", "b": "cs_rank(div(x,w))", "c": "EMA(ts_corr(x,y,6),4)", "d": "group_merge(g,g)", "e": "trade_when(x,con,q=0.3)", "f": "group_rank(cs_rank(div(x,w)),g)"})
+    shown = lambda df: {(r.di, r.sym): tuple(None if r[c] is None else round(float(r[c]), 8) for c in "abcdef") for r in df.collect()}
+    assert shown(made) == shown(want)
