@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .operator_queries import ORACLES, QUERIES, _rounded, query  # noqa: F401  the queries below go there
-from .operators import bitemporal, crossday, incremental, minute, portfolios, similarity, store, universes
+from .operators import bitemporal, crossday, evaluation, incremental, minute, portfolios, similarity, store, universes
 from .sources import tables
 from .sources.panels import MINUTE_SQL, MONTHLY_SQL, minute_bars, monthly_panel, read
 from .streaming import bars, recurrence
@@ -332,3 +332,20 @@ def universe_bits(spark, sf_dir):
 ({' + '.join(f'(CASE WHEN bool_and({_IN[n]}) THEN {1 << k} ELSE 0 END)' for k, n in enumerate(universes.DAILY.names))})::BIGINT AS every FROM p GROUP BY date""")
 def universe_sizes(spark, sf_dir):
     return universes.DAILY.sizes(_universes(spark, sf_dir), ["date"])
+
+
+@query(ORACLES["eval_neutralized"])
+def incremental_neutralized(spark, sf_dir):
+    """Values neutralised on size and group date by date, kept up to date: a run at the cut, one over the rest."""
+    whole = monthly_panel(spark, sf_dir).select("date", "di", "sym", F.col("x").alias("v"), F.col("w").alias("size"), "g")
+    source, target = tables.fresh_path(spark, "fields"), tables.fresh_path(spark, "neutralized")
+
+    def neutral(part: DataFrame) -> DataFrame:
+        return evaluation.neutralized(part).join(F.broadcast(part.select("date", "di").distinct()), "di")
+
+    tables.replace_partitions(whole.where(F.col("di") < _CUT).withColumn("v", F.when(F.col("di") >= _RESTATED, F.col("v") + 1).otherwise(F.col("v"))), source, ["date"])
+    incremental.refresh(spark, source, target, neutral, (0, 0))
+    tables.replace_partitions(whole.where(F.col("di") >= _RESTATED), source, ["date"])
+    since = whole.where(F.col("di") == _RESTATED).agg(F.min("date")).first()[0]
+    incremental.refresh(spark, source, target, neutral, (0, 0), since)
+    return _rounded(spark.read.parquet(target).select("di", "sym", "v"))
