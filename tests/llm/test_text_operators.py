@@ -181,6 +181,64 @@ def test_suffix_tree_keeps_rare_and_deep_contexts(spark):
     assert all(math.isclose(few[i], r.score, rel_tol=1e-9) for i, r in got.items())
 
 
+def plain_suffix_tree(rows, depth=3):
+    """Scores by a tree of tuples of words, grown and read one context at a time."""
+    start, held = "<start>", {}
+    seqs = [(i, [start, *BLANK.findall((t or "").translate(LOWER)), None]) for i, t in rows]
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    train = [q for i, q in seqs if not held[i]]
+    count = collections.Counter(w for q in train for w in q[1:])
+    n, v = sum(count.values()), len(count)
+    root = lambda w: (count[w] + 0.5) / (n + 0.5 * (v + 1))
+    seen = {(start if w is None else w,): c for w, c in count.items() if c >= suffix_tree.LEAST_COUNT}
+    lower = {(w,): root(w) for w, c in count.items() if c >= suffix_tree.LEAST_NEXT}
+    left, share = {}, {}
+    for d in range(1, depth + 1):
+        pairs = collections.Counter(tuple(q[t - d : t + 1]) for q in train for t in range(d, len(q)))
+        kept = {k: c for k, c in pairs.items() if c >= suffix_tree.LEAST_NEXT and k[:-1] in seen and k[1:] in lower}
+        after = collections.defaultdict(list)
+        for k, c in kept.items():
+            after[k[:-1]].append((k, c, lower[k[1:]]))
+        level = {}
+        for context, some in after.items():
+            c, inside, told = seen[context], sum(m for _, m, _ in some), sum(q for _, _, q in some)
+            gain = sum(m * math.log(m / c / q) for _, m, q in some)
+            if c > inside:
+                gain += (c - inside) * math.log((c - inside) / c / max(1 - told, 1e-12))
+            good = gain >= suffix_tree.LEAST_TOTAL_GAIN and gain >= suffix_tree.LEAST_GAIN * c
+            total = c + 1 + 0.5 * len(some)
+            if good:
+                left[context] = (c - inside + 1 + 0.5 * len(some)) / total
+            for k, m, q in some:
+                if good:
+                    share[k] = m / total
+                level[k] = (m, m / total + left[context] * q if good else q)
+        seen = {k: m for k, (m, _) in level.items() if m >= suffix_tree.LEAST_COUNT}
+        lower = {k: q for k, (_, q) in level.items()}
+    for i, q in seqs:
+        score = 0.0
+        for t in range(1, len(q)):
+            p = root(q[t])
+            for d in range(1, min(depth, t) + 1):
+                context = tuple(q[t - d : t])
+                if context in left:
+                    p = share.get((*context, q[t]), 0.0) + left[context] * p
+            score += math.log10(p)
+        yield i, score, len(left)
+
+
+def test_suffix_tree_scores_by_plain_tree(spark):
+    rng = random.Random(31)
+    phrases = [" ".join(rng.choice("a b c d e f g h".split()) for _ in range(rng.randrange(3, 7))) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(rng.randrange(0, 12)))) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in corpus(7, 80)] + [(None, "a b c d"), (None, None), (5, "A b C"), *ODD]
+    plain = list(plain_suffix_tree(rows))
+    assert plain[0][2] > 30  # states of all three depths
+    got = sorted((str(r.doc_id), r.score) for r in suffix_tree.scored(docs(spark, rows).repartition(3)).collect())
+    for (i, x), (j, y) in zip(got, sorted((str(i), s) for i, s, _ in plain), strict=True):
+        assert i == j and math.isclose(x, y, rel_tol=1e-5), (i, x, y)
+
+
 def test_suffix_states_sum_to_one():
     tree = suffix_tree.Tree(100, 4)
     c = np.array([40.0, 30.0, 20.0, 10.0, 0.0])  # the last: any unseen word
