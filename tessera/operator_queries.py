@@ -37,6 +37,11 @@ _DAILY = f"""{_VALUES},
 daily AS (SELECT di, {_CORR.format(a='v', b='ret')} AS ic, {_CORR.format(a='rv', b='rr')} AS rankic, avg(ret) FILTER (rv >= 0.8) AS longret, count(v) / count(*)::DOUBLE AS coverage, count(v) AS n FROM ranked GROUP BY di)"""
 
 
+def _months(spark: SparkSession, sf_dir: str) -> int:
+    """Dates of the monthly panel: what lays out the ranges over its calendar."""
+    return read(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "month")).distinct().count()
+
+
 def _r(*columns: str, digits: int = DIGITS) -> str:
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
 
@@ -317,10 +322,10 @@ def infix_formula(spark, sf_dir):
     return _rounded(evaluate(monthly_panel(spark, sf_dir), {"v": tree}), 4)
 
 
-@query(f"""WITH {MONTHLY_SQL.strip()}, k AS (SELECT unnest(range(0, 6)) AS k), r AS (SELECT k AS fold, 'train' AS part, k * 6 AS a, k * 6 + 23 AS b FROM k UNION ALL SELECT k, 'validation', k * 6 + 25, k * 6 + 30 FROM k UNION ALL SELECT k, 'test', k * 6 + 32, k * 6 + 37 FROM k)
-SELECT CAST(fold AS INT) AS fold, part, count(x) AS cells, CAST(min(di) AS INT) AS first, CAST(max(di) AS INT) AS last FROM r JOIN p ON di BETWEEN a AND b WHERE di < 68 GROUP BY 1, 2""")
+@query(f"""WITH {MONTHLY_SQL.strip()}, k AS (SELECT unnest(range(0, (SELECT (max(di) + 1 - 38) // 6 + 1 FROM cal))) AS k), r AS (SELECT k AS fold, 'train' AS part, k * 6 AS a, k * 6 + 23 AS b FROM k UNION ALL SELECT k, 'validation', k * 6 + 25, k * 6 + 30 FROM k UNION ALL SELECT k, 'test', k * 6 + 32, k * 6 + 37 FROM k)
+SELECT CAST(fold AS INT) AS fold, part, count(x) AS cells, CAST(min(di) AS INT) AS first, CAST(max(di) AS INT) AS last FROM r JOIN p ON di BETWEEN a AND b GROUP BY 1, 2""")
 def walk_forward_parts(spark, sf_dir):
-    parts = labelled_parts(monthly_panel(spark, sf_dir).where("di < 68"), walk_forward(spark, 68, 24, 6, 1, 6))
+    parts = labelled_parts(monthly_panel(spark, sf_dir), walk_forward(spark, _months(spark, sf_dir), 24, 6, 1, 6))
     return parts.groupBy("fold", "part").agg(F.count("x").alias("cells"), F.min("di").alias("first"), F.max("di").alias("last"))
 
 
@@ -520,11 +525,11 @@ def store_consecutive(spark, sf_dir):
     return weights.consecutive(whole, "o_custkey", "y", "n").select("o_custkey", "y", "run")
 
 
-@query(f"""WITH RECURSIVE {MONTHLY_SQL.strip()}, w AS (SELECT 0 AS fold, 37 AS s, least(37 + 9, 83) AS e UNION ALL SELECT fold + 1, e, least(e + 9, 83) FROM w WHERE e < 83),
+@query(f"""WITH RECURSIVE {MONTHLY_SQL.strip()}, nd AS (SELECT count(*) AS n FROM cal), w AS (SELECT 0 AS fold, 37::BIGINT AS s, least(37 + 9, n) AS e FROM nd UNION ALL SELECT fold + 1, e, least(e + 9, n) FROM w, nd WHERE e < n),
 r AS (SELECT fold, 'train' AS part, greatest(0, s - 7 - 30) AS a, s - 8 AS b FROM w UNION ALL SELECT fold, 'validation', s - 7, s - 2 FROM w UNION ALL SELECT fold, 'test', s, e - 1 FROM w)
 SELECT CAST(fold AS INT) AS fold, part, count(x) AS cells, CAST(min(di) AS INT) AS first, CAST(max(di) AS INT) AS last FROM r JOIN p ON di BETWEEN a AND b GROUP BY 1, 2""")
 def rolling_parts(spark, sf_dir):
-    parts = labelled_parts(monthly_panel(spark, sf_dir), rolling_ranges(spark, 83, 30, 6, 1, 9))
+    parts = labelled_parts(monthly_panel(spark, sf_dir), rolling_ranges(spark, _months(spark, sf_dir), 30, 6, 1, 9))
     return parts.groupBy("fold", "part").agg(F.count("x").alias("cells"), F.min("di").alias("first"), F.max("di").alias("last"))
 
 
