@@ -3,6 +3,8 @@ each with SQL written apart from it."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .history_queries import _BUSY, _busy, tables_written
@@ -78,7 +80,9 @@ _SQUASHED = {k: f"(1 / (1 + exp(-(coalesce({_MEASURED[k]}, 0) - {mid}) / {width}
 
 @query("SELECT p_partkey, round((({long_ret} + {long_netret}) / 2) * 0.5 + ((({ls_ir} + {ls_netir}) / 2 + ({rankic} + {rankicir}) / 2 + ({mono} + {monoir}) / 2) / 3) * 0.5, 6) AS score FROM part".format(**_SQUASHED))
 def eval_score(spark, sf_dir):
-    part = read(spark, sf_dir, "part").select("p_partkey", *(F.expr(e).cast("double").alias(k) for k, e in _MEASURED.items()))
+    # a literal like 150.0 is a decimal here, whose quotients keep six places; as a double it divides as in the SQL
+    measured = {k: F.expr(re.sub(r"(\d\.\d+)", r"\1D", e)).cast("double") for k, e in _MEASURED.items()}
+    part = read(spark, sf_dir, "part").select("p_partkey", *(c.alias(k) for k, c in measured.items()))
     return _rounded(part.select("p_partkey", evaluation.score().alias("score")))
 
 
