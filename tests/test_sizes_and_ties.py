@@ -2,10 +2,9 @@
 
 import math
 
-from pyspark.sql import functions as F
 
 from tessera import market_queries
-from tessera.operators import evaluation
+from tessera.operators import evaluation, minute, similarity, store
 
 
 def test_score_divides_doubles(spark, tmp_path):
@@ -18,3 +17,12 @@ def test_score_divides_doubles(spark, tmp_path):
         s = {c: squashed(c, v) for c, v in m.items()}
         want = (s["long_ret"] + s["long_netret"]) / 4 + (s["ls_ir"] + s["ls_netir"] + s["rankic"] + s["rankicir"] + s["mono"] + s["monoir"]) / 12
         assert abs(got[k] - want) < 5.1e-7
+
+
+def test_state_mask_adds_in_the_order_of_minutes(spark):
+    # 0.1 + 0.2 + 0.3 is above 0.3 + 0.2 + 0.1, whatever order the rows come in
+    bars = [(m, s, v) for s, day in ((1, (0.1, 0.2, 0.3)), (2, (0.3, 0.2, 0.1)), (3, (0.0, 0.0, 0.0))) for m, v in enumerate(day)]
+    for turn in (1, -1):
+        df = spark.createDataFrame([("d", m, s, v) for m, s, v in bars[::turn]], "date string, minute int, sym int, close double").coalesce(1)
+        assert {r.sym for r in minute.state_mask(df, "close", 0.4, 0.6).collect()} == {2}
+        assert {r.sym for r in minute.state_mask(df, "close", 0.9, 1.0).collect()} == {1}
