@@ -43,3 +43,12 @@ def test_capped_weights_sum_from_one_end(spark):
         rest, cut = rest - a[cut][0], cut + 1
     want = {k: 0.00034 if i < cut else v * max(1 - cut * 0.00034, 0) / rest for i, (v, k) in enumerate(a)}
     assert 0 < cut and all(math.isclose(r.w, want[r.id], rel_tol=1e-9, abs_tol=1e-12) for r in out.collect())
+
+
+def test_steps_do_not_gather_edges(spark):
+    """Neither are repeated edges made distinct, nor is a step made again by the next."""
+    edges = spark.createDataFrame([(1, 2), (2, 3), (2, 3), (3, 4), (4, 5), (1, 2), (1, None), (7, 8)], "a long, b long")
+    out = similarity.within_steps(edges, spark.createDataFrame([(1,), (1,)], "node long"), 3)
+    assert "aggregate" not in _plan(out) and "join" not in _plan(out)
+    want = {(1, 0), (2, 1), (None, 1), (3, 2), (4, 3)}
+    assert {(r.node, r.steps) for r in out.collect()} == want and out.count() == len(want)
