@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.registry import rolling
+from ..sources.tables import written_table
 from .store import capped_weights
 
 
@@ -24,14 +25,37 @@ def next_day(weights: DataFrame) -> DataFrame:
     return weights.withColumn("w", F.coalesce(F.lag("w").over(Window.partitionBy("sym").orderBy("di")), F.lit(0.0)))
 
 
+#: Pairs that one task makes, about.
+TASK_PAIRS = 4_000_000
+#: And partitions at most, which bounds what a shuffle keeps of each; beyond them a task makes more pairs, one block after another.
+MOST_TASKS = 20_000
+
+
+def _paired(left: DataFrame, right: DataFrame, kind: str, where: str | None = None) -> DataFrame:
+    """left(a, kind) and right(b, kind) by kind. The pairs of a kind grow with the square of it, so they are dealt out: a
+    kind's left rows go to as many blocks as it has pairs for, and each block meets all the kind's right rows. The number
+    of partitions is stated, as small inputs would otherwise be put together in one task whatever comes out of it."""
+    spark = left.sparkSession
+    count = lambda df, n: df.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.count("*").alias(n))
+    blocks = count(left, "_l").join(count(right, "_r"), kind).select(kind, F.ceil(F.col("_l").cast("double") * F.col("_r") / TASK_PAIRS).alias("_blocks"))
+    blocks = written_table(blocks, "blocks")
+    tasks = min(blocks.agg(F.coalesce(F.sum("_blocks"), F.lit(1))).first()[0], MOST_TASKS)
+    tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    one = left.join(F.broadcast(blocks), kind).withColumn("_block", F.pmod(F.xxhash64("a"), F.col("_blocks")))
+    all_of = right.join(F.broadcast(blocks), kind).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    keys = [kind, "_block"]
+    pairs = one.drop("_blocks").repartition(tasks, *keys).join(all_of.drop("_blocks").repartition(tasks, *keys), keys)
+    return (pairs.where(where) if where else pairs).select("a", kind, "b")
+
+
 def cross_pairs(left: DataFrame, right: DataFrame, kind: str) -> DataFrame:
     """Pairs of two groups of formulas(id, <kind>) that agree in kind; by equality, so no kind meets another."""
-    return left.select(F.col("id").alias("a"), kind).join(right.select(F.col("id").alias("b"), kind), kind)
+    return _paired(left.select(F.col("id").alias("a"), kind), right.select(F.col("id").alias("b"), kind), kind)
 
 
 def inner_pairs(formulas: DataFrame, kind: str) -> DataFrame:
     """Unordered pairs within a kind."""
-    return cross_pairs(formulas, formulas, kind).where("a < b")
+    return _paired(formulas.select(F.col("id").alias("a"), kind), formulas.select(F.col("id").alias("b"), kind), kind, "a < b")
 
 
 def split_by_correlation(corrs: DataFrame, share: float) -> DataFrame:

@@ -28,6 +28,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, reread: what several steps start from is computed once, and its size is known."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

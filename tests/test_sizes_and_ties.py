@@ -3,8 +3,10 @@
 import math
 
 
+from pyspark.sql import functions as F
+
 from tessera import market_queries
-from tessera.operators import evaluation, minute, similarity, store
+from tessera.operators import evaluation, minute, similarity, store, weights
 
 
 def test_score_divides_doubles(spark, tmp_path):
@@ -52,3 +54,18 @@ def test_steps_do_not_gather_edges(spark):
     assert "aggregate" not in _plan(out) and "join" not in _plan(out)
     want = {(1, 0), (2, 1), (None, 1), (3, 2), (4, 3)}
     assert {(r.node, r.steps) for r in out.collect()} == want and out.count() == len(want)
+
+
+def test_pairs_of_one_kind_are_dealt_out(spark, monkeypatch):
+    """The pairs of small inputs, one kind among them with nearly all, leave from several tasks and none is lost."""
+    monkeypatch.setattr(weights, "TASK_PAIRS", 50)
+    rows = [(k, "x" if k else None) for k in range(61)] + [(k, "y") for k in range(61, 64)] + [(5, "y"), (5, "x")]
+    df = spark.createDataFrame(rows, "id long, kind string").coalesce(1)
+    pairs = lambda a, b: sorted((x, k, y) for x, k in a for y, j in b if k is not None and k == j)
+    out = weights.inner_pairs(df, "kind")
+    assert sorted(tuple(r) for r in out.select("a", "kind", "b").collect()) == [p for p in pairs(rows, rows) if p[0] < p[2]]
+    made = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) > 10 and max(r["count"] for r in made) < 500
+    some = [r for r in rows if r[0] % 3 == 0]
+    assert sorted(tuple(r) for r in weights.cross_pairs(df, df.where("id % 3 = 0"), "kind").select("a", "kind", "b").collect()) == pairs(rows, some)
+    assert weights.cross_pairs(df.where("id < 0"), df, "kind").count() == 0
