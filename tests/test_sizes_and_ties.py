@@ -4,7 +4,11 @@ import itertools
 import math
 import random
 import statistics
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
@@ -91,3 +95,22 @@ def test_pair_correlations_by_blocks(spark, monkeypatch):
     assert got.keys() == want.keys() and len(got) == out.count()
     for k, (n, c) in want.items():
         assert got[k].days == n and (got[k]["corr"] is None if c is None else math.isclose(got[k]["corr"], c, abs_tol=1e-6)), k
+
+
+def test_search_holds_one_piece_at_a_time():
+    """A batch is compared in pieces, and what it sends on holds every query's best."""
+    rng = np.random.default_rng(1)
+    base = np.repeat(rng.normal(size=(4000, 8)), 3, axis=0)  # ties
+    unit = base / np.sqrt((base * base).sum(1))[:, None]
+    qid = np.arange(0, 12000, 20)
+    batch = pa.record_batch({"id": np.arange(12000), "v": pa.FixedSizeListArray.from_arrays(base.ravel(), 8).cast(pa.list_(pa.float64()))})
+    tracemalloc.start()
+    sent = list(similarity._near(SimpleNamespace(value=(qid, unit[qid])), 5, 0.0)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    got = {(q, i) for b in sent for q, i in zip(b["qid"].to_pylist(), b["id"].to_pylist())}
+    for q in qid[::7].tolist():
+        s = np.round(unit @ unit[q], 12)
+        s[q] = -1
+        assert {(q, i) for i in np.nonzero(s >= np.sort(s)[-5])[0].tolist()} <= got
