@@ -96,6 +96,12 @@ def abs_(x):
     return F.abs(x)
 
 
+@op("f")
+def round_(x, digits=9):
+    """Half away from zero; before a rank it makes values equal that differ by the order of their sums alone."""
+    return F.round(x, int(digits))
+
+
 @op("f")
 def signal(x):
     return F.signum(x)

@@ -7,12 +7,15 @@ import statistics
 import tracemalloc
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from tessera import market_queries
+from same import assert_same
+
+from tessera import function_queries, market_queries
 from tessera.operators import evaluation, minute, similarity, store, weights
 
 
@@ -114,3 +117,19 @@ def test_search_holds_one_piece_at_a_time():
         s = np.round(unit @ unit[q], 12)
         s[q] = -1
         assert {(q, i) for i in np.nonzero(s >= np.sort(s)[-5])[0].tolist()} <= got
+
+
+def test_nested_ranks_equal_correlations_alike(spark, tmp_path):
+    """Suppliers whose ranks move alike from month to month have one correlation, but sums that differ in the last digit."""
+    many = 60
+    rows = [(s, f"1995-0{t + 1}-15", (s + x) % many, (s + y) % many) for s in range(many) for t, (x, y) in enumerate(((0, 0), (1, 2), (3, 1)))]
+    lines = spark.createDataFrame(rows, "l_suppkey long, day string, x int, y int")
+    tables = {
+        "lineitem": lines.selectExpr("l_suppkey", "CAST(day AS timestamp) AS l_shipdate", "x + 1.0D AS l_extendedprice", "y + 1.0D AS l_quantity"),
+        "supplier": spark.createDataFrame([(s, 0) for s in range(many)], "s_suppkey long, s_nationkey int"), "nation": spark.createDataFrame([(0, 0)], "n_nationkey int, n_regionkey int"),
+    }
+    con = duckdb.connect()
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert_same(function_queries.QUERIES["fn_nested"](spark, str(tmp_path)), con.execute(function_queries.ORACLES["fn_nested"]))
