@@ -224,6 +224,22 @@ def _may_link(x: str, y: str, percent: int) -> str:
     return f"100 * (n{x} - free{x}) >= {percent} * (n{y} + free{x}) AND 100 * (n{y} - free{y}) >= {percent} * (n{x} + free{y})"
 
 
+def _in_prefixes(x: str, y: str, percent: int) -> str:
+    """Whether a shared shingle, at these places of the two orders, is in the prefixes that the sizes of both ask for: what
+    the smaller l of the two counts is there already. They are about half as long as those for a partner of any size."""
+    least = f"({percent} * (n{x} + n{y}) + {99 + percent}) DIV {100 + percent} - least(l{x}, l{y})"
+    return f"at{x} < n{x} - ({least}) AND at{y} < n{y} - ({least})"
+
+
+def _across(some: DataFrame, percent: int) -> DataFrame:
+    """A row for each shared shingle of two nodes of different components that may be linked. A pair that shares a great
+    part of its prefixes has a row for each such shingle, so only the prefixes that the pair's own sizes ask for count."""
+    left = some.where("root <> largest").selectExpr("token", "node AS x", "n AS nx", "l AS lx", "place AS atx", "free AS freex", "root AS rx", *(f"{c} AS {c}x" for c in PARITY))
+    right = some.selectExpr("token", "node AS y", "n AS ny", "l AS ly", "place AS aty", "free AS freey", "root AS ry", "root = largest AS inside", *(f"{c} AS {c}y" for c in PARITY))
+    apart = " + ".join(f"bit_count({c}x ^ {c}y)" for c in PARITY)
+    return left.join(right, "token").where(f"rx <> ry AND (inside OR x < y) AND {_may_link('x', 'y', percent)} AND {_in_prefixes('x', 'y', percent)} AND ({apart}) * {100 + percent} <= {100 - percent} * (nx + ny)")
+
+
 def _sharing(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """The pairs that share as many prefix shingles as their l's ask for, by the nodes' shared prefix shingles."""
     own = lists.groupBy("node").agg(F.collect_set("token").alias("t"), F.min("l").alias("l"), F.min("n").alias("n"), F.min("free").alias("free"))
@@ -288,7 +304,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     lists = written(lists.where("lo <> hi").drop("lo", "hi"), "lists")
     # a linked pair shares min(l, l') shingles, so each of them is in a list whose least l its members' counts reach
     each = lists.repartition("node").groupBy("node", "token").agg(F.min("packed").alias("packed"), F.min("least_l").alias("least_l"), F.min("spread").alias("spread"))
-    each = each.selectExpr("token", "node", "CAST(packed >> 32 AS INT) AS n", "CAST(packed & 7 AS INT) AS l", "least_l", "CAST(min((packed >> 3) & 536870911) OVER (PARTITION BY node) AS INT) AS free", "count(*) OVER (PARTITION BY node) AS listed", "sum(spread) OVER (PARTITION BY node) AS spread")
+    each = each.selectExpr("token", "node", "CAST(packed >> 32 AS INT) AS n", "CAST(packed & 7 AS INT) AS l", "CAST((packed >> 3) & 536870911 AS INT) AS place", "least_l", "CAST(min((packed >> 3) & 536870911) OVER (PARTITION BY node) AS INT) AS free", "count(*) OVER (PARTITION BY node) AS listed", "sum(spread) OVER (PARTITION BY node) AS spread")
     lists = written(each.where("listed >= least_l").drop("least_l", "listed"), "lists")
 
     ratio = -np.log(percent / 100.0)
@@ -306,13 +322,10 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     roots = connected_components(links)
 
     # what lies across components: only pairs with a member outside the list's largest component
-    member = written(lists.drop("band", "spread").join(roots, "node", "left").select("token", "node", "n", "l", "free", F.coalesce("root", "node").alias("root")), "members")
+    member = written(lists.drop("band", "spread").join(roots, "node", "left").select("token", "node", "n", "l", "place", "free", F.coalesce("root", "node").alias("root")), "members")
     parts = member.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     some = written(member.join(parts.select("token", "largest"), "token").join(nodes.drop("least", "key"), "node"), "some")
-    left = some.where("root <> largest").selectExpr("token", "node AS x", "n AS nx", "l AS lx", "free AS freex", "root AS rx", *(f"{c} AS {c}x" for c in PARITY))
-    right = some.selectExpr("token", "node AS y", "n AS ny", "l AS ly", "free AS freey", "root AS ry", "root = largest AS inside", *(f"{c} AS {c}y" for c in PARITY))
-    apart = " + ".join(f"bit_count({c}x ^ {c}y)" for c in PARITY)
-    across = left.join(right, "token").where(f"rx <> ry AND (inside OR x < y) AND {_may_link('x', 'y', percent)} AND ({apart}) * {100 + percent} <= {100 - percent} * (nx + ny)")
+    across = _across(some, percent)
     second = across.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.count("*").alias("shared"), F.min(F.least("lx", "ly")).alias("wanted")).where("shared >= wanted")
     second = written(_close(second.select("u", "v"), wide, percent), "second")
     more = _sets_for(second, nodes, rows, k)

@@ -81,6 +81,30 @@ def test_join_matches_brute_force(spark, k, percent):
     assert sorted((tuple(r) for r in got), key=str) == brute_components(rows, k, percent)
 
 
+def test_join_takes_rows_from_the_prefixes_of_a_pair(spark, monkeypatch):
+    """Copies changed by more than the threshold allows share most of their longest prefixes; few of these shingles make a row."""
+    rng, rows = random.Random(8), []
+    base = [f"b{k}" for k in range(300)]
+    for i in range(60):
+        w = base[:]
+        for place in rng.sample(range(300), rng.choice((2, 3, 9, 10, 11))):
+            w[place] = rng.choice(base) if place % 2 else f"c{i}x{place}"
+        rows.append((i, " ".join(w)))
+    made, across = [], ngram_join._across
+
+    def counted(*given):
+        made.append(across(*given).count())
+        return across(*given)
+
+    monkeypatch.setattr(ngram_join, "_across", counted)
+    answers = []
+    for narrow in (ngram_join._in_prefixes, lambda *given: "true"):
+        monkeypatch.setattr(ngram_join, "_in_prefixes", narrow)
+        answers.append(sorted(tuple(r) for r in ngram_join.linked(docs(spark, rows), 5, 80).select("doc_id", "n_shingles", "component_id").collect()))
+    assert answers[0] == answers[1] == sorted(brute_components(rows, 5, 80))
+    assert 2 * made[0] < made[1]
+
+
 def test_join_keeps_one_of_each(spark):
     rows = corpus()
     want = sorted(i for i, _, c in brute_components(rows, 5, 80) if i == c)
