@@ -24,9 +24,13 @@ from .shared import written
 
 WINDOW = 2048
 END_ID = 1
-#: Distinct words a worker process remembers with their ids from task to task, and the longest it remembers; others
-#: are encoded anew. New words are encoded many at a time.
-CACHE_WORDS, CACHE_BYTES, AT_ONCE = 1 << 18, 48, 400
+#: Distinct words after which a worker process begins to remember others, the longest it remembers, and new words that
+#: are encoded at a time. It remembers them with their ids from task to task; of the words before only those that it met
+#: again stay, so it holds twice as many at most, some 200 bytes each.
+CACHE_WORDS, CACHE_BYTES, AT_ONCE = 1 << 19, 48, 400
+
+#: A run of these marks at the end of a word is encoded apart from the letter or digit before it.
+MARKS, ALNUM = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -44,6 +48,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _alone(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -63,19 +68,24 @@ class WordIds:
         raw = [t.encode() if t else b"" for t in texts]
         lists = [(x if b"<|" in x else x.lower()).split() for x in raw]  # special tokens are lower-case as they are
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = [w for w in set().union(*lists) if w not in known]
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = set().union(*lists).difference(known)
+        if before:
+            again = new.intersection(before)
+            known.update((w, before[w]) for w in again)
+            new -= again
         if new:
             odd = [w for w in new if len(w) > CACHE_BYTES or b"<|" in w]
-            plain = set(new).difference(odd)
-            tailed = [w for w in plain if w[-1] in b".," and len(w) > 1 and 97 <= w[-2] <= 122]
-            plain.difference_update(tailed)
-            plain.update(c for w in tailed if (c := w[:-1]) not in known)
-            plain.update(c for c in (b".", b",") if c not in known)
-            self._learn(list(plain))
-            for w in tailed:
-                known[w] = known[w[:-1]] + known[w[-1:]]
+            plain = new.difference(odd)
+            tailed = [(w, w[: len(c)], w[len(c) :]) for w in plain if len(c := w.rstrip(MARKS)) < len(w) and c and c[-1] in ALNUM]
+            plain.difference_update(w for w, _, _ in tailed)
+            parts = {c for w in tailed for c in w[1:]}.difference(known, plain)
+            again = parts.intersection(before)
+            known.update((c, before[c]) for c in again)
+            self._learn([*plain, *(parts - again)])
+            for w, c, tail in tailed:
+                known[w] = known[c] + known[tail]
             for w in odd:
                 known[w] = self._alone(w)
         out = [b"".join(map(known.__getitem__, words)) for words in lists]

@@ -574,3 +574,20 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
     got = sorted(map(tuple, decontamination.leaks(d.repartition(3), twice).collect()))
     assert one and got == sorted([*one, *((r[0], r[1] + 1000, *r[2:]) for r in one)])
+
+
+def test_word_ids_keep_what_they_meet_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    path, learnt = public_tokenizers.path("word_bpe_49k.json"), collections.Counter()
+    words, plain, learn = packing.WordIds(path), packing.WordIds(path).tokenizer, packing.WordIds._learn
+
+    def counted(self, new):
+        learnt.update(new)
+        learn(self, new)
+
+    monkeypatch.setattr(packing.WordIds, "_learn", counted)
+    for k in range(40):
+        text = "often met, " + " ".join(f"new{k}x{j}" for j in range(15))
+        assert np.frombuffer(words.of([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(words.known) + len(words.before) < 120
+    assert learnt[b"often"] == learnt[b"met"] == 1
