@@ -41,6 +41,13 @@ def _fs(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a table that was read as it stands, such as a scratch table that no later step reads."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at, fs = _fs(df.sparkSession, folder)
+        fs.delete(at, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at, fs = _fs(spark, path)
     return fs.exists(at)

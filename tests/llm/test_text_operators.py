@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -263,6 +264,30 @@ def test_suffix_tree_scores_by_plain_tree(spark):
         assert i == j and math.isclose(x, y, rel_tol=1e-5), (i, x, y)
 
 
+def test_suffix_tree_leaves_little_on_disk(spark):
+    conf = spark.sparkContext.getConf()
+    size = lambda: sum(f.stat().st_size for f in Path(conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+    tables = lambda: {f.name for f in Path(conf.get("spark.checkpoint.dir")).glob("tables/*")}
+    before = size()
+    assert suffix_tree._settled(spark.range(200_000).repartition(3, "id"), "some").count() == 200_000
+    assert size() - before < 10_000
+    before, rows = tables(), corpus(7, 200)
+    found = suffix_tree.scored(docs(spark, rows))
+    assert {x.split("-")[0] for x in tables() - before} == {"rows", "answers"}
+    assert found.count() == len(rows)
+
+
+def test_suffix_keys_packed():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 63, 50_000, dtype=np.int64).view(np.uint64) * np.uint64(2))
+    share = rng.random(len(keys)).astype(np.float32)
+    data = suffix_tree.packed(suffix_tree.steps(keys), share)
+    some, values = suffix_tree.unpacked(data, "<u8", "<f4")
+    assert (suffix_tree.unsteps(some) == keys).all() and (values == share).all() and len(data) < 11 * len(keys)
+    for some in (keys[:1], keys[:0], keys[::-1]):
+        assert (suffix_tree.unsteps(suffix_tree.unpacked(suffix_tree.packed(suffix_tree.steps(some)), "<u8")[0]) == some).all()
+
+
 def test_suffix_states_sum_to_one():
     tree = suffix_tree.Tree(100, 4)
     c = np.array([40.0, 30.0, 20.0, 10.0, 0.0])  # the last: any unseen word
