@@ -199,9 +199,7 @@ k AS (SELECT ir, c, arg_max(kept, n) AS kept FROM r GROUP BY ir, c), picks AS (S
 
 def _swept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = monthly_panel(spark, sf_dir).select(F.col("sym").alias("id"), "di", ((F.col("y") - F.avg("y").over(Window.partitionBy("di"))) / 64).alias("v"))
-    v = tables_written(v, "series")
-    stats = v.where("v IS NOT NULL").groupBy("id").agg(F.avg("v").alias("rankic"), (F.avg("v") / F.stddev_samp("v")).alias("rankicir"))
-    return store.threshold_sweep(tables_written(stats, "stats"), tables_written(store.pair_correlations(v), "pairs"), _LEAST, _LEAST_IR, _MOST)
+    return store.series_sweep(tables_written(store.packed_series(v), "series"), _LEAST, _LEAST_IR, _MOST)
 
 
 def tables_written(df: DataFrame, name: str) -> DataFrame:

@@ -10,12 +10,14 @@ from types import SimpleNamespace
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from pyspark.sql import functions as F
 
+from conftest import SF
 from same import assert_same
 
-from tessera import function_queries, market_queries
+from tessera import function_queries, history_queries, market_queries
 from tessera.operators import evaluation, minute, similarity, store, weights
 
 
@@ -133,3 +135,53 @@ def test_nested_ranks_equal_correlations_alike(spark, tmp_path):
         table.write.parquet(f"{tmp_path}/{name}.parquet")
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert_same(function_queries.QUERIES["fn_nested"](spark, str(tmp_path)), con.execute(function_queries.ORACLES["fn_nested"]))
+
+
+def _plain_corr(x, y):
+    both = sorted(x.keys() & y.keys())
+    a, b = [x[d] for d in both], [y[d] for d in both]
+    return statistics.correlation(a, b) if both and min(a) < max(a) and min(b) < max(b) else None
+
+
+@pytest.mark.parametrize("front", [7, 4096])
+def test_sweep_of_series_compares_with_kept_ones_only(spark, monkeypatch, front):
+    """Gaps, constants, equal series, a large common level and sides that hardly vary: as plain loops over all pairs."""
+    for name, size in (("FRONT_IDS", front), ("FRONT_BLOCK", 3), ("BLOCK_IDS", 4)):
+        monkeypatch.setattr(store, name, size)
+    rng = random.Random(front)
+    series = {k: {d: (1e6 if k % 5 == 0 else 0) + rng.gauss(0, 1) for d in range(14) if rng.random() < 0.8} for k in range(60)}
+    series |= {60 + k: dict(series[k]) for k in range(15)} | {80: {d: 2.5 for d in range(14)}, 81: {3: 1.0, 4: 2.0}, 82: {11: 1.0}, 83: {d: 1e7 if d == 13 else d * d % 5 + 0.0 for d in range(14)}, 84: {d: -d * d % 5 + 0.0 for d in range(13)}}
+    rows = [(k, d, v) for k, days in series.items() for d, v in days.items()] + [(3, 50, None), (None, 1, 1.0), (4, 60, float("nan"))]
+    rng.shuffle(rows)
+    least, least_ir, most = [-0.5, 0.0, 0.2], [None, 0.1], [-0.2, 0.3, 0.8]
+    packed = store.packed_series(spark.createDataFrame(rows, "id long, di int, v double").repartition(3))
+    stats = {r.id: (r.rankic, r.rankicir) for r in packed.collect()}
+    assert stats.keys() == series.keys() and all(stats[60 + k][0] == stats[k][0] for k in range(15))
+    for k, days in series.items():
+        mean, spread = statistics.fmean(days.values()), statistics.stdev(days.values()) if len(days) > 1 else None
+        want_ir = None if spread is None else mean / spread if spread else math.inf
+        assert math.isclose(stats[k][0], mean, rel_tol=1e-12, abs_tol=1e-12) and (stats[k][1] is None if want_ir is None else math.isclose(stats[k][1], want_ir, rel_tol=1e-6)), k
+    summary, picks = store.series_sweep(packed, least, least_ir, most)
+    got, shown = {}, {(r.least, r.least_ir, r.most_corr): r for r in summary.collect()}
+    for r in picks.collect():
+        got.setdefault((r.least, r.least_ir, r.most_corr), []).append(r.id)
+    corr = {(a, b): _plain_corr(series[a], series[b]) for a in series for b in series if a != b}
+    for t, ir, m in itertools.product(least, least_ir, most):
+        kept = []
+        for i in sorted(series, key=lambda i: (-stats[i][0], i)):
+            if stats[i][0] >= t and (ir is None or (stats[i][1] is not None and stats[i][1] >= ir)) and not any(corr[i, k] is not None and corr[i, k] > m for k in kept):
+                kept.append(i)
+        assert sorted(got.get((t, ir, m), [])) == sorted(kept), (t, ir, m)
+        apart, row = [c for a, b in itertools.combinations(kept, 2) if (c := corr[a, b]) is not None], shown[t, ir, m]
+        assert row["count"] == len(kept) and (row.max_pair_corr is None if not apart else math.isclose(row.max_pair_corr, max(apart), abs_tol=1e-6) and math.isclose(row.avg_pair_corr, statistics.fmean(apart), abs_tol=1e-6)), (t, ir, m)
+    summary, picks = store.series_sweep(packed.where("id < 0"), least, least_ir, most)
+    assert [r["count"] for r in summary.collect()] == [0] * 18 and picks.count() == 0
+
+
+def _no_pairs(*_):
+    raise AssertionError("correlations of all pairs")
+
+
+def test_sweep_makes_no_pairs_of_all_series(spark, duck, monkeypatch):
+    monkeypatch.setattr(store, "pair_correlations", _no_pairs)
+    assert_same(history_queries.QUERIES["store_sweep"](spark, SF), duck.execute(history_queries.ORACLES["store_sweep"]))
