@@ -185,3 +185,24 @@ def _no_pairs(*_):
 def test_sweep_makes_no_pairs_of_all_series(spark, duck, monkeypatch):
     monkeypatch.setattr(store, "pair_correlations", _no_pairs)
     assert_same(history_queries.QUERIES["store_sweep"](spark, SF), duck.execute(history_queries.ORACLES["store_sweep"]))
+
+
+def test_sweep_picks_the_first_of_equal_suppliers_without_pairs(spark, tmp_path, monkeypatch):
+    """Suppliers that sell alike have one mean, and their ids decide; SQL in one thread, which adds all their months in one order."""
+    monkeypatch.setattr(store, "pair_correlations", _no_pairs)
+    rng = random.Random(2)
+    kinds = [[rng.randint(1, 50) for _ in range(12)] for _ in range(20)]
+    rows = [(s, f"1995-{m + 1:02d}-15", float(q)) for s in range(120) for m, q in enumerate(kinds[s * 7 % 20])]
+    rng.shuffle(rows)
+    tables = {
+        "lineitem": spark.createDataFrame(rows, "l_suppkey long, day string, l_quantity double").selectExpr("l_suppkey", "CAST(day AS timestamp) AS l_shipdate", "l_quantity * 100 AS l_extendedprice", "l_quantity").repartition(5),
+        "supplier": spark.createDataFrame([(s, 0) for s in range(120)], "s_suppkey long, s_nationkey int"), "nation": spark.createDataFrame([(0, 0)], "n_nationkey int, n_regionkey int"),
+    }
+    con = duckdb.connect(config={"threads": 1})
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    picks = history_queries.QUERIES["store_sweep_picks"](spark, str(tmp_path))
+    assert_same(picks, con.execute(history_queries.ORACLES["store_sweep_picks"]))
+    ids = {r.id for r in picks.collect()}
+    assert ids and all(i < 20 for i in ids)
