@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .operator_queries import ORACLES, QUERIES, _rounded, query  # noqa: F401  the queries below go there
 from .operators import bitemporal, crossday, evaluation, incremental, minute, portfolios, similarity, store, universes
 from .sources import tables
-from .sources.panels import MINUTE_SQL, MONTHLY_SQL, minute_bars, monthly_panel, read
+from .sources.panels import MINUTE_SQL, MONTHLY_SQL, minute_bars, monthly_facts, monthly_panel, read, supplier_groups
 from .streaming import bars, recurrence
 
 # Filings of 50 firms made from orders: totals of the year so far and stocks a quarter, each known some weeks after it,
@@ -198,7 +198,12 @@ k AS (SELECT ir, c, arg_max(kept, n) AS kept FROM r GROUP BY ir, c), picks AS (S
 
 
 def _swept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    v = monthly_panel(spark, sf_dir).select(F.col("sym").alias("id"), "di", ((F.col("y") - F.avg("y").over(Window.partitionBy("di"))) / 64).alias("v"))
+    # pairs ask only that months be the same and sums that they be in order, so cells that are missing need no row; a
+    # supplier that is listed twice counts twice in a month's mean, as in the panel
+    y = monthly_facts(spark, sf_dir).where("date IS NOT NULL AND sym IS NOT NULL").join(supplier_groups(spark, sf_dir), "sym", "left")
+    y = tables_written(y.select("date", F.col("sym").alias("id"), "y"), "quantities")
+    level = F.broadcast(y.groupBy("date").agg(F.avg("y").alias("level")))
+    v = y.join(level, "date").select("id", (F.year("date") * 12 + F.month("date")).alias("di"), ((F.col("y") - F.col("level")) / 64).alias("v"))
     return store.series_sweep(tables_written(store.packed_series(v), "series"), _LEAST, _LEAST_IR, _MOST)
 
 

@@ -206,3 +206,23 @@ def test_sweep_picks_the_first_of_equal_suppliers_without_pairs(spark, tmp_path,
     assert_same(picks, con.execute(history_queries.ORACLES["store_sweep_picks"]))
     ids = {r.id for r in picks.collect()}
     assert ids and all(i < 20 for i in ids)
+
+
+def test_sweep_reads_lines_once(spark, tmp_path, monkeypatch):
+    """The months' quantities come from one scan of lineitem, and a supplier listed twice counts as in the panel."""
+    for name in ("lineitem", "nation"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    supplier = spark.read.parquet(f"{SF}/supplier.parquet")
+    supplier.unionByName(supplier.where("s_suppkey = 3")).write.parquet(f"{tmp_path}/supplier.parquet")
+    con, scans, written = duckdb.connect(), [], history_queries.tables_written
+    for name in ("lineitem", "nation", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+
+    def noted(df, name):
+        scans.append(_plan(df).split("== physical plan ==")[-1].count("filescan parquet [l_"))
+        return written(df, name)
+
+    monkeypatch.setattr(history_queries, "tables_written", noted)
+    summary = history_queries.QUERIES["store_sweep"](spark, str(tmp_path))
+    assert sum(scans) == 1, scans
+    assert_same(summary, con.execute(history_queries.ORACLES["store_sweep"]))
